@@ -114,6 +114,17 @@ SELECT o_custkey AS siren, o_orderdate AS date_debut,
 FROM orders
 """
 
+# Update ledger derived from events: one run per event.
+RUNS = """
+SELECT event_id AS run_id, user_id, ts AS launched_timestamp,
+       CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'launched' ELSE 'finished' END AS status,
+       CASE event_type WHEN 'view' THEN 'unites_legales' WHEN 'click' THEN 'etablissements'
+                       WHEN 'purchase' THEN 'liens_succession' ELSE 'all' END AS group_type,
+       CASE WHEN event_type = 'signup' THEN NULL ELSE ts + INTERVAL 1 HOUR END AS finished_timestamp,
+       value
+FROM events
+"""
+
 VIEWS_SPARK = {
     "legal_unit": LEGAL_UNIT,
     "establishment": ESTABLISHMENT_SPARK,
@@ -122,6 +133,7 @@ VIEWS_SPARK = {
     "succession": SUCCESSION,
     "delta": DELTA,
     "period": PERIOD,
+    "runs": RUNS,
 }
 
 VIEWS_DUCKDB = dict(VIEWS_SPARK, establishment=ESTABLISHMENT, geo_point=GEO_POINT_DUCKDB)

@@ -117,3 +117,368 @@ def search_page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("returned"),
         F.max("total").alias("total"),
     )
+
+
+# ---------------------------------------------------------------- lookups (J-1..J-4, J-7, F-5, F-7, P-3)
+from firmament.operators import ledger as L  # noqa: E402
+from firmament.operators import lookup as LK  # noqa: E402
+from firmament.operators import merge as M  # noqa: E402
+from firmament.plans import publish as PB  # noqa: E402
+
+EST_COLS = [
+    "siret", "siren", "etat_administratif", "date_creation", "date_debut", "denomination_usuelle", "enseigne_1",
+    "enseigne_2", "enseigne_3", "code_postal", "libelle_commune", "code_commune", "activite_principale",
+    "etablissement_siege", "date_dernier_traitement", "vec_id",
+]
+UNIT_COLS = [
+    "siren", "etat_administratif", "denomination", "denomination_usuelle_1", "denomination_usuelle_2",
+    "denomination_usuelle_3", "activite_principale", "categorie_juridique", "categorie_entreprise",
+    "date_creation", "date_debut",
+]
+HQ_SQL = "SELECT siren, min(siret) AS etablissement_siege_siret FROM establishment WHERE etablissement_siege GROUP BY siren"
+
+
+def _full_establishments(spark, sf_dir):
+    """P-3: every loaded column plus position, never the search text."""
+    return T.flat_position(T.establishments(spark, sf_dir).select(*EST_COLS, "position"))
+
+
+@register(
+    "establishment_lookup",
+    f"""WITH e AS ({O.est_cte()}), k AS (SELECT DISTINCT successeur AS siret FROM succession), hq AS ({HQ_SQL})
+    SELECT {", ".join("e." + c for c in EST_COLS)}, round(e.lng, 6) AS lng, round(e.lat, 6) AS lat,
+           {", ".join(f"u.{c} AS unite_legale_{c}" for c in UNIT_COLS if c != "siren")},
+           hq.etablissement_siege_siret
+    FROM e JOIN k ON k.siret = e.siret JOIN legal_unit u ON u.siren = e.siren JOIN hq ON hq.siren = e.siren""",
+)
+def establishment_lookup(spark, sf_dir):
+    keys = T.succession(spark, sf_dir).select(F.col("successeur").alias("siret"))
+    units = T.units(spark, sf_dir).select(*UNIT_COLS)
+    return LK.lookup_establishments(keys, _full_establishments(spark, sf_dir), units)
+
+
+_UNIT_LOOKUP_SQL = f"""WITH hq AS ({HQ_SQL}), n AS (SELECT siren, count(*) AS nombre_etablissements FROM establishment GROUP BY siren)
+    SELECT {", ".join("u." + c for c in UNIT_COLS)}, hq.etablissement_siege_siret,
+           coalesce(n.nombre_etablissements, 0) AS nombre_etablissements
+    FROM legal_unit u JOIN hq ON hq.siren = u.siren LEFT JOIN n ON n.siren = u.siren"""
+
+
+@register("unit_lookup", _UNIT_LOOKUP_SQL)
+def unit_lookup(spark, sf_dir):
+    units = T.units(spark, sf_dir).select(*UNIT_COLS)
+    return LK.lookup_units(units.select("siren"), units, T.establishments(spark, sf_dir))
+
+
+@register(
+    "unit_establishments",
+    f"""WITH hq AS ({HQ_SQL})
+    SELECT e.siren, e.siret, e.etablissement_siege, e.date_creation
+    FROM establishment e JOIN legal_unit u ON u.siren = e.siren JOIN hq ON hq.siren = e.siren""",
+)
+def unit_establishments(spark, sf_dir):
+    units = T.units(spark, sf_dir).select(*UNIT_COLS)
+    est = T.establishments(spark, sf_dir)
+    return LK.unit_establishments(units.select("siren"), units, est).select(
+        "siren", "siret", "etablissement_siege", "date_creation"
+    )
+
+
+@register("unit_lookup_nested")
+def unit_lookup_nested(spark, sf_dir):
+    """M-9, J-2 nested form (rows-only: nested lists do not hash across engines)."""
+    units = T.units(spark, sf_dir).select(*UNIT_COLS)
+    est = T.establishments(spark, sf_dir).select(*EST_COLS, "position")
+    return LK.lookup_units_nested(units.select("siren"), units, est)
+
+
+@register("head_office", f"SELECT siren, etablissement_siege_siret AS siret FROM ({HQ_SQL}) h")
+def head_office(spark, sf_dir):
+    return LK.head_office(T.establishments(spark, sf_dir)).select("siren", "siret")
+
+
+SUCC_COLS = ["predecesseur", "successeur", "date_lien_succession", "transfert_siege", "continuite_economique",
+             "date_dernier_traitement"]
+
+
+@register("succession_lookup", "SELECT * FROM succession WHERE predecesseur = 100 OR successeur = 100")
+def succession_lookup(spark, sf_dir):
+    return LK.succession_one(T.succession(spark, sf_dir), 100)
+
+
+@register(
+    "succession_batch",
+    f"""WITH k AS (SELECT DISTINCT siret FROM establishment WHERE etablissement_siege)
+    SELECT k.siret, {", ".join("s." + c for c in SUCC_COLS)} FROM succession s JOIN k ON s.predecesseur = k.siret
+    UNION ALL
+    SELECT k.siret, {", ".join("s." + c for c in SUCC_COLS)} FROM succession s JOIN k ON s.successeur = k.siret
+    WHERE s.predecesseur <> s.successeur""",
+)
+def succession_batch(spark, sf_dir):
+    keys = T.establishments(spark, sf_dir).filter("etablissement_siege").select("siret")
+    return LK.succession(keys, T.succession(spark, sf_dir))
+
+
+@register(
+    "lookup_not_found",
+    f"SELECT u.siren FROM legal_unit u WHERE u.siren NOT IN (SELECT siren FROM ({HQ_SQL}) h)",
+)
+def lookup_not_found(spark, sf_dir):
+    units = T.units(spark, sf_dir).select(*UNIT_COLS)
+    found = LK.lookup_units(units.select("siren"), units, T.establishments(spark, sf_dir))
+    return LK.not_found(units, found, "siren")
+
+
+@register(
+    "validate_keys",
+    """SELECT k, coalesce(strlen(k) = 9, false) AS valid FROM (
+         SELECT CAST(c_custkey AS VARCHAR) AS k FROM customer
+         UNION ALL SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') FROM customer) t""",
+)
+def validate_keys(spark, sf_dir):
+    fixtures.register(spark, sf_dir)
+    c = spark.table("customer")
+    keys = c.select(F.col("c_custkey").cast("string").alias("k")).unionByName(
+        c.select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("k"))
+    )
+    return LK.validate_keys(keys, "k", LK.SIREN_LENGTH)
+
+
+# ---------------------------------------------------------------- merge (M-1..M-4, M-8)
+UNIT_BASE_SQL = ("SELECT *, activite_principale AS activite_principale_naf25, "
+                 "CAST(NULL AS TIMESTAMP) AS date_dernier_traitement FROM legal_unit")
+UNIT_BASE_COLS = UNIT_COLS + ["activite_principale_naf25", "date_dernier_traitement"]
+UNIT_SET = ["activite_principale", "date_dernier_traitement"]
+DEDUP_SQL = """SELECT {key}, {cols} FROM (
+    SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY date_dernier_traitement DESC NULLS LAST,
+                                 page DESC, pos DESC) AS rn FROM ({src}) x) y WHERE rn = 1"""
+
+
+def _unit_upsert(spark, sf_dir) -> M.Upsert:
+    fixtures.register(spark, sf_dir)
+    base = T.units(spark, sf_dir).select(*UNIT_COLS).withColumn(
+        "activite_principale_naf25", F.col("activite_principale")
+    ).withColumn("date_dernier_traitement", F.lit(None).cast("timestamp_ntz"))
+    delta = spark.table("delta")
+    return M.upsert(base, delta, "siren", UNIT_SET, ["date_dernier_traitement", "page", "pos"])
+
+
+def _upsert_sql(base_sql, base_cols, key, set_cols, null_cols, delta_sql):
+    sel = []
+    for c in base_cols:
+        if c == key:
+            sel.append(f"b.{c}")
+        elif c in set_cols:
+            sel.append(f"CASE WHEN d.{key} IS NOT NULL THEN d.{c} ELSE b.{c} END AS {c}")
+        elif c in null_cols:
+            sel.append(f"CASE WHEN d.{key} IS NOT NULL THEN NULL ELSE b.{c} END AS {c}")
+        else:
+            sel.append(f"b.{c}")
+    ins = [f"d.{c}" if (c == key or c in set_cols) else f"NULL AS {c}" for c in base_cols]
+    dedup = DEDUP_SQL.format(key=key, cols=", ".join(set_cols), src=delta_sql)
+    return f"""WITH b AS ({base_sql}), d AS ({dedup})
+    SELECT {", ".join(sel)} FROM b LEFT JOIN d ON d.{key} = b.{key}
+    UNION ALL SELECT {", ".join(ins)} FROM d WHERE d.{key} NOT IN (SELECT {key} FROM b)"""
+
+
+register("upsert_legal_unit", _upsert_sql(UNIT_BASE_SQL, UNIT_BASE_COLS, "siren", UNIT_SET, (), "SELECT * FROM delta"))(
+    lambda spark, sf_dir: _unit_upsert(spark, sf_dir).result
+)
+
+register(
+    "upsert_counts",
+    f"""WITH d AS ({DEDUP_SQL.format(key="siren", cols="activite_principale", src="SELECT * FROM delta")})
+    SELECT count_if(d.siren NOT IN (SELECT siren FROM legal_unit)) AS inserted,
+           count_if(d.siren IN (SELECT siren FROM legal_unit)) AS updated FROM d""",
+)(lambda spark, sf_dir: _unit_upsert(spark, sf_dir).counts)
+
+EST_BASE_COLS = EST_COLS + ["numero_voie_2"]
+EST_DELTA_SQL = ("SELECT user_id * 101 AS siret, event_type AS activite_principale, ts AS date_dernier_traitement, "
+                 "CAST(FLOOR(event_id / 1000) AS BIGINT) AS page, event_id AS pos FROM events")
+
+
+@register(
+    "upsert_establishment",
+    _upsert_sql(f"SELECT {', '.join(EST_COLS)}, code_postal AS numero_voie_2 FROM establishment", EST_BASE_COLS,
+                "siret", ["activite_principale", "date_dernier_traitement"], ("numero_voie_2",), EST_DELTA_SQL),
+)
+def upsert_establishment(spark, sf_dir):
+    """M-2, M-3: last-wins dedupe, no ordering guard, second address nulled."""
+    fixtures.register(spark, sf_dir)
+    base = fixtures.table(spark, sf_dir, "establishment").select(*EST_COLS).withColumn(
+        "numero_voie_2", F.col("code_postal")
+    )
+    delta = spark.sql(EST_DELTA_SQL)
+    return M.upsert(base, delta, "siret", ["activite_principale", "date_dernier_traitement"],
+                    ["date_dernier_traitement", "page", "pos"], null_cols=("numero_voie_2",)).result
+
+
+AS_OF = dt.datetime(2001, 9, 1)
+_SYNC_START_SQL = (f"SELECT CASE WHEN max(date_dernier_traitement) IS NULL THEN NULL ELSE greatest(max(date_dernier_traitement), "
+                   f"TIMESTAMP '{AS_OF.isoformat(sep=' ')}' - INTERVAL 31 DAY) END FROM succession")
+_DELTA_LINKS_SQL = f"SELECT * FROM succession WHERE date_dernier_traitement >= ({_SYNC_START_SQL})"
+
+
+def _delta_links(spark, sf_dir):
+    links = T.succession(spark, sf_dir)
+    start = L.sync_start(L.high_water_mark(links, "date_dernier_traitement").scalar(), AS_OF)
+    return L.incremental(links, start, "date_dernier_traitement")
+
+
+register("incremental_range", _DELTA_LINKS_SQL)(_delta_links)
+register("append_succession", f"SELECT * FROM succession UNION ALL {_DELTA_LINKS_SQL}")(
+    lambda spark, sf_dir: M.append(T.succession(spark, sf_dir), _delta_links(spark, sf_dir))
+)
+register(
+    "append_succession_dedup",
+    f"SELECT * FROM succession UNION ALL (SELECT DISTINCT * FROM ({_DELTA_LINKS_SQL}) x EXCEPT SELECT * FROM succession)",
+)(lambda spark, sf_dir: M.append(T.succession(spark, sf_dir), _delta_links(spark, sf_dir), dedupe=True))
+
+
+# ---------------------------------------------------------------- publish, counts (M-5..M-7, A-1, A-2)
+@register(
+    "count_production",
+    """SELECT 'unites_legales' AS group_type, count(siren) AS n FROM legal_unit
+    UNION ALL SELECT 'etablissements', count(siret) FROM establishment
+    UNION ALL SELECT 'liens_succession', count(*) FROM succession""",
+)
+def count_production(spark, sf_dir):
+    u = T.units(spark, sf_dir).agg(F.lit("unites_legales").alias("group_type"), F.count("siren").alias("n"))
+    e = fixtures.table(spark, sf_dir, "establishment").agg(
+        F.lit("etablissements").alias("group_type"), F.count("siret").alias("n"))
+    s = T.succession(spark, sf_dir).agg(F.lit("liens_succession").alias("group_type"), F.count(F.lit(1)).alias("n"))
+    return u.unionByName(e).unionByName(s)
+
+
+def _gate_sql(name, pred):
+    return f"""SELECT '{name}' AS candidate, p.n AS production_count, s.n AS staging_count,
+       (p.n = 0 OR NOT (s.n < p.n * 0.99 OR s.n > p.n * 1.01)) AS publish,
+       CASE WHEN p.n = 0 THEN 'empty production' WHEN s.n < p.n * 0.99 THEN 'too few rows'
+            WHEN s.n > p.n * 1.01 THEN 'too many rows' ELSE 'within tolerance' END AS reason
+    FROM (SELECT count(siret) AS n FROM establishment) p, (SELECT count(siret) AS n FROM establishment WHERE {pred}) s"""
+
+
+@register("publish_gate", _gate_sql("A", "siret % 200 <> 0") + " UNION ALL " + _gate_sql("B", "siret % 50 <> 0"))
+def publish_gate(spark, sf_dir):
+    prod = fixtures.table(spark, sf_dir, "establishment")
+    out = []
+    for name, pred in (("A", "siret % 200 <> 0"), ("B", "siret % 50 <> 0")):
+        g = PB.gate(PB.row_counts(prod, prod.filter(pred), "siret"))
+        out.append(g.select(F.lit(name).alias("candidate"), "production_count", "staging_count", "publish", "reason"))
+    return out[0].unionByName(out[1])
+
+
+# ---------------------------------------------------------------- ledger (A-5..A-10, X-10, X-11, X-17, M-10..M-12)
+_HWM_SQL = """SELECT 'etablissements' AS group_type, max(date_dernier_traitement) AS high_water_mark FROM establishment
+    UNION ALL SELECT 'liens_succession', max(date_dernier_traitement) FROM succession
+    UNION ALL SELECT 'unites_legales', max(date_dernier_traitement) FROM delta"""
+
+
+def _hwm(spark, sf_dir):
+    fixtures.register(spark, sf_dir)
+    parts = [
+        ("etablissements", spark.table("establishment")),
+        ("liens_succession", spark.table("succession")),
+        ("unites_legales", spark.table("delta")),
+    ]
+    out = None
+    for g, df in parts:
+        h = L.high_water_mark(df, "date_dernier_traitement").select(F.lit(g).alias("group_type"), "high_water_mark")
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+register("high_water_mark", _HWM_SQL)(_hwm)
+
+
+@register(
+    "sync_start",
+    f"""SELECT group_type, strftime(greatest(high_water_mark, TIMESTAMP '{AS_OF.isoformat(sep=' ')}' - INTERVAL 31 DAY),
+                                    '%Y-%m-%dT%H:%M:%S') AS sync_start FROM ({_HWM_SQL}) h""",
+)
+def sync_start_q(spark, sf_dir):
+    h = _hwm(spark, sf_dir)
+    return h.select("group_type", L.feed_timestamp(L.sync_start(F.col("high_water_mark"), AS_OF)).alias("sync_start"))
+
+
+RUN_AS_OF = dt.datetime(2024, 1, 31)
+
+
+@register(
+    "latest_event",
+    """SELECT user_id, run_id, launched_timestamp, status, group_type FROM (
+         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY launched_timestamp DESC, run_id DESC) AS rn
+         FROM runs) r WHERE rn = 1""",
+)
+def latest_event(spark, sf_dir):
+    runs = fixtures.table(spark, sf_dir, "runs")
+    return L.latest(runs, "user_id", ["launched_timestamp", "run_id"]).select(
+        "user_id", "run_id", "launched_timestamp", "status", "group_type")
+
+
+@register(
+    "latest_purchase",
+    """SELECT u.user_id, r.run_id, r.launched_timestamp FROM (SELECT DISTINCT user_id FROM runs) u
+       LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+                  ORDER BY launched_timestamp DESC, run_id DESC) AS rn FROM runs WHERE status = 'finished') x
+                  WHERE rn = 1) r ON r.user_id = u.user_id""",
+)
+def latest_purchase(spark, sf_dir):
+    """A-8: newest finished run per key; keys without one stay with NULLs."""
+    runs = fixtures.table(spark, sf_dir, "runs")
+    last = L.latest(runs, "user_id", ["launched_timestamp", "run_id"], where=F.col("status") == "finished")
+    return runs.select("user_id").distinct().join(last.select("user_id", "run_id", "launched_timestamp"),
+                                                  "user_id", "left")
+
+
+@register(
+    "stale_keys",
+    f"""SELECT user_id, max(launched_timestamp) AS last_ts FROM runs WHERE status = 'launched' GROUP BY user_id
+        HAVING max(launched_timestamp) < TIMESTAMP '{RUN_AS_OF.isoformat(sep=' ')}' - INTERVAL 1 HOUR""",
+)
+def stale_keys(spark, sf_dir):
+    runs = fixtures.table(spark, sf_dir, "runs").filter(F.col("status") == "launched")
+    return L.stale(runs, "user_id", "launched_timestamp", RUN_AS_OF)
+
+
+@register(
+    "expand_groups",
+    """SELECT run_id, group_type FROM runs WHERE group_type <> 'all'
+       UNION ALL SELECT r.run_id, g.group_type FROM runs r,
+         (VALUES ('unites_legales'), ('etablissements'), ('liens_succession')) g(group_type) WHERE r.group_type = 'all'""",
+)
+def expand_groups(spark, sf_dir):
+    return L.expand_groups(fixtures.table(spark, sf_dir, "runs").select("run_id", "group_type"))
+
+
+@register(
+    "keyed_update",
+    f"""SELECT group_type,
+          CASE WHEN group_type = 'etablissements' THEN TIMESTAMP '{AS_OF.isoformat(sep=' ')}' ELSE high_water_mark END
+            AS high_water_mark,
+          coalesce(group_type = 'etablissements' AND high_water_mark IS DISTINCT FROM TIMESTAMP '{AS_OF.isoformat(sep=' ')}', false)
+            AS changed
+        FROM ({_HWM_SQL}) h""",
+)
+def keyed_update(spark, sf_dir):
+    """M-10 on a ledger derived from the tables' high-water marks."""
+    return L.keyed_update(_hwm(spark, sf_dir), "group_type", "etablissements", {"high_water_mark": AS_OF}).select(
+        "group_type", "high_water_mark", "changed")
+
+
+@register(
+    "conditional_update",
+    f"""SELECT run_id, user_id, launched_timestamp,
+          CASE WHEN status = 'launched' THEN 'finished' ELSE status END AS status, group_type,
+          CASE WHEN status = 'launched' THEN TIMESTAMP '{RUN_AS_OF.isoformat(sep=' ')}' ELSE finished_timestamp END
+            AS finished_timestamp, value FROM runs""",
+)
+def conditional_update(spark, sf_dir):
+    runs = fixtures.table(spark, sf_dir, "runs")
+    return L.conditional_update(
+        runs, F.col("status") == "launched", {"finished_timestamp": F.lit(RUN_AS_OF), "status": "finished"}
+    )
+
+
+@register("delete_where", "SELECT * FROM runs WHERE group_type IS DISTINCT FROM 'liens_succession'")
+def delete_where(spark, sf_dir):
+    return L.delete_where(fixtures.table(spark, sf_dir, "runs"), F.col("group_type") == "liens_succession")
