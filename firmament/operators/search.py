@@ -29,6 +29,7 @@ DEFAULT_LIMIT = 20
 MAX_LIMIT = 100
 MAX_OFFSET = 10_000
 STATUS_VALUES = ("A", "F", "C")
+SCORE_TIE_DIGITS = 9
 
 ESTABLISHMENT_FILTERS = (
     "etat_administratif",
@@ -170,6 +171,10 @@ def sort_columns(r: Resolved, key: str) -> list[Column]:
         "relevance": "score",
     }[r.sort]
     c = F.col(source)
+    if r.sort == "relevance":
+        # Scores summed in another order differ in the last bits; ties are
+        # decided by the key after rounding to 1e-9.
+        c = F.round(c, SCORE_TIE_DIGITS)
     primary = c.asc_nulls_last() if r.direction == "asc" else c.desc_nulls_last()
     return [primary, F.col(key).asc()]
 

@@ -192,7 +192,8 @@ def search_sql(p, entity) -> str:
     if entity.has_geo:
         out += ", round(lng, 6) AS lng, round(lat, 6) AS lat, round(meter_distance, 3) AS meter_distance"
     out += ", round(score, 6) AS score, (SELECT count(*) FROM m) AS total"
+    order = f"round({sort_col}, 9)" if r.sort == "relevance" else sort_col
     return (
-        f"WITH m AS ({m}) SELECT {out} FROM m ORDER BY {sort_col} {r.direction.upper()} NULLS LAST, {key} "
+        f"WITH m AS ({m}) SELECT {out} FROM m ORDER BY {order} {r.direction.upper()} NULLS LAST, {key} "
         f"LIMIT {r.limit} OFFSET {r.offset}"
     )

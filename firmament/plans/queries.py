@@ -482,3 +482,158 @@ def conditional_update(spark, sf_dir):
 @register("delete_where", "SELECT * FROM runs WHERE group_type IS DISTINCT FROM 'liens_succession'")
 def delete_where(spark, sf_dir):
     return L.delete_where(fixtures.table(spark, sf_dir, "runs"), F.col("group_type") == "liens_succession")
+
+
+# ---------------------------------------------------------------- text (P-4, P-5, X-1, T-1..T-5)
+from firmament.functions import geo as G  # noqa: E402
+from firmament.functions import text as TX  # noqa: E402
+from firmament.operators import bm25 as BM  # noqa: E402
+from firmament.operators import geo_join as GJ  # noqa: E402
+from firmament.operators.util import top_k_per_group  # noqa: E402
+
+
+@register(
+    "search_text_establishment",
+    "SELECT siret, coalesce(denomination_usuelle, '') || ' ' || coalesce(enseigne_1, '') || ' ' || "
+    "coalesce(enseigne_2, '') || ' ' || coalesce(enseigne_3, '') AS search_denomination FROM establishment",
+)
+def search_text_establishment(spark, sf_dir):
+    e = fixtures.table(spark, sf_dir, "establishment")
+    return e.select("siret", TX.search_text(*T.ESTABLISHMENT_TEXT).alias("search_denomination"))
+
+
+@register("search_text_unit", f"SELECT siren, search_denomination FROM ({O.unit_cte()}) u")
+def search_text_unit(spark, sf_dir):
+    return T.units(spark, sf_dir).select("siren", "search_denomination")
+
+
+_GRAMS_SHORT_SQL = """SELECT k, field, g AS gram FROM (
+    SELECT k, 't' AS field, substring(lower(t), r.i, n.n) AS g FROM short_text, (VALUES (4), (5)) n(n),
+           LATERAL generate_series(1, length(t) - n.n + 1) r(i)
+    UNION ALL
+    SELECT k, 't2', substring(lower(t2), r.i, n.n) FROM short_text, (VALUES (4), (5)) n(n),
+           LATERAL generate_series(1, length(t2) - n.n + 1) r(i)) x"""
+
+
+@register("ngram_tokens", f"SELECT k, gram, count(*) AS tf FROM ({_GRAMS_SHORT_SQL}) g WHERE field = 't' GROUP BY k, gram")
+def ngram_tokens(spark, sf_dir):
+    st = T.short_text(spark, sf_dir)
+    return st.select("k", F.explode(TX.ngrams("t")).alias("gram")).groupBy("k", "gram").agg(
+        F.count(F.lit(1)).alias("tf"))
+
+
+@register(
+    "postings_stats",
+    f"""WITH g AS ({_GRAMS_SHORT_SQL}),
+    p AS (SELECT field, gram, k, count(*) AS tf FROM g GROUP BY ALL),
+    fs AS (SELECT 't' AS field, count(*) AS n,
+                  sum(greatest(length(t) - 3, 0) + greatest(length(t) - 4, 0)) AS sum_dl FROM short_text
+           UNION ALL SELECT 't2', count(*), sum(greatest(length(t2) - 3, 0) + greatest(length(t2) - 4, 0)) FROM short_text)
+    SELECT p.field, p.gram, count(*) AS df, sum(p.tf) AS tf_total, fs.n, CAST(fs.sum_dl AS BIGINT) AS sum_dl
+    FROM p JOIN fs ON fs.field = p.field GROUP BY p.field, p.gram, fs.n, fs.sum_dl""",
+)
+def postings_stats(spark, sf_dir):
+    """T-4: postings, per-gram document frequency and field statistics."""
+    idx = BM.build_postings(T.short_text(spark, sf_dir), "k", ["t", "t2"])
+    tf_total = idx.postings.groupBy("field", "gram").agg(F.sum("tf").alias("tf_total"))
+    return idx.grams.join(tf_total, ["field", "gram"]).join(idx.fields, "field").select(
+        "field", "gram", "df", "tf_total", "n", F.col("sum_dl").cast("bigint").alias("sum_dl"))
+
+
+def _bm25_query(name, table_fn, table_sql, key, fields, q, long_text=False):
+    def run(spark, sf_dir):
+        scored = BM.bm25_scan(table_fn(spark, sf_dir), fields, q)
+        return scored.select(F.col(key).alias("key"), F.round("score", 6).alias("score"))
+
+    register(name, f"SELECT key, round(score, 6) AS score FROM ({O.bm25_rel(table_sql, key, fields, q, long_text)}) s")(run)
+
+
+_bm25_query("bm25_short_text", T.short_text, "SELECT * FROM short_text", "k", ["t", "t2"], "widget")
+_bm25_query("bm25_documents", T.documents, "SELECT * FROM documents", "doc_id", ["text"], "retitioning", True)
+
+BATCH_K = 10
+
+
+@register(
+    "search_batch",
+    f"""WITH req AS (SELECT DISTINCT w AS q FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) x),
+    qg AS (SELECT DISTINCT q, substring(lower(q), r.i, n.n) AS gram FROM req, (VALUES (4), (5)) n(n),
+           LATERAL generate_series(1, length(q) - n.n + 1) r(i)),
+    g AS ({_GRAMS_SHORT_SQL}),
+    p AS (SELECT field, gram, k, count(*) AS tf FROM g GROUP BY ALL),
+    dfx AS (SELECT field, gram, count(*) AS df FROM p GROUP BY ALL),
+    dl AS (SELECT k, 't' AS field, greatest(length(t) - 3, 0) + greatest(length(t) - 4, 0) AS dl FROM short_text
+           UNION ALL SELECT k, 't2', greatest(length(t2) - 3, 0) + greatest(length(t2) - 4, 0) FROM short_text),
+    fs AS (SELECT field, CAST(count(*) AS DOUBLE) AS n, CAST(sum(dl) AS DOUBLE) AS sum_dl FROM dl GROUP BY field),
+    sc AS (SELECT qg.q AS query_id, p.k AS key,
+                  sum(ln(1 + (fs.n - dfx.df + 0.5) / (dfx.df + 0.5)) * p.tf * 2.2
+                      / (p.tf + 1.2 * (0.25 + 0.75 * dl.dl / (fs.sum_dl / fs.n)))) AS score
+           FROM qg JOIN p ON p.gram = qg.gram JOIN dfx ON dfx.field = p.field AND dfx.gram = p.gram
+           JOIN fs ON fs.field = p.field JOIN dl ON dl.k = p.k AND dl.field = p.field GROUP BY qg.q, p.k),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) AS rank,
+                  count(*) OVER (PARTITION BY query_id) AS total FROM sc)
+    SELECT query_id, key, rank, round(score, 6) AS score, total FROM rk WHERE rank <= {BATCH_K}""",
+)
+def search_batch(spark, sf_dir):
+    """T-5, W-2: many requests at once through the postings plan."""
+    fixtures.register(spark, sf_dir)
+    requests = (
+        spark.table("part").select(F.explode(F.split("p_name", " ")).alias("q")).distinct()
+        .withColumn("query_id", F.col("q"))
+    )
+    idx = BM.build_postings(T.short_text(spark, sf_dir), "k", ["t", "t2"])
+    scored = BM.bm25_postings(idx, requests)
+    totals = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    top = top_k_per_group(scored, ["query_id"], [F.round("score", S.SCORE_TIE_DIGITS).desc(), F.col("key").asc()], BATCH_K)
+    return top.join(totals, "query_id").select("query_id", "key", "rank", F.round("score", 6).alias("score"), "total")
+
+
+# ---------------------------------------------------------------- geometry (P-6, X-2..X-7, F-4, J-5, J-6)
+@register("lambert_to_wgs84", f"SELECT vec_id, round(lng, 6) AS lng, round(lat, 6) AS lat FROM ({O.geo_pos_cte()}) p")
+def lambert_to_wgs84(spark, sf_dir):
+    return T.flat_position(T.geo_points(spark, sf_dir).select("vec_id", "position"))
+
+
+REF_LNG, REF_LAT = 3.0, 46.5
+
+
+@register(
+    "geodesic_distance",
+    f"SELECT vec_id, round(d, 3) AS meter_distance FROM ({O.vincenty_rel(O.geo_pos_cte(), 'lng', 'lat', repr(REF_LNG), repr(REF_LAT), 'd')}) x",
+)
+def geodesic_distance(spark, sf_dir):
+    p = T.geo_points(spark, sf_dir)
+    d = G.geodesic_m(p.position["x"], p.position["y"], F.lit(REF_LNG), F.lit(REF_LAT))
+    return p.select("vec_id", F.round(d, 3).alias("meter_distance"))
+
+
+@register(
+    "radius_search",
+    f"""SELECT siret, round(meter_distance, 3) AS meter_distance
+    FROM ({O.vincenty_rel(O.est_cte(), 'lng', 'lat', repr(REF_LNG), repr(REF_LAT), 'meter_distance')}) x
+    WHERE meter_distance <= 150000.0""",
+)
+def radius_search(spark, sf_dir):
+    e = T.establishments(spark, sf_dir)
+    return S.apply_radius(e, REF_LNG, REF_LAT, 150_000.0).select("siret", F.round("meter_distance", 3).alias("meter_distance"))
+
+
+JOIN_RADIUS = 25_000.0
+
+
+@register(
+    "radius_join",
+    f"""WITH pts AS (SELECT vec_id AS point_id, lng AS plng, lat AS plat FROM ({O.geo_pos_cte()}) g WHERE lng IS NOT NULL),
+    e AS ({O.est_cte()}),
+    cand AS (SELECT pts.*, e.siret, e.lng AS elng, e.lat AS elat FROM pts JOIN e
+             ON abs(e.lat - pts.plat) <= 0.3 AND e.lng IS NOT NULL)
+    SELECT point_id, siret, round(d, 3) AS meter_distance
+    FROM ({O.vincenty_rel("SELECT * FROM cand", "elng", "elat", "plng", "plat", "d")}) x WHERE d <= {JOIN_RADIUS!r}""",
+)
+def radius_join(spark, sf_dir):
+    """J-6: every geo point as a query point, establishments within 25 km."""
+    pts = T.geo_points(spark, sf_dir).filter(F.col("position").isNotNull()).select(
+        F.col("vec_id").alias("point_id"), F.col("position")["x"].alias("lng"), F.col("position")["y"].alias("lat"),
+        F.lit(JOIN_RADIUS).alias("radius"))
+    out = GJ.radius_join(pts, T.establishments(spark, sf_dir))
+    return out.select("point_id", "siret", F.round("meter_distance", 3).alias("meter_distance"))
