@@ -637,3 +637,123 @@ def radius_join(spark, sf_dir):
         F.lit(JOIN_RADIUS).alias("radius"))
     out = GJ.radius_join(pts, T.establishments(spark, sf_dir))
     return out.select("point_id", "siret", F.round("meter_distance", 3).alias("meter_distance"))
+
+
+# ---------------------------------------------------------------- feed (I-9..I-17, X-12, X-16)
+from firmament.plans import landing as LD  # noqa: E402
+from firmament.sources import feed as FD  # noqa: E402
+
+
+def _unit_feed_sql() -> str:
+    """Oracle twin of unit feed flattening, written from the page construction."""
+    old = "date_debut IS NULL"
+    keep = "date_debut IS NULL OR siren % 9 <> 0 OR date_creation IS NULL"
+    e = {
+        "siren": "CAST(siren AS VARCHAR)",
+        "statut_diffusion": "'O'",
+        "unite_purgee": "CASE WHEN siren % 4 = 0 THEN 'true' ELSE 'false' END",
+        "date_creation": "date_creation",
+        "annee_effectifs": "CASE WHEN siren % 3 = 0 THEN CAST(year(date_creation) AS INTEGER) END",
+        "nombre_periodes": "2",
+        "categorie_entreprise": "categorie_entreprise",
+        "date_debut": f"CASE WHEN {old} THEN date_creation ELSE date_debut END",
+        "etat_administratif": f"CASE WHEN {old} THEN 'A' ELSE coalesce(CASE WHEN siren % 8 <> 0 THEN etat_administratif END, 'C') END",
+        "denomination": f"CASE WHEN {old} THEN 'ancien nom' ELSE denomination END",
+        "denomination_usuelle_1": f"CASE WHEN {old} THEN NULL ELSE denomination_usuelle_1 END",
+        "categorie_juridique": f"CASE WHEN {old} THEN NULL ELSE categorie_juridique END",
+        "activite_principale": f"CASE WHEN {old} THEN NULL ELSE activite_principale END",
+    }
+    cols = ", ".join(f"{e.get(c, 'NULL')} AS {c}" for c in FD.UNIT_COLUMNS)
+    return f"SELECT {cols} FROM legal_unit WHERE {keep}"
+
+
+def _unit_feed(spark, sf_dir):
+    return FD.flatten_units(FD.read_pages(spark, LD.unit_pages(spark, sf_dir)))
+
+
+register("feed_legal_unit_flatten", _unit_feed_sql())(_unit_feed)
+register("lenient_int", f"SELECT siren, annee_effectifs FROM ({_unit_feed_sql()}) x")(
+    lambda spark, sf_dir: _unit_feed(spark, sf_dir).select("siren", "annee_effectifs")
+)
+
+
+def _est_feed_sql() -> str:
+    e = {
+        "siren": "CAST(siren AS VARCHAR)",
+        "nic": "lpad(CAST(siret % 100000 AS VARCHAR), 5, '0')",
+        "siret": "CAST(siret AS VARCHAR)",
+        "statut_diffusion": "'O'",
+        "date_creation": "date_creation",
+        "annee_effectifs": "CASE WHEN siret % 3 = 0 THEN CAST(year(date_debut) AS INTEGER) END",
+        "date_dernier_traitement": "date_dernier_traitement",
+        "etablissement_siege": "etablissement_siege",
+        "code_postal": "code_postal",
+        "libelle_commune": "libelle_commune",
+        "code_commune": "code_commune",
+        "date_debut": "date_debut",
+        "etat_administratif": "coalesce(CASE WHEN siret % 8 <> 0 THEN etat_administratif END, 'F')",
+        "enseigne_1": "enseigne_1",
+        "denomination_usuelle": "denomination_usuelle",
+        "activite_principale": "activite_principale",
+    }
+    cols = ", ".join(f"{e.get(c, 'NULL')} AS {c}" for c in FD.ESTABLISHMENT_COLUMNS)
+    return f"SELECT {cols} FROM establishment WHERE siret % 9 <> 0"
+
+
+def _est_feed(spark, sf_dir):
+    return FD.flatten_establishments(FD.read_pages(spark, LD.establishment_pages(spark, sf_dir)))
+
+
+register("feed_establishment_flatten", _est_feed_sql())(_est_feed)
+register("status_default", f"SELECT siret, etat_administratif FROM ({_est_feed_sql()}) x")(
+    lambda spark, sf_dir: _est_feed(spark, sf_dir).select("siret", "etat_administratif")
+)
+
+register(
+    "feed_succession_flatten",
+    """SELECT CAST(predecesseur AS VARCHAR) AS siret_etablissement_predecesseur,
+              CAST(successeur AS VARCHAR) AS siret_etablissement_successeur, date_lien_succession,
+              transfert_siege, continuite_economique,
+              date_dernier_traitement AS date_dernier_traitement_lien_succession FROM succession""",
+)(lambda spark, sf_dir: FD.flatten_links(FD.read_pages(spark, LD.link_pages(spark, sf_dir))))
+
+
+@register(
+    "current_period",
+    """SELECT siren, date_debut, o_orderkey, etat_administratif FROM (
+         SELECT *, row_number() OVER (PARTITION BY siren ORDER BY date_debut, o_orderkey) AS rn
+         FROM period WHERE date_fin IS NULL) p WHERE rn = 1""",
+)
+def current_period_q(spark, sf_dir):
+    """I-12 over flat period rows: first open period in period order."""
+    return FD.current_period_rows(fixtures.table(spark, sf_dir, "period"), "siren", ["date_debut", "o_orderkey"],
+                                  "date_fin").select("siren", "date_debut", "o_orderkey", "etat_administratif")
+
+
+@register(
+    "page_chain_gaps",
+    f"""WITH h AS (SELECT CAST(floor(siren / {LD.PAGE_SIZE}) AS BIGINT) AS seq FROM legal_unit GROUP BY 1),
+    c AS (SELECT seq, CAST(seq AS VARCHAR) AS curseur,
+                 CAST(CASE WHEN seq = (SELECT max(seq) FROM h) THEN seq ELSE seq + 1 END AS VARCHAR) AS curseur_suivant FROM h)
+    SELECT c.seq, c.curseur, c.curseur_suivant, n.curseur AS next_curseur,
+           CASE WHEN n.curseur IS NULL AND c.curseur_suivant <> c.curseur THEN 'chain not closed'
+                WHEN n.curseur IS NOT NULL AND n.curseur <> c.curseur_suivant THEN 'gap' ELSE 'ok' END AS status
+    FROM c LEFT JOIN c n ON n.seq = c.seq + 1""",
+)
+def page_chain_gaps_q(spark, sf_dir):
+    """I-15: every landed page with its chain status (gaps, unclosed end)."""
+    h = FD.headers(FD.read_pages(spark, LD.unit_pages(spark, sf_dir)))
+    chain = h.select(F.col("curseur").cast("bigint").alias("seq"), "curseur", "curseur_suivant")
+    return FD.chain_status(chain)
+
+
+@register(
+    "feed_reconcile",
+    f"""SELECT CAST(count(*) AS BIGINT) AS announced,
+               (SELECT count(*) FROM ({_unit_feed_sql()}) x) AS landed,
+               count(*) = (SELECT count(*) FROM ({_unit_feed_sql()}) x) AS complete FROM legal_unit""",
+)
+def feed_reconcile(spark, sf_dir):
+    """I-16: header totals against the rows that survived flattening."""
+    pages = FD.read_pages(spark, LD.unit_pages(spark, sf_dir))
+    return FD.reconcile(FD.headers(pages), FD.flatten_units(pages))
