@@ -757,3 +757,143 @@ def feed_reconcile(spark, sf_dir):
     """I-16: header totals against the rows that survived flattening."""
     pages = FD.read_pages(spark, LD.unit_pages(spark, sf_dir))
     return FD.reconcile(FD.headers(pages), FD.flatten_units(pages))
+
+
+# ---------------------------------------------------------------- CSV snapshots (I-1..I-8, I-18)
+from firmament import schemas as SC  # noqa: E402
+from firmament.sources import snapshot as SN  # noqa: E402
+
+
+def _csv_dir(spark, sf_dir, name, build, schema) -> str:
+    cache = _csv_dir.__dict__.setdefault("cache", {})
+    k = (spark.sparkContext.applicationId, sf_dir, name)
+    if k not in cache:
+        from firmament.session import scratch_path
+
+        path = scratch_path(spark, name)
+        SN.write_snapshot(build(), path, schema)
+        cache[k] = path
+    return cache[k]
+
+
+_UNIT_CSV_EXPR = {
+    "siren": "CAST(siren AS STRING)",
+    "statut_diffusion": "'O'",
+    "sigle": "CASE WHEN siren % 10 = 0 THEN 'S\"' || CAST(siren AS STRING) || '\", x' WHEN siren % 10 = 1 THEN '' END",
+    "date_creation": "date_creation", "date_debut": "date_debut", "etat_administratif": "etat_administratif",
+    "denomination": "denomination", "denomination_usuelle_1": "denomination_usuelle_1",
+    "denomination_usuelle_2": "denomination_usuelle_2", "denomination_usuelle_3": "denomination_usuelle_3",
+    "categorie_juridique": "categorie_juridique", "activite_principale": "activite_principale",
+    "categorie_entreprise": "categorie_entreprise",
+}
+
+
+def _oracle_select(exprs: dict, schema, table: str) -> str:
+    return "SELECT " + ", ".join(f"{exprs.get(f.name, 'NULL')} AS {f.name}" for f in schema.fields) + f" FROM {table}"
+
+
+def _unit_csv_source(spark, sf_dir):
+    fixtures.register(spark, sf_dir)
+    return spark.sql(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _UNIT_CSV_EXPR.items())} FROM legal_unit")
+
+
+def _unit_csv(spark, sf_dir):
+    path = _csv_dir(spark, sf_dir, "unit-csv", lambda: _unit_csv_source(spark, sf_dir), SC.UNIT_SCHEMA)
+    return SN.load_snapshot(spark, path, SC.UNIT_SCHEMA)
+
+
+register("ingest_legal_unit_csv", _oracle_select(_UNIT_CSV_EXPR, SC.UNIT_SCHEMA, "legal_unit"))(_unit_csv)
+
+_EST_CSV_EXPR = {
+    "siren": "CAST(e.siren AS STRING)",
+    "nic": "lpad(CAST(e.siret % 100000 AS STRING), 5, '0')",
+    "siret": "CAST(e.siret AS STRING)",
+    "statut_diffusion": "'O'",
+    "date_creation": "e.date_creation", "date_debut": "e.date_debut",
+    "date_dernier_traitement": "e.date_dernier_traitement", "etablissement_siege": "e.etablissement_siege",
+    "code_postal": "e.code_postal", "libelle_commune": "e.libelle_commune", "code_commune": "e.code_commune",
+    "coordonnee_lambert_x": "g.coordonnee_lambert_x", "coordonnee_lambert_y": "g.coordonnee_lambert_y",
+    "etat_administratif": "e.etat_administratif", "enseigne_1": "e.enseigne_1",
+    "enseigne_2": "CASE WHEN e.siret % 5 = 0 THEN '' END", "denomination_usuelle": "e.denomination_usuelle",
+    "activite_principale": "e.activite_principale",
+}
+_EST_CSV_FROM = "establishment e LEFT JOIN geo_point g ON g.vec_id = e.vec_id"
+
+
+def _est_csv(spark, sf_dir):
+    def build():
+        fixtures.register(spark, sf_dir)
+        return spark.sql(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _EST_CSV_EXPR.items())} FROM {_EST_CSV_FROM}")
+
+    path = _csv_dir(spark, sf_dir, "establishment-csv", build, SC.ESTABLISHMENT_SCHEMA)
+    return SN.load_snapshot(spark, path, SC.ESTABLISHMENT_SCHEMA)
+
+
+register("ingest_establishment_csv", _oracle_select(_EST_CSV_EXPR, SC.ESTABLISHMENT_SCHEMA, _EST_CSV_FROM))(_est_csv)
+
+_LINK_CSV_EXPR = {
+    "siret_etablissement_predecesseur": "CAST(predecesseur AS STRING)",
+    "siret_etablissement_successeur": "CAST(successeur AS STRING)",
+    "date_lien_succession": "date_lien_succession", "transfert_siege": "transfert_siege",
+    "continuite_economique": "continuite_economique",
+    "date_dernier_traitement_lien_succession": "date_dernier_traitement",
+}
+
+
+@register("ingest_succession_csv",
+          _oracle_select(_LINK_CSV_EXPR, SC.LINK_SCHEMA, "succession").replace(" FROM succession",
+                                                                               ", true AS id_ok FROM succession"))
+def ingest_succession_csv(spark, sf_dir):
+    """I-3: six loaded columns plus a generated id (random; only its shape is compared)."""
+    def build():
+        fixtures.register(spark, sf_dir)
+        return spark.sql(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _LINK_CSV_EXPR.items())} FROM succession")
+
+    path = _csv_dir(spark, sf_dir, "link-csv", build, SC.LINK_SCHEMA)
+    loaded = SN.with_id(SN.load_snapshot(spark, path, SC.LINK_SCHEMA))
+    return loaded.withColumn("id_ok", F.length("id") == 36).drop("id")
+
+
+@register(
+    "constraint_violations",
+    f"""WITH u AS ({_oracle_select(_UNIT_CSV_EXPR, SC.UNIT_SCHEMA, "legal_unit")})
+    SELECT {", ".join(f"count(*) FILTER (WHERE {f.name} IS NULL) AS {f.name}_null" for f in SC.UNIT_SCHEMA.fields if not f.nullable)},
+           {", ".join(f"count(*) FILTER (WHERE length({c}) > {n}) AS {c}_too_long" for c, n in SC.UNIT_LENGTHS.items())},
+           (SELECT count(*) FROM (SELECT siren FROM u GROUP BY siren HAVING count(*) > 1) d) AS duplicate_keys
+    FROM u""",
+)
+def constraint_violations(spark, sf_dir):
+    """I-7 on the loaded unit snapshot (the fixture keys are not 9 characters)."""
+    return SC.constraint_violations(_unit_csv(spark, sf_dir), SC.UNIT_SCHEMA, SC.UNIT_LENGTHS, "siren")
+
+
+@register("conform_schema", _oracle_select({c: c for c in _UNIT_CSV_EXPR if c not in ("siren", "statut_diffusion", "sigle")}
+                                           | {"siren": "CAST(siren AS STRING)"}, SC.UNIT_SCHEMA, "legal_unit"))
+def conform_schema(spark, sf_dir):
+    """I-18: the unit view migrated to the 35-column stored schema."""
+    return SC.conform(fixtures.table(spark, sf_dir, "legal_unit"), SC.UNIT_SCHEMA)
+
+
+_MANIFEST_SQL = f"""SELECT group_type, high_water_mark AS last_modified,
+      CASE group_type WHEN 'etablissements' THEN high_water_mark - INTERVAL 1 DAY
+                      WHEN 'liens_succession' THEN high_water_mark END AS last_imported_timestamp,
+      CASE group_type WHEN 'unites_legales' THEN high_water_mark + INTERVAL 1 DAY END AS staging_imported_timestamp
+    FROM ({_HWM_SQL}) h"""
+
+
+@register("sources_to_load", f"""SELECT group_type, last_modified FROM ({_MANIFEST_SQL}) m
+    WHERE (last_imported_timestamp IS NULL OR last_modified IS NULL OR last_modified > last_imported_timestamp)
+      AND (staging_imported_timestamp IS NULL OR last_modified IS NULL OR last_modified > staging_imported_timestamp)""")
+def sources_to_load(spark, sf_dir):
+    """I-8: remote modification times (the tables' high-water marks) against a
+    load ledger derived from them."""
+    h = _hwm(spark, sf_dir)
+    manifest = h.select("group_type", F.col("high_water_mark").alias("last_modified"))
+    hw = F.col("high_water_mark")
+    ledger = h.select(
+        "group_type",
+        F.when(F.col("group_type") == "etablissements", hw - F.expr("INTERVAL 1 DAY"))
+        .when(F.col("group_type") == "liens_succession", hw).alias("last_imported_timestamp"),
+        F.when(F.col("group_type") == "unites_legales", hw + F.expr("INTERVAL 1 DAY")).alias("staging_imported_timestamp"),
+    )
+    return SN.sources_to_load(manifest, ledger).select("group_type", "last_modified")
