@@ -235,3 +235,33 @@ def page_meta(params: SearchParams, entity: Entity = ESTABLISHMENT) -> dict:
     """The applied limit, offset, sort and direction echoed by a response."""
     r = validate(params, entity)
     return {"limit": r.limit, "offset": r.offset, "sort": r.sort, "direction": r.direction}
+
+
+def validate_requests(requests: DataFrame, entity: Entity = ESTABLISHMENT) -> DataFrame:
+    """Batch form of :func:`validate`: verdict columns per request row.
+
+    Expects nullable columns ``lat lng radius q sort etat_administratif``;
+    adds ``geo_ok`` (0 or 3 geo parameters), ``sort_ok`` (distance needs geo,
+    relevance needs q, known sort), ``status_ok`` (A, F or C), ``radius_ok``
+    and ``valid``.
+    """
+    n_geo = sum(F.col(c).isNotNull().cast("int") for c in ("lat", "lng", "radius"))
+    has_geo = n_geo == 3
+    has_q = F.col("q").isNotNull()
+    sort = F.col("sort")
+    sort_ok = sort.isNull() | (
+        sort.isin(*entity.sorts)
+        & ((sort != F.lit("distance")) | has_geo)
+        & ((sort != F.lit("relevance")) | has_q)
+    )
+    status_ok = F.col("etat_administratif").isNull() | F.col("etat_administratif").isin(*STATUS_VALUES)
+    radius_ok = ~has_geo | F.col("radius").between(F.lit(0.0), F.lit(geo.MAX_RADIUS_M))
+    geo_ok = n_geo.isin(0, 3)
+    return requests.select(
+        "*",
+        geo_ok.alias("geo_ok"),
+        sort_ok.alias("sort_ok"),
+        status_ok.alias("status_ok"),
+        radius_ok.alias("radius_ok"),
+        (geo_ok & sort_ok & status_ok & radius_ok).alias("valid"),
+    )

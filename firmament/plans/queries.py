@@ -897,3 +897,88 @@ def sources_to_load(spark, sf_dir):
         F.when(F.col("group_type") == "unites_legales", hw + F.expr("INTERVAL 1 DAY")).alias("staging_imported_timestamp"),
     )
     return SN.sources_to_load(manifest, ledger).select("group_type", "last_modified")
+
+
+# ---------------------------------------------------------------- request validation, run summaries
+_REQUESTS_SQL = """SELECT event_id AS request_id,
+    CASE WHEN event_type IN ('view', 'click', 'error') THEN 46.0 + value / 100 END AS lat,
+    CASE WHEN event_type IN ('view', 'purchase', 'error') THEN 2.0 + value / 100 END AS lng,
+    CASE WHEN event_type IN ('view', 'error') THEN value * 1000 END AS radius,
+    CASE WHEN event_type IN ('signup', 'view') THEN props END AS q,
+    CASE user_id % 5 WHEN 0 THEN 'distance' WHEN 1 THEN 'relevance' WHEN 2 THEN 'date_creation'
+                     WHEN 3 THEN 'score' END AS sort,
+    CASE WHEN value > 50 THEN 'A' WHEN value > 20 THEN 'C' WHEN value > 10 THEN 'X' END AS etat_administratif
+  FROM events"""
+
+
+@register(
+    "validate_requests",
+    f"""SELECT *, geo_ok AND sort_ok AND status_ok AND radius_ok AS valid FROM (
+      SELECT *, ((lat IS NOT NULL)::INT + (lng IS NOT NULL)::INT + (radius IS NOT NULL)::INT) IN (0, 3) AS geo_ok,
+        (sort IS NULL OR (sort IN ('date_creation', 'date_debut', 'distance', 'relevance')
+          AND (sort <> 'distance' OR (lat IS NOT NULL AND lng IS NOT NULL AND radius IS NOT NULL))
+          AND (sort <> 'relevance' OR q IS NOT NULL))) AS sort_ok,
+        (etat_administratif IS NULL OR etat_administratif IN ('A', 'F', 'C')) AS status_ok,
+        (NOT (lat IS NOT NULL AND lng IS NOT NULL AND radius IS NOT NULL) OR radius BETWEEN 0.0 AND 5000000.0) AS radius_ok
+      FROM ({_REQUESTS_SQL}) r) v""",
+)
+def validate_requests(spark, sf_dir):
+    fixtures.register(spark, sf_dir)
+    return S.validate_requests(spark.sql(_REQUESTS_SQL))
+
+
+_RUN_GROUPS = [("liens_succession", "purchase"), ("etablissements", "click"), ("unites_legales", "view")]
+
+
+def _run_summaries(spark, sf_dir):
+    """One nested summary per user: 3 steps x 3 groups (newest group first),
+    built with bounded ``array(struct)`` from per-user aggregates."""
+    fixtures.register(spark, sf_dir)
+    ev = spark.table("events")
+    agg = ev.groupBy(F.col("user_id").alias("run_id")).agg(
+        *[F.count_if(F.col("event_type") == t).alias(f"n_{t}") for _, t in _RUN_GROUPS],
+        F.min("ts").alias("t0"), F.max("ts").alias("t1"),
+    )
+    steps = []
+    for i, step in enumerate(L.STEPS):
+        groups = [
+            F.struct(
+                F.lit(g).alias("group_type"), (F.col(f"n_{t}") > 14 + 2 * i).alias("updated"),
+                F.lit("finished").alias("status_label"), F.col("t0").alias("started_timestamp"),
+                F.col("t1").alias("finished_timestamp"), F.col(f"n_{t}").alias("planned_count"),
+                (F.col(f"n_{t}") - i).alias("done_count"), F.col("t1").alias("reference_timestamp"),
+            )
+            for g, t in _RUN_GROUPS
+        ]
+        steps.append(F.struct(F.lit(step).alias("step"), F.lit(None).cast("boolean").alias("updated"),
+                              F.col("t0").alias("started_timestamp"), F.col("t1").alias("finished_timestamp"),
+                              F.array(*groups).alias("groups")))
+    summary = F.struct(F.lit(None).cast("boolean").alias("updated"), F.col("t0").alias("started_timestamp"),
+                       F.col("t1").alias("finished_timestamp"), F.array(*steps).alias("steps"))
+    return agg.select("run_id", summary.alias("summary"))
+
+
+_RUN_FLAT_SQL = f"""WITH a AS (SELECT user_id AS run_id,
+      count(*) FILTER (WHERE event_type = 'purchase') AS np, count(*) FILTER (WHERE event_type = 'click') AS nc,
+      count(*) FILTER (WHERE event_type = 'view') AS nv, min(ts) AS t0, max(ts) AS t1 FROM events GROUP BY user_id),
+    s(step_pos, step) AS (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(L.STEPS))}),
+    g(group_pos, group_type) AS (VALUES {", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(_RUN_GROUPS))}),
+    f AS (SELECT a.run_id, s.step_pos, s.step, CAST(NULL AS BOOLEAN) AS step_updated, g.group_pos, g.group_type,
+           CASE g.group_type WHEN 'liens_succession' THEN np WHEN 'etablissements' THEN nc ELSE nv END AS n,
+           a.t0, a.t1 FROM a, s, g)
+    """
+
+
+register(
+    "run_flatten",
+    _RUN_FLAT_SQL + """SELECT run_id, step_pos, step, step_updated, group_pos, group_type, n > 14 + 2 * step_pos AS updated,
+      'finished' AS status_label, t0 AS started_timestamp, t1 AS finished_timestamp, n AS planned_count,
+      n - step_pos AS done_count, t1 AS reference_timestamp FROM f""",
+)(lambda spark, sf_dir: L.flatten_runs(_run_summaries(spark, sf_dir)))
+
+register(
+    "run_rollup",
+    _RUN_FLAT_SQL + """, st AS (SELECT run_id, step_pos, step, bool_or(n > 14 + 2 * step_pos) AS step_updated FROM f
+                        GROUP BY run_id, step_pos, step)
+    SELECT run_id, bool_or(step_updated) OVER (PARTITION BY run_id) AS run_updated, step_pos, step, step_updated FROM st""",
+)(lambda spark, sf_dir: L.rollup_runs(_run_summaries(spark, sf_dir)))
