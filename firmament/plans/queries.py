@@ -982,3 +982,27 @@ register(
                         GROUP BY run_id, step_pos, step)
     SELECT run_id, bool_or(step_updated) OVER (PARTITION BY run_id) AS run_updated, step_pos, step, step_updated FROM st""",
 )(lambda spark, sf_dir: L.rollup_runs(_run_summaries(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- streaming (ST-1..ST-4)
+from firmament.streaming import sync as SY  # noqa: E402
+
+DELTA_SCHEMA = "siren bigint, activite_principale string, value double, date_dernier_traitement timestamp_ntz, page bigint, pos bigint"
+
+
+@register("stream_upsert", _upsert_sql(UNIT_BASE_SQL, UNIT_BASE_COLS, "siren", UNIT_SET, (), "SELECT * FROM delta"))
+def stream_upsert(spark, sf_dir):
+    """ST-1: landed delta files streamed (AvailableNow, several micro-batches)
+    into the unit table through the upsert sink."""
+    from firmament.session import scratch_path
+
+    fixtures.register(spark, sf_dir)
+    base = T.units(spark, sf_dir).select(*UNIT_COLS).withColumn(
+        "activite_principale_naf25", F.col("activite_principale")
+    ).withColumn("date_dernier_traitement", F.lit(None).cast("timestamp_ntz"))
+    landing = scratch_path(spark, "delta-landing")
+    spark.table("delta").repartition(4).write.option("timestampNTZFormat", SY.TS_FORMAT).json(landing)
+    root = scratch_path(spark, "unit-table")
+    SY.init_table(spark, base, root)
+    return SY.run_sync(spark, landing, DELTA_SCHEMA, root, scratch_path(spark, "sync-checkpoint"), "siren",
+                       UNIT_SET, ["date_dernier_traitement", "page", "pos"], "date_dernier_traitement")
