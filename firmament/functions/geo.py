@@ -246,3 +246,71 @@ def box_columns(lng: Column, lat: Column, radius_m: Column) -> dict[str, Column]
 def cell(deg: Column) -> Column:
     """Grid cell index of a coordinate (0.05 degree cells)."""
     return F.floor(deg / F.lit(CELL_DEG)).cast("int")
+
+
+def with_geodesic(df, lng1: Column, lat1: Column, lng2: Column, lat2: Column, out: str = "meter_distance"):
+    """DataFrame form of :func:`geodesic_m` for hot paths (joins, scans).
+
+    Every intermediate is a column of its own projection.  The optimizer does
+    not inline a non-trivial column referenced more than once, so the chain
+    stays linear and each projection is compiled (higher-order functions, as
+    used by :func:`geodesic_m`, are evaluated interpreted).  The result passes
+    a one-element ``explode`` so that a later filter on it is not pushed back
+    into the chain (which would inline every intermediate into the filter).
+    """
+    f, a, b = WGS84_F, WGS84_A, WGS84_B
+    keep = list(df.columns)
+    c = F.col
+    p = "_vg_"
+    df = df.select("*", lng1.alias(p + "lng1"), lat1.alias(p + "lat1"), lng2.alias(p + "lng2"), lat2.alias(p + "lat2"))
+    df = df.select(
+        "*",
+        F.radians(c(p + "lng2") - c(p + "lng1")).alias(p + "L"),
+        F.atan((1 - f) * F.tan(F.radians(c(p + "lat1")))).alias(p + "u1"),
+        F.atan((1 - f) * F.tan(F.radians(c(p + "lat2")))).alias(p + "u2"),
+    )
+    df = df.select("*", F.sin(c(p + "u1")).alias(p + "su1"), F.cos(c(p + "u1")).alias(p + "cu1"),
+                   F.sin(c(p + "u2")).alias(p + "su2"), F.cos(c(p + "u2")).alias(p + "cu2"))
+    su1, cu1, su2, cu2, L = c(p + "su1"), c(p + "cu1"), c(p + "su2"), c(p + "cu2"), c(p + "L")
+    lam = L
+    for k in range(1, VINCENTY_ITERATIONS + 1):
+        q = f"{p}{k}_"
+        df = df.select("*", F.sin(lam).alias(q + "sl"), F.cos(lam).alias(q + "cl"))
+        sl, cl = c(q + "sl"), c(q + "cl")
+        df = df.select(
+            "*",
+            F.sqrt(F.pow(cu2 * sl, 2) + F.pow(cu1 * su2 - su1 * cu2 * cl, 2)).alias(q + "ss"),
+            (su1 * su2 + cu1 * cu2 * cl).alias(q + "cs"),
+        )
+        ss, cs = c(q + "ss"), c(q + "cs")
+        df = df.select(
+            "*",
+            F.atan2(ss, cs).alias(q + "sg"),
+            F.when(ss == 0, F.lit(0.0)).otherwise(cu1 * cu2 * sl / ss).alias(q + "sa"),
+        )
+        sg, sa = c(q + "sg"), c(q + "sa")
+        df = df.select("*", (1 - sa * sa).alias(q + "ca"))
+        ca = c(q + "ca")
+        df = df.select(
+            "*",
+            F.when(ca == 0, F.lit(0.0)).otherwise(cs - 2 * su1 * su2 / ca).alias(q + "cm"),
+            (F.lit(f / 16) * ca * (4 + f * (4 - 3 * ca))).alias(q + "kc"),
+        )
+        cm, kc = c(q + "cm"), c(q + "kc")
+        df = df.select("*", (L + (1 - kc) * f * sa * (sg + kc * ss * (cm + kc * cs * (-1 + 2 * cm * cm)))).alias(q + "lam"))
+        lam = c(q + "lam")
+        last = (ss, cs, sg, ca, cm)
+    ss, cs, sg, ca, cm = last
+    df = df.select("*", (ca * F.lit((a * a - b * b) / (b * b))).alias(p + "usq"))
+    u2 = c(p + "usq")
+    df = df.select(
+        "*",
+        (1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))).alias(p + "A"),
+        (u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))).alias(p + "B"),
+    )
+    big_a, big_b = c(p + "A"), c(p + "B")
+    dsig = big_b * ss * (cm + big_b / 4 * (cs * (-1 + 2 * cm * cm) - big_b / 6 * cm * (-3 + 4 * ss * ss) * (-3 + 4 * cm * cm)))
+    missing = c(p + "lng1").isNull() | c(p + "lat1").isNull() | c(p + "lng2").isNull() | c(p + "lat2").isNull()
+    dist = F.when(missing, F.lit(None).cast("double")).otherwise(F.lit(b) * big_a * (sg - dsig))
+    df = df.select(*keep, dist.alias(p + "dist"))
+    return df.select(*[x for x in keep if x != out], F.explode(F.array(c(p + "dist"))).alias(out))

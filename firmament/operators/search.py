@@ -194,8 +194,8 @@ def apply_radius(df: DataFrame, lng: float, lat: float, radius_m: float, positio
     """
     pos = F.col(position)
     boxed = df.filter(pos.isNotNull() & geo.in_box(pos, lng, lat, radius_m))
-    dist = geo.geodesic_m(pos["x"], pos["y"], F.lit(float(lng)), F.lit(float(lat)))
-    return boxed.withColumn("meter_distance", dist).filter(F.col("meter_distance") <= F.lit(float(radius_m)))
+    with_dist = geo.with_geodesic(boxed, pos["x"], pos["y"], F.lit(float(lng)), F.lit(float(lat)), "meter_distance")
+    return with_dist.filter(F.col("meter_distance") <= F.lit(float(radius_m)))
 
 
 def matches(df: DataFrame, params: SearchParams, entity: Entity, r: Resolved | None = None) -> DataFrame:
