@@ -112,6 +112,11 @@ def _regex_literal(g: str) -> str:
     return "".join(c if c.isalnum() else "\\" + c for c in g)
 
 
+def gram_pattern(gram: str) -> str:
+    """Java regex matching at every start position of ``gram`` (overlaps count)."""
+    return f"(?={_regex_literal(gram)})"
+
+
 def gram_count(col: str | Column, gram: str) -> Column:
     """Overlapping occurrences of ``gram`` in the normalized value.
 
@@ -120,5 +125,5 @@ def gram_count(col: str | Column, gram: str) -> Column:
     """
     t = normalized(col)
     return F.when(
-        t.contains(F.lit(gram)), F.regexp_count(t, F.lit(f"(?={_regex_literal(gram)})"))
+        t.contains(F.lit(gram)), F.regexp_count(t, F.lit(gram_pattern(gram)))
     ).otherwise(F.lit(0))

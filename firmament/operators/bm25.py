@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmament.functions.text import (
-    gram_count,
     gram_length,
+    gram_pattern,
     ngrams,
     ngrams_long,
     normalized,
     query_grams,
 )
-from firmament.operators.util import broadcast_if_small
+from firmament.operators.util import broadcast_if_small, spread
 
 # Fixed BM25 parameters.
 K1 = 1.2
@@ -62,32 +62,51 @@ def bm25_scan(
     if not grams:
         return df.filter(F.lit(False)).withColumn(score_col, F.lit(None).cast("double"))
 
-    norm = {f: normalized(f) for f in fields}
+    # Normalized text and gram length are bound once per field as columns:
+    # every gram term reads them, and repeating the expressions per term
+    # multiplies both the work and the generated code.
+    n_cols = [f"_bm25_n{i}" for i in range(len(fields))]
+    l_cols = [f"_bm25_l{i}" for i in range(len(fields))]
+    prepared = df.select("*", *[normalized(f).alias(n) for f, n in zip(fields, n_cols)])
     stats_cols = [F.count(F.lit(1)).cast("double").alias("n")]
-    for i, f in enumerate(fields):
-        stats_cols.append(F.sum(gram_length(f)).cast("double").alias(f"sdl{i}"))
+    for i, n in enumerate(n_cols):
+        stats_cols.append(F.sum(_length_of(F.col(n))).cast("double").alias(f"sdl{i}"))
         for j, g in enumerate(grams):
-            stats_cols.append(F.count_if(norm[f].contains(F.lit(g))).cast("double").alias(f"df{i}_{j}"))
-    stats = df.agg(*stats_cols).select(F.struct("*").alias("s")).scalar()
+            stats_cols.append(F.count_if(F.col(n).contains(F.lit(g))).cast("double").alias(f"df{i}_{j}"))
+    stats = prepared.agg(*stats_cols).select(F.struct("*").alias("s")).scalar()
 
     any_hit = None
-    for f in fields:
+    for n in n_cols:
         for g in grams:
-            c = norm[f].contains(F.lit(g))
+            c = F.col(n).contains(F.lit(g))
             any_hit = c if any_hit is None else (any_hit | c)
 
     # The statistics struct is bound once as a column: each reference to the
     # scalar subquery itself would carry (and optimize) its own copy of the plan.
+    hits = spread(prepared.filter(any_hit)).select(
+        "*", *[_length_of(F.col(n)).cast("double").alias(l) for n, l in zip(n_cols, l_cols)],
+        stats.alias("_bm25_stats"),
+    )
     st = F.col("_bm25_stats")
-    n = st["n"]
+    total_n = st["n"]
     score = F.lit(0.0)
-    for i, f in enumerate(fields):
-        dl = gram_length(f).cast("double")
-        avgdl = st[f"sdl{i}"] / n
+    for i, (n, l) in enumerate(zip(n_cols, l_cols)):
+        avgdl = st[f"sdl{i}"] / total_n
         for j, g in enumerate(grams):
-            score = score + _term(gram_count(f, g).cast("double"), dl, avgdl, st[f"df{i}_{j}"], n, k1, b)
-    hits = df.filter(any_hit).withColumn("_bm25_stats", stats)
-    return hits.withColumn(score_col, score).drop("_bm25_stats")
+            tf = _count_in(F.col(n), g).cast("double")
+            score = score + _term(tf, F.col(l), avgdl, st[f"df{i}_{j}"], total_n, k1, b)
+    return hits.withColumn(score_col, score).drop("_bm25_stats", *n_cols, *l_cols)
+
+
+def _length_of(t: Column) -> Column:
+    """Gram count of an already-normalized value (closed form)."""
+    n = F.length(t)
+    return F.greatest(n - F.lit(3), F.lit(0)) + F.greatest(n - F.lit(4), F.lit(0))
+
+
+def _count_in(t: Column, gram: str) -> Column:
+    """Overlapping occurrences of ``gram`` in an already-normalized value."""
+    return F.when(t.contains(F.lit(gram)), F.regexp_count(t, F.lit(gram_pattern(gram)))).otherwise(F.lit(0))
 
 
 def text_match(df: DataFrame, fields: list[str], q: str | None) -> DataFrame:
@@ -120,6 +139,7 @@ def build_postings(df: DataFrame, key: str, fields: list[str], long_text: bool =
     aggregation handles without a per-key task.
     """
     make = ngrams_long if long_text else ngrams
+    df = spread(df)
     parts = []
     for f in fields:
         parts.append(

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from firmament.functions import geo
 from firmament.operators.bm25 import bm25_scan
+from firmament.operators.util import spread
 
 # Paging bounds and the status domain.
 DEFAULT_LIMIT = 20
@@ -193,7 +194,7 @@ def apply_radius(df: DataFrame, lng: float, lat: float, radius_m: float, positio
     is stored); the exact distance runs only on rows inside the box.
     """
     pos = F.col(position)
-    boxed = df.filter(pos.isNotNull() & geo.in_box(pos, lng, lat, radius_m))
+    boxed = spread(df.filter(pos.isNotNull() & geo.in_box(pos, lng, lat, radius_m)))
     with_dist = geo.with_geodesic(boxed, pos["x"], pos["y"], F.lit(float(lng)), F.lit(float(lat)), "meter_distance")
     return with_dist.filter(F.col("meter_distance") <= F.lit(float(radius_m)))
 

@@ -46,3 +46,15 @@ def top_k_per_group(
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
     ranked = first.withColumn(rank_col, F.row_number().over(w2))
     return ranked.filter((F.col(rank_col) > skip) & (F.col(rank_col) <= need))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition ``df`` round-robin when it has fewer partitions than the
+    cluster has cores, for CPU-heavy per-row work (regex over long text,
+    geodesic distances).  A small Parquet file is read as one task; a large
+    table already has many splits and is returned unchanged, so this never
+    shuffles big inputs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

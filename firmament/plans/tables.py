@@ -46,7 +46,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 def derive_establishments(e: DataFrame, points: DataFrame) -> DataFrame:
     """Generated columns of an establishment table: search text, position
     (by ``vec_id`` from the point table) and its grid cell.  Rows are
-    clustered by cell so that box predicates prune row groups."""
+    range-partitioned and sorted by cell: files cover disjoint cell ranges, so
+    box predicates prune row groups and reads run in parallel."""
     pts = points.select("vec_id", "position")
     out = (
         e.join(pts, "vec_id", "left")
@@ -54,7 +55,8 @@ def derive_establishments(e: DataFrame, points: DataFrame) -> DataFrame:
         .withColumn("cell_y", cell(F.col("position")["y"]))
         .withColumn("cell_x", cell(F.col("position")["x"]))
     )
-    return out.sortWithinPartitions("cell_y", "cell_x")
+    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionByRange(n, "cell_y", "cell_x").sortWithinPartitions("cell_y", "cell_x")
 
 
 def establishments(spark: SparkSession, sf_dir: str) -> DataFrame:
