@@ -257,60 +257,45 @@ def with_geodesic(df, lng1: Column, lat1: Column, lng2: Column, lat2: Column, ou
     used by :func:`geodesic_m`, are evaluated interpreted).  The result passes
     a one-element ``explode`` so that a later filter on it is not pushed back
     into the chain (which would inline every intermediate into the filter).
+    Steps are SQL text: one call per projection instead of one per operator.
     """
-    f, a, b = WGS84_F, WGS84_A, WGS84_B
+    f, a, b = repr(WGS84_F), WGS84_A, repr(WGS84_B)
     keep = list(df.columns)
-    c = F.col
     p = "_vg_"
     df = df.select("*", lng1.alias(p + "lng1"), lat1.alias(p + "lat1"), lng2.alias(p + "lng2"), lat2.alias(p + "lat2"))
-    df = df.select(
-        "*",
-        F.radians(c(p + "lng2") - c(p + "lng1")).alias(p + "L"),
-        F.atan((1 - f) * F.tan(F.radians(c(p + "lat1")))).alias(p + "u1"),
-        F.atan((1 - f) * F.tan(F.radians(c(p + "lat2")))).alias(p + "u2"),
-    )
-    df = df.select("*", F.sin(c(p + "u1")).alias(p + "su1"), F.cos(c(p + "u1")).alias(p + "cu1"),
-                   F.sin(c(p + "u2")).alias(p + "su2"), F.cos(c(p + "u2")).alias(p + "cu2"))
-    su1, cu1, su2, cu2, L = c(p + "su1"), c(p + "cu1"), c(p + "su2"), c(p + "cu2"), c(p + "L")
-    lam = L
+    steps = [
+        [f"radians({p}lng2 - {p}lng1) AS {p}L",
+         f"atan((1 - {f}) * tan(radians({p}lat1))) AS {p}u1",
+         f"atan((1 - {f}) * tan(radians({p}lat2))) AS {p}u2"],
+        [f"sin({p}u1) AS {p}su1", f"cos({p}u1) AS {p}cu1", f"sin({p}u2) AS {p}su2", f"cos({p}u2) AS {p}cu2"],
+    ]
+    lam = f"{p}L"
     for k in range(1, VINCENTY_ITERATIONS + 1):
         q = f"{p}{k}_"
-        df = df.select("*", F.sin(lam).alias(q + "sl"), F.cos(lam).alias(q + "cl"))
-        sl, cl = c(q + "sl"), c(q + "cl")
-        df = df.select(
-            "*",
-            F.sqrt(F.pow(cu2 * sl, 2) + F.pow(cu1 * su2 - su1 * cu2 * cl, 2)).alias(q + "ss"),
-            (su1 * su2 + cu1 * cu2 * cl).alias(q + "cs"),
-        )
-        ss, cs = c(q + "ss"), c(q + "cs")
-        df = df.select(
-            "*",
-            F.atan2(ss, cs).alias(q + "sg"),
-            F.when(ss == 0, F.lit(0.0)).otherwise(cu1 * cu2 * sl / ss).alias(q + "sa"),
-        )
-        sg, sa = c(q + "sg"), c(q + "sa")
-        df = df.select("*", (1 - sa * sa).alias(q + "ca"))
-        ca = c(q + "ca")
-        df = df.select(
-            "*",
-            F.when(ca == 0, F.lit(0.0)).otherwise(cs - 2 * su1 * su2 / ca).alias(q + "cm"),
-            (F.lit(f / 16) * ca * (4 + f * (4 - 3 * ca))).alias(q + "kc"),
-        )
-        cm, kc = c(q + "cm"), c(q + "kc")
-        df = df.select("*", (L + (1 - kc) * f * sa * (sg + kc * ss * (cm + kc * cs * (-1 + 2 * cm * cm)))).alias(q + "lam"))
-        lam = c(q + "lam")
-        last = (ss, cs, sg, ca, cm)
-    ss, cs, sg, ca, cm = last
-    df = df.select("*", (ca * F.lit((a * a - b * b) / (b * b))).alias(p + "usq"))
-    u2 = c(p + "usq")
-    df = df.select(
-        "*",
-        (1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))).alias(p + "A"),
-        (u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))).alias(p + "B"),
-    )
-    big_a, big_b = c(p + "A"), c(p + "B")
-    dsig = big_b * ss * (cm + big_b / 4 * (cs * (-1 + 2 * cm * cm) - big_b / 6 * cm * (-3 + 4 * ss * ss) * (-3 + 4 * cm * cm)))
-    missing = c(p + "lng1").isNull() | c(p + "lat1").isNull() | c(p + "lng2").isNull() | c(p + "lat2").isNull()
-    dist = F.when(missing, F.lit(None).cast("double")).otherwise(F.lit(b) * big_a * (sg - dsig))
-    df = df.select(*keep, dist.alias(p + "dist"))
-    return df.select(*[x for x in keep if x != out], F.explode(F.array(c(p + "dist"))).alias(out))
+        steps += [
+            [f"sin({lam}) AS {q}sl", f"cos({lam}) AS {q}cl"],
+            [f"sqrt(pow({p}cu2 * {q}sl, 2) + pow({p}cu1 * {p}su2 - {p}su1 * {p}cu2 * {q}cl, 2)) AS {q}ss",
+             f"{p}su1 * {p}su2 + {p}cu1 * {p}cu2 * {q}cl AS {q}cs"],
+            [f"atan2({q}ss, {q}cs) AS {q}sg",
+             f"CASE WHEN {q}ss = 0 THEN 0.0D ELSE {p}cu1 * {p}cu2 * {q}sl / {q}ss END AS {q}sa"],
+            [f"1 - {q}sa * {q}sa AS {q}ca"],
+            [f"CASE WHEN {q}ca = 0 THEN 0.0D ELSE {q}cs - 2 * {p}su1 * {p}su2 / {q}ca END AS {q}cm",
+             f"{repr(WGS84_F / 16)} * {q}ca * (4 + {f} * (4 - 3 * {q}ca)) AS {q}kc"],
+            [f"{p}L + (1 - {q}kc) * {f} * {q}sa * ({q}sg + {q}kc * {q}ss * ({q}cm + {q}kc * {q}cs * "
+             f"(-1 + 2 * {q}cm * {q}cm))) AS {q}lam"],
+        ]
+        lam = f"{q}lam"
+    z = f"{p}{VINCENTY_ITERATIONS}_"
+    steps += [
+        [f"{z}ca * {repr((a * a - WGS84_B * WGS84_B) / (WGS84_B * WGS84_B))} AS {p}usq"],
+        [f"1 + {p}usq / 16384 * (4096 + {p}usq * (-768 + {p}usq * (320 - 175 * {p}usq))) AS {p}A",
+         f"{p}usq / 1024 * (256 + {p}usq * (-128 + {p}usq * (74 - 47 * {p}usq))) AS {p}B"],
+    ]
+    for exprs in steps:
+        df = df.selectExpr("*", *exprs)
+    dsig = (f"{p}B * {z}ss * ({z}cm + {p}B / 4 * ({z}cs * (-1 + 2 * {z}cm * {z}cm) - {p}B / 6 * {z}cm * "
+            f"(-3 + 4 * {z}ss * {z}ss) * (-3 + 4 * {z}cm * {z}cm)))")
+    dist = (f"CASE WHEN {p}lng1 IS NULL OR {p}lat1 IS NULL OR {p}lng2 IS NULL OR {p}lat2 IS NULL THEN CAST(NULL AS DOUBLE) "
+            f"ELSE {b} * {p}A * ({z}sg - ({dsig})) END AS {p}dist")
+    df = df.select(*[F.col(x) for x in keep], F.expr(dist))
+    return df.select(*[x for x in keep if x != out], F.explode(F.array(F.col(p + "dist"))).alias(out))

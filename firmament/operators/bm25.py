@@ -64,38 +64,53 @@ def bm25_scan(
 
     # Normalized text and gram length are bound once per field as columns:
     # every gram term reads them, and repeating the expressions per term
-    # multiplies both the work and the generated code.
+    # multiplies both the work and the generated code.  Expressions are built
+    # as SQL text (one JVM call each rather than one per operator).
     n_cols = [f"_bm25_n{i}" for i in range(len(fields))]
-    l_cols = [f"_bm25_l{i}" for i in range(len(fields))]
     prepared = df.select("*", *[normalized(f).alias(n) for f, n in zip(fields, n_cols)])
-    stats_cols = [F.count(F.lit(1)).cast("double").alias("n")]
+    stats_cols = ["CAST(count(1) AS DOUBLE) AS n"]
     for i, n in enumerate(n_cols):
-        stats_cols.append(F.sum(_length_of(F.col(n))).cast("double").alias(f"sdl{i}"))
+        stats_cols.append(f"CAST(sum({_length_sql(n)}) AS DOUBLE) AS sdl{i}")
         for j, g in enumerate(grams):
-            stats_cols.append(F.count_if(F.col(n).contains(F.lit(g))).cast("double").alias(f"df{i}_{j}"))
-    stats = prepared.agg(*stats_cols).select(F.struct("*").alias("s")).scalar()
-
-    any_hit = None
-    for n in n_cols:
-        for g in grams:
-            c = F.col(n).contains(F.lit(g))
-            any_hit = c if any_hit is None else (any_hit | c)
+            stats_cols.append(f"CAST(count_if(contains({n}, {sql_literal(g)})) AS DOUBLE) AS df{i}_{j}")
+    stats = prepared.agg(*[F.expr(c) for c in stats_cols]).select(F.struct("*").alias("s")).scalar()
+    any_hit = " OR ".join(f"contains({n}, {sql_literal(g)})" for n in n_cols for g in grams)
 
     # The statistics struct is bound once as a column: each reference to the
     # scalar subquery itself would carry (and optimize) its own copy of the plan.
-    hits = spread(prepared.filter(any_hit)).select(
-        "*", *[_length_of(F.col(n)).cast("double").alias(l) for n, l in zip(n_cols, l_cols)],
-        stats.alias("_bm25_stats"),
-    )
-    st = F.col("_bm25_stats")
-    total_n = st["n"]
-    score = F.lit(0.0)
-    for i, (n, l) in enumerate(zip(n_cols, l_cols)):
-        avgdl = st[f"sdl{i}"] / total_n
+    hits = spread(prepared.filter(F.expr(any_hit))).select("*", stats.alias("_bm25_stats"))
+    tf_cols = {}
+    exprs = []
+    for i, n in enumerate(n_cols):
+        exprs.append(f"CAST({_length_sql(n)} AS DOUBLE) AS _bm25_l{i}")
         for j, g in enumerate(grams):
-            tf = _count_in(F.col(n), g).cast("double")
-            score = score + _term(tf, F.col(l), avgdl, st[f"df{i}_{j}"], total_n, k1, b)
-    return hits.withColumn(score_col, score).drop("_bm25_stats", *n_cols, *l_cols)
+            tf_cols[(i, j)] = f"_bm25_tf{i}_{j}"
+            exprs.append(
+                f"CAST(CASE WHEN contains({n}, {sql_literal(g)}) THEN regexp_count({n}, {sql_literal(gram_pattern(g))}) "
+                f"ELSE 0 END AS DOUBLE) AS _bm25_tf{i}_{j}"
+            )
+    hits = hits.selectExpr("*", *exprs)
+    terms = []
+    for i in range(len(n_cols)):
+        avgdl = f"(_bm25_stats.sdl{i} / _bm25_stats.n)"
+        for j in range(len(grams)):
+            tf, dfc = tf_cols[(i, j)], f"_bm25_stats.df{i}_{j}"
+            idf = f"ln(1.0D + (_bm25_stats.n - {dfc} + 0.5D) / ({dfc} + 0.5D))"
+            norm = f"{k1!r}D * ({1.0 - b!r}D + {b!r}D * _bm25_l{i} / {avgdl})"
+            terms.append(f"CASE WHEN {tf} > 0 THEN {idf} * {tf} * {k1 + 1!r}D / ({tf} + {norm}) ELSE 0.0D END")
+    scored = hits.withColumn(score_col, F.expr(" + ".join(terms)))
+    drop = [*n_cols, "_bm25_stats", *tf_cols.values(), *[f"_bm25_l{i}" for i in range(len(n_cols))]]
+    return scored.drop(*drop)
+
+
+def sql_literal(v: str) -> str:
+    """A Spark SQL string literal for any text (backslash escapes)."""
+    out = v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
+    return f"'{out}'"
+
+
+def _length_sql(n: str) -> str:
+    return f"(greatest(length({n}) - 3, 0) + greatest(length({n}) - 4, 0))"
 
 
 def _length_of(t: Column) -> Column:

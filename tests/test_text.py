@@ -91,3 +91,14 @@ def test_no_grams_no_rows(spark):
     df = spark.createDataFrame(list(DOCS.items()), "k long, t string")
     assert BM.bm25_scan(df, ["t"], "ab").count() == 0
     assert BM.bm25_scan(df, ["t"], "").count() == 0
+
+
+def test_special_characters_in_query(spark):
+    docs = {1: "it's a\\b c.d\nline two", 2: "it's", 3: "plain words"}
+    df = spark.createDataFrame(list(docs.items()), "k long, t string")
+    for q in ["it's a\\b", "c.d\nli", "d\nline"]:
+        expect = python_bm25(docs, q)
+        got = {r.k: r.score for r in BM.bm25_scan(df, ["t"], q).collect()}
+        assert got.keys() == expect.keys(), q
+        for k in expect:
+            assert got[k] == pytest.approx(expect[k], rel=1e-12)
