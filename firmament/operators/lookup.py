@@ -123,3 +123,22 @@ def not_found(keys: DataFrame, result: DataFrame, key: str) -> DataFrame:
 def validate_keys(keys: DataFrame, key: str, length: int) -> DataFrame:
     """Adds ``valid``: the key has exactly ``length`` bytes (digits are not checked)."""
     return keys.withColumn("valid", F.coalesce(F.octet_length(F.col(key)) == F.lit(length), F.lit(False)))
+
+
+def render_json(df: DataFrame, omit_if_null: tuple[str, ...] = ("score", "meter_distance"),
+                alias: str = "json") -> DataFrame:
+    """One JSON document per row, as the API renders it: NULL fields are kept
+    (``ignoreNullFields`` is false) except ``omit_if_null`` ones, which are
+    left out when NULL.  ``to_json`` drops every NULL by default."""
+    opts = {"ignoreNullFields": "false"}
+    omit = [c for c in omit_if_null if c in df.columns]
+    base = [c for c in df.columns if c not in omit]
+    out = None
+    for mask in range(1 << len(omit)):
+        present = [c for i, c in enumerate(omit) if mask >> i & 1]
+        cond = F.lit(True)
+        for i, c in enumerate(omit):
+            cond = cond & (F.col(c).isNotNull() if mask >> i & 1 else F.col(c).isNull())
+        doc = F.to_json(F.struct(*[F.col(c) for c in base + present]), opts)
+        out = F.when(cond, doc) if out is None else out.when(cond, doc)
+    return df.select(out.alias(alias) if out is not None else F.to_json(F.struct("*"), opts).alias(alias))

@@ -1005,4 +1005,13 @@ def stream_upsert(spark, sf_dir):
     root = scratch_path(spark, "unit-table")
     SY.init_table(spark, base, root)
     return SY.run_sync(spark, landing, DELTA_SCHEMA, root, scratch_path(spark, "sync-checkpoint"), "siren",
-                       UNIT_SET, ["date_dernier_traitement", "page", "pos"], "date_dernier_traitement")
+                       UNIT_SET, ["date_dernier_traitement", "page", "pos"], "date_dernier_traitement",
+                       files_per_batch=2)
+
+
+@register("search_response_json")
+def search_response_json(spark, sf_dir):
+    """M-9: the flagship page rendered as API JSON (NULLs kept, score and
+    distance left out when NULL).  Rows-only: JSON text differs by engine."""
+    page = S.search(T.establishments(spark, sf_dir), P(q="red widget", lat=46.5, lng=3.0, radius=150_000.0, limit=25))
+    return LK.render_json(T.flat_position(page))

@@ -41,3 +41,13 @@ def test_succession_self_link_and_plan(spark):
 def test_validate_keys(spark):
     keys = spark.createDataFrame([("123456789",), ("12345678",), ("é2345678",), (None,)], "k string")
     assert [r.valid for r in LK.validate_keys(keys, "k", 9).collect()] == [True, False, True, False]
+
+
+def test_render_json_omits_only_score_and_distance(spark):
+    import json
+
+    df = spark.createDataFrame([(1, None, None, None), (2, "x", 1.5, None)],
+                               "siret long, name string, score double, meter_distance double")
+    docs = [json.loads(r.json) for r in LK.render_json(df).collect()]
+    assert docs[0] == {"siret": 1, "name": None}
+    assert docs[1] == {"siret": 2, "name": "x", "score": 1.5}
