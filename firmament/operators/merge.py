@@ -78,16 +78,16 @@ def upsert(
         else:
             out_cols.append(F.col(c))
     updated = joined.select(*out_cols)
-    inserted = d.join(base.select(key), key, "left_anti")
+    # Stored keys that the delta touches: the stored table streams past the
+    # (broadcast) delta keys, so it is never the build side of a join.
+    matched = base.select(key).join(broadcast_if_small(d.select(key)), key, "left_semi")
+    inserted = d.join(broadcast_if_small(matched), key, "left_anti")
     for f in base.schema.fields:
         if f.name not in inserted.columns:
             inserted = inserted.withColumn(f.name, F.lit(None).cast(f.dataType))
     result = updated.unionByName(inserted.select(*base.columns))
-    flags = d.select(key).join(base.select(key, F.lit(True).alias("_present")), key, "left")
-    counts = flags.agg(
-        F.count_if(F.col("_present").isNull()).alias("inserted"),
-        F.count_if(F.col("_present")).alias("updated"),
-    )
+    n_updated = matched.agg(F.count(F.lit(1))).scalar()
+    counts = d.agg((F.count(F.lit(1)) - n_updated).alias("inserted")).select("inserted", n_updated.alias("updated"))
     return Upsert(result, counts)
 
 
