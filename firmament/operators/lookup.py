@@ -42,14 +42,18 @@ def lookup_establishments(keys: DataFrame, establishments: DataFrame, units: Dat
     """Establishment + its unit + the unit's head-office key, inner at each step.
 
     Output: every establishment column, every unit column prefixed with
-    ``unit_prefix`` and ``etablissement_siege_siret``.
+    ``unit_prefix`` and ``etablissement_siege_siret``.  Work is proportional
+    to the key list: units and head offices are looked up only for the units
+    of the found establishments (broadcast semi joins while that set is
+    small, shuffle joins beyond).
     """
     k = broadcast_if_small(keys.select(key).distinct())
     est = establishments.join(k, key, "inner")
-    u = units.select(*[F.col(c).alias(c if c == unit_key else unit_prefix + c) for c in units.columns])
-    hq = head_office(establishments.select(unit_key, key, "etablissement_siege")).select(
-        unit_key, F.col(key).alias("etablissement_siege_siret")
-    )
+    sirens = broadcast_if_small(est.select(unit_key).distinct())
+    u = units.join(sirens, unit_key, "left_semi")
+    u = u.select(*[F.col(c).alias(c if c == unit_key else unit_prefix + c) for c in units.columns])
+    candidates = establishments.select(unit_key, key, "etablissement_siege").join(sirens, unit_key, "left_semi")
+    hq = head_office(candidates).select(unit_key, F.col(key).alias("etablissement_siege_siret"))
     return est.join(u, unit_key, "inner").join(hq, unit_key, "inner")
 
 
@@ -58,12 +62,9 @@ def lookup_units(keys: DataFrame, units: DataFrame, establishments: DataFrame, u
     """Unit + head-office key + number of establishments; no head office → not found."""
     k = broadcast_if_small(keys.select(unit_key).distinct())
     u = units.join(k, unit_key, "inner")
-    hq = head_office(establishments.select(unit_key, key, "etablissement_siege")).select(
-        unit_key, F.col(key).alias("etablissement_siege_siret")
-    )
-    counts = establishments.join(k, unit_key, "inner").groupBy(unit_key).agg(
-        F.count(F.lit(1)).alias("nombre_etablissements")
-    )
+    mine = establishments.select(unit_key, key, "etablissement_siege").join(k, unit_key, "left_semi")
+    hq = head_office(mine).select(unit_key, F.col(key).alias("etablissement_siege_siret"))
+    counts = mine.groupBy(unit_key).agg(F.count(F.lit(1)).alias("nombre_etablissements"))
     return u.join(hq, unit_key, "inner").join(counts, unit_key, "left").fillna(0, ["nombre_etablissements"])
 
 
