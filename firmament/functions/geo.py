@@ -251,51 +251,60 @@ def cell(deg: Column) -> Column:
 def with_geodesic(df, lng1: Column, lat1: Column, lng2: Column, lat2: Column, out: str = "meter_distance"):
     """DataFrame form of :func:`geodesic_m` for hot paths (joins, scans).
 
-    Every intermediate is a column of its own projection.  The optimizer does
-    not inline a non-trivial column referenced more than once, so the chain
-    stays linear and each projection is compiled (higher-order functions, as
-    used by :func:`geodesic_m`, are evaluated interpreted).  The result passes
-    a one-element ``explode`` so that a later filter on it is not pushed back
-    into the chain (which would inline every intermediate into the filter).
-    Steps are SQL text: one call per projection instead of one per operator.
+    Two projections per iteration: the first binds ``sin(lambda)``,
+    ``sin(sigma)`` and ``cos(sigma)`` as columns, the second derives the rest
+    inline from them (Spark's subexpression elimination evaluates shared
+    pieces once).  Columns referenced several times are not inlined by the
+    optimizer, so the plan stays linear, every projection is compiled, and
+    the generated code stays small enough for the JIT (higher-order
+    functions, as in :func:`geodesic_m`, are evaluated interpreted; a long
+    chain of tiny projections fuses into one method too large to JIT).
+    The result passes a one-element ``explode`` so that a later filter on it
+    is not pushed back into the chain.  Steps are SQL text: one JVM call per
+    projection instead of one per operator.
     """
     f, a, b = repr(WGS84_F), WGS84_A, repr(WGS84_B)
     keep = list(df.columns)
     p = "_vg_"
     df = df.select("*", lng1.alias(p + "lng1"), lat1.alias(p + "lat1"), lng2.alias(p + "lng2"), lat2.alias(p + "lat2"))
-    steps = [
-        [f"radians({p}lng2 - {p}lng1) AS {p}L",
-         f"atan((1 - {f}) * tan(radians({p}lat1))) AS {p}u1",
-         f"atan((1 - {f}) * tan(radians({p}lat2))) AS {p}u2"],
-        [f"sin({p}u1) AS {p}su1", f"cos({p}u1) AS {p}cu1", f"sin({p}u2) AS {p}su2", f"cos({p}u2) AS {p}cu2"],
-    ]
+
+    def reduced(lat: str) -> str:
+        return f"atan((1 - {f}) * tan(radians({lat})))"
+
+    steps = [[
+        f"radians({p}lng2 - {p}lng1) AS {p}L",
+        f"sin({reduced(p + 'lat1')}) AS {p}su1", f"cos({reduced(p + 'lat1')}) AS {p}cu1",
+        f"sin({reduced(p + 'lat2')}) AS {p}su2", f"cos({reduced(p + 'lat2')}) AS {p}cu2",
+    ]]
     lam = f"{p}L"
     for k in range(1, VINCENTY_ITERATIONS + 1):
         q = f"{p}{k}_"
-        steps += [
-            [f"sin({lam}) AS {q}sl", f"cos({lam}) AS {q}cl"],
-            [f"sqrt(pow({p}cu2 * {q}sl, 2) + pow({p}cu1 * {p}su2 - {p}su1 * {p}cu2 * {q}cl, 2)) AS {q}ss",
-             f"{p}su1 * {p}su2 + {p}cu1 * {p}cu2 * {q}cl AS {q}cs"],
-            [f"atan2({q}ss, {q}cs) AS {q}sg",
-             f"CASE WHEN {q}ss = 0 THEN 0.0D ELSE {p}cu1 * {p}cu2 * {q}sl / {q}ss END AS {q}sa"],
-            [f"1 - {q}sa * {q}sa AS {q}ca"],
-            [f"CASE WHEN {q}ca = 0 THEN 0.0D ELSE {q}cs - 2 * {p}su1 * {p}su2 / {q}ca END AS {q}cm",
-             f"{repr(WGS84_F / 16)} * {q}ca * (4 + {f} * (4 - 3 * {q}ca)) AS {q}kc"],
-            [f"{p}L + (1 - {q}kc) * {f} * {q}sa * ({q}sg + {q}kc * {q}ss * ({q}cm + {q}kc * {q}cs * "
-             f"(-1 + 2 * {q}cm * {q}cm))) AS {q}lam"],
-        ]
+        cl = f"cos({lam})"
+        steps.append([
+            f"sin({lam}) AS {q}sl",
+            f"sqrt(pow({p}cu2 * sin({lam}), 2) + pow({p}cu1 * {p}su2 - {p}su1 * {p}cu2 * {cl}, 2)) AS {q}ss",
+            f"{p}su1 * {p}su2 + {p}cu1 * {p}cu2 * {cl} AS {q}cs",
+        ])
+        ss, cs, sl = f"{q}ss", f"{q}cs", f"{q}sl"
+        sa = f"(CASE WHEN {ss} = 0 THEN 0.0D ELSE {p}cu1 * {p}cu2 * {sl} / {ss} END)"
+        ca = f"(1 - {sa} * {sa})"
+        cm = f"(CASE WHEN {ca} = 0 THEN 0.0D ELSE {cs} - 2 * {p}su1 * {p}su2 / {ca} END)"
+        kc = f"({repr(WGS84_F / 16)} * {ca} * (4 + {f} * (4 - 3 * {ca})))"
+        sg = f"atan2({ss}, {cs})"
+        steps.append([
+            f"{sg} AS {q}sg", f"{ca} AS {q}ca", f"{cm} AS {q}cm",
+            f"{p}L + (1 - {kc}) * {f} * {sa} * ({sg} + {kc} * {ss} * ({cm} + {kc} * {cs} * (-1 + 2 * {cm} * {cm}))) AS {q}lam",
+        ])
         lam = f"{q}lam"
     z = f"{p}{VINCENTY_ITERATIONS}_"
-    steps += [
-        [f"{z}ca * {repr((a * a - WGS84_B * WGS84_B) / (WGS84_B * WGS84_B))} AS {p}usq"],
-        [f"1 + {p}usq / 16384 * (4096 + {p}usq * (-768 + {p}usq * (320 - 175 * {p}usq))) AS {p}A",
-         f"{p}usq / 1024 * (256 + {p}usq * (-128 + {p}usq * (74 - 47 * {p}usq))) AS {p}B"],
-    ]
     for exprs in steps:
         df = df.selectExpr("*", *exprs)
-    dsig = (f"{p}B * {z}ss * ({z}cm + {p}B / 4 * ({z}cs * (-1 + 2 * {z}cm * {z}cm) - {p}B / 6 * {z}cm * "
+    usq = f"({z}ca * {repr((a * a - WGS84_B * WGS84_B) / (WGS84_B * WGS84_B))})"
+    big_a = f"(1 + {usq} / 16384 * (4096 + {usq} * (-768 + {usq} * (320 - 175 * {usq}))))"
+    big_b = f"({usq} / 1024 * (256 + {usq} * (-128 + {usq} * (74 - 47 * {usq}))))"
+    dsig = (f"{big_b} * {z}ss * ({z}cm + {big_b} / 4 * ({z}cs * (-1 + 2 * {z}cm * {z}cm) - {big_b} / 6 * {z}cm * "
             f"(-3 + 4 * {z}ss * {z}ss) * (-3 + 4 * {z}cm * {z}cm)))")
     dist = (f"CASE WHEN {p}lng1 IS NULL OR {p}lat1 IS NULL OR {p}lng2 IS NULL OR {p}lat2 IS NULL THEN CAST(NULL AS DOUBLE) "
-            f"ELSE {b} * {p}A * ({z}sg - ({dsig})) END AS {p}dist")
+            f"ELSE {b} * {big_a} * ({z}sg - ({dsig})) END AS {p}dist")
     df = df.select(*[F.col(x) for x in keep], F.expr(dist))
     return df.select(*[x for x in keep if x != out], F.explode(F.array(F.col(p + "dist"))).alias(out))
