@@ -7,7 +7,8 @@ Each query is executed to completion by aggregating a hash of every output
 column of every row (all rows and columns are computed; one number reaches
 the driver).  The ``noop`` sink was not used: it adds a per-row cost of its
 own that dominated the cheaper queries.  The one-time load of the
-stored establishment table (generated columns) is timed as ``load``.
+stored establishment table (generated columns) and of the postings index is
+timed as ``load``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from firmament.plans import tables as T  # noqa: E402
-from firmament.plans.queries import QUERIES  # noqa: E402
+from firmament.plans.queries import QUERIES, _short_text_index  # noqa: E402
 from firmament.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -50,8 +51,11 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
     times: dict[str, float] = {}
 
+    # Load phase: stored tables with generated columns and the text index,
+    # built once as a deployment builds them before serving queries.
     t0 = time.time()
     T.establishments(spark, sf_dir).count()
+    _short_text_index(spark, sf_dir)
     times["load"] = round(time.time() - t0, 3)
 
     for name in HEADLINE:
