@@ -266,3 +266,17 @@ def validate_requests(requests: DataFrame, entity: Entity = ESTABLISHMENT) -> Da
         radius_ok.alias("radius_ok"),
         (geo_ok & sort_ok & status_ok & radius_ok).alias("valid"),
     )
+
+
+def search_meta(df: DataFrame, params: SearchParams, entity: Entity = ESTABLISHMENT) -> DataFrame:
+    """Response metadata as one row, even when nothing matches: ``total``
+    (all matches) and the applied ``limit``, ``offset``, ``sort``,
+    ``direction``."""
+    r = validate(params, entity)
+    return matches(df, params, entity, r).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.lit(r.limit).alias("limit"),
+        F.lit(r.offset).alias("offset"),
+        F.lit(r.sort).alias("sort"),
+        F.lit(r.direction).alias("direction"),
+    )
