@@ -227,3 +227,25 @@ def bm25_postings(p: Postings, requests: DataFrame, id_col: str = "query_id", q_
         b,
     )
     return hits.groupBy("query_id", "key").agg(F.sum(contrib).alias("score"))
+
+
+def bm25_index(p: Postings, q: str | None, k1: float = K1, b: float = B) -> DataFrame:
+    """``(key, score)`` for one request from a persisted index.
+
+    The request's grams are literals, so ``gram IN (...)`` reaches the
+    Parquet reader and, with postings sorted by (field, gram), only the row
+    groups holding those grams are read.  Equal to :func:`bm25_scan`.
+    """
+    grams = query_grams(q)
+    if not grams:
+        return p.postings.sparkSession.createDataFrame([], "key long, score double")
+    hits = p.postings.filter(F.col("gram").isin(grams))
+    g = p.grams.filter(F.col("gram").isin(grams))
+    # per-field statistics: one row per text field (a fixed, tiny set)
+    joined = hits.join(g, ["field", "gram"]).join(F.broadcast(p.fields), "field")
+    contrib = _term(
+        F.col("tf").cast("double"), F.col("dl").cast("double"),
+        F.col("sum_dl").cast("double") / F.col("n").cast("double"),
+        F.col("df").cast("double"), F.col("n").cast("double"), k1, b,
+    )
+    return joined.groupBy("key").agg(F.sum(contrib).alias("score"))

@@ -199,13 +199,23 @@ def apply_radius(df: DataFrame, lng: float, lat: float, radius_m: float, positio
     return with_dist.filter(F.col("meter_distance") <= F.lit(float(radius_m)))
 
 
-def matches(df: DataFrame, params: SearchParams, entity: Entity, r: Resolved | None = None) -> DataFrame:
+def matches(df: DataFrame, params: SearchParams, entity: Entity, r: Resolved | None = None,
+            index=None) -> DataFrame:
     """All matching rows with ``score`` and ``meter_distance`` (no paging).
 
     ``df`` is the whole table: text statistics are taken before filters.
+    With ``index`` (a persisted :class:`~firmament.operators.bm25.Postings`
+    of the same table and fields), scores come from the index instead of a
+    scan of every text value; results are the same.
     """
     r = r or validate(params, entity)
-    if r.has_q:
+    if r.has_q and index is not None:
+        from firmament.operators.bm25 import bm25_index
+        from firmament.operators.util import broadcast_if_small
+
+        scores = broadcast_if_small(bm25_index(index, params.q).withColumnRenamed("key", entity.key))
+        out = df.join(scores, entity.key, "inner")
+    elif r.has_q:
         out = bm25_scan(df, list(entity.text_fields), params.q)
     else:
         out = df.withColumn("score", F.lit(None).cast("double"))
@@ -222,10 +232,10 @@ def total(matched: DataFrame) -> Column:
     return matched.agg(F.count(F.lit(1)).alias("total")).scalar()
 
 
-def search(df: DataFrame, params: SearchParams, entity: Entity = ESTABLISHMENT) -> DataFrame:
+def search(df: DataFrame, params: SearchParams, entity: Entity = ESTABLISHMENT, index=None) -> DataFrame:
     """One page of results plus ``total``; see the module docstring."""
     r = validate(params, entity)
-    m = matches(df, params, entity, r)
+    m = matches(df, params, entity, r, index)
     columns = [c for c in entity.columns if c in df.columns]
     extra = ["meter_distance"] if entity.has_geo else []
     page = m.orderBy(*sort_columns(r, entity.key)).offset(r.offset).limit(r.limit)

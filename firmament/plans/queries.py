@@ -1029,3 +1029,26 @@ def search_response_json(spark, sf_dir):
     distance left out when NULL).  Rows-only: JSON text differs by engine."""
     page = S.search(T.establishments(spark, sf_dir), P(q="red widget", lat=46.5, lng=3.0, radius=150_000.0, limit=25))
     return LK.render_json(T.flat_position(page))
+
+
+def _establishment_index(spark, sf_dir) -> BM.Postings:
+    """Postings of the stored establishment table (search text and commune),
+    built and written once per session like the stored table itself."""
+    from firmament.session import scratch_path
+
+    k = (spark.sparkContext.applicationId, sf_dir, "establishment")
+    if k not in _INDEXES:
+        built = BM.build_postings(T.establishments(spark, sf_dir), "siret", list(S.ESTABLISHMENT.text_fields))
+        _INDEXES[k] = BM.write_postings(built, scratch_path(spark, "establishment-index"))
+    return _INDEXES[k]
+
+
+_COMBINED = P(q="red widget", lat=46.5, lng=3.0, radius=150_000.0, filters={"etablissement_siege": False}, limit=25)
+
+
+@register("search_combined_index", O.search_sql(_COMBINED, S.ESTABLISHMENT))
+def search_combined_index(spark, sf_dir):
+    """T-6 through the postings index (T-4): same request and results as
+    ``search_combined``, without scanning every text value."""
+    page = S.search(T.establishments(spark, sf_dir), _COMBINED, S.ESTABLISHMENT, index=_establishment_index(spark, sf_dir))
+    return _round_search(page, S.ESTABLISHMENT)
