@@ -94,3 +94,31 @@ def test_radius_join_equals_brute_force_and_plan(spark):
     assert got == expect and expect
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan
+
+
+def lambert_forward(lng, lat):
+    """Plain-Python forward Lambert-93 (for the round-trip check)."""
+    e, n, c, xs, ys = geo.LAMBERT_E, geo.LAMBERT_N, geo.LAMBERT_C, geo.LAMBERT_XS, geo.LAMBERT_YS
+    phi = math.radians(lat)
+    iso = math.log(math.tan(math.pi / 4 + phi / 2) * ((1 - e * math.sin(phi)) / (1 + e * math.sin(phi))) ** (e / 2))
+    r = c * math.exp(-n * iso)
+    gamma = n * math.radians(lng - geo.LAMBERT_LON0_DEG)
+    return xs + r * math.sin(gamma), ys - r * math.cos(gamma)
+
+
+def test_forward_then_inverse_is_identity(spark):
+    pts = [(2.3522, 48.8566), (-4.48, 48.39), (7.75, 48.58), (9.45, 42.7), (3.0, 46.5), (-1.0, 43.5)]
+    rows = [tuple(map(repr, lambert_forward(*p))) for p in pts]
+    df = spark.createDataFrame(rows, "x string, y string")
+    got = df.select(geo.lambert93_to_wgs84("x", "y").alias("p")).collect()
+    for (lng, lat), r in zip(pts, got):
+        assert r.p.x == pytest.approx(lng, abs=1e-9) and r.p.y == pytest.approx(lat, abs=1e-9)
+
+
+def test_column_and_dataframe_geodesic_agree(spark):
+    df = _points(spark)
+    a = {r.siret: r.d for r in df.select("siret", geo.geodesic_m(F.col("position.x"), F.col("position.y"),
+                                                                 F.lit(3.1), F.lit(46.4)).alias("d")).collect()}
+    b = {r.siret: r.meter_distance for r in geo.with_geodesic(df, F.col("position.x"), F.col("position.y"),
+                                                               F.lit(3.1), F.lit(46.4)).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)

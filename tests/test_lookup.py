@@ -51,3 +51,17 @@ def test_render_json_omits_only_score_and_distance(spark):
     docs = [json.loads(r.json) for r in LK.render_json(df).collect()]
     assert docs[0] == {"siret": 1, "name": None}
     assert docs[1] == {"siret": 2, "name": "x", "score": 1.5}
+
+
+def test_union_join_equals_or_join(spark):
+    import random
+
+    rnd = random.Random(3)
+    links = spark.createDataFrame([(rnd.randint(0, 30), rnd.randint(0, 30)) for _ in range(200)],
+                                  "predecesseur long, successeur long")
+    keys = spark.createDataFrame([(k,) for k in range(0, 30, 3)], "siret long")
+    got = sorted(map(tuple, LK.succession(keys, links).select("siret", "predecesseur", "successeur").collect()))
+    ks = {r.siret for r in keys.collect()}
+    expect = sorted((k, r.predecesseur, r.successeur) for r in links.collect() for k in ks
+                    if r.predecesseur == k or r.successeur == k)
+    assert got == expect
