@@ -1052,3 +1052,34 @@ def search_combined_index(spark, sf_dir):
     ``search_combined``, without scanning every text value."""
     page = S.search(T.establishments(spark, sf_dir), _COMBINED, S.ESTABLISHMENT, index=_establishment_index(spark, sf_dir))
     return _round_search(page, S.ESTABLISHMENT)
+
+
+_PRECOND_LEDGER_SQL = f"""SELECT group_type,
+      CASE group_type WHEN 'etablissements' THEN high_water_mark WHEN 'liens_succession' THEN high_water_mark END
+        AS staging_imported_timestamp,
+      CASE group_type WHEN 'etablissements' THEN high_water_mark - INTERVAL 1 DAY
+                      WHEN 'liens_succession' THEN high_water_mark END AS last_imported_timestamp
+    FROM ({_HWM_SQL}) h"""
+
+
+@register(
+    "publish_preconditions",
+    f"""SELECT group_type, staging_imported_timestamp, last_imported_timestamp,
+      CASE WHEN staging_imported_timestamp IS NULL THEN 'nothing to swap'
+           WHEN last_imported_timestamp IS NOT NULL AND staging_imported_timestamp <= last_imported_timestamp
+             THEN 'already imported' ELSE 'ready' END AS verdict
+    FROM ({_PRECOND_LEDGER_SQL}) l""",
+)
+def publish_preconditions(spark, sf_dir):
+    """M-7 on a load ledger derived from the tables' high-water marks: one
+    dataset staged and newer (ready), one staged but not newer (already
+    imported), one not staged (nothing to swap)."""
+    h = _hwm(spark, sf_dir)
+    hw, g = F.col("high_water_mark"), F.col("group_type")
+    ledger = h.select(
+        "group_type",
+        F.when(g.isin("etablissements", "liens_succession"), hw).alias("staging_imported_timestamp"),
+        F.when(g == "etablissements", hw - F.expr("INTERVAL 1 DAY")).when(g == "liens_succession", hw)
+        .alias("last_imported_timestamp"),
+    )
+    return PB.preconditions(ledger)
