@@ -183,12 +183,14 @@ def build_postings(df: DataFrame, key: str, fields: list[str], long_text: bool =
 
 
 def write_postings(p: Postings, path: str, partitions: int | None = None) -> Postings:
-    """Persist the index: postings clustered and sorted by gram so that a
-    ``gram IN (...)`` predicate prunes row groups, and the two small tables."""
+    """Persist the index: postings range-partitioned and sorted by gram so
+    that a ``gram IN (...)`` predicate prunes files and row groups, and the
+    per-gram and per-field tables."""
     spark = p.postings.sparkSession
-    out = p.postings
-    if partitions:
-        out = out.repartitionByRange(partitions, "field", "gram")
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Files cover gram ranges (file-level min/max prune too); the key as last
+    # range column splits a very common gram over several files.
+    out = p.postings.repartitionByRange(n, "field", "gram", "key")
     out.sortWithinPartitions("field", "gram", "key").write.mode("overwrite").parquet(f"{path}/postings")
     p.grams.write.mode("overwrite").parquet(f"{path}/grams")
     p.fields.write.mode("overwrite").parquet(f"{path}/fields")

@@ -56,7 +56,9 @@ def derive_establishments(e: DataFrame, points: DataFrame) -> DataFrame:
         .withColumn("cell_x", cell(F.col("position")["x"]))
     )
     n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, "cell_y", "cell_x").sortWithinPartitions("cell_y", "cell_x")
+    # The key as last range column lets boundaries fall inside one cell, so a
+    # dense cell (a big city) is split over several files instead of one.
+    return out.repartitionByRange(n, "cell_y", "cell_x", "siret").sortWithinPartitions("cell_y", "cell_x")
 
 
 def establishments(spark: SparkSession, sf_dir: str) -> DataFrame:
