@@ -22,6 +22,13 @@ STEPS = ("UpdateData", "SwapData", "SyncInsee")
 STATUSES = ("launched", "finished", "error")
 
 
+def ntz(ts: dt.datetime | str) -> Column:
+    """A TIMESTAMP_NTZ literal from ISO text, independent of the session and
+    Python time zones (a Python ``datetime`` literal becomes a zoned TIMESTAMP)."""
+    text = ts.isoformat(sep=" ") if isinstance(ts, dt.datetime) else str(ts)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def high_water_mark(df: DataFrame, ts_col: str, alias: str = "high_water_mark") -> DataFrame:
     """Greatest non-null timestamp; one row, NULL on an empty table."""
     return df.agg(F.max(F.col(ts_col)).alias(alias))
@@ -29,7 +36,7 @@ def high_water_mark(df: DataFrame, ts_col: str, alias: str = "high_water_mark")
 
 def sync_start(hwm: Column, as_of: dt.datetime, days: int = LOOKBACK_DAYS) -> Column:
     """``max(hwm, as_of - days)``, NULL when there is no high-water mark."""
-    floor = F.lit(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+    floor = ntz(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     return F.when(hwm.isNull(), F.lit(None)).otherwise(F.greatest(hwm, floor))
 
 
@@ -53,7 +60,7 @@ def latest(df: DataFrame, key: str, order_cols: list[str], where: Column | None
 
 def stale(df: DataFrame, key: str, ts_col: str, as_of: dt.datetime, hours: int = STUCK_HOURS) -> DataFrame:
     """Keys whose newest timestamp is strictly older than ``as_of - hours``."""
-    limit = F.lit(as_of) - F.expr(f"INTERVAL {int(hours)} HOURS")
+    limit = ntz(as_of) - F.expr(f"INTERVAL {int(hours)} HOURS")
     return df.groupBy(key).agg(F.max(ts_col).alias("last_ts")).filter(F.col("last_ts") < limit)
 
 
@@ -98,19 +105,27 @@ def keyed_update(df: DataFrame, key: str, key_value, values: dict) -> DataFrame:
     hit = F.col(key) == F.lit(key_value)
     diff = None
     for c, v in values.items():
-        d = ~F.col(c).eqNullSafe(F.lit(v))
+        d = ~F.col(c).eqNullSafe(_value(v).cast(df.schema[c].dataType))
         diff = d if diff is None else (diff | d)
     out = df.withColumn("changed", F.coalesce(hit & diff, F.lit(False)))
     for c, v in values.items():
-        out = out.withColumn(c, F.when(hit, F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c)))
+        out = out.withColumn(c, F.when(hit, _value(v).cast(df.schema[c].dataType)).otherwise(F.col(c)))
     return out
 
 
+def _value(v) -> Column:
+    if isinstance(v, Column):
+        return v
+    if isinstance(v, dt.datetime):
+        return ntz(v)
+    return F.lit(v)
+
+
 def conditional_update(df: DataFrame, predicate: Column, values: dict) -> DataFrame:
     """Set ``values`` on every row where ``predicate`` holds; others untouched."""
     out = df
     for c, v in values.items():
-        val = v if isinstance(v, Column) else F.lit(v)
+        val = _value(v)
         out = out.withColumn(c, F.when(F.coalesce(predicate, F.lit(False)), val.cast(df.schema[c].dataType)).otherwise(F.col(c)))
     return out
 

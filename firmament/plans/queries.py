@@ -475,7 +475,7 @@ def keyed_update(spark, sf_dir):
 def conditional_update(spark, sf_dir):
     runs = fixtures.table(spark, sf_dir, "runs")
     return L.conditional_update(
-        runs, F.col("status") == "launched", {"finished_timestamp": F.lit(RUN_AS_OF), "status": "finished"}
+        runs, F.col("status") == "launched", {"finished_timestamp": RUN_AS_OF, "status": "finished"}
     )
 
 
