@@ -122,3 +122,10 @@ def test_column_and_dataframe_geodesic_agree(spark):
     b = {r.siret: r.meter_distance for r in geo.with_geodesic(df, F.col("position.x"), F.col("position.y"),
                                                                F.lit(3.1), F.lit(46.4)).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
+
+
+def test_radius_join_rejects_huge_radius(spark):
+    df = _points(spark)
+    q = spark.createDataFrame([(1, 3.0, 46.5, 6_000_000.0)], "point_id int, lng double, lat double, radius double")
+    with pytest.raises(Exception):
+        GJ.radius_join(q, df).collect()
