@@ -53,3 +53,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused directory under the checkpoint root."""
     root = checkpoint_root(spark)
     return os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cluster_conf(input_bytes: int, executor_cores: int = 4, executor_memory_gb: int = 16) -> dict[str, str]:
+    """Session settings for a large cluster, sized from the input volume.
+
+    * Shuffle partitions start at about one per 256 MB of input (at least
+      2,000); AQE coalesces small ones and splits skewed ones at run time.
+    * File splits of 256 MB keep a scan task well inside executor memory.
+    * Skew join handling is on: a key holding a large share of the rows is
+      split over several tasks instead of landing in one.
+    * The automatic broadcast threshold stays moderate; this library
+      broadcasts larger sides only after counting them
+      (:func:`firmament.operators.util.broadcast_if_small`).
+    """
+    per_partition = 256 * 1024 * 1024
+    partitions = max(2000, int(input_bytes // per_partition))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(per_partition),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(per_partition),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(per_partition),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.optimizer.nestedSchemaPruning.enabled": "true",
+        "spark.executor.cores": str(executor_cores),
+        "spark.executor.memory": f"{executor_memory_gb}g",
+    }
