@@ -74,23 +74,26 @@ def ngrams(col: str | Column, sizes=GRAM_SIZES) -> Column:
 def ngrams_long(col: str | Column, sizes=GRAM_SIZES) -> Column:
     """Grams of long text: split into characters once, then join neighbours.
 
-    Character access in an array is constant time, so the cost is linear in
-    the text length (``substring`` per position would be quadratic).
+    The character array is bound to a lambda variable (``transform`` over a
+    one-element array) so it is computed once per value: referenced directly
+    inside the per-position lambda, the split would be re-evaluated for every
+    position, which is quadratic in the text length.  Element access in an
+    array is constant time, so the whole is linear.
     """
-    chars = F.split(normalized(col), "")
-    n = F.size(chars)
-    arrays = []
-    for s in sizes:
-        arrays.append(
-            F.when(
-                n >= s,
-                F.transform(
-                    F.sequence(F.lit(1), n - F.lit(s - 1)),
-                    _joined_at(chars, s),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-        )
-    return F.concat(*arrays)
+
+    def from_chars(chars: Column) -> Column:
+        n = F.size(chars)
+        arrays = []
+        for s in sizes:
+            arrays.append(
+                F.when(
+                    n >= s,
+                    F.transform(F.sequence(F.lit(1), n - F.lit(s - 1)), _joined_at(chars, s)),
+                ).otherwise(F.array().cast("array<string>"))
+            )
+        return F.concat(*arrays)
+
+    return F.element_at(F.transform(F.array(F.split(normalized(col), "")), from_chars), 1)
 
 
 def query_grams(q: str | None, sizes=GRAM_SIZES) -> list[str]:
