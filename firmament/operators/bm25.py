@@ -157,14 +157,10 @@ def build_postings(df: DataFrame, key: str, fields: list[str], long_text: bool =
     df = spread(df)
     parts = []
     for f in fields:
-        parts.append(
-            df.select(
-                F.col(key).alias("key"),
-                F.lit(f).alias("field"),
-                F.explode(make(f)).alias("gram"),
-                gram_length(f).alias("dl"),
-            )
-        )
+        # Length and gram array are computed before the explode: a text-wide
+        # expression next to the generator would be evaluated once per gram.
+        per_doc = df.select(F.col(key).alias("key"), gram_length(f).alias("dl"), make(f).alias("_grams"))
+        parts.append(per_doc.select("key", F.lit(f).alias("field"), F.explode("_grams").alias("gram"), "dl"))
     exploded = parts[0]
     for p in parts[1:]:
         exploded = exploded.unionByName(p)
