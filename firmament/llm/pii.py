@@ -93,12 +93,13 @@ def base_spans(text: Column) -> Column:
         (CARD, F.lit(True), long_card),
         (PHONE, text.contains("+"), lambda s: F.char_length(_digits(s["value"])).between(9, 15)),
     )
-    kinds = []
-    for kind, (pattern, possible, keep) in enumerate(rules):
+
+    def of(kind: int, pattern: str, possible: Column, keep) -> Column:
         found = F.when(possible, matches(text, pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
         found = F.filter(found, keep) if keep else found
-        kinds.append(F.transform(found, lambda s, kind=kind: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
-    return F.array_sort(F.concat(*kinds))
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+
+    return F.array_sort(F.concat(*[of(kind, *rule) for kind, rule in enumerate(rules)]))
 
 
 def nearby(text: Column, spans: Column, reach: int) -> Column:
@@ -186,8 +187,11 @@ def digest(found: DataFrame) -> DataFrame:
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     base = F.filter(spans, lambda s: s["kind"] < len(KINDS) - 1)
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
