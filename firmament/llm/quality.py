@@ -159,8 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         x = encode(text)
         return x.astype("<f2").tobytes() if len(x) else None
 
-    got = texts.select("id", "y", F.udf(of, "binary")("text").alias("x")).filter("x is not null").collect()
-    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in got)
+    # no filter on x: it would be pushed below the join, to all rows
+    got = texts.select("id", "y", F.udf(of, "binary")("text").alias("x")).collect()
+    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in got if r["x"] is not None)
     if not got:
         return Model()
     y = np.array([r[1] for r in got], float)
