@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from firmament.llm import decontaminate, hnsw, html_text, langid, linkgraph, mixing, pii, quality, secret_scan, simhash
+from firmament.llm.store import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # of the secret scan's dictionary
 
@@ -20,7 +21,7 @@ URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "bl
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,11 @@ column pruning and gives adaptive execution true sizes.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +54,21 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     out, and the join shuffles both sides.
     """
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, as ``--py-files`` would, unless the
+    environment already names its folder on PYTHONPATH."""
+    sc = spark.sparkContext
+    top = Path(__file__).resolve().parents[2]
+    if str(top) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and sc.applicationId not in _SHIPPED:
+        package = Path(tempfile.mkdtemp(prefix="firmament-package-")) / "firmament.zip"  # the driver serves it
+        with zipfile.ZipFile(package, "w") as out:
+            for file in sorted(top.glob("firmament/**/*.py")):
+                out.write(file, file.relative_to(top))
+        sc.addPyFile(str(package))
+        _SHIPPED.add(sc.applicationId)
+    return spark
