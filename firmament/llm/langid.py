@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.store import id_bucket
+from firmament.llm.store import id_bucket, saved
 
 SIZES = (512, 1024, 2048)  # hashed one-, two- and three-grams
 DIMS = sum(SIZES)
@@ -138,17 +138,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model from at most about ``per_language`` documents of each language
     of ``docs``; their feature vectors (7 KB each) are what the driver gets."""
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = saved(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     rows = rows.join(counts, "lang").filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < F.lit(1e6 * per_language) / F.col("n"))
 
     def of(text):
         x = features(text)
         return None if x is None else x.astype("<f2").tobytes()
 
-    got = rows.select("lang", F.udf(of, "binary")("text").alias("x")).filter("x is not null").collect()
+    # no filter on x: it would be pushed below the join, to all rows
+    got = rows.select("lang", F.udf(of, "binary")("text").alias("x")).collect()
+    got = sorted((r["lang"], bytes(r["x"])) for r in got if r["x"] is not None)
     if not got:
         return Model({}, {}, {})
-    got = sorted((r["lang"], bytes(r["x"])) for r in got)
     return fit(np.stack([np.frombuffer(b, "<f2").astype(float) for _, b in got]), [lang for lang, _ in got])
 
 
