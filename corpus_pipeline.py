@@ -17,19 +17,23 @@ from pyspark.sql import functions as F
 
 from firmament.llm import decontaminate, langid, mixing, secret_scan, simhash
 from firmament.llm.queries import VOCABULARY
-from firmament.llm.store import saved, text_key
+from firmament.llm.store import saved, ship, text_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return langid.accepted(docs, langid.train(langid.learned(docs)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group; rows that repeat id and text are one document."""
-    kept = saved(simhash.near_duplicates(docs).filter("kept").select("doc_id", F.col("text_key").alias("_kept")).distinct(), "kept")
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    same = (keyed["_key"] == kept["_kept"]) & keyed["doc_id"].eqNullSafe(kept["doc_id"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    ship(spark)
+    # one key for id and text: the join and the dropping of repeats share one shuffle
+    row_key = F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_text")).cast("binary")).alias("_row")
+    groups = simhash.near_duplicates(docs).filter("kept").withColumnRenamed("text_key", "_text")
+    kept = saved(groups.select(row_key).distinct(), "kept")
+    keyed = docs.withColumn("_text", text_key(F.col("text"))).select(*docs.columns, row_key)
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +41,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return secret_scan.redact(docs, secret_scan.dictionary(VOCABULARY))
 
 
