@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from firmament.llm.store import saved, small, text_key
 
 BROADCAST_ROWS = 2_000_000  # of (hash, item) rows of 16 bytes: 32 MB
+BROADCAST_KEYS = 1_000_000  # of text keys of 32 bytes: 32 MB; beyond, texts are shuffled
 
 
 def shingles(text: Column, n_words: int) -> Column:
@@ -70,7 +71,8 @@ def contained(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     found = probed.join(small(sketch, BROADCAST_ROWS), "h").select("text_key", "item_id").distinct()
     found = saved(found, "candidates")
 
-    once = texts.join(found.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    candidates = saved(found.select("text_key").distinct(), "candidate-texts")
+    once = texts.join(small(candidates, BROADCAST_KEYS), "text_key", "left_semi").dropDuplicates(["text_key"])
     held = once.select("text_key", F.explode(F.array_distinct(shingles(F.col("text"), n_words))).alias("shingle"))
     shared = held.join(small(shingled, BROADCAST_ROWS // 8), "shingle").groupBy("text_key", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     shared = shared.filter(F.col("n_shared") >= F.col("n_item") * F.lit(threshold) - F.lit(1e-9))
@@ -91,8 +93,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no item, with their own columns."""
     keys = saved(contained(docs, items, text_col, **options).select("text_key").distinct(), "held")
-    key = "_text_key"
-    return docs.withColumn(key, text_key(F.col(text_col))).join(keys, F.col(key) == keys["text_key"], "left_anti").drop(key)
+    keys, key = keys.withColumnRenamed("text_key", "_text_key"), text_key(F.col(text_col))
+    return docs.withColumn("_text_key", key).join(small(keys, BROADCAST_KEYS), "_text_key", "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
