@@ -12,12 +12,12 @@ benchmark item.  The secret scan keeps every document and writes secrets as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmament.llm import decontaminate, langid, mixing, secret_scan, simhash
 from firmament.llm.queries import VOCABULARY
-from firmament.llm.store import saved, ship, text_key
+from firmament.llm.store import saved, ship, text_key, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group; rows that repeat id and text are one document."""
     ship(spark)
     # one key for id and text: the join and the dropping of repeats share one shuffle
-    row_key = F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_text")).cast("binary")).alias("_row")
-    groups = simhash.near_duplicates(docs).filter("kept").withColumnRenamed("text_key", "_text")
-    kept = saved(groups.select(row_key).distinct(), "kept")
-    keyed = docs.withColumn("_text", text_key(F.col("text"))).select(*docs.columns, row_key)
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    row = unused(docs, "row")
+
+    def row_key(text: Column) -> Column:
+        return F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).cast("binary")).alias(row)
+
+    groups = simhash.near_duplicates(docs).filter("kept")
+    kept = saved(groups.select(row_key(F.col("text_key"))).distinct(), "kept")
+    keyed = docs.select("*", row_key(text_key(F.col("text"))))
+    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

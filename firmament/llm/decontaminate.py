@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.store import saved, small, text_key
+from firmament.llm.store import saved, small, text_key, unused
 
 BROADCAST_ROWS = 2_000_000  # of (hash, item) rows of 16 bytes: 32 MB
 BROADCAST_KEYS = 1_000_000  # of text keys of 32 bytes: 32 MB; beyond, texts are shuffled
@@ -93,13 +93,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no item, with their own columns."""
     keys = saved(contained(docs, items, text_col, **options).select("text_key").distinct(), "held")
-    keys, key = keys.withColumnRenamed("text_key", "_text_key"), text_key(F.col(text_col))
-    return docs.withColumn("_text_key", key).join(small(keys, BROADCAST_KEYS), "_text_key", "left_anti").select(*docs.columns)
+    key = unused(docs, "text_key")
+    keys, keyed = keys.withColumnRenamed("text_key", key), docs.withColumn(key, text_key(F.col(text_col)))
+    return keyed.join(small(keys, BROADCAST_KEYS), key, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
-WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
-bw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+WITH dw AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents),
+bw AS (SELECT item_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM benchmark),
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
        FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM dw WHERE len(w) > 0)),
 bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s

@@ -425,8 +425,11 @@ def fit(sources: list[str], layouts: int = 3, seed: int = 5) -> Trees:
         plain = ["A plain sentence, as an article has many of them.", "Another sentence; it follows the first."]
         texts, stray = [(plain, ["menu", "about us", "all rights reserved"])] * 60, plain
     for content, other in texts:
-        for _ in range(layouts):
-            source = layout(content[:40], other, stray, rng)
+        for k in range(layouts):
+            # some pages hold little: a block or two, or a few words
+            some = content[: rng.choice((1, 2, 6))] if k == 0 else content[:40]
+            some = [" ".join(some[0].split()[: rng.randint(1, 4)])] if k == 0 and some and rng.random() < 0.3 else some
+            source = layout(some, other, stray, rng)
             page = parse(source)
             x.append(features(page))
             y.append(layout_labels(page, source))

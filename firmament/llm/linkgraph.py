@@ -81,9 +81,11 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, tole
     return ranks.select("host", (F.col("rank") / F.lit(total)).alias("rank"))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, threshold: float = 0.0) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, threshold: float = 0.0, seed_share: float = 0.5) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
+    A host is a seed if at least ``seed_share`` of its pages are allowed or
+    blocked by a rule, so a rule for one section doesn't condemn a host.
     ``threshold`` is in units of the mean rank a host would have if all were
     equal; 0 blocks any host with more distrust than trust."""
     host, path = split_url(F.col(url_col))
@@ -97,7 +99,7 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     n_hosts = max(1, tallies.count())
 
     def seeds(kind: str) -> DataFrame:
-        of = tallies.filter(F.col(kind) > 0).select("host", (F.col(kind) / F.col("pages")).alias("seed"))
+        of = tallies.filter(F.col(kind) >= seed_share * F.col("pages")).select("host", (F.col(kind) / F.col("pages")).alias("seed"))
         total = of.agg(F.sum("seed")).first()[0] or 1.0
         return of.select("host", (F.col("seed") / F.lit(total)).alias("seed"))
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.store import saved, small, text_key
+from firmament.llm.store import saved, small, text_key, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # Leftmost, non-overlapping.  Possessive repeats and starts only where a run
@@ -209,7 +209,7 @@ def sanitised(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Data
 
     begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.char_length(text)))
-    own = [c for c in docs.columns]
-    keyed = docs.withColumn("_key", text_key(text)).join(per_text.select(F.col("text_key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left")
-    changed = F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", begin, step, rest)).otherwise(text)
-    return keyed.withColumn(text_col, changed).select(*own)
+    key, spans = unused(docs, "text_key"), unused(docs, "spans")
+    keyed = docs.withColumn(key, text_key(text)).join(per_text.select(F.col("text_key").alias(key), F.col("spans").alias(spans)), key, "left")
+    changed = F.when(F.col(spans).isNotNull(), F.aggregate(spans, begin, step, rest)).otherwise(text)
+    return keyed.withColumn(text_col, changed).select(*docs.columns)

@@ -30,6 +30,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmament.llm.store import unused
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -154,11 +156,14 @@ def segments(value: str, words: dict[str, int]) -> list[list[tuple[int, float, s
 def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[tuple[int, int, str]]]:
     """Least log10 guesses of a value, and its segments (start, end, kind)."""
     each, ends = _alphabet(value), segments(value, words)
-    best: list[float] = [0.0]
-    how: list[tuple[int, str]] = [(0, "")]
+    # least cost of each prefix, and of those that end in a brute-force run; the last segment of both
+    best, how = [0.0], [(0, "")]
+    brute, begun = math.inf, 0
     for j in range(1, len(value) + 1):
-        # one more character of a brute-force run, or a new run, or a pattern
-        cost, step = best[j - 1] + each + (0.0 if how[j - 1][1] == "brute" else SEGMENT), (j - 1, "brute")
+        if best[j - 1] + SEGMENT < brute:
+            brute, begun = best[j - 1] + SEGMENT, j - 1
+        brute += each
+        cost, step = brute, (begun, "brute")
         for i, guesses, kind in ends[j]:
             if best[i] + guesses + SEGMENT < cost:
                 cost, step = best[i] + guesses + SEGMENT, (i, kind)
@@ -167,8 +172,6 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[tuple[int
     cuts, j = [], len(value)
     while j:
         i, kind = how[j]
-        while kind == "brute" and i and how[i][1] == "brute":
-            i = how[i][0]
         cuts.append((i, j, kind))
         j = i
     return best[-1], cuts[::-1]
@@ -251,8 +254,9 @@ def redact(docs: DataFrame, words: dict[str, int], text_col: str = "text", chars
         spans = scan(text, shared.value, min_log10)
         return redacted(text, spans) if spans else None
 
-    out = docs.withColumn("_redacted", F.udf(of, "string")(F.col(text_col)))
+    new = unused(docs, "redacted")
+    out = docs.withColumn(new, F.udf(of, "string")(F.col(text_col)))
     if chars_col and chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType
-        out = out.withColumn(chars_col, F.when(F.col("_redacted").isNotNull(), F.char_length("_redacted").cast(kind)).otherwise(F.col(chars_col)))
-    return out.withColumn(text_col, F.coalesce("_redacted", F.col(text_col))).select(*docs.columns)
+        out = out.withColumn(chars_col, F.when(F.col(new).isNotNull(), F.char_length(new).cast(kind)).otherwise(F.col(chars_col)))
+    return out.withColumn(text_col, F.coalesce(new, F.col(text_col))).select(*docs.columns)

@@ -37,6 +37,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """128-bit key of a text (null as empty): equal texts and only they share it."""
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
