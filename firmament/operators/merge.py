@@ -2,7 +2,7 @@
 
 Parquet tables have no ``MERGE``; an upsert is expressed as
 
-    updated  = base LEFT JOIN delta   (delta broadcast when its size allows)
+    updated  = base LEFT JOIN delta   (adaptive execution broadcasts a small delta)
     inserted = delta LEFT ANTI JOIN base(key)
 
 so the big side is scanned once and never shuffled when the delta is small.
@@ -18,8 +18,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.operators.util import broadcast_if_small
-
 
 def latest_per_key(delta: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     """One row per key: the greatest by ``order_cols`` (e.g. ts, page, position).
@@ -59,16 +57,18 @@ def upsert(
       list but the feed never fills them).
     * No ordering guard by default: an incoming row replaces the stored one
       even when older.  ``guard_ts`` names a timestamp column to keep the
-      stored row when it is newer.
+      stored row when it is newer; an incoming row without a timestamp never
+      replaces a stored row that has one.  Counts are of rows replaced.
     """
     d = latest_per_key(delta.select(key, *set_cols, *[c for c in order_cols if c not in set_cols]), key, order_cols)
     d = d.select(key, *set_cols)
     renamed = d.select(key, *[F.col(c).alias(f"_new_{c}") for c in set_cols], F.lit(True).alias("_hit"))
-    renamed = broadcast_if_small(renamed)
+    renamed = renamed
     joined = base.join(renamed, key, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     if guard_ts:
-        hit = hit & (F.col(guard_ts).isNull() | (F.col(f"_new_{guard_ts}") >= F.col(guard_ts)))
+        newer = F.coalesce(F.col(f"_new_{guard_ts}") >= F.col(guard_ts), F.lit(False))
+        hit = hit & (F.col(guard_ts).isNull() | newer)
     out_cols = []
     for c in base.columns:
         if c in set_cols:
@@ -79,15 +79,16 @@ def upsert(
             out_cols.append(F.col(c))
     updated = joined.select(*out_cols)
     # Stored keys that the delta touches: the stored table streams past the
-    # (broadcast) delta keys, so it is never the build side of a join.
-    matched = base.select(key).join(broadcast_if_small(d.select(key)), key, "left_semi")
-    inserted = d.join(broadcast_if_small(matched), key, "left_anti")
+    # delta keys, so it is never the build side of a join.
+    matched = base.select(key).join(d.select(key), key, "left_semi")
+    inserted = d.join(matched, key, "left_anti")
     for f in base.schema.fields:
         if f.name not in inserted.columns:
             inserted = inserted.withColumn(f.name, F.lit(None).cast(f.dataType))
     result = updated.unionByName(inserted.select(*base.columns))
-    n_updated = matched.agg(F.count(F.lit(1))).scalar()
-    counts = d.agg((F.count(F.lit(1)) - n_updated).alias("inserted")).select("inserted", n_updated.alias("updated"))
+    n_matched = matched.agg(F.count(F.lit(1))).scalar()
+    n_updated = joined.filter(hit).agg(F.count(F.lit(1))).scalar() if guard_ts else n_matched
+    counts = d.agg((F.count(F.lit(1)) - n_matched).alias("inserted")).select("inserted", n_updated.alias("updated"))
     return Upsert(result, counts)
 
 
@@ -98,7 +99,7 @@ def append(base: DataFrame, delta: DataFrame, dedupe: bool = False) -> DataFrame
     if not dedupe:
         return base.unionByName(delta)
     d = delta.select(*base.columns).distinct()
-    db = broadcast_if_small(d.select(*[F.col(c).alias(f"_d_{c}") for c in base.columns]))
+    db = d.select(*[F.col(c).alias(f"_d_{c}") for c in base.columns])
     cond = None
     for c in base.columns:
         e = F.col(c).eqNullSafe(F.col(f"_d_{c}"))

@@ -59,3 +59,11 @@ def test_append_and_dedupe(spark):
     assert M.append(base, delta).count() == 5
     assert sorted(map(tuple, M.append(base, delta, dedupe=True).collect()), key=str) == sorted(
         [(1, "a"), (2, None), (3, "c")], key=str)
+
+
+def test_guarded_upsert_counts_what_it_replaces(spark):
+    base = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, "c", None)], "k int, v string, ts int")
+    delta = spark.createDataFrame([(1, "old", 4), (2, "none", None), (3, "new", 1), (4, "in", None)], "k int, v string, ts int")
+    up = M.upsert(base, delta, "k", ["v", "ts"], ["ts"], guard_ts="ts")
+    assert sorted((r.k, r.v) for r in up.result.collect()) == [(1, "a"), (2, "b"), (3, "new"), (4, "in")]
+    assert up.counts.first().asDict() == {"inserted": 1, "updated": 1}
