@@ -39,7 +39,6 @@ METRES_PER_DEG_LAT = 110574.0
 METRES_PER_DEG_LNG = 111320.0
 BOX_MARGIN = 1.01
 CELL_DEG = 0.05
-MAX_RADIUS_M = 5_000_000.0
 
 
 def let(bindings: dict[str, Column], body: Callable[[Column], Column]) -> Column:
@@ -204,8 +203,6 @@ def geodesic_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column
 def check_radius(radius_m: float) -> None:
     if radius_m is None or radius_m < 0:
         raise ValueError("radius must be a non-negative number of metres")
-    if radius_m > MAX_RADIUS_M:
-        raise ValueError("radius above 5,000 km: the fixed-iteration geodesic is not valid that far")
 
 
 def box(lng: float, lat: float, radius_m: float) -> tuple[float, float, float | None, float | None]:

@@ -61,9 +61,10 @@ def test_geodesic_against_python_and_identity(spark):
     assert nul.select(geo.geodesic_m(F.col("a"), F.col("b"), F.lit(0.0), F.lit(0.0)).alias("m")).first().m is None
 
 
-def test_radius_too_large_raises():
+def test_radius_must_not_be_negative():
     with pytest.raises(ValueError):
-        geo.check_radius(6_000_000)
+        geo.check_radius(-1.0)
+    geo.check_radius(6_000_000.0)
 
 
 def _points(spark):
@@ -124,8 +125,13 @@ def test_column_and_dataframe_geodesic_agree(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
 
 
-def test_radius_join_rejects_huge_radius(spark):
+def test_radius_join_of_mixed_radii(spark):
+    """1 km to 7,000 km in one join: every pair once, few cells per point."""
     df = _points(spark)
-    q = spark.createDataFrame([(1, 3.0, 46.5, 6_000_000.0)], "point_id int, lng double, lat double, radius double")
-    with pytest.raises(Exception):
-        GJ.radius_join(q, df).collect()
+    radii = [1_000.0, 30_000.0, 400_000.0, 6_000_000.0, 7_000_000.0]
+    q = spark.createDataFrame([(i, 3.0 + i / 10, 46.5, r) for i, r in enumerate(radii)] + [(9, 3.0, 89.9, 6_000_000.0)],
+                              "point_id int, lng double, lat double, radius double")
+    got = sorted((r.point_id, r.siret) for r in GJ.radius_join(q, df).collect())
+    d = df.crossJoin(q).withColumn("d", geo.geodesic_m(F.col("position.x"), F.col("position.y"), F.col("lng"), F.col("lat")))
+    assert got == sorted((r.point_id, r.siret) for r in d.filter("d <= radius").collect())
+    assert max(r["count"] for r in GJ.covering_cells(q).groupBy("point_id").count().collect()) <= 36
