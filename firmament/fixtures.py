@@ -16,7 +16,7 @@ BASE_TABLES = (
 ).split()
 
 LEGAL_UNIT = """
-SELECT c_custkey AS siren,
+SELECT c_custkey AS unit_id,
        CASE WHEN c_acctbal < 1000 THEN 'C' ELSE 'A' END AS etat_administratif,
        CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS denomination,
        CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE NULL END AS denomination_usuelle_1,
@@ -33,7 +33,7 @@ LEFT JOIN (SELECT o_custkey, MIN(CAST(o_orderdate AS DATE)) AS first_day, MAX(CA
 """
 
 ESTABLISHMENT = """
-SELECT o.o_orderkey AS siret, o.o_custkey AS siren, o.o_orderstatus AS etat_administratif,
+SELECT o.o_orderkey AS siret, o.o_custkey AS unit_id, o.o_orderstatus AS etat_administratif,
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS date_creation,
        CAST(o.o_orderdate AS DATE) AS date_debut,
        CASE WHEN o.o_orderkey % 6 = 0 THEN NULL ELSE p.p_name END AS denomination_usuelle,
@@ -58,7 +58,7 @@ LEFT JOIN (SELECT o_custkey, MIN(o_orderkey) AS head_key FROM orders WHERE o_ord
 # part key is computed before the join, so Spark plans an equi (hash) join
 # instead of a nested-loop join over orders x part.
 ESTABLISHMENT_SPARK = """
-SELECT o.o_orderkey AS siret, o.o_custkey AS siren, o.o_orderstatus AS etat_administratif,
+SELECT o.o_orderkey AS siret, o.o_custkey AS unit_id, o.o_orderstatus AS etat_administratif,
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS date_creation,
        CAST(o.o_orderdate AS DATE) AS date_debut,
        CASE WHEN o.o_orderkey % 6 = 0 THEN NULL ELSE p.p_name END AS denomination_usuelle,
@@ -101,13 +101,13 @@ WHERE predecesseur IS NOT NULL
 """
 
 DELTA = """
-SELECT user_id AS siren, event_type AS activite_principale, value, ts AS date_dernier_traitement,
+SELECT user_id AS unit_id, event_type AS activite_principale, value, ts AS date_dernier_traitement,
        CAST(FLOOR(event_id / 1000) AS BIGINT) AS page, event_id AS pos
 FROM events
 """
 
 PERIOD = """
-SELECT o_custkey AS siren, o_orderdate AS date_debut,
+SELECT o_custkey AS unit_id, o_orderdate AS date_debut,
        COALESCE(LEAD(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey),
                 CASE WHEN o_custkey % 9 = 0 THEN o_orderdate ELSE NULL END) AS date_fin,
        o_orderkey, o_orderstatus AS etat_administratif

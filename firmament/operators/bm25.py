@@ -31,7 +31,7 @@ from firmament.functions.text import (
     normalized,
     query_grams,
 )
-from firmament.operators.util import broadcast_if_small, spread
+
 
 # Fixed BM25 parameters.
 K1 = 1.2
@@ -78,7 +78,7 @@ def bm25_scan(
 
     # The statistics struct is bound once as a column: each reference to the
     # scalar subquery itself would carry (and optimize) its own copy of the plan.
-    hits = spread(prepared.filter(F.expr(any_hit))).select("*", stats.alias("_bm25_stats"))
+    hits = prepared.filter(F.expr(any_hit)).select("*", stats.alias("_bm25_stats"))
     tf_cols = {}
     exprs = []
     for i, n in enumerate(n_cols):
@@ -154,7 +154,7 @@ def build_postings(df: DataFrame, key: str, fields: list[str], long_text: bool =
     aggregation handles without a per-key task.
     """
     make = ngrams_long if long_text else ngrams
-    df = spread(df)
+    df = df
     parts = []
     for f in fields:
         # Length and gram array are computed before the explode: a text-wide
@@ -209,11 +209,11 @@ def bm25_postings(p: Postings, requests: DataFrame, id_col: str = "query_id", q_
     """``(query_id, key, score)`` for every (request, matching key) pair.
 
     Request grams are first joined with the per-gram frequencies (the request
-    side is counted and broadcast when small), then with the postings.
+    side stays small), then with the postings.
     """
-    qg = broadcast_if_small(request_grams(requests, id_col, q_col))
+    qg = request_grams(requests, id_col, q_col)
     qgd = qg.join(p.grams, "gram").join(F.broadcast(p.fields), "field")
-    qgd = broadcast_if_small(qgd)
+    qgd = qgd
     hits = qgd.join(p.postings, ["field", "gram"])
     contrib = _term(
         F.col("tf").cast("double"),

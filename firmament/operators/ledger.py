@@ -18,7 +18,7 @@ STUCK_HOURS = 1
 FEED_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 GROUP_TYPES = ("unites_legales", "etablissements", "liens_succession")
 SYNTHETIC_ALL = "all"
-STEPS = ("UpdateData", "SwapData", "SyncInsee")
+STEPS = ("UpdateData", "SwapData", "SyncFeed")
 STATUSES = ("launched", "finished", "error")
 
 

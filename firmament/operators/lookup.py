@@ -3,7 +3,7 @@
 The reference answers one key per request with three dependent point
 queries.  Here a DataFrame of keys is joined once: each step is an inner join
 (any missing part means "not found"), and misses are reported with an anti
-join.  Key lists are broadcast only after their size has been checked.
+join.  Joins carry no hint: adaptive execution broadcasts a small key list.
 """
 
 from __future__ import annotations
@@ -11,15 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.operators.util import broadcast_if_small
 
 # Key lengths in bytes.
-SIREN_LENGTH = 9
+UNIT_ID_LENGTH = 9
 SIRET_LENGTH = 14
 NESTED_CHUNK = 1000
 
 
-def head_office(establishments: DataFrame, unit_key: str = "siren", key: str = "siret",
+def head_office(establishments: DataFrame, unit_key: str = "unit_id", key: str = "siret",
                 flag: str = "etablissement_siege") -> DataFrame:
     """One head office per unit: among rows flagged as head office, the
     smallest key (the reference takes an arbitrary first row).
@@ -38,29 +37,28 @@ def head_office(establishments: DataFrame, unit_key: str = "siren", key: str = "
 
 def lookup_establishments(keys: DataFrame, establishments: DataFrame, units: DataFrame,
                           unit_prefix: str = "unite_legale_", key: str = "siret",
-                          unit_key: str = "siren") -> DataFrame:
+                          unit_key: str = "unit_id") -> DataFrame:
     """Establishment + its unit + the unit's head-office key, inner at each step.
 
     Output: every establishment column, every unit column prefixed with
     ``unit_prefix`` and ``etablissement_siege_siret``.  Work is proportional
     to the key list: units and head offices are looked up only for the units
-    of the found establishments (broadcast semi joins while that set is
-    small, shuffle joins beyond).
+    of the found establishments.
     """
-    k = broadcast_if_small(keys.select(key).distinct())
+    k = keys.select(key).distinct()
     est = establishments.join(k, key, "inner")
-    sirens = broadcast_if_small(est.select(unit_key).distinct())
-    u = units.join(sirens, unit_key, "left_semi")
+    unit_ids = est.select(unit_key).distinct()
+    u = units.join(unit_ids, unit_key, "left_semi")
     u = u.select(*[F.col(c).alias(c if c == unit_key else unit_prefix + c) for c in units.columns])
-    candidates = establishments.select(unit_key, key, "etablissement_siege").join(sirens, unit_key, "left_semi")
+    candidates = establishments.select(unit_key, key, "etablissement_siege").join(unit_ids, unit_key, "left_semi")
     hq = head_office(candidates).select(unit_key, F.col(key).alias("etablissement_siege_siret"))
     return est.join(u, unit_key, "inner").join(hq, unit_key, "inner")
 
 
-def lookup_units(keys: DataFrame, units: DataFrame, establishments: DataFrame, unit_key: str = "siren",
+def lookup_units(keys: DataFrame, units: DataFrame, establishments: DataFrame, unit_key: str = "unit_id",
                  key: str = "siret") -> DataFrame:
     """Unit + head-office key + number of establishments; no head office → not found."""
-    k = broadcast_if_small(keys.select(unit_key).distinct())
+    k = keys.select(unit_key).distinct()
     u = units.join(k, unit_key, "inner")
     mine = establishments.select(unit_key, key, "etablissement_siege").join(k, unit_key, "left_semi")
     hq = head_office(mine).select(unit_key, F.col(key).alias("etablissement_siege_siret"))
@@ -68,7 +66,7 @@ def lookup_units(keys: DataFrame, units: DataFrame, establishments: DataFrame, u
     return u.join(hq, unit_key, "inner").join(counts, unit_key, "left").fillna(0, ["nombre_etablissements"])
 
 
-def unit_establishments(keys: DataFrame, units: DataFrame, establishments: DataFrame, unit_key: str = "siren",
+def unit_establishments(keys: DataFrame, units: DataFrame, establishments: DataFrame, unit_key: str = "unit_id",
                         key: str = "siret") -> DataFrame:
     """The establishments of found units, one row each (the scalable form of
     the nested list: a unit with millions of rows stays spread over tasks)."""
@@ -76,24 +74,26 @@ def unit_establishments(keys: DataFrame, units: DataFrame, establishments: DataF
     return establishments.join(found, unit_key, "inner")
 
 
-def lookup_units_nested(keys: DataFrame, units: DataFrame, establishments: DataFrame, unit_key: str = "siren",
+def lookup_units_nested(keys: DataFrame, units: DataFrame, establishments: DataFrame, unit_key: str = "unit_id",
                         key: str = "siret", chunk: int = NESTED_CHUNK) -> DataFrame:
     """Nested answer: unit columns, ``etablissement_siege`` struct and the
     ``etablissements`` list.
 
-    A unit's list is split into parts of about ``chunk`` rows (column
-    ``part``, by key hash), so no single row or task has to hold the list of
-    a giant unit.  Parts of one unit together hold all its establishments.
+    A unit's list is split into ``parts`` parts of about ``chunk`` rows
+    (``part`` is the row's, by key hash; both are on every row), so no single
+    row or task has to hold the list of a giant unit.  Parts of one unit
+    together hold all its establishments.
     """
     found = lookup_units(keys, units, establishments, unit_key, key)
     est = establishments.join(found.select(unit_key, "nombre_etablissements"), unit_key, "inner")
     parts = F.greatest(F.lit(1), F.ceil(F.col("nombre_etablissements") / F.lit(chunk)))
+    found = found.withColumn("parts", parts)
     est = est.withColumn("part", F.pmod(F.xxhash64(F.col(key)), parts))
     cols = [c for c in establishments.columns if c != unit_key]
     lists = est.groupBy(unit_key, "part").agg(
         F.sort_array(F.collect_list(F.struct(*cols))).alias("etablissements")
     )
-    hq = head_office(establishments, unit_key, key)
+    hq = head_office(establishments.join(found.select(unit_key), unit_key, "left_semi"), unit_key, key)
     hq = hq.select(unit_key, F.struct(*[c for c in hq.columns if c != unit_key]).alias("etablissement_siege"))
     return found.join(hq, unit_key, "inner").join(lists, unit_key, "left")
 
@@ -105,7 +105,7 @@ def succession(keys: DataFrame, links: DataFrame, key: str = "siret", pred: str
     ``pred = k OR succ = k`` would plan as a nested-loop join; this is two
     equi joins, the second excluding self-links so they appear once.
     """
-    k = broadcast_if_small(keys.select(F.col(key).alias("_k")).distinct())
+    k = keys.select(F.col(key).alias("_k")).distinct()
     as_pred = links.join(k, F.col(pred) == F.col("_k"), "inner")
     as_succ = links.join(k, (F.col(succ) == F.col("_k")) & (F.col(pred) != F.col(succ)), "inner")
     return as_pred.unionByName(as_succ).withColumnRenamed("_k", key)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from firmament.functions import geo
 from firmament.operators.bm25 import bm25_scan
-from firmament.operators.util import spread
+
 
 # Paging bounds and the status domain.
 DEFAULT_LIMIT = 20
@@ -35,7 +35,7 @@ SCORE_TIE_DIGITS = 9
 ESTABLISHMENT_FILTERS = (
     "etat_administratif",
     "code_postal",
-    "siren",
+    "unit_id",
     "code_commune",
     "activite_principale",
     "etablissement_siege",
@@ -53,7 +53,7 @@ UNIT_SORTS = ("date_creation", "date_debut", "relevance")
 
 ESTABLISHMENT_COLUMNS = (
     "siret",
-    "siren",
+    "unit_id",
     "etat_administratif",
     "date_creation",
     "denomination_usuelle",
@@ -67,7 +67,7 @@ ESTABLISHMENT_COLUMNS = (
     "position",
 )
 UNIT_COLUMNS = (
-    "siren",
+    "unit_id",
     "etat_administratif",
     "date_creation",
     "denomination",
@@ -94,7 +94,7 @@ ESTABLISHMENT = Entity(
     "siret", ("search_denomination", "libelle_commune"), ESTABLISHMENT_FILTERS, ESTABLISHMENT_SORTS,
     ESTABLISHMENT_COLUMNS, True,
 )
-UNIT = Entity("siren", ("search_denomination",), UNIT_FILTERS, UNIT_SORTS, UNIT_COLUMNS, False)
+UNIT = Entity("unit_id", ("search_denomination",), UNIT_FILTERS, UNIT_SORTS, UNIT_COLUMNS, False)
 
 
 @dataclass
@@ -194,7 +194,7 @@ def apply_radius(df: DataFrame, lng: float, lat: float, radius_m: float, positio
     is stored); the exact distance runs only on rows inside the box.
     """
     pos = F.col(position)
-    boxed = spread(df.filter(pos.isNotNull() & geo.in_box(pos, lng, lat, radius_m)))
+    boxed = df.filter(pos.isNotNull() & geo.in_box(pos, lng, lat, radius_m))
     with_dist = geo.with_geodesic(boxed, pos["x"], pos["y"], F.lit(float(lng)), F.lit(float(lat)), "meter_distance")
     return with_dist.filter(F.col("meter_distance") <= F.lit(float(radius_m)))
 
@@ -211,9 +211,9 @@ def matches(df: DataFrame, params: SearchParams, entity: Entity, r: Resolved | N
     r = r or validate(params, entity)
     if r.has_q and index is not None:
         from firmament.operators.bm25 import bm25_index
-        from firmament.operators.util import broadcast_if_small
+        
 
-        scores = broadcast_if_small(bm25_index(index, params.q).withColumnRenamed("key", entity.key))
+        scores = bm25_index(index, params.q).withColumnRenamed("key", entity.key)
         out = df.join(scores, entity.key, "inner")
     elif r.has_q:
         out = bm25_scan(df, list(entity.text_fields), params.q)
@@ -266,7 +266,7 @@ def validate_requests(requests: DataFrame, entity: Entity = ESTABLISHMENT) -> Da
         & ((sort != F.lit("relevance")) | has_q)
     )
     status_ok = F.col("etat_administratif").isNull() | F.col("etat_administratif").isin(*STATUS_VALUES)
-    radius_ok = ~has_geo | F.col("radius").between(F.lit(0.0), F.lit(geo.MAX_RADIUS_M))
+    radius_ok = ~has_geo | (F.col("radius") >= F.lit(0.0))
     geo_ok = n_geo.isin(0, 3)
     return requests.select(
         "*",

@@ -5,22 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows below which a side is broadcast after it has been counted.  The count
-# is an action on the (small, already reduced) side, never on the big one.
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
-
-    Reading one more row than the limit bounds the cost of the check.
-    Beyond the limit the join falls back to a shuffle join (AQE may still
-    pick broadcast from runtime statistics, and splits skewed partitions).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def top_k_per_group(
     df: DataFrame,
     group_cols: list[str],
@@ -46,19 +30,3 @@ def top_k_per_group(
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
     ranked = first.withColumn(rank_col, F.row_number().over(w2))
     return ranked.filter((F.col(rank_col) > skip) & (F.col(rank_col) <= need))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition ``df`` round-robin when it has fewer partitions than the
-    cluster has cores, for CPU-heavy per-row work (regex over long text,
-    geodesic distances).  A small Parquet file is read as one task; a large
-    table already has many splits and is returned unchanged, so this never
-    shuffles big inputs."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is
-        return df
-    if parts >= cores:
-        return df
-    return df.repartition(cores)

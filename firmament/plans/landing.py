@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firmament.sources import feed as FD
 from firmament import fixtures
 from firmament.session import scratch_path
 
@@ -60,7 +61,7 @@ def unit_pages(spark: SparkSession, sf_dir: str) -> str:
 
     def build() -> DataFrame:
         u = fixtures.table(spark, sf_dir, "legal_unit")
-        k = F.col("siren")
+        k = F.col("unit_id")
         period = lambda fin, debut, etat, denom, du1, cj, ap: F.struct(
             fin.alias("dateFin"), debut.alias("dateDebut"), etat.alias("etatAdministratifUniteLegale"),
             denom.alias("denominationUniteLegale"), du1.alias("denominationUsuelle1UniteLegale"),
@@ -75,7 +76,7 @@ def unit_pages(spark: SparkSession, sf_dir: str) -> str:
             F.col("activite_principale"),
         )
         rec = F.struct(
-            k.cast("string").alias("siren"),
+            k.cast("string").alias(FD.UNIT_KEY),
             F.lit("O").alias("statutDiffusionUniteLegale"),
             F.when(k % 4 == 0, F.lit(True)).when(k % 4 == 1, F.lit(False)).alias("unitePurgeeUniteLegale"),
             F.col("date_creation").alias("dateCreationUniteLegale"),
@@ -84,7 +85,7 @@ def unit_pages(spark: SparkSession, sf_dir: str) -> str:
             F.col("categorie_entreprise").alias("categorieEntreprise"),
             F.array(old, cur).alias("periodesUniteLegale"),
         )
-        return _pages(u.select("siren", rec.alias("rec")), "siren", "unitesLegales")
+        return _pages(u.select("unit_id", rec.alias("rec")), "unit_id", "unitesLegales")
 
     return _text_dir(spark, sf_dir, "unit-pages", build)
 
@@ -105,7 +106,7 @@ def establishment_pages(spark: SparkSession, sf_dir: str) -> str:
                      F.when(k % 8 != 0, F.col("etat_administratif")), F.col("enseigne_1"),
                      F.col("denomination_usuelle"), F.col("activite_principale"))
         rec = F.struct(
-            F.col("siren").cast("string").alias("siren"),
+            F.col("unit_id").cast("string").alias(FD.UNIT_KEY),
             F.lpad((k % 100000).cast("string"), 5, "0").alias("nic"),
             k.cast("string").alias("siret"),
             F.lit("O").alias("statutDiffusionEtablissement"),

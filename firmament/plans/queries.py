@@ -54,7 +54,7 @@ P = S.SearchParams
 _search_query("search_establishment_plain", P())
 _search_query("filter_etat", P(filters={"etat_administratif": "F"}))
 _search_query("filter_code_postal", P(filters={"code_postal": "1-URGENT"}, sort="date_debut", direction="asc"))
-_search_query("filter_siren", P(filters={"siren": 605}, limit=100))
+_search_query("filter_unit_id", P(filters={"unit_id": 605}, limit=100))
 _search_query("filter_siege", P(filters={"etablissement_siege": True}, sort="date_creation", direction="asc"))
 _search_query(
     "filter_combined",
@@ -126,16 +126,16 @@ from firmament.operators import merge as M  # noqa: E402
 from firmament.plans import publish as PB  # noqa: E402
 
 EST_COLS = [
-    "siret", "siren", "etat_administratif", "date_creation", "date_debut", "denomination_usuelle", "enseigne_1",
+    "siret", "unit_id", "etat_administratif", "date_creation", "date_debut", "denomination_usuelle", "enseigne_1",
     "enseigne_2", "enseigne_3", "code_postal", "libelle_commune", "code_commune", "activite_principale",
     "etablissement_siege", "date_dernier_traitement", "vec_id",
 ]
 UNIT_COLS = [
-    "siren", "etat_administratif", "denomination", "denomination_usuelle_1", "denomination_usuelle_2",
+    "unit_id", "etat_administratif", "denomination", "denomination_usuelle_1", "denomination_usuelle_2",
     "denomination_usuelle_3", "activite_principale", "categorie_juridique", "categorie_entreprise",
     "date_creation", "date_debut",
 ]
-HQ_SQL = "SELECT siren, min(siret) AS etablissement_siege_siret FROM establishment WHERE etablissement_siege GROUP BY siren"
+HQ_SQL = "SELECT unit_id, min(siret) AS etablissement_siege_siret FROM establishment WHERE etablissement_siege GROUP BY unit_id"
 
 
 def _full_establishments(spark, sf_dir):
@@ -147,9 +147,9 @@ def _full_establishments(spark, sf_dir):
     "establishment_lookup",
     f"""WITH e AS ({O.est_cte()}), k AS (SELECT DISTINCT successeur AS siret FROM succession), hq AS ({HQ_SQL})
     SELECT {", ".join("e." + c for c in EST_COLS)}, round(e.lng, 6) AS lng, round(e.lat, 6) AS lat,
-           {", ".join(f"u.{c} AS unite_legale_{c}" for c in UNIT_COLS if c != "siren")},
+           {", ".join(f"u.{c} AS unite_legale_{c}" for c in UNIT_COLS if c != "unit_id")},
            hq.etablissement_siege_siret
-    FROM e JOIN k ON k.siret = e.siret JOIN legal_unit u ON u.siren = e.siren JOIN hq ON hq.siren = e.siren""",
+    FROM e JOIN k ON k.siret = e.siret JOIN legal_unit u ON u.unit_id = e.unit_id JOIN hq ON hq.unit_id = e.unit_id""",
 )
 def establishment_lookup(spark, sf_dir):
     keys = T.succession(spark, sf_dir).select(F.col("successeur").alias("siret"))
@@ -157,29 +157,29 @@ def establishment_lookup(spark, sf_dir):
     return LK.lookup_establishments(keys, _full_establishments(spark, sf_dir), units)
 
 
-_UNIT_LOOKUP_SQL = f"""WITH hq AS ({HQ_SQL}), n AS (SELECT siren, count(*) AS nombre_etablissements FROM establishment GROUP BY siren)
+_UNIT_LOOKUP_SQL = f"""WITH hq AS ({HQ_SQL}), n AS (SELECT unit_id, count(*) AS nombre_etablissements FROM establishment GROUP BY unit_id)
     SELECT {", ".join("u." + c for c in UNIT_COLS)}, hq.etablissement_siege_siret,
            coalesce(n.nombre_etablissements, 0) AS nombre_etablissements
-    FROM legal_unit u JOIN hq ON hq.siren = u.siren LEFT JOIN n ON n.siren = u.siren"""
+    FROM legal_unit u JOIN hq ON hq.unit_id = u.unit_id LEFT JOIN n ON n.unit_id = u.unit_id"""
 
 
 @register("unit_lookup", _UNIT_LOOKUP_SQL)
 def unit_lookup(spark, sf_dir):
     units = T.units(spark, sf_dir).select(*UNIT_COLS)
-    return LK.lookup_units(units.select("siren"), units, T.establishments(spark, sf_dir))
+    return LK.lookup_units(units.select("unit_id"), units, T.establishments(spark, sf_dir))
 
 
 @register(
     "unit_establishments",
     f"""WITH hq AS ({HQ_SQL})
-    SELECT e.siren, e.siret, e.etablissement_siege, e.date_creation
-    FROM establishment e JOIN legal_unit u ON u.siren = e.siren JOIN hq ON hq.siren = e.siren""",
+    SELECT e.unit_id, e.siret, e.etablissement_siege, e.date_creation
+    FROM establishment e JOIN legal_unit u ON u.unit_id = e.unit_id JOIN hq ON hq.unit_id = e.unit_id""",
 )
 def unit_establishments(spark, sf_dir):
     units = T.units(spark, sf_dir).select(*UNIT_COLS)
     est = T.establishments(spark, sf_dir)
-    return LK.unit_establishments(units.select("siren"), units, est).select(
-        "siren", "siret", "etablissement_siege", "date_creation"
+    return LK.unit_establishments(units.select("unit_id"), units, est).select(
+        "unit_id", "siret", "etablissement_siege", "date_creation"
     )
 
 
@@ -188,12 +188,12 @@ def unit_lookup_nested(spark, sf_dir):
     """M-9, J-2 nested form (rows-only: nested lists do not hash across engines)."""
     units = T.units(spark, sf_dir).select(*UNIT_COLS)
     est = T.establishments(spark, sf_dir).select(*EST_COLS, "position")
-    return LK.lookup_units_nested(units.select("siren"), units, est)
+    return LK.lookup_units_nested(units.select("unit_id"), units, est)
 
 
-@register("head_office", f"SELECT siren, etablissement_siege_siret AS siret FROM ({HQ_SQL}) h")
+@register("head_office", f"SELECT unit_id, etablissement_siege_siret AS siret FROM ({HQ_SQL}) h")
 def head_office(spark, sf_dir):
-    return LK.head_office(T.establishments(spark, sf_dir)).select("siren", "siret")
+    return LK.head_office(T.establishments(spark, sf_dir)).select("unit_id", "siret")
 
 
 SUCC_COLS = ["predecesseur", "successeur", "date_lien_succession", "transfert_siege", "continuite_economique",
@@ -220,12 +220,12 @@ def succession_batch(spark, sf_dir):
 
 @register(
     "lookup_not_found",
-    f"SELECT u.siren FROM legal_unit u WHERE u.siren NOT IN (SELECT siren FROM ({HQ_SQL}) h)",
+    f"SELECT u.unit_id FROM legal_unit u WHERE u.unit_id NOT IN (SELECT unit_id FROM ({HQ_SQL}) h)",
 )
 def lookup_not_found(spark, sf_dir):
     units = T.units(spark, sf_dir).select(*UNIT_COLS)
-    found = LK.lookup_units(units.select("siren"), units, T.establishments(spark, sf_dir))
-    return LK.not_found(units, found, "siren")
+    found = LK.lookup_units(units.select("unit_id"), units, T.establishments(spark, sf_dir))
+    return LK.not_found(units, found, "unit_id")
 
 
 @register(
@@ -240,7 +240,7 @@ def validate_keys(spark, sf_dir):
     keys = c.select(F.col("c_custkey").cast("string").alias("k")).unionByName(
         c.select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("k"))
     )
-    return LK.validate_keys(keys, "k", LK.SIREN_LENGTH)
+    return LK.validate_keys(keys, "k", LK.UNIT_ID_LENGTH)
 
 
 # ---------------------------------------------------------------- merge (M-1..M-4, M-8)
@@ -259,7 +259,7 @@ def _unit_upsert(spark, sf_dir) -> M.Upsert:
         "activite_principale_naf25", F.col("activite_principale")
     ).withColumn("date_dernier_traitement", F.lit(None).cast("timestamp_ntz"))
     delta = spark.table("delta")
-    return M.upsert(base, delta, "siren", UNIT_SET, ["date_dernier_traitement", "page", "pos"])
+    return M.upsert(base, delta, "unit_id", UNIT_SET, ["date_dernier_traitement", "page", "pos"])
 
 
 def _upsert_sql(base_sql, base_cols, key, set_cols, null_cols, delta_sql):
@@ -280,15 +280,15 @@ def _upsert_sql(base_sql, base_cols, key, set_cols, null_cols, delta_sql):
     UNION ALL SELECT {", ".join(ins)} FROM d WHERE d.{key} NOT IN (SELECT {key} FROM b)"""
 
 
-register("upsert_legal_unit", _upsert_sql(UNIT_BASE_SQL, UNIT_BASE_COLS, "siren", UNIT_SET, (), "SELECT * FROM delta"))(
+register("upsert_legal_unit", _upsert_sql(UNIT_BASE_SQL, UNIT_BASE_COLS, "unit_id", UNIT_SET, (), "SELECT * FROM delta"))(
     lambda spark, sf_dir: _unit_upsert(spark, sf_dir).result
 )
 
 register(
     "upsert_counts",
-    f"""WITH d AS ({DEDUP_SQL.format(key="siren", cols="activite_principale", src="SELECT * FROM delta")})
-    SELECT count_if(d.siren NOT IN (SELECT siren FROM legal_unit)) AS inserted,
-           count_if(d.siren IN (SELECT siren FROM legal_unit)) AS updated FROM d""",
+    f"""WITH d AS ({DEDUP_SQL.format(key="unit_id", cols="activite_principale", src="SELECT * FROM delta")})
+    SELECT count_if(d.unit_id NOT IN (SELECT unit_id FROM legal_unit)) AS inserted,
+           count_if(d.unit_id IN (SELECT unit_id FROM legal_unit)) AS updated FROM d""",
 )(lambda spark, sf_dir: _unit_upsert(spark, sf_dir).counts)
 
 EST_BASE_COLS = EST_COLS + ["numero_voie_2"]
@@ -337,12 +337,12 @@ register(
 # ---------------------------------------------------------------- publish, counts (M-5..M-7, A-1, A-2)
 @register(
     "count_production",
-    """SELECT 'unites_legales' AS group_type, count(siren) AS n FROM legal_unit
+    """SELECT 'unites_legales' AS group_type, count(unit_id) AS n FROM legal_unit
     UNION ALL SELECT 'etablissements', count(siret) FROM establishment
     UNION ALL SELECT 'liens_succession', count(*) FROM succession""",
 )
 def count_production(spark, sf_dir):
-    u = T.units(spark, sf_dir).agg(F.lit("unites_legales").alias("group_type"), F.count("siren").alias("n"))
+    u = T.units(spark, sf_dir).agg(F.lit("unites_legales").alias("group_type"), F.count("unit_id").alias("n"))
     e = fixtures.table(spark, sf_dir, "establishment").agg(
         F.lit("etablissements").alias("group_type"), F.count("siret").alias("n"))
     s = T.succession(spark, sf_dir).agg(F.lit("liens_succession").alias("group_type"), F.count(F.lit(1)).alias("n"))
@@ -502,9 +502,9 @@ def search_text_establishment(spark, sf_dir):
     return e.select("siret", TX.search_text(*T.ESTABLISHMENT_TEXT).alias("search_denomination"))
 
 
-@register("search_text_unit", f"SELECT siren, search_denomination FROM ({O.unit_cte()}) u")
+@register("search_text_unit", f"SELECT unit_id, search_denomination FROM ({O.unit_cte()}) u")
 def search_text_unit(spark, sf_dir):
-    return T.units(spark, sf_dir).select("siren", "search_denomination")
+    return T.units(spark, sf_dir).select("unit_id", "search_denomination")
 
 
 _GRAMS_SHORT_SQL = """SELECT k, field, g AS gram FROM (
@@ -661,17 +661,17 @@ from firmament.sources import feed as FD  # noqa: E402
 def _unit_feed_sql() -> str:
     """Oracle twin of unit feed flattening, written from the page construction."""
     old = "date_debut IS NULL"
-    keep = "date_debut IS NULL OR siren % 9 <> 0 OR date_creation IS NULL"
+    keep = "date_debut IS NULL OR unit_id % 9 <> 0 OR date_creation IS NULL"
     e = {
-        "siren": "CAST(siren AS VARCHAR)",
+        "unit_id": "CAST(unit_id AS VARCHAR)",
         "statut_diffusion": "'O'",
-        "unite_purgee": "CASE WHEN siren % 4 = 0 THEN 'true' ELSE 'false' END",
+        "unite_purgee": "CASE WHEN unit_id % 4 = 0 THEN 'true' ELSE 'false' END",
         "date_creation": "date_creation",
-        "annee_effectifs": "CASE WHEN siren % 3 = 0 THEN CAST(year(date_creation) AS INTEGER) END",
+        "annee_effectifs": "CASE WHEN unit_id % 3 = 0 THEN CAST(year(date_creation) AS INTEGER) END",
         "nombre_periodes": "2",
         "categorie_entreprise": "categorie_entreprise",
         "date_debut": f"CASE WHEN {old} THEN date_creation ELSE date_debut END",
-        "etat_administratif": f"CASE WHEN {old} THEN 'A' ELSE coalesce(CASE WHEN siren % 8 <> 0 THEN etat_administratif END, 'C') END",
+        "etat_administratif": f"CASE WHEN {old} THEN 'A' ELSE coalesce(CASE WHEN unit_id % 8 <> 0 THEN etat_administratif END, 'C') END",
         "denomination": f"CASE WHEN {old} THEN 'ancien nom' ELSE denomination END",
         "denomination_usuelle_1": f"CASE WHEN {old} THEN NULL ELSE denomination_usuelle_1 END",
         "categorie_juridique": f"CASE WHEN {old} THEN NULL ELSE categorie_juridique END",
@@ -686,14 +686,14 @@ def _unit_feed(spark, sf_dir):
 
 
 register("feed_legal_unit_flatten", _unit_feed_sql())(_unit_feed)
-register("lenient_int", f"SELECT siren, annee_effectifs FROM ({_unit_feed_sql()}) x")(
-    lambda spark, sf_dir: _unit_feed(spark, sf_dir).select("siren", "annee_effectifs")
+register("lenient_int", f"SELECT unit_id, annee_effectifs FROM ({_unit_feed_sql()}) x")(
+    lambda spark, sf_dir: _unit_feed(spark, sf_dir).select("unit_id", "annee_effectifs")
 )
 
 
 def _est_feed_sql() -> str:
     e = {
-        "siren": "CAST(siren AS VARCHAR)",
+        "unit_id": "CAST(unit_id AS VARCHAR)",
         "nic": "lpad(CAST(siret % 100000 AS VARCHAR), 5, '0')",
         "siret": "CAST(siret AS VARCHAR)",
         "statut_diffusion": "'O'",
@@ -734,19 +734,19 @@ register(
 
 @register(
     "current_period",
-    """SELECT siren, date_debut, o_orderkey, etat_administratif FROM (
-         SELECT *, row_number() OVER (PARTITION BY siren ORDER BY date_debut, o_orderkey) AS rn
+    """SELECT unit_id, date_debut, o_orderkey, etat_administratif FROM (
+         SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY date_debut, o_orderkey) AS rn
          FROM period WHERE date_fin IS NULL) p WHERE rn = 1""",
 )
 def current_period_q(spark, sf_dir):
     """I-12 over flat period rows: first open period in period order."""
-    return FD.current_period_rows(fixtures.table(spark, sf_dir, "period"), "siren", ["date_debut", "o_orderkey"],
-                                  "date_fin").select("siren", "date_debut", "o_orderkey", "etat_administratif")
+    return FD.current_period_rows(fixtures.table(spark, sf_dir, "period"), "unit_id", ["date_debut", "o_orderkey"],
+                                  "date_fin").select("unit_id", "date_debut", "o_orderkey", "etat_administratif")
 
 
 @register(
     "page_chain_gaps",
-    f"""WITH h AS (SELECT CAST(floor(siren / {LD.PAGE_SIZE}) AS BIGINT) AS seq FROM legal_unit GROUP BY 1),
+    f"""WITH h AS (SELECT CAST(floor(unit_id / {LD.PAGE_SIZE}) AS BIGINT) AS seq FROM legal_unit GROUP BY 1),
     c AS (SELECT seq, CAST(seq AS VARCHAR) AS curseur,
                  CAST(CASE WHEN seq = (SELECT max(seq) FROM h) THEN seq ELSE seq + 1 END AS VARCHAR) AS curseur_suivant FROM h)
     SELECT c.seq, c.curseur, c.curseur_suivant, n.curseur AS next_curseur,
@@ -791,9 +791,9 @@ def _csv_dir(spark, sf_dir, name, build, schema) -> str:
 
 
 _UNIT_CSV_EXPR = {
-    "siren": "CAST(siren AS STRING)",
+    "unit_id": "CAST(unit_id AS STRING)",
     "statut_diffusion": "'O'",
-    "sigle": "CASE WHEN siren % 10 = 0 THEN 'S\"' || CAST(siren AS STRING) || '\", x' WHEN siren % 10 = 1 THEN '' END",
+    "sigle": "CASE WHEN unit_id % 10 = 0 THEN 'S\"' || CAST(unit_id AS STRING) || '\", x' WHEN unit_id % 10 = 1 THEN '' END",
     "date_creation": "date_creation", "date_debut": "date_debut", "etat_administratif": "etat_administratif",
     "denomination": "denomination", "denomination_usuelle_1": "denomination_usuelle_1",
     "denomination_usuelle_2": "denomination_usuelle_2", "denomination_usuelle_3": "denomination_usuelle_3",
@@ -819,7 +819,7 @@ def _unit_csv(spark, sf_dir):
 register("ingest_legal_unit_csv", _oracle_select(_UNIT_CSV_EXPR, SC.UNIT_SCHEMA, "legal_unit"))(_unit_csv)
 
 _EST_CSV_EXPR = {
-    "siren": "CAST(e.siren AS STRING)",
+    "unit_id": "CAST(e.unit_id AS STRING)",
     "nic": "lpad(CAST(e.siret % 100000 AS STRING), 5, '0')",
     "siret": "CAST(e.siret AS STRING)",
     "statut_diffusion": "'O'",
@@ -873,16 +873,16 @@ def ingest_succession_csv(spark, sf_dir):
     f"""WITH u AS ({_oracle_select(_UNIT_CSV_EXPR, SC.UNIT_SCHEMA, "legal_unit")})
     SELECT {", ".join(f"count(*) FILTER (WHERE {f.name} IS NULL) AS {f.name}_null" for f in SC.UNIT_SCHEMA.fields if not f.nullable)},
            {", ".join(f"count(*) FILTER (WHERE length({c}) > {n}) AS {c}_too_long" for c, n in SC.UNIT_LENGTHS.items())},
-           (SELECT count(*) FROM (SELECT siren FROM u GROUP BY siren HAVING count(*) > 1) d) AS duplicate_keys
+           (SELECT count(*) FROM (SELECT unit_id FROM u GROUP BY unit_id HAVING count(*) > 1) d) AS duplicate_keys
     FROM u""",
 )
 def constraint_violations(spark, sf_dir):
     """I-7 on the loaded unit snapshot (the fixture keys are not 9 characters)."""
-    return SC.constraint_violations(_unit_csv(spark, sf_dir), SC.UNIT_SCHEMA, SC.UNIT_LENGTHS, "siren")
+    return SC.constraint_violations(_unit_csv(spark, sf_dir), SC.UNIT_SCHEMA, SC.UNIT_LENGTHS, "unit_id")
 
 
-@register("conform_schema", _oracle_select({c: c for c in _UNIT_CSV_EXPR if c not in ("siren", "statut_diffusion", "sigle")}
-                                           | {"siren": "CAST(siren AS STRING)"}, SC.UNIT_SCHEMA, "legal_unit"))
+@register("conform_schema", _oracle_select({c: c for c in _UNIT_CSV_EXPR if c not in ("unit_id", "statut_diffusion", "sigle")}
+                                           | {"unit_id": "CAST(unit_id AS STRING)"}, SC.UNIT_SCHEMA, "legal_unit"))
 def conform_schema(spark, sf_dir):
     """I-18: the unit view migrated to the 35-column stored schema."""
     return SC.conform(fixtures.table(spark, sf_dir, "legal_unit"), SC.UNIT_SCHEMA)
@@ -1001,10 +1001,10 @@ register(
 # ---------------------------------------------------------------- streaming (ST-1..ST-4)
 from firmament.streaming import sync as SY  # noqa: E402
 
-DELTA_SCHEMA = "siren bigint, activite_principale string, value double, date_dernier_traitement timestamp_ntz, page bigint, pos bigint"
+DELTA_SCHEMA = "unit_id bigint, activite_principale string, value double, date_dernier_traitement timestamp_ntz, page bigint, pos bigint"
 
 
-@register("stream_upsert", _upsert_sql(UNIT_BASE_SQL, UNIT_BASE_COLS, "siren", UNIT_SET, (), "SELECT * FROM delta"))
+@register("stream_upsert", _upsert_sql(UNIT_BASE_SQL, UNIT_BASE_COLS, "unit_id", UNIT_SET, (), "SELECT * FROM delta"))
 def stream_upsert(spark, sf_dir):
     """ST-1: landed delta files streamed (AvailableNow, several micro-batches)
     into the unit table through the upsert sink."""
@@ -1018,7 +1018,7 @@ def stream_upsert(spark, sf_dir):
     spark.table("delta").repartition(4).write.option("timestampNTZFormat", SY.TS_FORMAT).json(landing)
     root = scratch_path(spark, "unit-table")
     SY.init_table(spark, base, root)
-    return SY.run_sync(spark, landing, DELTA_SCHEMA, root, scratch_path(spark, "sync-checkpoint"), "siren",
+    return SY.run_sync(spark, landing, DELTA_SCHEMA, root, scratch_path(spark, "sync-checkpoint"), "unit_id",
                        UNIT_SET, ["date_dernier_traitement", "page", "pos"], "date_dernier_traitement",
                        files_per_batch=2)
 

@@ -20,7 +20,7 @@ S, D, TS, I, B = T.StringType(), T.DateType(), T.TimestampNTZType(), T.IntegerTy
 
 # Column order (CSV binding order), types and nullability.
 UNIT_SCHEMA = _schema([
-    ("siren", S, False), ("statut_diffusion", S, False), ("unite_purgee", S, True), ("date_creation", D, True),
+    ("unit_id", S, False), ("statut_diffusion", S, False), ("unite_purgee", S, True), ("date_creation", D, True),
     ("sigle", S, True), ("sexe", S, True), ("prenom_1", S, True), ("prenom_2", S, True), ("prenom_3", S, True),
     ("prenom_4", S, True), ("prenom_usuel", S, True), ("pseudonyme", S, True), ("identifiant_association", S, True),
     ("tranche_effectifs", S, True), ("annee_effectifs", I, True), ("date_dernier_traitement", TS, True),
@@ -33,7 +33,7 @@ UNIT_SCHEMA = _schema([
 ])
 
 ESTABLISHMENT_SCHEMA = _schema([
-    ("siren", S, False), ("nic", S, False), ("siret", S, False), ("statut_diffusion", S, False),
+    ("unit_id", S, False), ("nic", S, False), ("siret", S, False), ("statut_diffusion", S, False),
     ("date_creation", D, True), ("tranche_effectifs", S, True), ("annee_effectifs", I, True),
     ("activite_principale_registre_metiers", S, True), ("date_dernier_traitement", TS, True),
     ("etablissement_siege", B, False), ("nombre_periodes", I, True), ("complement_adresse", S, True),
@@ -61,12 +61,12 @@ LINK_SCHEMA = _schema([
 ])
 
 # Bounded text lengths (characters) and table keys.
-UNIT_LENGTHS = {"siren": 9, "statut_diffusion": 1, "etat_administratif": 1, "sexe": 4, "tranche_effectifs": 3,
+UNIT_LENGTHS = {"unit_id": 9, "statut_diffusion": 1, "etat_administratif": 1, "sexe": 4, "tranche_effectifs": 3,
                 "societe_mission": 1, "caractere_employeur": 1}
-ESTABLISHMENT_LENGTHS = {"siren": 9, "siret": 14, "statut_diffusion": 1, "etat_administratif": 1,
+ESTABLISHMENT_LENGTHS = {"unit_id": 9, "siret": 14, "statut_diffusion": 1, "etat_administratif": 1,
                          "tranche_effectifs": 3}
 LINK_LENGTHS = {"siret_etablissement_predecesseur": 14, "siret_etablissement_successeur": 14}
-KEYS = {"unites_legales": "siren", "etablissements": "siret", "liens_succession": None}
+KEYS = {"unites_legales": "unit_id", "etablissements": "siret", "liens_succession": None}
 
 
 def conform(df: DataFrame, target: T.StructType, allow_unknown: bool = False) -> DataFrame:

@@ -43,9 +43,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="firmament-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="firmament-ckpt-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root
 
 
@@ -63,9 +64,8 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4, executor_memory_gb:
     * File splits of 256 MB keep a scan task well inside executor memory.
     * Skew join handling is on: a key holding a large share of the rows is
       split over several tasks instead of landing in one.
-    * The automatic broadcast threshold stays moderate; this library
-      broadcasts larger sides only after counting them
-      (:func:`firmament.operators.util.broadcast_if_small`).
+    * The automatic broadcast threshold stays moderate; adaptive execution
+      broadcasts a side when its size at run time is below it.
     """
     per_partition = 256 * 1024 * 1024
     partitions = max(2000, int(input_bytes // per_partition))

@@ -27,8 +27,11 @@ LINK_ARRAY = "liensSuccession"
 UNIT_STATUS_DEFAULT = "C"
 ESTABLISHMENT_STATUS_DEFAULT = "F"
 
+# Fixed value: the public feed's key of a legal unit's number.
+UNIT_KEY = "siren"
+
 UNIT_FIELDS = [  # (output column, feed field, type); type "lenient_int" follows the string-only rule
-    ("siren", "siren", "string"),
+    ("unit_id", UNIT_KEY, "string"),
     ("statut_diffusion", "statutDiffusionUniteLegale", "string"),
     ("date_creation", "dateCreationUniteLegale", "date"),
     ("sigle", "sigleUniteLegale", "string"),
@@ -65,14 +68,14 @@ UNIT_PERIOD_FIELDS = [
     ("caractere_employeur", "caractereEmployeurUniteLegale", "string"),
 ]
 UNIT_COLUMNS = (
-    ["siren", "statut_diffusion", "unite_purgee"]
+    ["unit_id", "statut_diffusion", "unite_purgee"]
     + [c for c, _, _ in UNIT_FIELDS[2:]]
     + [c for c, _, _ in UNIT_PERIOD_FIELDS]
     + ["activite_principale_naf25"]
 )
 
 ESTABLISHMENT_FIELDS = [
-    ("siren", "siren", "string"),
+    ("unit_id", UNIT_KEY, "string"),
     ("nic", "nic", "string"),
     ("siret", "siret", "string"),
     ("statut_diffusion", "statutDiffusionEtablissement", "string"),
@@ -184,7 +187,7 @@ def flatten_units(pages: DataFrame) -> DataFrame:
     r = records(pages, UNIT_ARRAY)
     r = r.withColumn("_p", current_period(F.variant_get("rec", "$.periodesUniteLegale", _period_type(UNIT_PERIOD_FIELDS))))
     r = r.filter(F.col("_p").isNotNull())
-    cols = [F.variant_get("rec", "$.siren", "string").alias("siren"),
+    cols = [F.variant_get("rec", f"$.{UNIT_KEY}", "string").alias("unit_id"),
             F.variant_get("rec", "$.statutDiffusionUniteLegale", "string").alias("statut_diffusion"),
             F.coalesce(F.variant_get("rec", "$.unitePurgeeUniteLegale", "boolean"), F.lit(False))
             .cast("string").alias("unite_purgee")]

@@ -12,8 +12,8 @@ def pages_of(spark, tmp_dir, docs):
     return FD.read_pages(spark, path)
 
 
-def unit(siren, periods, **extra):
-    rec = {"siren": siren, "statutDiffusionUniteLegale": "O", "periodesUniteLegale": periods}
+def unit(unit_id, periods, **extra):
+    rec = {FD.UNIT_KEY: unit_id, "statutDiffusionUniteLegale": "O", "periodesUniteLegale": periods}
     rec.update(extra)
     return rec
 
@@ -32,7 +32,7 @@ def test_unit_periods_status_purge_and_lenient_ints(spark, tmp_dir):
              anneeEffectifsUniteLegale=None),
     ]
     pages = pages_of(spark, tmp_dir, [{"header": {"curseur": "a", "curseurSuivant": "a"}, "unitesLegales": recs}])
-    out = {r.siren: r for r in FD.flatten_units(pages).collect()}
+    out = {r.unit_id: r for r in FD.flatten_units(pages).collect()}
     assert set(out) == {"3", "4", "5"}
     assert out["3"].unite_purgee == "true" and out["4"].unite_purgee == "false"
     assert out["3"].annee_effectifs == 2019 and out["4"].annee_effectifs is None and out["5"].annee_effectifs is None
@@ -48,7 +48,7 @@ def test_lenient_int_rejects_bad_text(spark, tmp_dir):
 
 
 def test_establishment_defaults_and_second_address(spark, tmp_dir):
-    rec = {"siren": "1", "nic": "00001", "siret": "100001", "statutDiffusionEtablissement": "O",
+    rec = {FD.UNIT_KEY: "1", "nic": "00001", "siret": "100001", "statutDiffusionEtablissement": "O",
            "etablissementSiege": True, "adresseEtablissement": {"codePostalEtablissement": "75001"},
            "periodesEtablissement": [{"dateFin": None, "etatAdministratifEtablissement": None}]}
     pages = pages_of(spark, tmp_dir, [{"header": {}, "etablissements": [rec]}])

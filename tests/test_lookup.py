@@ -4,14 +4,14 @@ from firmament.operators import lookup as LK
 def tables(spark):
     est = spark.createDataFrame(
         [(11, 1, True), (12, 1, False), (13, 1, True), (21, 2, False), (31, 3, True)],
-        "siret long, siren long, etablissement_siege boolean")
-    units = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u3")], "siren long, name string")
+        "siret long, unit_id long, etablissement_siege boolean")
+    units = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u3")], "unit_id long, name string")
     return est, units
 
 
 def test_head_office_is_deterministic(spark):
     est, _ = tables(spark)
-    assert {(r.siren, r.siret) for r in LK.head_office(est).collect()} == {(1, 11), (3, 31)}
+    assert {(r.unit_id, r.siret) for r in LK.head_office(est).collect()} == {(1, 11), (3, 31)}
 
 
 def test_lookups_inner_and_not_found(spark):
@@ -19,11 +19,11 @@ def test_lookups_inner_and_not_found(spark):
     keys = spark.createDataFrame([(12,), (21,), (99,)], "siret long")
     got = LK.lookup_establishments(keys, est, units).collect()
     assert [(r.siret, r.etablissement_siege_siret) for r in got] == [(12, 11)]
-    ukeys = units.select("siren")
+    ukeys = units.select("unit_id")
     found = LK.lookup_units(ukeys, units, est)
-    assert {(r.siren, r.nombre_etablissements) for r in found.collect()} == {(1, 3), (3, 1)}
-    assert {r.siren for r in LK.not_found(ukeys, found, "siren").collect()} == {2}
-    nested = {r.siren: r for r in LK.lookup_units_nested(ukeys, units, est).collect()}
+    assert {(r.unit_id, r.nombre_etablissements) for r in found.collect()} == {(1, 3), (3, 1)}
+    assert {r.unit_id for r in LK.not_found(ukeys, found, "unit_id").collect()} == {2}
+    nested = {r.unit_id: r for r in LK.lookup_units_nested(ukeys, units, est).collect()}
     assert sorted(e.siret for e in nested[1].etablissements) == [11, 12, 13]
     assert nested[1].etablissement_siege.siret == 11
 

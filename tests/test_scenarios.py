@@ -16,12 +16,12 @@ P = S.SearchParams
 def est(spark):
     rows = []
     for i in range(1, 131):
-        name = ["creation studio", "boulangerie", "garage central", None, "creatif"][i % 5]
+        name = ["reation studio", "boulangerie", "garage central", None, "reatif"][i % 5]
         rows.append((i, 100 + i % 7, "A" if i % 3 else "F", D(2000 + i % 20, 1 + i % 12, 1) if i % 9 else None,
                      D(2001 + i % 19, 1, 1 + i % 27) if i % 8 else None, name, None, None, None,
                      ["75001", "69001"][i % 2], ["PARIS", "LYON", "Parisot"][i % 3], ["75101", "69381"][i % 2],
                      ["62.01Z", "10.71C"][i % 2], i % 10 == 0, (2.35 + (i % 13) * 0.01, 48.85 + (i % 11) * 0.01)))
-    df = spark.createDataFrame(rows, "siret long, siren long, etat_administratif string, date_creation date, "
+    df = spark.createDataFrame(rows, "siret long, unit_id long, etat_administratif string, date_creation date, "
                                "date_debut date, denomination_usuelle string, enseigne_1 string, enseigne_2 string, "
                                "enseigne_3 string, code_postal string, libelle_commune string, code_commune string, "
                                "activite_principale string, etablissement_siege boolean, position struct<x:double,y:double>")
@@ -34,9 +34,9 @@ def units(spark):
     rows = []
     for i in range(1, 61):
         rows.append((i, "A" if i % 4 else "C", D(1990 + i % 30, 1, 1) if i % 6 else None,
-                     D(1995 + i % 25, 6, 1) if i % 5 else None, ["creation sarl", "dupont", None][i % 3],
+                     D(1995 + i % 25, 6, 1) if i % 5 else None, ["reation sarl", "dupont", None][i % 3],
                      None, None, None, ["62.01Z", "10.71C"][i % 2], ["5710", "5499"][i % 2], ["PME", "GE"][i % 2]))
-    df = spark.createDataFrame(rows, "siren long, etat_administratif string, date_creation date, date_debut date, "
+    df = spark.createDataFrame(rows, "unit_id long, etat_administratif string, date_creation date, date_debut date, "
                                "denomination string, denomination_usuelle_1 string, denomination_usuelle_2 string, "
                                "denomination_usuelle_3 string, activite_principale string, categorie_juridique string, "
                                "categorie_entreprise string")
@@ -61,8 +61,8 @@ def check_sort(df, params, col, reverse, entity=S.ESTABLISHMENT):
 
 # -- establishments ------------------------------------------------------------------------------
 def e01(e):
-    got = rows(e, P(q="creati"))
-    assert got and all("creati" in (r.denomination_usuelle or "").lower() for r in got)
+    got = rows(e, P(q="reati"))
+    assert got and all("reati" in (r.denomination_usuelle or "").lower() for r in got)
     assert all(r.score is not None for r in got)
 
 
@@ -85,14 +85,14 @@ def _filter(e, name, value, entity=S.ESTABLISHMENT):
 
 def e04(e): _filter(e, "etat_administratif", "A")
 def e05(e): _filter(e, "code_postal", "75001")
-def e06(e): _filter(e, "siren", 103)
+def e06(e): _filter(e, "unit_id", 103)
 def e07(e): _filter(e, "code_commune", "69381")
 def e08(e): _filter(e, "activite_principale", "62.01Z")
 def e09(e): _filter(e, "etablissement_siege", True)
 
 
 def e10(e):
-    got = rows(e, P(q="creati", filters={"etat_administratif": "A", "code_postal": "75001"}, limit=100))
+    got = rows(e, P(q="reati", filters={"etat_administratif": "A", "code_postal": "75001"}, limit=100))
     assert got and all(r.etat_administratif == "A" and r.code_postal == "75001" for r in got)
 
 
@@ -113,8 +113,8 @@ def e13(e):
 def e14(e): check_sort(e, P(lat=48.9, lng=2.4, radius=5000.0, sort="distance", limit=100), "meter_distance", False)
 def e15(e): check_sort(e, P(lat=48.9, lng=2.4, radius=5000.0, sort="distance", direction="desc", limit=100),
                        "meter_distance", True)
-def e16(e): check_sort(e, P(q="creati", sort="relevance", limit=100), "score", True)
-def e17(e): check_sort(e, P(q="creati", sort="relevance", direction="asc", limit=100), "score", False)
+def e16(e): check_sort(e, P(q="reati", sort="relevance", limit=100), "score", True)
+def e17(e): check_sort(e, P(q="reati", sort="relevance", direction="asc", limit=100), "score", False)
 def e18(e): check_sort(e, P(sort="date_creation", limit=100), "date_creation", True)
 def e19(e): check_sort(e, P(sort="date_creation", direction="asc", limit=100), "date_creation", False)
 
@@ -133,8 +133,8 @@ def e21(e):
 
 
 def e22(e):
-    assert S.page_meta(P(q="creati"))["sort"] == "relevance" and S.page_meta(P(q="creati"))["direction"] == "desc"
-    check_sort(e, P(q="creati", limit=100), "score", True)
+    assert S.page_meta(P(q="reati"))["sort"] == "relevance" and S.page_meta(P(q="reati"))["direction"] == "desc"
+    check_sort(e, P(q="reati", limit=100), "score", True)
 
 
 def e23(e):
@@ -172,12 +172,12 @@ def e29(e):
 
 
 def e30(e):
-    got = rows(e, P(q="creati"))
+    got = rows(e, P(q="reati"))
     cols = set(got[0].asDict())
-    assert {"siret", "siren", "etat_administratif", "date_creation", "denomination_usuelle", "enseigne_1",
+    assert {"siret", "unit_id", "etat_administratif", "date_creation", "denomination_usuelle", "enseigne_1",
             "enseigne_2", "enseigne_3", "code_postal", "libelle_commune", "activite_principale",
             "etablissement_siege", "total"} <= cols
-    meta = S.search_meta(e, P(q="creati")).first()
+    meta = S.search_meta(e, P(q="reati")).first()
     assert meta.total == got[0].total and (meta.limit, meta.offset, meta.sort, meta.direction) == (
         20, 0, "relevance", "desc")
 
@@ -191,8 +191,8 @@ U = S.UNIT
 
 
 def u32(u):
-    got = rows(u, P(q="creation"), U)
-    assert got and all("creation" in (r.denomination or "") for r in got)
+    got = rows(u, P(q="reation"), U)
+    assert got and all("reation" in (r.denomination or "") for r in got)
 
 
 def u33(u):
@@ -212,27 +212,27 @@ def u40(u):
     assert got and all(r.categorie_entreprise == "PME" and r.activite_principale == "62.01Z" for r in got)
 
 
-def u41(u): check_sort(u, P(q="creation", sort="relevance", limit=100), "score", True, U)
-def u42(u): check_sort(u, P(q="creation", sort="relevance", direction="asc", limit=100), "score", False, U)
+def u41(u): check_sort(u, P(q="reation", sort="relevance", limit=100), "score", True, U)
+def u42(u): check_sort(u, P(q="reation", sort="relevance", direction="asc", limit=100), "score", False, U)
 def u43(u): check_sort(u, P(sort="date_creation", limit=100), "date_creation", True, U)
 def u44(u): check_sort(u, P(sort="date_creation", direction="asc", limit=100), "date_creation", False, U)
 
 
 def u45(u):
-    full = {r.siren: r.date_debut for r in u.collect()}
+    full = {r.unit_id: r.date_debut for r in u.collect()}
     got = rows(u, P(sort="date_debut", limit=100), U)
-    assert ordered([full[r.siren] for r in got], True)
+    assert ordered([full[r.unit_id] for r in got], True)
 
 
 def u46(u):
-    full = {r.siren: r.date_debut for r in u.collect()}
+    full = {r.unit_id: r.date_debut for r in u.collect()}
     got = rows(u, P(sort="date_debut", direction="asc", limit=100), U)
-    assert ordered([full[r.siren] for r in got], False)
+    assert ordered([full[r.unit_id] for r in got], False)
 
 
 def u47(u):
-    assert S.validate(P(q="creation"), U).sort == "relevance"
-    check_sort(u, P(q="creation", limit=100), "score", True, U)
+    assert S.validate(P(q="reation"), U).sort == "relevance"
+    check_sort(u, P(q="reation", limit=100), "score", True, U)
 
 
 def u48(u):
@@ -249,8 +249,8 @@ def u50(u):
 
 
 def u51(u):
-    full = [r.siren for r in rows(u, P(limit=100), U)]
-    assert [r.siren for r in rows(u, P(limit=5, offset=7), U)] == full[7:12]
+    full = [r.unit_id for r in rows(u, P(limit=100), U)]
+    assert [r.unit_id for r in rows(u, P(limit=5, offset=7), U)] == full[7:12]
 
 
 def u52(u):
@@ -262,8 +262,8 @@ def u53(u):
 
 
 def u54(u):
-    got = rows(u, P(q="creation"), U)
-    assert {"siren", "etat_administratif", "date_creation", "denomination", "denomination_usuelle_1",
+    got = rows(u, P(q="reation"), U)
+    assert {"unit_id", "etat_administratif", "date_creation", "denomination", "denomination_usuelle_1",
             "denomination_usuelle_2", "denomination_usuelle_3", "activite_principale", "categorie_juridique",
             "categorie_entreprise", "score", "total"} == set(got[0].asDict())
 
