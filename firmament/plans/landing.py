@@ -36,11 +36,12 @@ def _pages(records: DataFrame, key: str, array: str) -> DataFrame:
     """Group records into pages and render each page as one JSON line."""
     paged = records.withColumn("_page", F.floor(F.col(key) / PAGE_SIZE).cast("bigint"))
     last = paged.agg(F.max("_page")).scalar()
-    pages = paged.groupBy("_page").agg(F.collect_list("rec").alias("recs"), F.count(F.lit(1)).alias("n"))
+    total = records.agg(F.count(F.lit(1))).scalar()  # of the whole query, on every page
+    pages = paged.groupBy("_page").agg(F.collect_list("rec").alias("recs"))
     header = F.struct(
         F.col("_page").cast("string").alias("curseur"),
         F.when(F.col("_page") == last, F.col("_page")).otherwise(F.col("_page") + 1).cast("string").alias("curseurSuivant"),
-        F.col("n").cast("int").alias("total"),
+        total.cast("int").alias("total"),
     )
     return pages.select(F.to_json(F.struct(header.alias("header"), F.col("recs").alias(array))).alias("value"))
 

@@ -250,7 +250,9 @@ def current_period_rows(periods: DataFrame, key: str, order_cols: list[str], end
 
 
 def chain_status(chain: DataFrame, seq: str = "seq") -> DataFrame:
-    """Every page with ``next_curseur`` and ``status`` (ok, gap, chain not closed)."""
+    """Every page with ``next_curseur`` and ``status`` (ok, gap, chain not
+    closed): a page's successor in landing order carries the announced cursor,
+    the last page points to itself.  A self join on ``seq + 1``, no window."""
     nxt = chain.select((F.col(seq) - 1).alias(seq), F.col("curseur").alias("next_curseur"))
     j = chain.join(nxt, seq, "left")
     status = (
@@ -261,25 +263,10 @@ def chain_status(chain: DataFrame, seq: str = "seq") -> DataFrame:
     return j.withColumn("status", status)
 
 
-def page_chain_gaps(chain: DataFrame, seq: str = "seq") -> DataFrame:
-    """Pages whose successor in landing order does not carry the announced
-    cursor.  The last page must point to itself (end of the chain).
-
-    ``chain``: (seq, curseur, curseur_suivant).  The check is a self join on
-    ``seq + 1`` (no single-partition window), so it spreads over tasks.
-    """
-    nxt = chain.select((F.col(seq) - 1).alias(seq), F.col("curseur").alias("next_curseur"))
-    j = chain.join(nxt, seq, "left")
-    problem = (
-        F.when(F.col("next_curseur").isNull() & (F.col("curseur_suivant") != F.col("curseur")), F.lit("chain not closed"))
-        .when(F.col("next_curseur").isNotNull() & (F.col("next_curseur") != F.col("curseur_suivant")), F.lit("gap"))
-    )
-    return j.withColumn("problem", problem).filter(F.col("problem").isNotNull())
-
-
-def reconcile(count_headers: DataFrame, rows: DataFrame, total_col: str = "total") -> DataFrame:
-    """Announced total (default 0) against the rows actually landed."""
-    announced = count_headers.agg(F.coalesce(F.sum(F.coalesce(F.col(total_col), F.lit(0))), F.lit(0)).cast("bigint")
-                                  .alias("announced"))
-    landed = rows.agg(F.count(F.lit(1)).alias("landed")).scalar()
-    return announced.select("announced", landed.alias("landed"), (F.col("announced") == landed).alias("complete"))
+def reconcile(count_headers: DataFrame, landed: DataFrame, total_col: str = "total") -> DataFrame:
+    """Announced total against the records landed (:func:`records`, before any
+    are dropped for want of a current period).  Every page of a chain repeats
+    the total of the whole query, so the announced total is the greatest."""
+    announced = count_headers.agg(F.coalesce(F.max(total_col), F.lit(0)).cast("bigint").alias("announced"))
+    n = landed.agg(F.count(F.lit(1)).alias("landed")).scalar()
+    return announced.select("announced", n.alias("landed"), (F.col("announced") == n).alias("complete"))

@@ -61,10 +61,10 @@ def test_establishment_defaults_and_second_address(spark, tmp_dir):
 def test_chain_gaps(spark):
     chain = spark.createDataFrame([(0, "a", "b"), (1, "b", "c"), (2, "x", "y"), (3, "y", "z")],
                                   "seq long, curseur string, curseur_suivant string")
-    got = {(r.seq, r.problem) for r in FD.page_chain_gaps(chain).collect()}
+    got = {(r.seq, r.status) for r in FD.chain_status(chain).collect() if r.status != "ok"}
     assert got == {(1, "gap"), (3, "chain not closed")}
     ok = spark.createDataFrame([(0, "a", "b"), (1, "b", "b")], "seq long, curseur string, curseur_suivant string")
-    assert FD.page_chain_gaps(ok).count() == 0
+    assert FD.chain_status(ok).filter("status <> 'ok'").count() == 0
 
 
 def test_reconcile_default_zero(spark, tmp_dir):
@@ -72,3 +72,10 @@ def test_reconcile_default_zero(spark, tmp_dir):
     rows = spark.range(0)
     r = FD.reconcile(FD.headers(pages), rows).first()
     assert (r.announced, r.landed, r.complete) == (0, 0, True)
+
+
+def test_reconcile_takes_a_repeated_total_once(spark, tmp_dir):
+    rec = {FD.UNIT_KEY: "1"}  # without a current period: landed all the same
+    pages = pages_of(spark, tmp_dir, [{"header": {"total": 2}, FD.UNIT_ARRAY: [rec]}, {"header": {"total": 2}, FD.UNIT_ARRAY: [rec]}])
+    r = FD.reconcile(FD.headers(pages), FD.records(pages, FD.UNIT_ARRAY)).first()
+    assert (r.announced, r.landed, r.complete) == (2, 2, True)
