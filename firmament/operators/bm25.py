@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmament.functions.text import (
@@ -154,7 +154,6 @@ def build_postings(df: DataFrame, key: str, fields: list[str], long_text: bool =
     aggregation handles without a per-key task.
     """
     make = ngrams_long if long_text else ngrams
-    df = df
     parts = []
     for f in fields:
         # Length and gram array are computed before the explode: a text-wide
@@ -178,23 +177,55 @@ def build_postings(df: DataFrame, key: str, fields: list[str], long_text: bool =
     return Postings(postings, grams, field_stats)
 
 
-def write_postings(p: Postings, path: str, partitions: int | None = None) -> Postings:
+def write_postings(p: Postings, path: str, partitions: int | None = None, grams: DataFrame | None = None) -> Postings:
     """Persist the index: postings range-partitioned and sorted by gram so
     that a ``gram IN (...)`` predicate prunes files and row groups, and the
-    per-gram and per-field tables."""
+    per-gram and per-field tables.  Gram counts are taken from the written
+    postings (so the grams are made once) unless ``grams`` is given."""
     spark = p.postings.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Files cover gram ranges (file-level min/max prune too); the key as last
     # range column splits a very common gram over several files.
     out = p.postings.repartitionByRange(n, "field", "gram", "key")
     out.sortWithinPartitions("field", "gram", "key").write.mode("overwrite").parquet(f"{path}/postings")
-    p.grams.write.mode("overwrite").parquet(f"{path}/grams")
+    if grams is None:
+        stored = spark.read.parquet(f"{path}/postings")
+        grams = stored.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("df"))
+    grams.write.mode("overwrite").parquet(f"{path}/grams")
     p.fields.write.mode("overwrite").parquet(f"{path}/fields")
-    return Postings(
-        spark.read.parquet(f"{path}/postings"),
-        spark.read.parquet(f"{path}/grams"),
-        spark.read.parquet(f"{path}/fields"),
-    )
+    return read_postings(spark, path)
+
+
+def read_postings(spark: SparkSession, path: str) -> Postings:
+    """The index that :func:`write_postings` wrote at ``path``."""
+    return Postings(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "grams", "fields")))
+
+
+def refresh_postings(p: Postings, before: DataFrame, after: DataFrame, key: str, fields: list[str], path: str,
+                     long_text: bool = False) -> Postings:
+    """The index after some rows changed, written at ``path`` (a fresh folder).
+
+    ``before`` and ``after`` hold the key and text fields of those rows (a key
+    only in one was inserted or deleted; rows with equal text are left out).
+    Grams are made for changed rows alone; gram and field counts are the
+    stored ones plus or minus theirs.
+    """
+    spark = p.postings.sparkSession
+    old = before.select(F.col(key).alias("key"), F.struct(*fields).alias("_old"))
+    new = after.select(F.col(key).alias("key"), F.struct(*fields).alias("_new"))
+    old.join(new, "key", "full").filter(~F.col("_old").eqNullSafe(F.col("_new"))).write.parquet(f"{path}/changed")
+    changed = spark.read.parquet(f"{path}/changed")
+    gone = build_postings(changed.filter("_old IS NOT NULL").select("key", "_old.*"), "key", fields, long_text)
+    come = build_postings(changed.filter("_new IS NOT NULL").select("key", "_new.*"), "key", fields, long_text)
+
+    def balance(stored: DataFrame, minus: DataFrame, plus: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+        less = minus.select(*by, *[(-F.col(c)).alias(c) for c in sums])
+        return stored.unionByName(less).unionByName(plus).groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+
+    grams = balance(p.grams, gone.grams, come.grams, ["field", "gram"], ["df"]).filter(F.col("df") > 0)
+    stats = balance(p.fields, gone.fields, come.fields, ["field"], ["n", "sum_dl"])
+    kept = p.postings.join(changed.select("key"), "key", "left_anti")
+    return write_postings(Postings(kept.unionByName(come.postings), grams, stats), path, grams=grams)
 
 
 def request_grams(requests: DataFrame, id_col: str = "query_id", q_col: str = "q") -> DataFrame:
@@ -213,7 +244,6 @@ def bm25_postings(p: Postings, requests: DataFrame, id_col: str = "query_id", q_
     """
     qg = request_grams(requests, id_col, q_col)
     qgd = qg.join(p.grams, "gram").join(F.broadcast(p.fields), "field")
-    qgd = qgd
     hits = qgd.join(p.postings, ["field", "gram"])
     contrib = _term(
         F.col("tf").cast("double"),
@@ -236,7 +266,7 @@ def bm25_index(p: Postings, q: str | None, k1: float = K1, b: float = B) -> Data
     """
     grams = query_grams(q)
     if not grams:
-        return p.postings.sparkSession.createDataFrame([], "key long, score double")
+        return p.postings.select("key", F.lit(0.0).alias("score")).filter(F.lit(False))
     hits = p.postings.filter(F.col("gram").isin(grams))
     g = p.grams.filter(F.col("gram").isin(grams))
     # per-field statistics: one row per text field (a fixed, tiny set)

@@ -8,16 +8,19 @@ Parquet tables have no ``MERGE``; an upsert is expressed as
 so the big side is scanned once and never shuffled when the delta is small.
 The delta is first reduced to one row per key with ``max_by`` over a total
 order, which aggregates partially on the map side (a key holding a third of
-the delta does not become one sorted task).
+the delta does not become one sorted task; Spark plans a sort aggregate, so each
+task sorts its own rows).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmament.operators.derive import derive
+
 
 def latest_per_key(delta: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     """One row per key: the greatest by ``order_cols`` (e.g. ts, page, position).
@@ -47,6 +50,7 @@ def upsert(
     order_cols: list[str],
     null_cols: tuple[str, ...] = (),
     guard_ts: str | None = None,
+    generated: dict[str, Column] | None = None,
 ) -> Upsert:
     """``INSERT .. ON CONFLICT (key) DO UPDATE SET set_cols`` on DataFrames.
 
@@ -59,11 +63,14 @@ def upsert(
       even when older.  ``guard_ts`` names a timestamp column to keep the
       stored row when it is newer; an incoming row without a timestamp never
       replaces a stored row that has one.  Counts are of rows replaced.
+    * ``generated`` names columns of ``base`` that are expressions over its
+      other columns (:mod:`firmament.operators.derive`): computed anew for rows
+      replaced or inserted, kept as stored for the rest.
     """
+    generated = generated or {}
     d = latest_per_key(delta.select(key, *set_cols, *[c for c in order_cols if c not in set_cols]), key, order_cols)
     d = d.select(key, *set_cols)
     renamed = d.select(key, *[F.col(c).alias(f"_new_{c}") for c in set_cols], F.lit(True).alias("_hit"))
-    renamed = renamed
     joined = base.join(renamed, key, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     if guard_ts:
@@ -77,7 +84,9 @@ def upsert(
             out_cols.append(F.when(hit, F.lit(None)).otherwise(F.col(c)).cast(base.schema[c].dataType).alias(c))
         else:
             out_cols.append(F.col(c))
-    updated = joined.select(*out_cols)
+    updated = joined.select(*out_cols, hit.alias("_hit"))
+    for name, value in generated.items():
+        updated = updated.withColumn(name, F.when(F.col("_hit"), value).otherwise(F.col(name)))
     # Stored keys that the delta touches: the stored table streams past the
     # delta keys, so it is never the build side of a join.
     matched = base.select(key).join(d.select(key), key, "left_semi")
@@ -85,27 +94,28 @@ def upsert(
     for f in base.schema.fields:
         if f.name not in inserted.columns:
             inserted = inserted.withColumn(f.name, F.lit(None).cast(f.dataType))
-    result = updated.unionByName(inserted.select(*base.columns))
+    inserted = derive(inserted, generated)
+    result = updated.select(*base.columns).unionByName(inserted.select(*base.columns))
     n_matched = matched.agg(F.count(F.lit(1))).scalar()
     n_updated = joined.filter(hit).agg(F.count(F.lit(1))).scalar() if guard_ts else n_matched
     counts = d.agg((F.count(F.lit(1)) - n_matched).alias("inserted")).select("inserted", n_updated.alias("updated"))
     return Upsert(result, counts)
 
 
-def append(base: DataFrame, delta: DataFrame, dedupe: bool = False) -> DataFrame:
-    """Plain insert.  Boundary rows of an inclusive range re-sync duplicate;
-    with ``dedupe`` only delta rows not already stored (NULL-safe compare of
-    all columns) are added."""
-    if not dedupe:
-        return base.unionByName(delta)
+def new_rows(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """Distinct delta rows that ``base`` does not hold (NULL-safe compare of
+    all columns).  The stored table streams past the (small) delta, so it is
+    never shuffled to find them."""
     d = delta.select(*base.columns).distinct()
     db = d.select(*[F.col(c).alias(f"_d_{c}") for c in base.columns])
     cond = None
     for c in base.columns:
         e = F.col(c).eqNullSafe(F.col(f"_d_{c}"))
         cond = e if cond is None else cond & e
-    # Stored copies of delta rows: base streams past the (small) delta, so the
-    # stored table is never shuffled to find them.
-    stored = base.join(db, cond, "left_semi").distinct()
-    fresh = d.subtract(stored)
-    return base.unionByName(fresh)
+    return d.subtract(base.join(db, cond, "left_semi").distinct())
+
+
+def append(base: DataFrame, delta: DataFrame, dedupe: bool = False) -> DataFrame:
+    """Plain insert.  Boundary rows of an inclusive range re-sync duplicate;
+    with ``dedupe`` only :func:`new_rows` are added."""
+    return base.unionByName(new_rows(base, delta) if dedupe else delta)

@@ -165,12 +165,21 @@ def _lit(v) -> str:
     return "'" + str(v).replace("'", "''") + "'"
 
 
-def search_sql(p, entity) -> str:
-    """Oracle twin of :func:`firmament.operators.search.search`."""
+def generated_sql(src: str, entity) -> str:
+    """Rows of loaded columns with search text and, for establishments, lng/lat."""
+    text = ESTABLISHMENT_TEXT if entity.has_geo else UNIT_TEXT
+    if entity.has_geo:
+        src = lambert_rel(src, "coordonnee_lambert_x", "coordonnee_lambert_y")
+    return f"SELECT *, {_concat_text(text)} AS search_denomination FROM ({src}) _l"
+
+
+def search_sql(p, entity, src: str | None = None) -> str:
+    """Oracle twin of :func:`firmament.operators.search.search`, over ``src``
+    (default: the whole fixture table of the entity)."""
     from firmament.operators import search as S
 
     r = S.validate(p, entity)
-    src = est_cte() if entity.has_geo else unit_cte()
+    src = src or (est_cte() if entity.has_geo else unit_cte())
     key = entity.key
     if r.has_q:
         scores = bm25_rel(src, key, list(entity.text_fields), p.q)

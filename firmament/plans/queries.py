@@ -1104,3 +1104,130 @@ def bm25_documents_index(spark, sf_dir):
 
 
 ORACLE["bm25_documents_index"] = ORACLE["bm25_documents"]
+
+
+# ---------------------------------------------------------------- loaded and synced tables, searched (P-4..P-6, M-1, M-2, T-4, ST-1)
+from firmament.plans import searchable as SB  # noqa: E402
+
+# The day's delta: an event sets the name, place and status of an establishment
+# (some stored, some new); several events of one establishment, the last wins.
+_EST_DAY_EXPR = {
+    "unit_id": "CAST(user_id AS STRING)", "nic": "'00001'", "siret": "CAST(event_id * 2 % 20011 AS STRING)",
+    "statut_diffusion": "'O'", "date_dernier_traitement": "ts", "etablissement_siege": "event_type = 'signup'",
+    "code_postal": "'3-MEDIUM'", "libelle_commune": "'Lyon'",
+    "date_debut": "CAST(ts AS DATE)", "date_creation": "CAST(ts AS DATE)",
+    "etat_administratif": "CASE WHEN event_type = 'error' THEN 'F' ELSE 'A' END",
+    "denomination_usuelle": "'Atelier ' || event_type", "enseigne_2": "CASE WHEN user_id % 2 = 0 THEN 'marteau rouge' END",
+    "coordonnee_lambert_x": "CASE WHEN event_type = 'view' THEN '[ND]' ELSE CAST(700000 + user_id * 1000 AS STRING) END",
+    "coordonnee_lambert_y": "CASE WHEN event_type = 'view' THEN '[ND]' ELSE CAST(6600000 + user_id * 500 AS STRING) END",
+}
+_UNIT_DAY_EXPR = {
+    "unit_id": "CAST(user_id * 11 AS STRING)", "statut_diffusion": "'O'", "date_dernier_traitement": "ts",
+    "etat_administratif": "CASE WHEN event_type = 'error' THEN 'C' ELSE 'A' END",
+    "denomination": "CASE WHEN event_type = 'click' THEN NULL ELSE 'Atelier ' || event_type END",
+    "denomination_usuelle_2": "'marteau'", "date_creation": "CAST(ts AS DATE)", "activite_principale": "'62.01Z'",
+}
+_DAY_ORDER = ["date_dernier_traitement", "page", "pos"]
+
+
+def _day_sql(exprs: dict, schema, select=None) -> str:
+    body = (select or _oracle_select)(exprs, schema, "events")
+    return body.replace(" FROM events", ", CAST(FLOOR(event_id / 1000) AS BIGINT) AS page, event_id AS pos FROM events")
+
+
+def _typed_select(exprs: dict, schema, table: str) -> str:
+    return "SELECT " + ", ".join(
+        f"CAST({exprs.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields
+    ) + f" FROM {table}"
+
+
+_VERSIONS: dict[tuple[str, str, str], SB.Version] = {}
+
+
+def _version(spark, sf_dir, entity: S.Entity, day: bool) -> SB.Version:
+    """The CSV snapshot loaded as a searchable version; with ``day``, the
+    version after the day's delta.  Written once per session."""
+    from firmament.session import scratch_path
+
+    name = ("establishment" if entity.has_geo else "unit") + ("-day" if day else "-loaded")
+    k = (spark.sparkContext.applicationId, sf_dir, name)
+    if k not in _VERSIONS:
+        path = scratch_path(spark, name)
+        if day:
+            fixtures.register(spark, sf_dir)
+            exprs, schema = (_EST_DAY_EXPR, SC.ESTABLISHMENT_SCHEMA) if entity.has_geo else (_UNIT_DAY_EXPR, SC.UNIT_SCHEMA)
+            delta = spark.sql(_day_sql(exprs, schema, _typed_select))
+            _VERSIONS[k] = SB.apply(_version(spark, sf_dir, entity, False), delta, _DAY_ORDER, path)
+        else:
+            _VERSIONS[k] = SB.load((_est_csv if entity.has_geo else _unit_csv)(spark, sf_dir), entity, path)
+    return _VERSIONS[k]
+
+
+_EST_LOADED_SQL = _oracle_select(_EST_CSV_EXPR, SC.ESTABLISHMENT_SCHEMA, _EST_CSV_FROM)
+_UNIT_LOADED_SQL = _oracle_select(_UNIT_CSV_EXPR, SC.UNIT_SCHEMA, "legal_unit")
+_EST_AFTER_SQL = _upsert_sql(_EST_LOADED_SQL, SC.ESTABLISHMENT_SCHEMA.names, "siret", SC.ESTABLISHMENT_SET, (),
+                             _day_sql(_EST_DAY_EXPR, SC.ESTABLISHMENT_SCHEMA))
+_UNIT_AFTER_SQL = _upsert_sql(_UNIT_LOADED_SQL, SC.UNIT_SCHEMA.names, "unit_id", SC.UNIT_SET, (),
+                              _day_sql(_UNIT_DAY_EXPR, SC.UNIT_SCHEMA))
+
+
+def _version_query(name: str, params: S.SearchParams, entity: S.Entity, day: bool, loaded_sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _round_search(SB.search(_version(spark, sf_dir, entity, day), params), entity)
+
+    register(name, O.search_sql(params, entity, O.generated_sql(loaded_sql, entity)))(run)
+
+
+_version_query("load_then_search", P(q="red widget", lat=46.5, lng=3.0, radius=150_000.0,
+                                     filters={"etablissement_siege": False}, limit=50), S.ESTABLISHMENT, False, _EST_LOADED_SQL)
+_version_query("load_then_search_unit", P(q="customer#0000001", limit=50), S.UNIT, False, _UNIT_LOADED_SQL)
+_version_query("upsert_then_search", P(q="marteau widget", lat=46.5, lng=3.5, radius=120_000.0, limit=100),
+               S.ESTABLISHMENT, True, _EST_AFTER_SQL)
+_version_query("upsert_then_search_unit", P(q="atelier annexe", limit=100), S.UNIT, True, _UNIT_AFTER_SQL)
+
+
+def _sync(spark, sf_dir, dataset: str, landing: str, base: DataFrame) -> DataFrame:
+    """Feed pages streamed into a table that starts with ``base``."""
+    from firmament.session import scratch_path
+
+    root = scratch_path(spark, f"{dataset}-table")
+    SY.init_table(spark, base, root)
+    return SY.sync_pages(spark, landing, root, scratch_path(spark, f"{dataset}-checkpoint"), dataset)
+
+
+def _undated(sql: str) -> str:
+    return f"SELECT *, 0 AS page, 0 AS pos FROM ({sql}) f"
+
+
+@register("stream_units", _upsert_sql(f"SELECT * FROM ({_UNIT_LOADED_SQL}) l WHERE CAST(unit_id AS BIGINT) % 3 <> 0",
+                                      SC.UNIT_SCHEMA.names, "unit_id", SC.UNIT_SET, (), _undated(_unit_feed_sql())))
+def stream_units(spark, sf_dir):
+    """ST-1, M-1: unit pages streamed into a table that holds two thirds of the units."""
+    base = _unit_csv(spark, sf_dir).filter(F.col("unit_id").cast("bigint") % 3 != 0)
+    return _sync(spark, sf_dir, "unites_legales", LD.unit_pages(spark, sf_dir), base)
+
+
+@register("stream_establishments",
+          "SELECT *, " + O._concat_text(T.ESTABLISHMENT_TEXT) + " AS search_denomination FROM ("
+          + _upsert_sql(f"SELECT * FROM ({_EST_LOADED_SQL}) l WHERE CAST(siret AS BIGINT) % 3 <> 0",
+                        SC.ESTABLISHMENT_SCHEMA.names, "siret", SC.ESTABLISHMENT_SET, (), _undated(_est_feed_sql())) + ") u")
+def stream_establishments(spark, sf_dir):
+    """ST-1, M-2: establishment pages streamed into a table with its search text."""
+    from firmament.operators import derive as DV
+
+    base = _est_csv(spark, sf_dir).filter(F.col("siret").cast("bigint") % 3 != 0)
+    base = DV.derive(base, {"search_denomination": DV.establishment_columns()["search_denomination"]})
+    return _sync(spark, sf_dir, "etablissements", LD.establishment_pages(spark, sf_dir), base)
+
+
+_LINK_ROWS_SQL = _oracle_select(_LINK_CSV_EXPR, SC.LINK_SCHEMA, "succession")
+
+
+@register("stream_links", f"""WITH l AS ({_LINK_ROWS_SQL}),
+    b AS (SELECT * FROM l WHERE CAST(siret_etablissement_successeur AS BIGINT) % 3 <> 0)
+    SELECT * FROM b UNION ALL (SELECT DISTINCT * FROM l EXCEPT SELECT * FROM b)""")
+def stream_links(spark, sf_dir):
+    """ST-1, ST-3, M-4: link pages streamed; stored links are not added again."""
+    fixtures.register(spark, sf_dir)
+    base = spark.sql(_LINK_ROWS_SQL).filter(F.col("siret_etablissement_successeur").cast("bigint") % 3 != 0)
+    return _sync(spark, sf_dir, "liens_succession", LD.link_pages(spark, sf_dir), base)

@@ -1,10 +1,9 @@
 """Registry tables as the engine stores them, derived from the fixture views.
 
-``establishments`` and ``units`` add the generated columns that the reference
-stores at load time (search text, projected point).  On a real deployment
-these are computed once by :mod:`firmament.sources.snapshot` and persisted;
-here they are derived from the driver's tables so every query's work grows
-with them.
+``establishments`` and ``units`` add the generated columns of
+:mod:`firmament.operators.derive` (search text, projected point) to views over
+the driver's tables, so every query's work grows with them.  A loaded snapshot
+gets the same columns from :mod:`firmament.plans.searchable`.
 """
 
 from __future__ import annotations
@@ -13,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmament import fixtures
-from firmament.functions.geo import cell, lambert93_to_wgs84
-from firmament.functions.text import search_text
+from firmament.functions.geo import lambert93_to_wgs84
+from firmament.operators import derive as DV
+from firmament.operators.derive import ESTABLISHMENT_TEXT, UNIT_TEXT  # noqa: F401
 from firmament.session import scratch_path
 
 ESTABLISHMENT_TEXT = ("denomination_usuelle", "enseigne_1", "enseigne_2", "enseigne_3")
@@ -44,21 +44,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def derive_establishments(e: DataFrame, points: DataFrame) -> DataFrame:
-    """Generated columns of an establishment table: search text, position
-    (by ``vec_id`` from the point table) and its grid cell.  Rows are
-    range-partitioned and sorted by cell: files cover disjoint cell ranges, so
-    box predicates prune row groups and reads run in parallel."""
-    pts = points.select("vec_id", "position")
-    out = (
-        e.join(pts, "vec_id", "left")
-        .withColumn("search_denomination", search_text(*ESTABLISHMENT_TEXT))
-        .withColumn("cell_y", cell(F.col("position")["y"]))
-        .withColumn("cell_x", cell(F.col("position")["x"]))
-    )
-    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The key as last range column lets boundaries fall inside one cell, so a
-    # dense cell (a big city) is split over several files instead of one.
-    return out.repartitionByRange(n, "cell_y", "cell_x", "siret").sortWithinPartitions("cell_y", "cell_x")
+    """An establishment table with its generated columns, clustered by cell;
+    coordinates come from the point table by ``vec_id``."""
+    pts = points.select("vec_id", "coordonnee_lambert_x", "coordonnee_lambert_y")
+    out = DV.derive(e.join(pts, "vec_id", "left"), DV.establishment_columns())
+    return DV.clustered(out.drop("coordonnee_lambert_x", "coordonnee_lambert_y"), "siret")
 
 
 def establishments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +56,7 @@ def establishments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         e = fixtures.table(spark, sf_dir, "establishment")
-        return derive_establishments(e, geo_points(spark, sf_dir))
+        return derive_establishments(e, fixtures.table(spark, sf_dir, "geo_point"))
 
     return stored(spark, sf_dir, "establishment", build)
 
@@ -74,7 +64,7 @@ def establishments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legal units with ``search_denomination``."""
     u = fixtures.table(spark, sf_dir, "legal_unit")
-    return u.withColumn("search_denomination", search_text(*UNIT_TEXT))
+    return DV.derive(u, DV.unit_columns())
 
 
 def succession(spark: SparkSession, sf_dir: str) -> DataFrame:

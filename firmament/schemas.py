@@ -68,6 +68,11 @@ ESTABLISHMENT_LENGTHS = {"unit_id": 9, "siret": 14, "statut_diffusion": 1, "etat
 LINK_LENGTHS = {"siret_etablissement_predecesseur": 14, "siret_etablissement_successeur": 14}
 KEYS = {"unites_legales": "unit_id", "etablissements": "siret", "liens_succession": None}
 
+# Columns a daily upsert sets: all but the key and the newer activity code,
+# which only the snapshots carry.
+UNIT_SET = [c for c in UNIT_SCHEMA.names if c not in ("unit_id", "activite_principale_naf25")]
+ESTABLISHMENT_SET = [c for c in ESTABLISHMENT_SCHEMA.names if c not in ("siret", "activite_principale_naf25")]
+
 
 def conform(df: DataFrame, target: T.StructType, allow_unknown: bool = False) -> DataFrame:
     """Select ``target``'s columns in its order, cast each to its type, add

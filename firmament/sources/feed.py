@@ -142,9 +142,16 @@ LINK_FIELDS = [
 ]
 
 
-def read_pages(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """Landed pages → ``(source, line, page variant)``; a malformed page fails."""
-    reader = spark.read.option("wholetext", "true") if whole_files else spark.read
+def read_pages(spark: SparkSession, path: str, whole_files: bool = False, stream: bool = False,
+               files_per_batch: int | None = None) -> DataFrame:
+    """Landed pages → ``(source, page variant)``; a malformed page fails.
+    ``stream`` reads them as a file stream, all new files in one micro-batch
+    unless ``files_per_batch`` is given."""
+    reader = spark.readStream if stream else spark.read
+    if whole_files:
+        reader = reader.option("wholetext", "true")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     raw = reader.text(path).select(
         F.col("_metadata.file_path").alias("source"), F.col("value").alias("text")
     )
@@ -166,9 +173,22 @@ def _field(rec: Column, name: str, typ: str) -> Column:
     return F.variant_get(rec, f"$.{name}", typ)
 
 
+#: Where a record was landed; after its timestamp, the order in which records of one key apply.
+ORDER_COLUMNS = ["source", "curseur", "pos"]
+
+
 def records(pages: DataFrame, array: str) -> DataFrame:
-    """One row per record of ``array`` in every page, as a variant ``rec``."""
-    return pages.select("source", F.explode(F.variant_get("page", f"$.{array}", "array<variant>")).alias("rec"))
+    """One row per record of ``array`` in every page, as a variant ``rec`` with
+    :data:`ORDER_COLUMNS`: file, the page's cursor and the place in the page."""
+    return pages.select(
+        "source",
+        F.variant_get("page", "$.header.curseur", "string").alias("curseur"),
+        F.posexplode(F.variant_get("page", f"$.{array}", "array<variant>")).alias("pos", "rec"),
+    )
+
+
+def _ordered(ordered: bool) -> list[Column]:
+    return [F.col(c) for c in ORDER_COLUMNS] if ordered else []
 
 
 def current_period(periods: Column) -> Column:
@@ -182,8 +202,8 @@ def _period_type(fields) -> str:
     return f"array<struct<dateFin: date, {inner}>>"
 
 
-def flatten_units(pages: DataFrame) -> DataFrame:
-    """Unit pages → unit rows (35 loaded columns)."""
+def flatten_units(pages: DataFrame, ordered: bool = False) -> DataFrame:
+    """Unit pages → unit rows (35 loaded columns, and the order columns if asked for)."""
     r = records(pages, UNIT_ARRAY)
     r = r.withColumn("_p", current_period(F.variant_get("rec", "$.periodesUniteLegale", _period_type(UNIT_PERIOD_FIELDS))))
     r = r.filter(F.col("_p").isNotNull())
@@ -198,11 +218,11 @@ def flatten_units(pages: DataFrame) -> DataFrame:
             v = F.coalesce(v, F.lit(UNIT_STATUS_DEFAULT))
         cols.append(v.alias(c))
     cols.append(F.lit(None).cast("string").alias("activite_principale_naf25"))
-    return r.select(*cols)
+    return r.select(*cols, *_ordered(ordered))
 
 
-def flatten_establishments(pages: DataFrame) -> DataFrame:
-    """Establishment pages → establishment rows (54 loaded columns)."""
+def flatten_establishments(pages: DataFrame, ordered: bool = False) -> DataFrame:
+    """Establishment pages → establishment rows (54 loaded columns, and the order columns if asked for)."""
     r = records(pages, ESTABLISHMENT_ARRAY)
     r = r.withColumn(
         "_p", current_period(F.variant_get("rec", "$.periodesEtablissement", _period_type(ESTABLISHMENT_PERIOD_FIELDS)))
@@ -216,13 +236,13 @@ def flatten_establishments(pages: DataFrame) -> DataFrame:
             v = F.coalesce(v, F.lit(ESTABLISHMENT_STATUS_DEFAULT))
         cols.append(v.alias(c))
     cols.append(F.lit(None).cast("string").alias("activite_principale_naf25"))
-    return r.select(*cols)
+    return r.select(*cols, *_ordered(ordered))
 
 
-def flatten_links(pages: DataFrame) -> DataFrame:
+def flatten_links(pages: DataFrame, ordered: bool = False) -> DataFrame:
     """Succession pages → link rows (flat 1:1 mapping)."""
     r = records(pages, LINK_ARRAY)
-    return r.select(*[_field(F.col("rec"), name, typ).alias(c) for c, name, typ in LINK_FIELDS])
+    return r.select(*[_field(F.col("rec"), name, typ).alias(c) for c, name, typ in LINK_FIELDS], *_ordered(ordered))
 
 
 def headers(pages: DataFrame) -> DataFrame:
