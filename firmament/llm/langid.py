@@ -27,6 +27,7 @@ from firmament.llm.store import id_bucket, saved
 
 SIZES = (512, 1024, 2048)  # hashed one-, two- and three-grams
 DIMS = sum(SIZES)
+PIECE = 1 << 18  # characters of a text that are counted at once
 UND = "und"
 
 # Languages by family (ISO 639-1); others are a family of their own.
@@ -56,18 +57,37 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
+def _counts(text: str) -> tuple[list[np.ndarray], bool]:
+    """Hashed counts of one-, two- and three-grams of a whole text, and whether
+    it has a letter.  Runs of other characters are one space, as are both ends.
+    Works on a piece of the text at a time, so memory doesn't grow with it."""
+    counts = [np.zeros(size, np.int64) for size in SIZES]
+    counts[0][32] += 1
+    last = np.array([32])  # up to two characters before the piece
+    any_letter = False
+    for i in range(0, len(text) + 1, PIECE):
+        c = np.frombuffer(text[i : i + PIECE].lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        letter = _letters()[c]
+        any_letter |= bool(letter.any())
+        c = np.where(letter, c, 32)
+        if i + PIECE > len(text):
+            c = np.append(c, 32)
+        c = c[(c != 32) | (np.append(last[-1], c[:-1]) != 32)]
+        both = np.concatenate([last, c])
+        old = len(last)
+        two = both[:-1] * 40503 + both[1:] * 2654435761  # ends at its second character
+        three = two[:-1] + both[2:] * 97531
+        for count, h, size in zip(counts, (c, two[old - 1 :], three[max(0, old - 2) :]), SIZES):
+            count += np.bincount((h & (size - 1)) if count is counts[0] else ((h >> 7) & (size - 1)), minlength=size)
+        last = both[-2:]
+    return counts, any_letter
+
+
 def features(text: str | None) -> np.ndarray | None:
     """Unit-length feature vector of a whole text; None without a letter."""
-    c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    letter = _letters()[c]
-    if not letter.any():
+    counts, any_letter = _counts(text or "")
+    if not any_letter:
         return None
-    c = np.concatenate([[32], np.where(letter, c, 32), [32]])
-    c = c[np.append((c[1:] != 32) | (c[:-1] != 32), True)]  # one space between words
-    two = c[:-1] * 40503 + c[1:] * 2654435761
-    three = two[:-1] + c[2:] * 97531
-    hashed = (c * 2654435761, two, three)
-    counts = [np.bincount((h >> 7) & (size - 1) if i else c & (size - 1), minlength=size) for i, (h, size) in enumerate(zip(hashed, SIZES))]
     x = np.sqrt(np.concatenate([n / max(1, n.sum()) for n in counts]))
     return x / np.linalg.norm(x)
 

@@ -118,7 +118,8 @@ def nearby(text: Column, spans: Column, reach: int) -> Column:
             side(left, s["start"] - left, F.when(left > 0, left).otherwise(F.lit(-1))),
             side(s["end"], right - s["end"], F.when(right < F.char_length(text), right).otherwise(F.lit(-1))),
         )
-        outside = F.filter(words, lambda w: ~F.exists(spans, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"])))
+        close = F.filter(spans, lambda o: (o["start"] < right) & (left < o["end"]))  # a word meets these at most
+        outside = F.transform(F.array(close), lambda near: F.filter(words, lambda w: ~F.exists(near, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"]))))[0]
         return F.struct(*[s[c].alias(c) for c in ("start", "kind", "end", "value")], outside.alias("words"))
 
     return F.transform(spans, of)

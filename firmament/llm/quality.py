@@ -8,7 +8,8 @@ the weighted passage is scored: with h = relu(We x + be),
 a = softmax(w . (tanh(V h) * sigmoid(U h))), score = sigmoid(c . sum(a h) + b).
 
 Fitted on at most ``per_label`` labelled documents of each label, weighted
-back to the labels' shares; scoring reads every passage of every text.
+back to the labels' shares, and of a long one on at most ``per_bag`` passages
+spread over it; scoring reads every passage of every text.
 
 Defined results: null, empty and blank texts score 0; repeated rows get equal
 rows; null ids are carried, count as the empty id text and so as held out
@@ -18,6 +19,7 @@ without labels every text scores 0.5; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from firmament.llm.store import id_bucket
 
 WINDOW = 600  # bytes of a passage at most
+AT_ONCE = 4096  # passages encoded at a time
 EXTRA = 8
 HIDDEN, GATE = 32, 16
 
@@ -47,30 +50,39 @@ def passages(text: str | None) -> list[bytes]:
     return [line[i : i + WINDOW] for line in raw.splitlines() for i in range(0, len(line), WINDOW) if line[i : i + WINDOW].strip()]
 
 
-def encode(text: str | None) -> np.ndarray:
-    """One row of DIMS numbers per passage."""
-    parts = passages(text)
-    if not parts:
-        return np.zeros((0, DIMS), np.float32)
-    sizes = np.array([len(p) for p in parts])
-    code = CLASS_OF[np.frombuffer(b"".join(parts), np.uint8)]
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    within = owner[1:] == owner[:-1]
-    pair = (owner[1:] * 256 + code[:-1] * 16 + code[1:])[within]
-    counts = np.bincount(pair, minlength=256 * len(parts)).reshape(-1, 256)
-    x = np.zeros((len(parts), DIMS), np.float32)
-    x[:, :256] = np.sqrt(counts / np.maximum(1, sizes - 1)[:, None])
-    seen: set[bytes] = set()
-    before = b""
-    for i, part in enumerate(parts):
-        words = part.split()
-        n, d = len(words), len(set(words))
-        same = sum(map(bytes.__eq__, words[1:], words)) if n > 1 else 0
-        twos = len(set(zip(words, words[1:]))) if n > 1 else 1
-        x[i, 256:] = (d / n, same / n, twos / max(1, n - 1), min(1.0, sizes[i] / n / 20), np.log1p(n) / 5, part in seen, part == before, 1.0)
-        seen.add(part)
-        before = part
-    return x
+def encoded(text: str | None) -> Iterator[np.ndarray]:
+    """One row of DIMS numbers per passage, AT_ONCE passages at a time."""
+    parts, seen, before = passages(text), set(), b""
+    for at in range(0, len(parts), AT_ONCE):
+        some = parts[at : at + AT_ONCE]
+        sizes = np.array([len(p) for p in some])
+        code = CLASS_OF[np.frombuffer(b"".join(some), np.uint8)]
+        owner = np.repeat(np.arange(len(some)), sizes)
+        within = owner[1:] == owner[:-1]
+        pair = (owner[1:] * 256 + code[:-1] * 16 + code[1:])[within]
+        counts = np.bincount(pair, minlength=256 * len(some)).reshape(-1, 256)
+        x = np.zeros((len(some), DIMS), np.float32)
+        x[:, :256] = np.sqrt(counts / np.maximum(1, sizes - 1)[:, None])
+        for i, part in enumerate(some):
+            words = part.split()
+            n, d = len(words), len(set(words))
+            same = sum(map(bytes.__eq__, words[1:], words)) if n > 1 else 0
+            twos = len(set(zip(words, words[1:]))) if n > 1 else 1
+            x[i, 256:] = (d / n, same / n, twos / max(1, n - 1), min(1.0, sizes[i] / n / 20), np.log1p(n) / 5, part in seen, part == before, 1.0)
+            seen.add(part)
+            before = part
+        yield x
+
+
+def bag(text: str | None, most: int) -> np.ndarray:
+    """The passages a model learns from: all, or ``most`` at even distances over the whole text."""
+    n = len(passages(text))
+    chosen = np.unique(np.linspace(0, n - 1, min(n, most)).astype(int))
+    rows = [np.zeros((0, DIMS), np.float32)]
+    for k, x in enumerate(encoded(text)):
+        own = chosen[(chosen >= k * AT_ONCE) & (chosen < (k + 1) * AT_ONCE)]
+        rows.append(x[own - k * AT_ONCE])
+    return np.concatenate(rows)
 
 
 def _sigmoid(v):
@@ -83,21 +95,34 @@ class Model:
 
     p: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def forward(self, x: np.ndarray) -> tuple[float, dict]:
+    def attend(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hidden passages, the two gates and the attention logits."""
         p = self.p
         h = np.maximum(0, x @ p["We"] + p["be"])
         t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        e = (t * s) @ p["w"]
+        return h, t, s, (t * s) @ p["w"]
+
+    def decide(self, z: np.ndarray) -> float:
+        return float(_sigmoid(z @ self.p["c"] + self.p["b"][0]))
+
+    def forward(self, x: np.ndarray) -> tuple[float, dict]:
+        h, t, s, e = self.attend(x)
         a = np.exp(e - e.max())
         a /= a.sum()
         z = a @ h
-        return float(_sigmoid(z @ p["c"] + p["b"][0])), {"h": h, "t": t, "s": s, "a": a, "z": z}
+        return self.decide(z), {"h": h, "t": t, "s": s, "a": a, "z": z}
 
     def score(self, text: str | None) -> float:
-        x = encode(text)
-        if not len(x):
-            return 0.0
-        return self.forward(x)[0] if self.p else 0.5
+        """All passages of a text, with a running softmax, so memory doesn't grow with their number."""
+        top, weight, z = -np.inf, 0.0, np.zeros(HIDDEN)
+        for x in encoded(text):
+            if not self.p:
+                return 0.5
+            h, _, _, e = self.attend(x)
+            now = max(top, e.max())
+            a, old = np.exp(e - now), np.exp(top - now)
+            z, weight, top = z * old + a @ h, weight * old + a.sum(), now
+        return self.decide(z / weight) if weight else 0.0
 
     def gradient(self, x: np.ndarray, slope: float, kept: dict, g: dict[str, np.ndarray]) -> None:
         """Adds the loss gradient of one bag; ``slope``: d loss / d logit."""
@@ -141,9 +166,10 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 600) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 600, per_bag: int = 256) -> Model:
     """A model from at most about ``per_label`` documents of each label, chosen
-    by the hash of their id; their passage features are what the driver gets."""
+    by the hash of their id, and at most ``per_bag`` passages of each; their
+    features are what the driver gets."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     known = known.agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -156,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # 2 * per_label rows
 
     def of(text):
-        x = encode(text)
+        x = bag(text, per_bag)
         return x.astype("<f2").tobytes() if len(x) else None
 
     # no filter on x: it would be pushed below the join, to all rows

@@ -110,7 +110,8 @@ def _alphabet(value: str) -> float:
 
 def segments(value: str, words: dict[str, int]) -> list[list[tuple[int, float, str]]]:
     """For each end, the (start, log10 guesses, kind) of the patterns that end there."""
-    n, low = len(value), value.lower()
+    # one character for one: some have a longer lower case
+    n, low = len(value), "".join(c if len(d := c.lower()) > 1 else d for c in value)
     plain, keys = low.translate(LEET), low.translate(SHIFTED)
     ends: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
     for i in range(n):
@@ -195,10 +196,15 @@ def guess_spans(text: str, words: dict[str, int], min_log10: float, taken: list[
         return []
     found = {m.span(1) for p in (CONTEXT, ADDRESS) for m in p.finditer(text)}
     out, last = [], 0
+    blocked, at, reach = sorted(taken), 0, 0  # ``reach``: the furthest end of those that start before this value's
     for start, end in sorted(found):
         value = text[start:end].rstrip(".!?:=&")
         end = start + len(value)
-        if len(value) < MIN_CHARS or start < last or "://" in value or any(s < end and start < e for s, e, _ in taken):
+        while at < len(blocked) and blocked[at][0] < start:
+            reach = max(reach, blocked[at][1])
+            at += 1
+        clash = reach > start or (at < len(blocked) and blocked[at][0] < end)
+        if len(value) < MIN_CHARS or start < last or "://" in value or clash:
             continue
         if guess_cost(value, words)[0] >= min_log10:
             out.append((start, end, "guess"))

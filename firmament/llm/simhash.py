@@ -33,23 +33,41 @@ from firmament.llm.store import saved, text_key
 SEED = 42
 CHUNK = 1024  # fingerprints a chunk of a large bucket holds, about
 SMALL = 64  # largest bucket that is joined row by row
-PIECE = 1 << 16  # shingles whose bits are counted at once
+PIECE = 1 << 18  # bytes of a text whose shingles are counted at once
+SPACES = tuple(b"\t\n\v\f\r "[i : i + 1] for i in range(6))
 
 
-def fingerprint(text: str | None, n_words: int = 4) -> int:
-    """The signed 64-bit fingerprint of one text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def _bits(words: list[bytes], n_words: int) -> np.ndarray:
+    """How many of the words' shingles have each bit set."""
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = ends - [len(w) for w in words]
-    n = max(1, len(words) - n_words + 1)
+    n = len(words) - n_words + 1
     spans = zip(starts[:n].tolist(), ends[-n:].tolist())
     hashes = np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans], dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, PIECE):
-        ones += np.unpackbits(hashes[i : i + PIECE, None].view(np.uint8), axis=1, bitorder="little").sum(0, np.int64)
+    return np.unpackbits(hashes[:, None].view(np.uint8), axis=1, bitorder="little").sum(0, np.int64)
+
+
+def fingerprint(text: str | None, n_words: int = 4) -> int:
+    """The signed 64-bit fingerprint of one text, counted a piece at a time."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    ones, n, last, cut = np.zeros(64, np.int64), 0, [], b""
+    for start in range(0, len(raw), PIECE):
+        # words of this piece; one that the piece's end cuts is left for the next
+        piece = cut + raw[start : start + PIECE]
+        words = piece.split()
+        cut = words.pop() if start + PIECE < len(raw) and words and piece[-1:] not in SPACES else b""
+        words = last + words
+        if len(words) >= n_words:
+            ones += _bits(words, n_words)
+            n += len(words) - n_words + 1
+            last = words[len(words) - n_words + 1 :]
+        else:
+            last = words
+    if not n:
+        if not last:
+            return 0
+        ones, n = _bits(last, len(last)), 1
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 

@@ -530,3 +530,48 @@ def test_pipeline_edges(spark, edge, tmp_dir):
         for name, stage in corpus_pipeline.STAGES:
             docs = saved(stage(spark, docs, tmp_dir), "test")
         assert docs.count() == 0
+
+
+# ---------------------------------------------------------------- long texts, read a piece at a time
+def test_values_whose_lower_case_is_longer():
+    words = secret_scan.dictionary(None)
+    text = "password: İstanbul2020İ! login=İİİİ2020-01-02"
+    assert all(0 <= s < e <= len(text) for s, e, _ in secret_scan.scan(text, words))
+    assert secret_scan.guess_cost("İ2020", words)[1][-1][1] == 5
+
+
+def test_guesses_never_overlap_base_spans():
+    words = secret_scan.dictionary(None)
+    text = "token=abcdefgh12 pwd: tR7#kQ9!vL2p\n" * 50 + "password=token=Zx9kQ2vL8pWm bearer: Zx9kQ2vL8pWm%"
+    spans = secret_scan.scan(text, words)
+    base = [(s, e) for s, e, k in spans if k != "guess"]
+    guesses = [(s, e) for s, e, k in spans if k == "guess"]
+    assert len(guesses) >= 50
+    assert not any(s < f and b < e for s, e in guesses for b, f in base)
+
+
+MANY = ["", "a", "one two three", "Ünï cödé wörds, again!  and\tagain\n" * 40, "x" * 300 + " y " + "z" * 90, "\x1c \x0b a\x1cb c d e"]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_pieces_of_a_text_do_not_change_fingerprint_and_language_features(monkeypatch, piece):
+    whole = [(simhash.fingerprint(t), langid.features(t)) for t in MANY]
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    monkeypatch.setattr(langid, "PIECE", piece)
+    for t, (fp, x) in zip(MANY, whole):
+        assert simhash.fingerprint(t) == fp
+        y = langid.features(t)
+        assert (x is None) == (y is None) and (x is None or np.allclose(x, y))
+
+
+def test_quality_scores_every_passage_in_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = "\n".join(" ".join(rng.choice(["aa", "Bb", "12", "!?"], 6)) for _ in range(50))
+    x = quality.bag(text, 1000)
+    model = quality.fit([x, x[:20]], np.array([0.0, 1.0]), np.ones(2), rounds=3)
+    want = model.forward(x)[0]
+    for at_once in (1, 7, 50):
+        monkeypatch.setattr(quality, "AT_ONCE", at_once)
+        assert abs(model.score(text) - want) < 1e-9
+        some = quality.bag(text, 5)
+        assert len(some) == 5 and np.array_equal(some[[0, -1]], x[[0, -1]])
