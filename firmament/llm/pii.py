@@ -6,8 +6,10 @@ much the words near it give away: with document counts c over N documents,
 
     PMI(t, e) = log2(c_te * N / (c_t * c_e)),   IC(e) = log2(N / c_e)
 
-and a term t discloses e when PMI(t, e) / IC(e) reaches ``disclosure`` on at
-least ``support`` documents.  A disclosing term is generalised to its stem if
+and a term t discloses e when PMI(t, e) / IC(e) reaches ``disclosure``.  Most
+values are in one document; there PMI(t, e) is the term's own information
+content, log2(N / c_t), so no number of documents is asked for (``support``
+asks for one).  A disclosing term is generalised to its stem if
 the stem does not disclose e, else removed; both give spans of kind ``term``.
 c_te counts documents with t within ``reach`` characters of e; c_t and c_e
 count all documents that hold them.
@@ -154,7 +156,7 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str, disclosure: flo
     return pairs.agg((F.min("level") == 0).alias("term_too"), (F.max("level") == 1).alias("stem_too")).filter("term_too").drop("term_too")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 100, disclosure: float = 0.9, support: int = 3) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 100, disclosure: float = 0.9, support: int = 1) -> DataFrame:
     """One row per document: doc_id, text_key, spans: array<struct<start,
     kind (place in KINDS), end, label>> by start, then kind."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -304,6 +304,19 @@ def test_disclosing_terms(spark):
     assert "jim" not in out[0] and "[EMAIL]" in out[0] and "zorblat" not in out[0] and "zorb*" in out[0] and out[10] == docs.filter("doc_id = 10").first().text
 
 
+def test_terms_of_values_in_one_document(spark):
+    """A value held once is disclosed by the words that only its document holds."""
+    docs = [(0, "the common quixley wrote from jim@x.org about common things")]
+    docs += [(10 + i, "the common text wrote from here about common things") for i in range(40)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = pii.find_personal_data(docs)
+    by = {r.doc_id: r for r in pii.digest(found).collect()}
+    assert by[0].spans == "term:11:18,email:30:39" and by[0].n_term == 1 and by[10].spans == ""
+    assert "quix" not in {r.doc_id: r.text for r in pii.sanitised(docs, found).collect()}[0]
+    held = [r for r in queries.op2_pii(spark, SF).collect() if r.n_email + r.n_ip + r.n_card + r.n_phone]
+    assert held and sum(r.n_term for r in held) > 0
+
+
 def test_personal_data_edges(spark, edge, no_docs):
     got = pii.digest(pii.find_personal_data(edge)).collect()
     assert len(got) == len(EDGE) and all(r.spans == "" for r in got)
