@@ -3,7 +3,12 @@
 Every text becomes hashed counts of its letters' one- to three-grams (square
 roots, unit length).  A one-versus-rest linear SVM per family picks the
 family; within it a linear SVM for every pair of languages votes, ties going
-to the larger margin.  Models are fitted on at most ``per_language`` labelled
+to the larger margin.  The score also says how much the text looks like the
+learned ones at all: its evidence is the best family's margin plus its cosine
+with the winner's mean vector, held against ``FLOOR`` times the median of the
+winner's learned texts (less for texts under ``SHORT`` characters, which have
+fewer n-grams to show).  At that bound the score is ``MIN_SCORE``, below it
+less, so that texts in no learned language can be told.  Models are fitted on at most ``per_language`` labelled
 documents of each language, chosen by the hash of their id; prediction reads
 every whole text.
 
@@ -15,7 +20,7 @@ read whole; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
 from itertools import combinations
 
@@ -29,6 +34,10 @@ SIZES = (512, 1024, 2048)  # hashed one-, two- and three-grams
 DIMS = sum(SIZES)
 PIECE = 1 << 18  # characters of a text that are counted at once
 UND = "und"
+MIN_SCORE = 0.2  # the score of a text whose evidence is just enough
+FLOOR = 0.55  # of the median evidence of learned texts: between theirs and that of languages left out
+SHORT = 256  # letters and spaces
+STEEP = 6.0
 
 # Languages by family (ISO 639-1); others are a family of their own.
 FAMILIES = {
@@ -83,13 +92,15 @@ def _counts(text: str) -> tuple[list[np.ndarray], bool]:
     return counts, any_letter
 
 
+def _unit(counts: list[np.ndarray]) -> np.ndarray:
+    x = np.sqrt(np.concatenate([n / max(1, n.sum()) for n in counts]))
+    return x / np.linalg.norm(x)
+
+
 def features(text: str | None) -> np.ndarray | None:
     """Unit-length feature vector of a whole text; None without a letter."""
     counts, any_letter = _counts(text or "")
-    if not any_letter:
-        return None
-    x = np.sqrt(np.concatenate([n / max(1, n.sum()) for n in counts]))
-    return x / np.linalg.norm(x)
+    return _unit(counts) if any_letter else None
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 200) -> np.ndarray:
@@ -109,17 +120,25 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 2
 
 @dataclass
 class Model:
-    """families: weights per family; pairs: weights for +first, -second language."""
+    """families: weights per family; pairs: weights for +first, -second language;
+    centres: unit mean vector per language; usual: median evidence of its learned texts."""
 
     families: dict[str, np.ndarray]
     pairs: dict[tuple[str, str], np.ndarray]
     languages: dict[str, list[str]]
+    centres: dict[str, np.ndarray] = field(default_factory=dict)
+    usual: dict[str, float] = field(default_factory=dict)
+
+    def evidence(self, x: np.ndarray, margin: float, lang: str) -> float:
+        """``margin``: the best family's; a lone family, which has none to be told from, counts by the cosine."""
+        cosine = float(self.centres[lang] @ x)
+        return cosine + (margin if len(self.families) > 1 else 1.5 * cosine - 0.5)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        x = features(text)
-        if x is None or not self.families:
+        counts, any_letter = _counts(text or "")
+        if not any_letter or not self.families:
             return UND, 0.0
-        x = np.append(x, 1.0)
+        x = np.append(_unit(counts), 1.0)
         margins = sorted(((float(w @ x), name) for name, w in self.families.items()), reverse=True)
         gap = margins[0][0] - (margins[1][0] if len(margins) > 1 else -margins[0][0])
         score = 1 / (1 + np.exp(-2 * gap)) if len(margins) > 1 else 1.0
@@ -135,6 +154,9 @@ class Model:
             if other != best:
                 m = float(self.pairs[min(best, other), max(best, other)] @ x) * (1 if best < other else -1)
                 score = min(score, 1 / (1 + np.exp(-4 * m)))
+        enough = FLOOR * self.usual[best] * min(1.0, np.log(counts[0].sum()) / np.log(SHORT))
+        over = self.evidence(x[:-1], margins[0][0], best) / enough - 1
+        score = min(score, 1 / (1 + (1 / MIN_SCORE - 1) * np.exp(-STEEP * over)))
         return best, float(score)
 
 
@@ -151,7 +173,14 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
         for a, b in combinations(languages[k], 2):
             own = (langs_at == a) | (langs_at == b)
             pairs[a, b] = fit_svm(x[own], np.where(langs_at[own] == a, 1.0, -1.0))
-    return Model(families, pairs, languages)
+    model = Model(families, pairs, languages)
+    for name in names:
+        own = x[langs_at == name]
+        centre = own.mean(0)
+        model.centres[name] = centre / np.linalg.norm(centre)
+        margins = own @ families[of[name]][:-1] + families[of[name]][-1]
+        model.usual[name] = max(1e-3, float(np.median([model.evidence(v, m, name) for v, m in zip(own, margins)])))
+    return model
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> Model:
@@ -186,7 +215,7 @@ def learned(docs: DataFrame, id_col: str = "doc_id", held_out: tuple[int, int] =
     return docs.filter(id_bucket(F.col(id_col), held_out[0]) != held_out[1])
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.2) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The documents in a language the model knows, with their own columns;
     rejected are ``und`` and those scored under ``min_score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -2,6 +2,7 @@
 nulls, empty and long texts, ties, repeated rows, empty tables and extra
 columns."""
 
+import base64
 import hashlib
 import random
 import re
@@ -335,6 +336,28 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == r.lang for r in held]) > 0.97
 
 
+def test_unlearned_languages_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(langid.learned(docs))
+    rng = random.Random(5)
+    strange = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Ahi quanto a dir qual era",
+        "Mieleni minun tekevi, aivoni ajattelevi lahteani laulamahan, saa'ani sanelemahan, sukuvirtta suoltamahan, lajivirtta laulamahan.",
+        "Мой дядя самых честных правил, когда не в шутку занемог, он уважать себя заставил и лучше выдумать не мог.",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(120)),
+        base64.b64encode(rng.randbytes(600)).decode(),
+    ]
+    strange = spark.createDataFrame(list(enumerate(strange)), "doc_id bigint, text string")
+    assert langid.accepted(strange, model).count() == 0 and langid.accepted(strange, model, min_score=0.0).count() == 5
+    held = docs.exceptAll(langid.learned(docs))
+    assert langid.accepted(held, model).count() >= 0.995 * held.count()
+    # a language left out, and a model of one family
+    for out, langs in (("de", ["en", "fr", "es"]), ("en", ["de", "fr", "es"]), ("fr", ["en"])):
+        model = langid.train(langid.learned(docs).filter(F.col("lang").isin(langs)))
+        left, kept = held.filter(F.col("lang") == out), held.filter(F.col("lang").isin(langs))
+        assert langid.accepted(left, model).count() <= 0.1 * left.count() and langid.accepted(kept, model).count() >= 0.98 * kept.count()
+
+
 def test_language_edges(spark, edge, no_docs):
     model = langid.train(table(spark, "documents"))
     got = langid.identify(edge, model).collect()
