@@ -2,17 +2,22 @@
 
 Base spans come from four patterns (kinds email, ip, card, phone).  The
 method treats every value found as a protected entity and asks the corpus how
-much the words near it give away: with document counts c over N documents,
+much the words of its documents give away: with document counts c over N,
 
     PMI(t, e) = log2(c_te * N / (c_t * c_e)),   IC(e) = log2(N / c_e)
 
 and a term t discloses e when PMI(t, e) / IC(e) reaches ``disclosure``.  Most
 values are in one document; there PMI(t, e) is the term's own information
 content, log2(N / c_t), so no number of documents is asked for (``support``
-asks for one).  A disclosing term is generalised to its stem if
-the stem does not disclose e, else removed; both give spans of kind ``term``.
-c_te counts documents with t within ``reach`` characters of e; c_t and c_e
-count all documents that hold them.
+asks for one).  A term that discloses any entity is generalised to its stem if
+the stem discloses none, else removed; both give spans of kind ``term``, at
+every place outside the values, in every document that holds the term.  c_t,
+c_e and c_te count whole documents that hold the term, the entity and both.
+
+Two steps keep the pairs few without losing any.  c_te <= c_e, so only terms
+with log2(N / c_t) >= ``disclosure`` * IC(e) can disclose e and are paired
+with it.  Entities held by the same texts have equal counts with every term,
+so such a group is paired as one.
 
 DataFrame functions only.  Equal texts are told by key, so copies make one
 row in every later table, and each table is pre-aggregated before a shuffle.
@@ -40,6 +45,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"\p{L}{3,}+"
 STEM = 4  # letters of a generalised term, and a third of a longer word's
 TERMS_BROADCAST = 2_000_000  # hashes of 8 bytes
+BLOCK = 64  # matches placed at a time: an array that grows by one is copied each time
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -48,7 +54,9 @@ def matches(text: Column, pattern: str) -> Column:
     A split gives the pieces between matches; lengths add up to positions."""
     span = "array<struct<start:int,end:int,value:string>>"
 
-    def place(x: Column) -> Column:
+    def block(x: Column, first: Column) -> Column:
+        """Its length in the text, and its matches placed from its start."""
+
         def step(acc: Column, i: Column) -> Column:
             start = acc["pos"] + F.char_length(x["pieces"][i])
             end = start + F.char_length(x["values"][i])
@@ -56,7 +64,19 @@ def matches(text: Column, pattern: str) -> Column:
             return F.struct(end.alias("pos"), F.concat(acc["out"], one).alias("out"))
 
         begin = F.struct(F.lit(0).alias("pos"), F.array().cast(span).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["values"]) - 1), begin, step, lambda acc: acc["out"])
+        return F.aggregate(F.sequence(first, F.least(first + F.lit(BLOCK), F.size(x["values"])) - 1), begin, step)
+
+    def place(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(x["values"]) - 1, F.lit(BLOCK)), lambda first: block(x, first))
+        return F.transform(F.array(blocks), joined)[0]
+
+    def joined(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["pos"])))
+
+        def moved(xs: Column) -> Column:
+            return F.flatten(F.transform(blocks, lambda b, k: F.transform(b["out"], lambda m: F.struct((m["start"] + xs[k]).alias("start"), (m["end"] + xs[k]).alias("end"), m["value"].alias("value")))))
+
+        return F.transform(F.array(starts), moved)[0]
 
     def located(values: Column) -> Column:
         both = F.array(F.struct(values.alias("values"), F.split(text, pattern, -1).alias("pieces")))
@@ -104,82 +124,75 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(kind, *rule) for kind, rule in enumerate(rules)]))
 
 
-def nearby(text: Column, spans: Column, reach: int) -> Column:
-    """The spans, each with ``words``: the whole words within reach of it and
-    outside all spans, array<struct<start, end, value>>."""
-
-    def side(begin: Column, length: Column, cut: Column) -> Column:
-        found = matches(F.substring(text, begin + 1, length), WORD)
-        placed = F.transform(found, lambda m: F.struct((m["start"] + begin).alias("start"), (m["end"] + begin).alias("end"), F.lower(m["value"]).alias("value")))
-        return F.filter(placed, lambda m: (m["start"] != cut) & (m["end"] != cut))
-
-    def of(s: Column) -> Column:
-        left = F.greatest(F.lit(0), s["start"] - F.lit(reach))
-        right = F.least(F.char_length(text), s["end"] + F.lit(reach))
-        words = F.concat(
-            side(left, s["start"] - left, F.when(left > 0, left).otherwise(F.lit(-1))),
-            side(s["end"], right - s["end"], F.when(right < F.char_length(text), right).otherwise(F.lit(-1))),
-        )
-        close = F.filter(spans, lambda o: (o["start"] < right) & (left < o["end"]))  # a word meets these at most
-        outside = F.transform(F.array(close), lambda near: F.filter(words, lambda w: ~F.exists(near, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"]))))[0]
-        return F.struct(*[s[c].alias(c) for c in ("start", "kind", "end", "value")], outside.alias("words"))
-
-    return F.transform(spans, of)
-
-
 def _stem(word: Column) -> Column:
     return F.concat(F.substring(word, F.lit(1), F.greatest(F.lit(STEM), F.floor(F.char_length(word) / 3).cast("int"))), F.lit("*"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str, disclosure: float, support: int) -> DataFrame:
-    """(entity, term, stem_too): the pairs in ``found`` (text_key, copies,
-    entity, term) whose term discloses, and whether its stem does as well."""
+def _hashes(text: Column) -> Column:
+    """array<bigint>: the distinct words of a text and their stems."""
+    words = F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.char_length(w) >= 3), lambda w: F.lower(w)))
+    return F.transform(F.array(words), lambda ws: F.array_distinct(F.concat(F.transform(ws, lambda w: F.xxhash64(w)), F.transform(ws, lambda w: F.xxhash64(_stem(w))))))[0]
+
+
+def disclosing(held: DataFrame, texts: DataFrame, docs: DataFrame, text_col: str, disclosure: float, support: int) -> DataFrame:
+    """(h): hashes of the terms and stems that disclose an entity.  ``held``:
+    distinct (text_key, entity); ``texts``: distinct (text_key, copies, hashes)
+    of the texts that hold one."""
     n = docs.count()
-    once = found.select("text_key", "copies", "entity", "term").distinct()
-    levels = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.xxhash64("term").alias("h")), F.struct(F.lit(1).alias("level"), F.xxhash64(_stem(F.col("term"))).alias("h"))))
-    each = once.select("text_key", "copies", "entity", "term", levels.alias("l")).select("text_key", "copies", "entity", "term", "l.*")
-    c_te = saved(each.select("text_key", "copies", "entity", "h").distinct().groupBy("entity", "h").agg(F.sum("copies").alias("c_te")), "pairs")
-    wanted = saved(c_te.select("h").distinct(), "terms")
-
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+"), "")
-    hashes = F.transform(F.array(F.array_distinct(F.filter(words, lambda w: F.char_length(w) >= 3))), lambda ws: F.array_distinct(F.concat(F.transform(ws, lambda w: F.xxhash64(w)), F.transform(ws, lambda w: F.xxhash64(_stem(w))))))[0]
-    held = docs.select(F.explode(hashes).alias("h")).join(small(wanted, TERMS_BROADCAST), "h", "left_semi")
-    c_t = saved(held.groupBy("h").agg(F.count("*").alias("c_t")), "frequencies")
-
-    c_e = found.select("text_key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("c_e"))
-    scored = c_te.join(c_t, "h").join(saved(c_e, "entities"), "entity")
-    # a window may hold a word that the whole text joins to a longer one: never more documents near e than with t
-    pmi = F.log2(F.col("c_te") * F.lit(float(n)) / (F.greatest("c_t", "c_te") * F.col("c_e")))
-    ic = F.log2(F.lit(float(n)) / F.col("c_e"))
-    bad = saved(scored.filter((F.col("c_te") >= support) & (ic > 0) & (pmi >= F.lit(disclosure) * ic)).select("entity", "h"), "disclosing")
-    pairs = each.select("entity", "term", "level", "h").distinct().join(bad, ["entity", "h"]).groupBy("entity", "term")
-    return pairs.agg((F.min("level") == 0).alias("term_too"), (F.max("level") == 1).alias("stem_too")).filter("term_too").drop("term_too")
-
-
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 100, disclosure: float = 0.9, support: int = 1) -> DataFrame:
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "text_key")) for seed in (0, 1)]  # equal for entities of the same texts
+    kinds = held.join(texts.select("text_key", "copies"), "text_key").groupBy("entity").agg(F.sum("copies").alias("c_e"), same[0].alias("a"), same[1].alias("b"))
+    kinds = saved(kinds.select("entity", "c_e", F.xxhash64("c_e", "a", "b").alias("group")), "entities")
+    groups = saved(held.join(small(kinds, TERMS_BROADCAST), "entity").select("text_key", "group", "c_e").distinct(), "groups")
+
+    wanted = saved(texts.select(F.explode("hashes").alias("h")).distinct(), "terms")
+    few = wanted.count() <= TERMS_BROADCAST
+    words = docs.select(F.explode(_hashes(F.coalesce(F.col(text_col), F.lit("")))).alias("h"))
+    words = words.join(F.broadcast(wanted), "h", "left_semi") if few else words
+    c_t = words.groupBy("h").agg(F.count("*").alias("c_t"))
+    c_t = c_t if few else c_t.join(wanted, "h", "left_semi")
+
+    total = F.lit(float(max(n, 1)))
+    ic_t, ic_e = F.log2(total / F.col("c_t")), F.log2(total / F.col("c_e"))
+    most = groups.agg(F.max("c_e")).first()[0] or 1
+    c_t = saved(c_t.filter(ic_t >= F.lit(disclosure) * F.log2(total / F.lit(float(most))) - 1e-9), "frequencies")
+
+    near = texts.select("text_key", "copies", F.explode("hashes").alias("h")).join(small(c_t, TERMS_BROADCAST), "h")
+    near = near.join(groups, "text_key").filter((ic_e > 0) & (ic_t >= F.lit(disclosure) * ic_e - 1e-9))
+    c_te = near.groupBy("group", "c_e", "h", "c_t").agg(F.sum("copies").alias("c_te"))
+    pmi = F.log2(F.col("c_te") * total / (F.col("c_t") * F.col("c_e")))
+    return c_te.filter((F.col("c_te") >= support) & (pmi >= F.lit(disclosure) * ic_e - 1e-9)).select("h").distinct()
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, support: int = 1) -> DataFrame:
     """One row per document: doc_id, text_key, spans: array<struct<start,
     kind (place in KINDS), end, label>> by start, then kind."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    based = F.transform(F.array(base_spans(F.col("text"))), lambda s: F.when(F.size(s) > 0, nearby(F.col("text"), s, reach)))[0]
-    rows = saved(rows.select("doc_id", text_key(F.col("text")).alias("text_key"), based.alias("spans")), "base")
-
-    holding = rows.filter("spans is not null").select("text_key", F.explode("spans").alias("s"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = F.transform(F.array(base_spans(text)), lambda s: F.when(F.size(s) > 0, s))[0]
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"), found.alias("spans"))
+    hashes = F.when(F.col("spans").isNotNull(), _hashes(F.col("text")))
+    rows = saved(rows.select("doc_id", "text_key", "spans", hashes.alias("hashes")), "base")
+
+    texts = rows.filter("spans is not null").groupBy("text_key").agg(F.count("*").alias("copies"), F.first("hashes").alias("hashes"), F.first("spans").alias("spans"))
+    texts = saved(texts, "texts")
     plain = F.when(F.col("s.kind") < 2, F.lower("s.value")).otherwise(_digits(F.col("s.value")))
-    holding = holding.select("text_key", F.xxhash64("s.kind", plain).alias("entity"), F.explode_outer("s.words").alias("w"))
-    found = holding.groupBy("text_key", "entity", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("term")).agg(F.count("*").alias("times"))
-    copies = rows.filter("spans is not null").groupBy("text_key").agg(F.count("*").alias("copies"))
-    found = saved(found.join(copies, "text_key"), "found")
-
-    bad = saved(disclosing(found.filter("term is not null"), docs, text_col, disclosure, support), "bad")
-    label = F.when(F.max("stem_too"), F.lit("")).otherwise(F.first(_stem(F.col("term"))))
-    terms = found.join(bad, ["entity", "term"]).groupBy("text_key", "start", "end").agg(label.alias("label"))
+    held = texts.select("text_key", F.explode("spans").alias("s")).select("text_key", F.xxhash64("s.kind", plain).alias("entity")).distinct()
+    bad = saved(disclosing(saved(held, "held"), texts, docs, text_col, disclosure, support), "disclosing")
+
+    near = small(bad, TERMS_BROADCAST)
+    places = docs.select(text_key(F.col(text_col)).alias("text_key"), F.explode(matches(text, WORD)).alias("w"))
+    places = places.select("text_key", "w.start", "w.end", F.lower("w.value").alias("term")).withColumn("h", F.xxhash64("term")).join(near, "h", "left_semi")
+    places = saved(places.select("text_key", "start", "end", "term").distinct(), "places")
+    stems = places.select("term", _stem(F.col("term")).alias("stem")).distinct().join(bad.select(F.col("h").alias("bad")), F.xxhash64("stem") == F.col("bad"), "left")
+    labels = saved(stems.select("term", F.when(F.col("bad").isNull(), F.col("stem")).otherwise("").alias("label")), "labels")
+    places = places.join(small(labels, TERMS_BROADCAST), "term")
     term = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", "label")
-    terms = saved(terms.groupBy("text_key").agg(F.collect_list(term).alias("terms")), "terms")
+    terms = saved(places.groupBy("text_key").agg(F.collect_list(term).alias("terms")), "marks")
 
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     base = F.transform(F.coalesce("spans", F.array().cast(rows.schema["spans"].dataType)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), names[s["kind"]].alias("label")))
-    out = rows.join(terms, "text_key", "left")
-    both = F.when(F.col("terms").isNull(), base).otherwise(F.array_sort(F.concat(base, F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType)))))
+    out = rows.drop("hashes").join(terms, "text_key", "left")
+    outside = F.when(F.col("spans").isNull(), F.col("terms")).otherwise(F.filter("terms", lambda t: ~F.exists("spans", lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"]))))
+    both = F.when(F.col("terms").isNull(), base).otherwise(F.array_sort(F.concat(base, outside)))
     return out.select("doc_id", "text_key", both.alias("spans"))
 
 

@@ -318,6 +318,26 @@ def test_terms_of_values_in_one_document(spark):
     assert held and sum(r.n_term for r in held) > 0
 
 
+def test_terms_far_from_the_value_and_in_other_texts(spark):
+    far = "common words here " * 40  # 720 characters
+    docs = [(i, f"zorblat {far} jim@x.org {far} Zorblat jim") for i in range(3)]
+    docs += [(3, f"{far} the zorblat again"), (4, None)] + [(10 + i, f"{far} the zorb") for i in range(60)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = pii.find_personal_data(docs)
+    by = {r.doc_id: r for r in pii.digest(found).collect()}
+    # both places in a text that holds the value, "jim" outside it, and the text without it
+    assert [by[i].n_term for i in (0, 3, 4, 10)] == [3, 1, 0, 0]
+    out = {r.doc_id: r.text for r in pii.sanitised(docs, found).collect()}
+    assert not any("zorblat" in (t or "").lower() for t in out.values()) and "jim" not in out[0] and out[3] == f"{far} the zorb* again"
+
+
+def test_placed_matches_are_whole_in_blocks(spark):
+    texts = ["", "no", "abc", " abc é😀 defg" * 500, "İstanbul x " * pii.BLOCK, "word " * (pii.BLOCK + 1)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", pii.matches(F.col("t"), pii.WORD).alias("m")).collect()
+    for r in got:
+        assert [(m.start, m.end, m.value) for m in r.m] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W\d_]{3,}", texts[r.i])]
+
+
 def test_personal_data_edges(spark, edge, no_docs):
     got = pii.digest(pii.find_personal_data(edge)).collect()
     assert len(got) == len(EDGE) and all(r.spans == "" for r in got)
