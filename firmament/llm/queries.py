@@ -1,21 +1,24 @@
 """Registered queries of the training-data operators.
 
 Each is ``fn(spark, sf_dir) -> DataFrame`` over its whole table, with the
-parameters a deployment would use.  SQL expresses op9 only; the others are
-tested against brute force, fixed cases or held-out accuracy.
+parameters a deployment would use.  SQL expresses op9 and op12 only; the others
+are tested against brute force, fixed cases or held-out accuracy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from firmament.llm import decontaminate, hnsw, html_text, langid, linkgraph, mixing, pii, quality, secret_scan, simhash
-from firmament.llm.store import ship
+from firmament.llm import decontaminate, hnsw, html_text, langid, linkgraph, mixing, phrases, pii, quality, secret_scan, simhash, token_files, whitening
+from firmament.llm.store import ship, table_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # of the secret scan's dictionary
 
+TOKENIZER = "word_bpe_49k.json"  # of the token files
+
 # host/path prefixes
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -70,8 +73,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex64(groups["fp"]).alias("fingerprint"), "component_id", "kept")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, from the files written."""
+    path = table_path(spark, "tokens")
+    token_files.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
+    return token_files.checksums(token_files.tokens(spark, path))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.scaled(_table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_pii, op3_language, op4_embedding_dedup, op5_main_text, op6_mixing, op7_secrets, op8_url_verdict, op9_contamination, op10_simhash)
+    for f in (op1_quality, op2_pii, op3_language, op4_embedding_dedup, op5_main_text, op6_mixing, op7_secrets, op8_url_verdict, op9_contamination, op10_simhash, op11_token_files, op12_phrases, op13_whitening)
 }
-ORACLE: dict[str, str] = {"op9_contamination": decontaminate.ORACLE}
+ORACLE: dict[str, str] = {"op9_contamination": decontaminate.ORACLE, "op12_phrases": phrases.ORACLE}
