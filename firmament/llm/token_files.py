@@ -17,8 +17,8 @@ in the input), so a repeated id is split like any other, and sorted by (id,
 hash, text) within a file; rows equal in both are interchangeable.  Input
 positions are those of the scan: give a table read from files.
 
-A text is encoded a stretch between spaces at a time, each stretch once while
-remembered, if the tokenizer's file shows that spaces always part words
+Texts are encoded a stretch between white space at a time, each stretch once
+while remembered, if the tokenizer's file shows that it always parts words
 (``spaces_part``); else whole.  The ids are the same either way.
 
 Defined results: a null text is empty, an empty text has the end id only; null
@@ -29,12 +29,14 @@ whole; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,20 +44,28 @@ from tokenizers import Tokenizer
 
 from firmament.llm.store import small
 
-REMEMBERED = 200_000  # stretches a Python worker keeps the ids of
-STRETCH = 256  # characters; longer ones are not kept
-AT_ONCE = 1 << 20  # ids that go back to Spark in one batch
+REMEMBERED = 1_500_000  # stretches a Python worker keeps the ids of
+KEPT = 48 << 20  # bytes of these stretches
+GROUP = 256  # stretches encoded as one text
+# letters whose lower case is one letter; with a stop, of two pieces at least
+WORD = "^[A-Za-zÀ-ÖØ-öø-į]+$"
+STOP = "^[A-Za-zÀ-ÖØ-öø-į]+[.,;:!?]$"
+PIECE = 1 << 20  # characters of a text that are encoded at once
+AT_ONCE = 8 << 20  # characters of texts that are encoded at once
+BATCH = 1 << 20  # ids that go back to Spark in one batch
 FILE_TEXT = 256 << 20  # bytes of text a file, about
 LEAST_TEXT = 4 << 20  # bytes of text a file, if there are tasks to spare
 INDEX_ROWS = 1_000_000  # files whose index rows (16 bytes each) are broadcast
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def spaces_part(tokenizer: Tokenizer) -> bool:
-    """Whether text may be cut at spaces without a change to its ids: steps
-    that look at single characters or white space alone, pieces that never
-    hold or cross a space, no special string with one."""
+    """Whether text may be cut at ASCII white space without a change to its
+    ids: steps that look at single characters or white space alone, pieces that
+    never hold or cross white space, no special string with any."""
     state = json.loads(tokenizer.to_str())
 
     def steps(part: dict | None, name: str) -> list[dict]:
@@ -68,7 +78,7 @@ def spaces_part(tokenizer: Tokenizer) -> bool:
     model = state["model"]
     if not all(map(local, steps(state["normalizer"], "normalizers"))) or model["type"] != "BPE" or model.get("dropout"):
         return False
-    if any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in state["added_tokens"]):
+    if any(x["content"].split() != [x["content"]] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in state["added_tokens"]):
         return False
     kinds = steps(state["pre_tokenizer"], "pretokenizers")
     if not kinds or kinds[0]["type"] != "Split" or kinds[0]["behavior"] != "Removed":
@@ -76,44 +86,106 @@ def spaces_part(tokenizer: Tokenizer) -> bool:
     pieces = lambda text: [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
     marks = [chr(c) for c in range(33, 127)] + ["é", "ß", "中", "٣", "́", "‍"]
     alone = {m: pieces(m) for m in marks}
-    return all(pieces(f"{a} {b}") == alone[a] + alone[b] for a, b in product(marks, marks))
+    return all(pieces(f"{a}{space}{b}") == alone[a] + alone[b] for a, b in product(marks, marks) for space in " \t\n\v\f\r")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text cut before spaces, every ``PIECE`` characters or so; at least one piece."""
+    at = 0
+    while (end := text.find(" ", at + PIECE)) > 0:
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
 
 class Encoder:
-    """Ids of texts as bytes (int32, little-endian)."""
+    """Ids of texts (int32)."""
 
     def __init__(self, path: str, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = special_as_text
         self.parted = spaces_part(self.tokenizer)
-        self.known: dict[str, bytes] = {}
-
-    def _of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self._forget()
+
+    def _forget(self) -> None:
+        """What is known of stretches: their numbers of ids, and all ids in order."""
+        self.known, self.size, self.data = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, "<i4")
+
+    def _of(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_words(self, words: list[str], pieces: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of each) of stretches of at least ``pieces`` pieces
+        each: many as one text, cut at the ends of pieces.  If there are just
+        so many, each stretch has its own."""
+        for i in range(0, len(words), GROUP):
+            group = words[i : i + GROUP]
+            ids = self._of([" ".join(group)])[0]
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == pieces * len(group) and at[-1] == len(ids):
+                yield ids, np.diff(at[pieces - 1 :: pieces], prepend=0)
+            else:
+                yield from self._alone(group)
+
+    def _alone(self, stretches: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids = self._of(stretches)
+        yield np.concatenate([np.zeros(0, "<i4"), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _learn(self, new: pa.Array) -> None:
+        word, stop = pc.match_substring_regex(new, WORD), pc.match_substring_regex(new, STOP)
+        kinds = [new.filter(m) for m in (word, stop, pc.invert(pc.or_(word, stop)))]
+        words, stops, rest = (k.to_pylist() for k in kinds)
+        ids, sizes = zip(*self._of_words(words, 1), *self._of_words(stops, 2), *self._alone(rest))
+        self.known = pa.concat_arrays([self.known, *kinds])
+        self.size, self.data = np.concatenate([self.size, *sizes]), np.concatenate([self.data, *ids])
+
+    def _of_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        """Of all texts at once: every distinct stretch once, then put in place."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        stretches = split.flatten().dictionary_encode()
+        distinct = stretches.dictionary
+        at = pc.index_in(distinct, value_set=self.known)
+        if at.null_count:
+            self._learn(distinct.filter(at.is_null()))
+            at = pc.index_in(distinct, value_set=self.known)
+        at = at.to_numpy()[stretches.indices.to_numpy()]
+        sizes, starts = self.size[at], (np.cumsum(self.size) - self.size)[at]
+        after = np.cumsum(sizes)
+        values = self.data[np.repeat(starts - (after - sizes), sizes) + np.arange(sizes.sum())]
+        if len(self.known) > REMEMBERED or pc.sum(pc.binary_length(self.known)).as_py() > KEPT:
+            self._forget()
+        return np.split(values, np.append(0, after)[split.offsets.to_numpy()[1:-1]])
+
+    def encoded(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, in order."""
         if not self.parted:
-            return self._of([text])[0]
-        out = []
-        for at in range(0, len(text), AT_ONCE):  # a stretch that crosses the edge belongs to the piece it starts in
-            lo = 0 if at == 0 else text.find(" ", at)
-            hi = len(text) if at + AT_ONCE >= len(text) else text.find(" ", at + AT_ONCE)
-            if lo < 0:
-                break
-            out.append(self._stretches(text[lo : hi if hi >= 0 else len(text)].split(" ")))
-        return b"".join(out)
-
-    def _stretches(self, parts: list[str]) -> bytes:
-        new = list({p for p in parts if p not in self.known})
-        fresh = dict(zip(new, self._of(new)))
-        ids = b"".join([fresh[p] if p in fresh else self.known[p] for p in parts])
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-        if len(fresh) <= REMEMBERED:
-            self.known.update((p, i) for p, i in fresh.items() if len(p) <= STRETCH)
-        return ids
+            yield from (self._of([text])[0] for text in texts)
+            return
+        held, chars, begun = [], 0, []
+
+        def finished() -> Iterator[np.ndarray]:
+            for ids, (_, last) in zip(self._of_pieces([p for p, _ in held]), held):
+                begun.append(ids)
+                if last:
+                    yield np.concatenate(begun)
+                    begun.clear()
+
+        for text in texts:
+            cut = list(pieces(text))
+            for i, piece in enumerate(cut):
+                held.append((piece, i == len(cut) - 1))
+                chars += len(piece)
+                if chars >= AT_ONCE:
+                    yield from finished()
+                    held, chars = [], 0
+        if held:
+            yield from finished()
 
 
 def encoder(path: str, special_as_text: bool = False) -> Encoder:
@@ -123,11 +195,10 @@ def encoder(path: str, special_as_text: bool = False) -> Encoder:
     return _ENCODERS[path, special_as_text]
 
 
-def _batch(schema: pa.Schema, ids: list, part: int, starts: list[int], lists: list[bytes]) -> pa.RecordBatch:
-    sizes = np.array([len(x) // 4 for x in lists], np.int64)
+def _batch(schema: pa.Schema, ids: list, part: int, starts: list[int], lists: list[np.ndarray]) -> pa.RecordBatch:
+    sizes = np.array([len(x) for x in lists], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    values = pa.array(np.frombuffer(b"".join(lists), "<i4"))
-    columns = [pa.array(ids, schema.field(0).type), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)]
+    columns = [pa.array(ids, schema.field(0).type), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists)))]
     return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
 
@@ -147,20 +218,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))
     rows = rows.repartitionByRange(files or files_for(docs, text_col), "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
+    end = np.array([] if end_id is None else [end_id], "<i4")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, of = TaskContext.get().partitionId(), 0, encoder(tokenizer, special_as_text)
         for batch in batches:
             fields = [batch.schema.field(0), pa.field("file", pa.int32()), pa.field("start", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids", pa.list_(pa.int32()))]
             schema, ids, starts, lists, held = pa.schema(fields), [], [], [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                found = of.ids(text.as_py()) + end
+            texts = (text.as_py() for text in batch.column(1))
+            for doc_id, found in zip(batch.column(0), of.encoded(texts)):
                 ids.append(doc_id.as_py())
                 starts.append(before)
-                lists.append(found)
-                before, held = before + len(found) // 4, held + len(found) // 4
-                if held >= AT_ONCE:
+                lists.append(np.append(found, end))
+                before, held = before + len(lists[-1]), held + len(lists[-1])
+                if held >= BATCH:
                     yield _batch(schema, ids, part, starts, lists)
                     ids, starts, lists, held = [], [], [], 0
             if ids:
