@@ -20,7 +20,9 @@ phrases are counted within pieces, overlaps included.
 
 The breaks lose nothing: a phrase is at most as frequent as its words and
 pairs.  A shard has ``shard_words`` words and at most one piece more.  What
-tasks hand over are counts per shard, so no word or text is hot.
+tasks hand over are counts per shard, so no word or text is hot.  Frequent
+words and pairs go to the shards by broadcast up to ``BROADCAST_ROWS`` rows and
+``BROADCAST_BYTES`` bytes, beyond by a join and a shuffle of shards.
 
 Scores are exact: products are DECIMAL(38), enough for counts up to 10^12.
 
@@ -36,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +47,8 @@ from firmament.llm.store import saved, small
 from firmament.operators.util import top_k_per_group
 
 PIECE = 1 << 20  # bytes of a text that are split into words at once
-BROADCAST_ROWS = 500_000  # of (language, n) or of numbers; 16 MB
+BROADCAST_ROWS = 1_000_000  # of two or three numbers: 24 MB
+BROADCAST_BYTES = 32 << 20  # of the words among them
 ENDS = b".,;:!?\n\x0b\x0c\r"
 CLEAN = bytes.maketrans(ENDS + b"\t", b"\n" * len(ENDS) + b" ")
 
@@ -82,18 +86,18 @@ def word_ids(part: bytes, words: Words) -> np.ndarray:
 
 
 def make_shards(docs: DataFrame, lang_col: str, text_col: str, shard_words: int) -> DataFrame:
-    """(shard, lang, word, local, n, ids): a row per word of a shard (local id
-    and count) and one with the shard's ids (int32) and its number of words."""
+    """(shard, lang, n, words, counts, ids): a row per shard with its number of
+    words, its dictionary (local ids from 1 in that order), each word's count,
+    and its ids (int32, breaks 0)."""
+    names = ["shard", "lang", "n", "words", "counts", "ids"]
 
-    def rows(shard: int, lang: str, words: Words, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def row(shard: int, lang: str, words: Words, ids: list[np.ndarray]) -> pa.RecordBatch:
         ids = np.concatenate(ids)
         ids = ids[(ids > 0) | (np.append(0, ids[:-1]) > 0)]  # no break follows a break
-        n = np.bincount(ids, minlength=len(words) - 1)[1:]
-        known = pa.array([w.decode() for w in list(words)[2:]], pa.string())
-        k = len(known)
-        names = ["shard", "lang", "word", "local", "n", "ids"]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard)), pa.array([lang] * k, pa.string()), known, pa.array(np.arange(1, k + 1, dtype=np.int32)), pa.array(n.astype(np.int64)), pa.nulls(k, pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([lang], pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.array([int(n.sum())]), pa.array([ids.astype("<i4").tobytes()], pa.binary())], names=names)
+        counts = np.bincount(ids, minlength=len(words) - 1)[1:]
+        known = [w.decode() for w in list(words)[2:]]
+        columns = [pa.array([shard]), pa.array([lang], pa.string()), pa.array([int(counts.sum())]), pa.array([known], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([ids.astype("<i4").tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, tuple[Words, list[np.ndarray]]] = {}
@@ -111,14 +115,14 @@ def make_shards(docs: DataFrame, lang_col: str, text_col: str, shard_words: int)
                     held += len(found)
                     full = [lang] if size[lang] >= shard_words else list(open_) if held >= 2 * shard_words else []
                     for x in full:
-                        yield from rows(first + made, x, *open_.pop(x))
+                        yield row(first + made, x, *open_.pop(x))
                         made, held = made + 1, held - size.pop(x)
         for lang, kept in open_.items():
-            yield from rows(first + made, lang, *kept)
+            yield row(first + made, lang, *kept)
             made += 1
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(deal, "shard bigint, lang string, word string, local int, n bigint, ids binary")
+    return texts.mapInArrow(deal, "shard bigint, lang string, n bigint, words array<string>, counts array<bigint>, ids binary")
 
 
 # ---------------------------------------------------------------- index
@@ -222,50 +226,96 @@ def with_breaks(ids: np.ndarray, live: np.ndarray, good: np.ndarray | None = Non
     return text[(text > 0) | (np.append(1, text[:-1]) > 0)]
 
 
-def _symbols(shard: pd.DataFrame, words: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Local ids, their symbols, and the global id of each symbol (0 first)."""
-    ids = np.frombuffer(shard["ids"].iat[0], "<i4")
-    local, number = words["local"].to_numpy(), words["word_id"].to_numpy(np.int64)
+def symbols(ids: bytes, local: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Local ids, the symbol of each local id (0: not frequent), and the global
+    id of each symbol.  ``local``, ``number``: the shard's frequent words."""
+    ids = np.frombuffer(ids, "<i4")
     live = np.zeros(max(int(ids.max(initial=0)), int(local.max(initial=0))) + 1, np.int64)
     live[local] = np.arange(1, len(local) + 1)
     return ids, live, np.append(0, number)
 
 
-def count_pairs(shard: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    empty = pd.DataFrame({"shard": [], "a": [], "b": [], "n": []}).astype("int64")
-    if not len(shard) or not len(words):
-        return empty
-    ids, live, number = _symbols(shard, words)
+def pair_rows(ids: bytes, local: np.ndarray, number: np.ndarray) -> dict[str, np.ndarray]:
+    """a, b, n of a shard's neighbours, in global ids."""
+    ids, live, number = symbols(ids, local, number)
     text = with_breaks(ids, live)
     if len(text) < 3:
-        return empty
-    grams, count = pairs(text, len(number))
-    return pd.DataFrame({"shard": shard["shard"].iat[0], "a": number[grams[:, 0]], "b": number[grams[:, 1]], "n": count})
+        return {c: np.zeros(0, np.int64) for c in ("a", "b", "n")}
+    grams, n = pairs(text, len(number))
+    return {"a": number[grams[:, 0]], "b": number[grams[:, 1]], "n": n}
 
 
-def phrase_counter(depth: int):
-    names = [f"w{i}" for i in range(1, depth + 1)]
+def phrase_rows(ids: bytes, local: np.ndarray, number: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> dict[str, np.ndarray]:
+    """w1, w2, ... (global ids, 0 beyond the phrase), n, left, right of a
+    shard's phrases over the frequent pairs a, b (the shard's or more)."""
+    ids, live, number = symbols(ids, local, number)
+    order = np.argsort(number)
+    a, b = _both(number, order, a, b)
+    text = with_breaks(ids, live, np.sort(a * len(live) + b))
+    out = [np.zeros((0, depth + 3), np.int64)]
+    for grams, n, left, right in enumerate_phrases(text, len(number), depth) if len(text) > 2 else ():
+        rows = np.zeros((len(n), depth + 3), np.int64)
+        rows[:, : grams.shape[1]] = number[grams]
+        rows[:, depth], rows[:, depth + 1], rows[:, depth + 2] = n, number[left], number[right]
+        out.append(rows)
+    return dict(zip([*(f"w{i}" for i in range(1, depth + 1)), "n", "left", "right"], np.vstack(out).T))
+
+
+def _both(number: np.ndarray, order: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the pairs whose words the shard both has."""
+    at = [order[np.minimum(np.searchsorted(number, x, sorter=order), len(order) - 1)] for x in (a, b)]
+    here = (number[at[0]] == a) & (number[at[1]] == b)
+    return at[0][here], at[1][here]
+
+
+# ---------------------------------------------------------------- shards and frequent words, paired up
+
+
+def known_to_tasks(df: DataFrame, lang: str | None) -> dict | None:
+    """A table of words (lang, word, word_id) or of pairs (a, b) for broadcast,
+    if it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes."""
+    text = F.sum(F.octet_length(lang)) if lang else F.lit(0)
+    n, size = df.agg(F.count("*"), F.coalesce(text, F.lit(0))).first()
+    return {c: x.combine_chunks() for c, x in zip(df.columns, df.toArrow().columns)} if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else None
+
+
+def own_words(words: dict, lang: str, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(local ids, global ids) of a dictionary's frequent words."""
+    mine = pc.equal(words["lang"], lang)
+    at = pc.index_in(dictionary, value_set=words["word"].filter(mine))
+    found = at.is_valid().to_numpy(zero_copy_only=False)
+    return np.flatnonzero(found) + 1, words["word_id"].filter(mine).to_numpy()[at.drop_null().to_numpy()]
+
+
+def _batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], names=list(rows))
+
 
-    def count(shard: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        """``rows``: the shard's frequent words (b is 0) and pairs of word ids."""
-        empty = pd.DataFrame({c: [] for c in [*names, "n", "left", "right"]}).astype("int64")
-        words, two = rows[rows["b"] == 0], rows[rows["b"] > 0]
-        if not len(shard) or not len(two):
-            return empty
-        ids, live, number = _symbols(shard, words)
-        order = np.argsort(number)
-        a, b = (order[np.searchsorted(number, two[c].to_numpy(np.int64), sorter=order)] for c in ("word_id", "b"))
-        text = with_breaks(ids, live, np.sort(a * len(live) + b))
-        if len(text) < 3:
-            return empty
-        out = []
-        for grams, n, left, right in enumerate_phrases(text, len(number), depth):
-            row = np.zeros((len(n), depth), np.int64)
-            row[:, : grams.shape[1]] = number[grams]
-            out.append(pd.DataFrame(row, columns=names).assign(n=n, left=number[left], right=number[right]))
-        return pd.concat(out) if out else empty
-
-    return count, ", ".join(f"{c} bigint" for c in [*names, "n", "left", "right"])
+def from_broadcast(shards: DataFrame, words, work, schema: str) -> DataFrame:
+    """``work(ids, local, number)`` of every shard; ``words``: a broadcast table."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                lang, ids = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                yield _batch(work(ids, *own_words(words.value, lang, batch.column(1)[i].values)))
+
+    return shards.select("lang", "words", "ids").mapInArrow(each, schema)
+
+
+def from_join(shards: DataFrame, rows: DataFrame, work, schema: str) -> DataFrame:
+    """The same with each shard's rows (shard, local, word_id, b) sent to it:
+    words (b is 0) and pairs of words (local is 0)."""
+
+    def each(shard: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(shard):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}).astype("int64")
+        word = own[own["b"] == 0]
+        two = own[own["b"] > 0]
+        args = (two["word_id"].to_numpy(np.int64), two["b"].to_numpy(np.int64)) if "w1" in schema else ()
+        return pd.DataFrame(work(shard["ids"].iat[0], word["local"].to_numpy(np.int64), word["word_id"].to_numpy(np.int64), *args))
+
+    return shards.select("shard", "ids").groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(each, schema)
 
 
 # ---------------------------------------------------------------- phrases
@@ -275,24 +325,44 @@ def frequent(docs: DataFrame, depth: int, min_count: int, lang_col: str, text_co
     """Words (word_id, lang, word, f), phrases (gram: word ids, f, held: whether
     a longer phrase up to ``depth`` is as frequent) and totals (lang, n)."""
     shards = saved(make_shards(docs, lang_col, text_col, shard_words), "shards")
-    dictionaries, texts = shards.filter("ids is null"), shards.filter("ids is not null")
-    totals = saved(texts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    words = dictionaries.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+    totals = saved(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    counted = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    words = counted.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
     words = saved(words.withColumn("word_id", F.monotonically_increasing_id() + 1), "words")
-    live = saved(dictionaries.select("shard", "lang", "word", "local").join(words.drop("f"), ["lang", "word"]).select("shard", "local", "word_id"), "live")
 
-    by_shard = texts.select("shard", "ids").groupBy("shard")
-    seen = by_shard.cogroup(live.groupBy("shard")).applyInPandas(count_pairs, "shard bigint, a bigint, b bigint, n bigint")
-    seen = saved(seen, "pairs")
+    sent = docs.sparkSession.sparkContext.broadcast
+    names = [f"w{i}" for i in range(1, depth + 1)]
+    schema = ", ".join(f"{c} bigint" for c in [*names, "n", "left", "right"])
+
+    def live() -> DataFrame:
+        own = shards.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(words.drop("f"), ["lang", "word"])
+        return saved(own.select("shard", (F.col("at") + 1).alias("local"), "word_id", F.lit(0).cast("bigint").alias("b")), "live")
+
+    all_words = known_to_tasks(words.select("lang", "word", "word_id"), "word")
+    if all_words:
+        all_words = sent(all_words)
+        seen = from_broadcast(shards, all_words, pair_rows, "a bigint, b bigint, n bigint")
+    else:
+        seen = from_join(shards, live(), pair_rows, "a bigint, b bigint, n bigint")
     good = saved(seen.groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count).select("a", "b"), "good-pairs")
-    good = seen.select("shard", "a", "b").join(small(good, BROADCAST_ROWS), ["a", "b"])
-    both = live.select("shard", "local", "word_id", F.lit(0).cast("bigint").alias("b")).unionByName(good.select("shard", F.lit(0).alias("local"), F.col("a").alias("word_id"), "b"))
 
-    count, schema = phrase_counter(depth)
-    names = [f"w{i}" for i in range(1, depth + 1)]
-    found = by_shard.cogroup(both.groupBy("shard")).applyInPandas(count, schema).groupBy(*names)
+    all_pairs = known_to_tasks(good, None) if all_words else None
+    if all_pairs:
+        all_pairs = sent(all_pairs)
+
+        def work(ids, local, number):
+            return phrase_rows(ids, local, number, all_pairs.value["a"].to_numpy(), all_pairs.value["b"].to_numpy(), depth)
+
+        found = from_broadcast(shards, all_words, work, schema)
+    else:
+        mine = live()
+        here = mine.select("shard", "word_id")
+        two = here.join(good, F.col("word_id") == F.col("a")).select("shard", F.lit(0).alias("local"), F.col("a").alias("word_id"), "b")
+        two = two.join(here.select(F.col("shard").alias("s"), F.col("word_id").alias("other")), (F.col("shard") == F.col("s")) & (F.col("b") == F.col("other")), "left_semi")
+        found = from_join(shards, mine.unionByName(two), lambda ids, local, number, a, b: phrase_rows(ids, local, number, a, b, depth), schema)
+
     one_word = [((F.min(side) == F.max(side)) & (F.min(side) > 0)).alias(side) for side in ("left", "right")]
-    found = found.agg(F.sum("n").alias("f"), *one_word).filter(F.col("f") >= min_count)
+    found = found.groupBy(*names).agg(F.sum("n").alias("f"), *one_word).filter(F.col("f") >= min_count)
     gram = F.filter(F.array(*names), lambda w: w > 0)
     return words, saved(found.select(gram.alias("gram"), "f", (F.col("left") | F.col("right")).alias("held")), "grams"), totals
 
@@ -301,7 +371,7 @@ def exact(c: Column) -> Column:
     return c.cast("decimal(38,0)")
 
 
-def phrases(docs: DataFrame, depth: int = 5, min_count: int = 100, lang_col: str = "lang", text_col: str = "text", shard_words: int = 2_000_000) -> DataFrame:
+def phrases(docs: DataFrame, depth: int = 5, min_count: int = 100, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1_000_000) -> DataFrame:
     """(lang, phrase, words, a, l, r, n, score) of every phrase of 2 to
     ``depth`` words found ``min_count`` times or more, but those held in a
     longer one that is as frequent.  score = floor(1000 a n / (l r)) at the cut

@@ -46,25 +46,28 @@ def test_token_files_match_the_library(spark):
     assert sorted(map(tuple, queries.op11_token_files(spark, SF).collect())) == expected
 
 
+def encoded(texts, path=WORD_BPE, **options):
+    return [x.tolist() for x in token_files.Encoder(path, **options).encoded(texts)]
+
+
 def test_token_ids_do_not_depend_on_stretches():
     rng = random.Random(3)
-    signs = "abzAZ019 .,'’sß İǅΣσς́‍中文\t\n  %<|>-éé"
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(2000)] + ["x<|endoftext|> y", " ", LONG]
-    of = token_files.Encoder(WORD_BPE)
-    assert of.parted
-    assert [np.frombuffer(of.ids(t), "<i4").tolist() for t in texts] == library_ids(texts, end=())
-    other = token_files.Encoder(BYTE_BPE)
-    assert not other.parted  # its pieces begin with spaces
-    assert [np.frombuffer(other.ids(t), "<i4").tolist() for t in texts[:300]] == library_ids(texts[:300], BYTE_BPE, ())
+    signs = "abzAZ019 .,'’sß İǅΣσς́‍中文\t\n\r\v\f\u2028\xa0\x1c  %<|>-éé!?;"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["x<|endoftext|> y", "<|endoftext|>.", "it's, they're. ' 's, a≠. ǅ.", " ", LONG]
+    assert token_files.Encoder(WORD_BPE).parted and not token_files.Encoder(BYTE_BPE).parted  # the latter's pieces begin with spaces
+    assert encoded(texts) == library_ids(texts, end=())
+    assert encoded(texts[:300], BYTE_BPE) == library_ids(texts[:300], BYTE_BPE, ())
 
 
 @pytest.mark.parametrize("piece", [1, 7, 100])
 def test_pieces_of_a_long_text(monkeypatch, piece):
-    monkeypatch.setattr(token_files, "AT_ONCE", piece)
+    monkeypatch.setattr(token_files, "PIECE", piece)
+    monkeypatch.setattr(token_files, "AT_ONCE", 3 * piece)
     monkeypatch.setattr(token_files, "REMEMBERED", 3)
-    texts = ["one  two three, four's " * 9, "a" * 300, " lead", "trail ", "", "  "]
-    of = token_files.Encoder(WORD_BPE)
-    assert [np.frombuffer(of.ids(t), "<i4").tolist() for t in texts] == library_ids(texts, end=())
+    texts = ["one  two three, four's " * 9, "a" * 300, " lead", "trail ", "", "  ", "lead, trail! ... one."] * 2
+    assert ["".join(token_files.pieces(t)) for t in texts] == texts
+    assert encoded(texts) == library_ids(texts, end=())
+    assert encoded([]) == []
 
 
 def test_special_strings_as_text(spark, tmp_dir):
@@ -145,8 +148,9 @@ def slow_phrases(rows, depth, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize("depth,least,shard", [(5, 3, 60), (3, 2, 10_000), (2, 4, 25)])
-def test_phrases_match_brute_force(spark, depth, least, shard):
+@pytest.mark.parametrize("depth,least,shard,rows_sent", [(5, 3, 60, 10**6), (5, 3, 60, 0), (4, 2, 300, 30), (3, 2, 10_000, 10**6), (2, 4, 25, 10**6)])
+def test_phrases_match_brute_force(spark, monkeypatch, depth, least, shard, rows_sent):
+    monkeypatch.setattr(phrases, "BROADCAST_ROWS", rows_sent)  # 30: words, but not pairs
     rng = random.Random(depth)
     chunks = ["the old mill", "a b a b a", "x x x x x x", "Zug um Zug"]
     rows = [("".join(rng.choice([w + " " for w in "the old new mill a b x zug um éa ÉA".split()] + [c + " " for c in chunks] + [", ", ".", "\n", "\t", "   "]) for _ in range(rng.randrange(40))), rng.choice(["en", "de", None])) for _ in range(120)]
