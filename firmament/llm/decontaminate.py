@@ -7,14 +7,16 @@ the share of an item's distinct word shingles that a document holds.
    An item's sketch is its bottom-k MinHash: its k smallest shingle hashes,
    with k from its size so that a document holding at least ``threshold`` of
    the item must hold one of the k (it can miss at most k - 1 shingles).  The
-   sketch of a size class is as small as that allows, and no match is lost.
-2. Every document's shingle hashes are joined with the sketches.  The join
-   broadcasts them up to ``BROADCAST_ROWS`` rows and shuffles beyond.
+   sketch is as small as that allows, and no match is lost.
+2. Every document's shingle hashes are joined with the sketches of the size
+   classes that it is long enough to hold.  The join broadcasts the sketches up
+   to ``BROADCAST_ROWS`` rows and shuffles beyond.
 3. Candidates are verified on shingle strings, once per distinct text.
 
 Words are runs of letters and digits, lower-cased, so punctuation glued to
-words doesn't hide a passage.  An item or text of fewer words than a shingle
-is one shingle.  DataFrame functions only.
+words doesn't hide a passage.  An item of fewer words than a shingle is one
+shingle, and documents are read for shingles of its length too, whatever
+their own.  DataFrame functions only.
 
 Defined results: null and wordless texts or items match nothing; repeated
 rows each get their rows; null ids are carried; empty tables give no rows;
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from firmament.llm.store import saved, small, text_key, unused
 
+WORD = r"[\p{L}\p{N}]+"
 BROADCAST_ROWS = 2_000_000  # of (hash, item) rows of 16 bytes: 32 MB
 BROADCAST_KEYS = 1_000_000  # of text keys of 32 bytes: 32 MB; beyond, texts are shuffled
 
@@ -44,6 +47,18 @@ def shingles(text: Column, n_words: int) -> Column:
     return F.transform(F.array(words), of)[0]  # binds the words once
 
 
+def short_lengths(items: DataFrame, text_col: str, n_words: int) -> list[int]:
+    """The numbers of words under ``n_words`` that items have: ``n_words`` - 1 values at most."""
+    n = F.size(F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), ""))
+    return sorted(r["n"] for r in items.select(n.alias("n")).filter(F.col("n").between(1, n_words - 1)).distinct().collect())
+
+
+def probes(text: Column, n_words: int, lengths: list[int]) -> Column:
+    """Shingles of a document: those of ``n_words`` words and, where items are
+    that short, of each of ``lengths``."""
+    return F.concat(shingles(text, n_words), *[F.when(F.regexp_count(text, F.lit(WORD)) > m, shingles(text, m)).otherwise(F.array().cast("array<string>")) for m in lengths])
+
+
 def item_shingles(items: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
     """(item_id, n_item, shingle) with distinct shingles; items of one id are one item."""
     rows = items.select(F.col(id_col).alias("item_id"), F.explode(shingles(F.col(text_col), n_words)).alias("shingle")).distinct()
@@ -65,16 +80,18 @@ def contained(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     texts = docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     shingled = saved(item_shingles(items, item_id, item_text, n_words), "items")
     sketch = saved(sketches(shingled, threshold), "sketch")
+    lengths = short_lengths(items, item_text, n_words)
 
-    hashes = F.transform(shingles(F.col("text"), n_words), lambda s: F.xxhash64(s))
-    probed = texts.select("text_key", F.explode(hashes).alias("h"))
-    found = probed.join(small(sketch, BROADCAST_ROWS), "h").select("text_key", "item_id").distinct()
+    hashes = F.transform(probes(F.col("text"), n_words, lengths), lambda s: F.xxhash64(s))
+    probed = texts.select("text_key", hashes.alias("hashes")).select("text_key", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    long_enough = F.col("n") >= F.pow(F.lit(2.0), F.col("size_class")) * F.lit(threshold) - F.lit(1e-9)
+    found = probed.join(small(sketch, BROADCAST_ROWS), "h").filter(long_enough).select("text_key", "item_id").distinct()
     found = saved(found, "candidates")
 
     candidates = saved(found.select("text_key").distinct(), "candidate-texts")
     once = texts.join(small(candidates, BROADCAST_KEYS), "text_key", "left_semi").dropDuplicates(["text_key"])
-    held = once.select("text_key", F.explode(F.array_distinct(shingles(F.col("text"), n_words))).alias("shingle"))
-    shared = held.join(small(shingled, BROADCAST_ROWS // 8), "shingle").groupBy("text_key", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    held = once.select("text_key", F.explode(F.array_distinct(probes(F.col("text"), n_words, lengths))).alias("shingle"))
+    shared = held.join(small(shingled, BROADCAST_ROWS // 8, ("shingle",)), "shingle").groupBy("text_key", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     shared = shared.filter(F.col("n_shared") >= F.col("n_item") * F.lit(threshold) - F.lit(1e-9))
     found = found.select(F.col("text_key").alias("key"), F.col("item_id").alias("of"))
     return shared.join(found, (F.col("text_key") == F.col("key")) & F.col("item_id").eqNullSafe(F.col("of")), "left_semi")
@@ -101,8 +118,11 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options)
 ORACLE = r"""
 WITH dw AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents),
 bw AS (SELECT item_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM benchmark),
+m AS (SELECT DISTINCT len(w) AS m FROM bw WHERE len(w) BETWEEN 1 AND 4),
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
-       FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM dw WHERE len(w) > 0)),
+       FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM dw WHERE len(w) > 0)
+       UNION SELECT doc_id, array_to_string(w[i:i+m-1], ' ')
+       FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM dw, m WHERE len(w) >= m)),
 bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s
        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM bw WHERE len(w) > 0)),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1)

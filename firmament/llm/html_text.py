@@ -1,8 +1,10 @@
 """Main-text extraction: boosted trees over DOM nodes, decoded down the tree.
 
-1. A page is parsed into a tree of block elements; inline elements belong to
-   the block they stand in.
-2. Every block element gets features: tag, attribute tokens, depth, place and
+1. A page is parsed into a tree, in time in proportion to its length: block
+   elements, inline ones that a tag or attribute tells from running text, and
+   the texts that stand in no element but the body.  Other inline elements
+   belong to the node they stand in.
+2. Every node gets features: tag, attribute tokens, depth, place and
    number of siblings, text, link and punctuation density of its subtree, and
    the same of its parent.
 3. Gradient-boosted trees give the log odds that the element is content or
@@ -13,13 +15,14 @@
 
 The trees are fitted on at most about ``sample`` pages.  Their elements are
 labelled by what the page itself says (article and main hold content; nav,
-header, footer, aside, form and marked adverts don't), and the same texts are
+header, footer, aside, form, buttons and marked adverts don't), and the same texts are
 laid out again in random layouts with other tags, class names, sidebars,
 notices, forms and reader comments, so the model also learns pages that don't
 use those elements.
 
-Defined results: null and empty html give an empty text; markup that never
-closes is closed at its parent's end; repeated rows get equal rows; null ids
+Defined results: null and empty html give an empty text; elements that never
+close are closed at their parent's end, scripts, styles, text areas and the like
+at the page's end, quotes that never close belong to a bare value; repeated rows get equal rows; null ids
 are carried; whole pages of any length are read; without a page to learn from
 the fixed layouts alone are learned; other columns are ignored.
 """
@@ -30,18 +33,22 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+BETWEEN = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"=?[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
 
 # Elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select button object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())  # text up to their end tag
 BLOCK = frozenset(
     "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header "
     "footer aside form fieldset blockquote pre figure figcaption address details summary dialog center hgroup search".split()
@@ -51,9 +58,11 @@ CLOSES = {
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "body": {"head"},
 }
 SCOPE = frozenset("html body article main section div ul ol dl table nav header footer aside form blockquote td th figure details dialog".split())
+# inline elements that are nodes; others are if an attribute token names them as no content
+INLINE = frozenset("button select svg math object canvas audio video".split())
 TAGS = (
     "article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl table tr td nav header footer aside form fieldset blockquote pre figure "
-    "figcaption address details dialog body".split()
+    "figcaption address details dialog body #text span a button select svg math object".split()
 )
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
 # Attribute tokens that name content, and that name other things.
@@ -86,6 +95,7 @@ class Node:
     paragraphs: int = 0
     inputs: int = 0
     start: int = 0  # characters of text before it
+    made: bool = False  # marked as content by ``layout``
 
 
 @dataclass
@@ -95,79 +105,192 @@ class Page:
     pieces: list[tuple[int, str]] = field(default_factory=list)
 
 
-def _tokens(attributes: str) -> list[str]:
+def attributes(source: str, at: int, gone: set[str]) -> tuple[list[tuple[str, str]], int]:
+    """(name, value) pairs of a tag, read from behind its name, and where the
+    tag ends.  A quote that never closes is part of a bare value; ``gone``
+    remembers which ones close no more, so nobody looks again."""
     out = []
-    for name, *values in ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id", "role", "itemprop"):
-            text = re.sub(r"([a-z])([A-Z])", r"\1 \2", next((v for v in values if v), ""))
+    while True:
+        at = BETWEEN.match(source, at).end()
+        if at >= len(source) or source[at] == ">":
+            return out, at + 1
+        m = ATTRIBUTE.match(source, at)
+        name, at = m[0].lower(), m.end()
+        if (eq := EQUALS.match(source, at)) is None:
+            out.append((name, ""))
+            continue
+        at = eq.end()
+        quote = source[at : at + 1]
+        end = source.find(quote, at + 1) if quote in ("'", '"') and quote and quote not in gone else -1
+        if end >= 0:
+            out.append((name, source[at + 1 : end]))
+            at = end + 1
+        else:
+            if quote:
+                gone.add(quote)
+            m = BARE.match(source, at)
+            out.append((name, m[0]))
+            at = m.end()
+
+
+def _tokens(pairs: list[tuple[str, str]]) -> list[str]:
+    out = []
+    for name, value in pairs:
+        if name in ("class", "id", "role", "itemprop"):
+            text = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
             out += re.findall(r"[a-z]+", html.unescape(text).lower())
     return out
 
 
+class Open:
+    """The elements that are open: (tag, node), innermost last, and by each
+    that bounds a scope how many of a tag are open inside it, so that no
+    question costs more than it closes."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool, bool]] = [("#root", 0, False, False)]
+        self.scopes: list[tuple[int, Counter]] = [(0, Counter())]
+        self.count: Counter = Counter()
+        self.made = 0  # open elements marked by ``layout``
+        self.unclosed: list[int] = []  # inline nodes without an end tag of their own
+
+    def push(self, tag: str, node: int, made: bool = False, inline: bool = False) -> None:
+        self.count[tag] += 1
+        self.made += made
+        self.stack.append((tag, node, made, inline))
+        if tag in SCOPE:
+            self.scopes.append((len(self.stack) - 1, Counter()))
+        else:
+            self.scopes[-1][1][tag] += 1
+
+    def pop(self, own_end: bool = False) -> str:
+        tag, node, made, inline = self.stack.pop()
+        if inline and not own_end:
+            self.unclosed.append(node)
+        self.count[tag] -= 1
+        self.made -= made
+        if self.scopes[-1][0] == len(self.stack):
+            self.scopes.pop()
+        else:
+            self.scopes[-1][1][tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        if self.count[tag] > 0:
+            while self.stack[-1][0] != tag:
+                self.pop()
+            self.pop(own_end=True)
+
+    def close_before(self, tag: str) -> None:
+        """What the start of ``tag`` closes, up to the next scope."""
+        closes = CLOSES.get(tag, frozenset()) | {"p"}
+        while True:
+            at, inside = self.scopes[-1]
+            if any(inside[c] > 0 for c in closes):
+                while (was := self.pop()) not in closes:
+                    pass
+            elif at and self.stack[at][0] in closes:
+                while len(self.stack) > at:
+                    was = self.pop()
+            else:
+                return
+            if was == "p" and tag not in CLOSES:
+                return
+
+
 def parse(source: str | None) -> Page:
-    """The block tree of a page; node 0 is its root."""
+    """The tree of a page; node 0 is its root.  Time is in proportion to the page."""
     page = Page([Node("#root", -1, [], 0)])
     nodes, pieces = page.nodes, page.pieces
-    open_tags: list[tuple[str, int]] = [("#root", 0)]  # element, its block
-    source, at, links = source or "", 0, 0
+    source, at, text_at, gone = source or "", 0, 0, set()
+    open_ = Open()
+
+    def new(tag: str, tokens: list[str], made: bool = False) -> int:
+        up = open_.stack[-1][1]
+        nodes.append(Node(tag, up, tokens, nodes[up].depth + 1, nodes[up].children, start=len(pieces), made=made))
+        nodes[up].children += 1
+        return len(nodes) - 1
 
     def add(text: str) -> None:
-        if text:
-            text = html.unescape(text) if "&" in text else text
-            pieces.append((open_tags[-1][1], text))
-            size = len(text) - text.count(" ")
-            if size and not text.isspace():
-                node = nodes[open_tags[-1][1]]
-                node.own += size
-                node.linked += size if links else 0
-                node.marks += sum(map(text.count, ".,;:!?"))
-                node.words += text.count(" ") + 1
-
-    while (m := MARKUP.search(source, at)) is not None:
-        add(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if not text:
+            return
+        text = html.unescape(text) if "&" in text else text
+        at = open_.stack[-1][1]
+        size = len(text) - text.count(" ")
+        blank = not size or text.isspace()
+        if nodes[at].tag in ("#root", "html", "body"):  # judged by itself
+            last = pieces[-1][0] if pieces else -1
+            if last > 0 and nodes[last].tag == "#text" and nodes[last].parent == at:
+                at = last
+            elif not blank:
+                at = new("#text", [], open_.made > 0)
+        pieces.append((at, text))
+        if not blank:
+            node = nodes[at]
+            node.own += size
+            node.linked += size if open_.count["a"] > 0 else 0
+            node.marks += sum(map(text.count, ".,;:!?"))
+            node.words += text.count(" ") + 1
+
+    while (lt := source.find("<", at)) >= 0:
+        m = NAME.match(source, lt)
+        if m is None:
+            if source[lt + 1 : lt + 2] not in ("!", "?", "/") or lt + 1 >= len(source):
+                at = lt + 1  # a plain sign
+                continue
+            add(source[text_at:lt])
+            mark, skip = ("-->", 2) if source.startswith("<!--", lt) else (">", 1)
+            end = source.find(mark, lt + skip)
+            at = text_at = end + len(mark) if end >= 0 else len(source)
             continue
+        add(source[text_at:lt])
         tag = m[2].lower()
+        pairs, at = attributes(source, m.end(), gone)
+        text_at = at = min(at, len(source))
         if m[1]:
-            if any(t == tag for t, _ in open_tags[1:]):
-                while open_tags[-1][0] != tag:
-                    links -= open_tags.pop()[0] == "a"
-                links -= open_tags.pop()[0] == "a"
+            open_.close(tag)
             if tag in BLOCK:
                 pieces.append((-1, ""))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at) if not m[3].rstrip().endswith("/") else None
-            at = end.end() if end else at if m[3].rstrip().endswith("/") else len(source)
-            nodes[open_tags[-1][1]].inputs += tag in ("textarea", "select", "button")
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
+            at = text_at = end.end() if end else len(source)
+            nodes[open_.stack[-1][1]].inputs += tag == "textarea"
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 pieces.append((-1, ""))
-            nodes[open_tags[-1][1]].inputs += tag == "input"
+            nodes[open_.stack[-1][1]].inputs += tag == "input"
             continue
+        made = any(name == MADE for name, _ in pairs)
+        tokens = _tokens(pairs)
         if tag in BLOCK:
             pieces.append((-1, ""))
-            closes = CLOSES.get(tag, set()) | {"p"}
-            for k in range(len(open_tags) - 1, 0, -1):
-                t = open_tags[k][0]
-                if t in closes:
-                    while len(open_tags) > k:
-                        links -= open_tags.pop()[0] == "a"
-                    if t == "p" and not CLOSES.get(tag):
-                        break
-                elif t in SCOPE:
-                    break
-            up = open_tags[-1][1]
-            nodes.append(Node(tag, up, _tokens(m[3]) if "=" in m[3] else [], nodes[up].depth + 1, nodes[up].children, start=-1))
-            nodes[up].children += 1
-            nodes[-1].start = len(pieces)
-            open_tags.append((tag, len(nodes) - 1))
+            open_.close_before(tag)
+            open_.push(tag, new(tag, tokens, made), made)
+        elif tag in INLINE or not OTHER_TOKENS.isdisjoint(tokens):
+            nodes[open_.stack[-1][1]].inputs += tag in ("button", "select")
+            open_.push(tag, new(tag, tokens, made), made, inline=True)
         else:
-            open_tags.append((tag, open_tags[-1][1]))
-            links += tag == "a"
-    add(source[at:])
+            open_.push(tag, open_.stack[-1][1], made)
+    add(source[text_at:])
+    while len(open_.stack) > 1:
+        open_.pop()
+
+    # an inline element that never closes and holds blocks doesn't hold them: they belong to its parent
+    holds = {node.parent for node in nodes[1:] if node.tag in BLOCK}
+    lost = {i for i in open_.unclosed if i in holds}
+    if lost:
+        at_ = list(range(len(nodes)))
+        for i, node in enumerate(nodes[1:], 1):
+            node.parent = at_[node.parent]
+            if i in lost:
+                at_[i] = node.parent
+        for i in lost:
+            up, node = nodes[at_[i]], nodes[i]
+            up.own, up.linked, up.marks, up.words = up.own + node.own, up.linked + node.linked, up.marks + node.marks, up.words + node.words
+            node.own = node.linked = node.marks = node.words = 0
+        page.pieces = pieces = [(at_[i] if i >= 0 else i, text) for i, text in pieces]
 
     before, upto = 0, [0]
     for node, text in pieces:
@@ -307,7 +430,7 @@ def extract(source: str | None, trees: Trees) -> str:
 
 # ---------------------------------------------------------------- what the trees learn from
 CONTENT_AT = frozenset(("article", "main"))
-OTHER_AT = frozenset("nav header footer aside form dialog fieldset".split())
+OTHER_AT = frozenset("nav header footer aside form dialog fieldset button select svg object canvas audio video".split())
 MADE = "data-content"  # marks content in the laid-out pages; never a feature
 
 
@@ -352,7 +475,7 @@ def layout(content: list[str], other: list[str], stray: list[str], rng: random.R
     links = lambda k: "".join(f'<li><a href="/{i}">{esc(" ".join(t.split()[: rng.randint(1, 5)]))}</a></li>' for i, t in enumerate(pick(other + stray, k)))
 
     def boiler() -> str:
-        kind = rng.randrange(10)
+        kind = rng.randrange(12)
         some = pick(stray + other, rng.randint(1, 4))
         if kind == 0:
             return f"<{(t := rng.choice(('nav', 'div', 'header')))}{name('menu', 'main-nav', 'navbar', 'topnav navigation')}><ul>{links(rng.randint(2, 9))}</ul></{t}>"
@@ -372,6 +495,10 @@ def layout(content: list[str], other: list[str], stray: list[str], rng: random.R
             return f"<header{rng.choice(('', name('masthead', 'site-header')))}><p>{esc(some[0][:60]) if some else ''}</p><ul>{links(3)}</ul></header>"
         if kind == 8:
             return f"<div{name('footer', 'copyright', 'bottom', 'breadcrumb', 'pagination', 'meta byline')}>{esc(some[0][:80]) if some else ''}</div>"
+        if kind == 9:
+            return f"<{(t := rng.choice(('button', 'select', 'svg', 'object')))}>{esc(' '.join(some)[: rng.choice((8, 20, 60))])}</{t}>"
+        if kind == 10:
+            return f"<span{name('ad', 'ads', 'advert', 'sponsored', 'promo', 'share')}>{esc(some[0]) if some else ''}</span>"
         return f"<{(t := rng.choice(('section', 'div', 'ul', 'ol')))}{name('comments', 'comment-list', 'replies', 'discussion', 'comments-area')}>" + "".join(
             f"<{(u := 'li' if t in ('ul', 'ol') else rng.choice(('div', 'article', 'p')))}{name('comment', 'reply', 'comment-body')}>{esc(s)}</{u}>" for s in some * 2
         ) + f"</{t}>"
@@ -379,6 +506,10 @@ def layout(content: list[str], other: list[str], stray: list[str], rng: random.R
     body = f"<h1>{esc(content[0][:60])}</h1>" if content and rng.random() < 0.8 else ""
     for text in content:
         kind = rng.random()
+        if rng.random() < 0.15:  # within the block: elements that are content, and that are not
+            within = rng.choice((f"<math><mi>{esc(text[:9])}</mi></math>", f"<b>{esc(text[:20])}</b>", f"<span class='ad'>{esc(text[:60])}</span>", "<button>ok go</button>", "<span id='share'>share this</span>"))
+            body += f"<p>{esc(text)} {within}</p>"
+            continue
         body += (
             f"<p>{esc(text)}</p>" if kind < 0.7 else f"<div>{esc(text)}</div>" if kind < 0.76 else f"<ul><li>{esc(text)}</li></ul>" if kind < 0.82
             else f"<blockquote><p>{esc(text)}</p></blockquote>" if kind < 0.87 else f"<h2>{esc(text[:50])}</h2>" if kind < 0.93
@@ -390,21 +521,22 @@ def layout(content: list[str], other: list[str], stray: list[str], rng: random.R
     tag = rng.choice(("article", "main", "div", "div", "div", "section"))
     mark = rng.choice(("", name("content", "post", "entry-content", "article-body", "main", "post-body story", "text"))) if tag != "div" or rng.random() < 0.2 else name("content", "post", "entry-content", "article-body", "main", "post-body story", "text", "page-content")
     out = f"<{tag}{mark} {MADE}>" + "".join(parts) + f"</{tag}>"
+    if rng.random() < 0.06:  # text without any element, as an old page has it
+        out = f"<x-text {MADE}>" + "<br>".join(map(esc, content)) + "</x-text>"
     for _ in range(rng.randrange(3)):
         out = f"<div{rng.choice(('', name('wrapper', 'container', 'row', 'layout', 'page')))}>{boiler() if rng.random() < 0.4 else ''}{out}{boiler() if rng.random() < 0.4 else ''}</div>"
-    around = lambda k: "".join(boiler() for _ in range(rng.randint(0, k)))
+    stray_text = lambda: f" {esc(' '.join(' '.join(pick(stray + other, 1)).split()[: rng.randint(2, 9)]))} " if rng.random() < 0.2 else ""
+    around = lambda k: "".join(rng.choice((boiler() + stray_text(), stray_text() + boiler())) for _ in range(rng.randint(0, k)))
     return f"<!DOCTYPE html><html><head><title>x</title></head><body>{around(4)}{out}{around(4)}</body></html>"
 
 
-def layout_labels(page: Page, source: str) -> np.ndarray:
-    """Labels of a laid-out page: its marked element, without what ``boiler``
+def layout_labels(page: Page) -> np.ndarray:
+    """Labels of a laid-out page: its marked nodes, without what ``boiler``
     put inside; all of those have a telling tag or token."""
-    place = len(re.findall(r"<(?:%s)(?=[\s>]|\Z)" % "|".join(sorted(BLOCK)), source[: source.index(f" {MADE}>")]))
     inside = [False] * len(page.nodes)
-    inside[place] = True  # blocks start in page order, node 0 is the root
-    for i in range(place + 1, len(page.nodes)):
-        node = page.nodes[i]
-        inside[i] = inside[node.parent] and node.tag not in OTHER_AT and not any(t in OTHER_TOKENS and t not in CONTENT_TOKENS for t in node.tokens)
+    for i, node in enumerate(page.nodes):
+        other = node.tag in OTHER_AT or any(t in OTHER_TOKENS and t not in CONTENT_TOKENS for t in node.tokens)
+        inside[i] = node.made or (i > 0 and inside[node.parent] and not other)
     return _upwards(page.nodes, inside)
 
 
@@ -432,16 +564,17 @@ def fit(sources: list[str], layouts: int = 3, seed: int = 5) -> Trees:
             source = layout(some, other, stray, rng)
             page = parse(source)
             x.append(features(page))
-            y.append(layout_labels(page, source))
+            y.append(layout_labels(page))
     return boost(np.vstack(x), np.concatenate(y))
 
 
-def train(pages: DataFrame, html_col: str = "html", sample: int = 200) -> Trees:
-    """Trees from at most about ``sample`` pages, chosen by the hash of their
-    html; the driver gets those pages only."""
-    n = max(1, pages.count())
-    rows = pages.select(F.col(html_col).alias("html")).filter("html is not null")
-    rows = rows.filter((F.pmod(F.xxhash64(F.lit(9), "html"), F.lit(1_000_000)) < 1e6 * sample / n) & (F.length("html") <= 40_000)).limit(2 * sample)
+def train(pages: DataFrame, html_col: str = "html", sample: int = 200, longest: int = 40_000) -> Trees:
+    """Trees from at most about ``sample`` pages of at most ``longest``
+    characters (a bound of what is learned from; extraction reads all pages),
+    chosen by the hash of their html; the driver gets those pages only."""
+    rows = pages.select(F.col(html_col).alias("html")).filter(F.length("html") <= longest)
+    n = max(1, rows.count())
+    rows = rows.filter(F.pmod(F.xxhash64(F.lit(9), "html"), F.lit(1_000_000)) < 1e6 * sample / n).distinct().limit(2 * sample)
     return fit(sorted(r["html"] for r in rows.collect()))
 
 

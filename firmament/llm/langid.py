@@ -13,7 +13,8 @@ documents of each language, chosen by the hash of their id; prediction reads
 every whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score
-0, as is everything when no labelled text exists; repeated rows get equal
+0, as is everything when no labelled text exists; languages beyond the
+``languages`` most frequent are not learned; repeated rows get equal
 rows; null ids are carried and count as not held out; texts of any length are
 read whole; empty tables give no rows; other columns are ignored.
 """
@@ -25,7 +26,7 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmament.llm.store import id_bucket, saved
@@ -183,12 +184,21 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> Model:
-    """A model from at most about ``per_language`` documents of each language
-    of ``docs``; their feature vectors (7 KB each) are what the driver gets."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, languages: int = 200) -> Model:
+    """A model from at most ``per_language`` documents of each of the
+    ``languages`` most frequent languages of ``docs``; their feature vectors
+    (7 KB each) are what the driver gets.
+
+    Documents are drawn by a hash of id and text (copies count once); about
+    three times as many as are wanted are ranked by it within their language."""
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = saved(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    rows = rows.join(counts, "lang").filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < F.lit(1e6 * per_language) / F.col("n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = saved(counts, "languages")
+    drawn = F.pmod(F.xxhash64(F.lit(3), "id", "text"), F.lit(1 << 40))
+    rows = rows.withColumn("drawn", drawn).join(F.broadcast(counts), "lang").filter(F.col("drawn") < F.lit(3.0 * per_language * (1 << 40)) / F.col("n"))
+    rows = saved(rows.groupBy("lang", "drawn").agg(F.first("text").alias("text")), "sample")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("drawn"))
+    rows = rows.withColumn("first", first).filter(F.col("first") <= per_language)
 
     def of(text):
         x = features(text)

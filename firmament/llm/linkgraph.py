@@ -3,9 +3,9 @@
 A url's host and path are looked up in the rules (longest fitting rule wins).
 For the other urls, hosts are judged by the link graph of the pages: trust
 flows along links by PageRank personalised to hosts with allowed pages, and
-distrust flows against links from hosts with blocked pages.  A host whose
-distrust is at least ``threshold`` and more than its trust is blocked, others
-are allowed.
+distrust flows against links from hosts with blocked pages, each by its share
+of such pages.  A host whose distrust is at least ``threshold`` and more than
+its trust is blocked, others are allowed.
 
 Edges are distinct host pairs, counted before the shuffle; ranks are written
 to the shared folder every round, so lost executors cost one round at most.
@@ -18,6 +18,8 @@ empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,31 +65,38 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return saved(edges.join(total, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (1 / F.col("total")).alias("weight")), "reversed")
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
-    """(host, rank): personalised PageRank from ``seeds`` (host, seed; sums to
-    1).  What a host without links holds goes back to the seeds at the end, by
-    scaling the ranks to sum to 1."""
-    ranks, change = saved(seeds.select("host", F.col("seed").alias("rank")), "ranks"), 1.0
-    for _ in range(rounds):
+def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """(host, rank): personalised PageRank from ``seeds`` (host, seed), in
+    units in which a host that no link reaches has its own seed:
+    rank = seed + damping * what flows in.
+
+    A round shrinks the distance to the limit by ``damping`` at least, so what
+    a round changes bounds what is missing: rounds go on until that is under
+    ``tolerance`` times all seeds."""
+    start = seeds.select("host", F.col("seed").alias("rank"))
+    ranks, total = saved(start, "ranks"), seeds.agg(F.sum("seed")).first()[0] or 0.0
+    enough = tolerance * total * (1 - damping) / damping
+    most = 10 + 2 * math.ceil(math.log(tolerance * (1 - damping)) / math.log(damping))
+    for _ in range(most if total else 0):
         flow = edges.join(ranks, edges["src"] == ranks["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("weight") * damping).alias("rank"))
-        new = flow.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank")))
-        new = saved(new.groupBy("host").agg(F.sum("rank").alias("rank")), "ranks")
+        new = saved(flow.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank")), "ranks")
         old = ranks.select("host", F.col("rank").alias("old"))
         change = new.join(old, "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
         ranks = new
-        if change < tolerance:
-            break
-    total = ranks.agg(F.sum("rank")).first()[0] or 1.0
-    return ranks.select("host", (F.col("rank") / F.lit(total)).alias("rank"))
+        if change <= enough:
+            return ranks
+    if total:
+        raise ArithmeticError(f"ranks still change by {change} after {most} rounds; {enough} is asked for")
+    return ranks
 
 
-def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, threshold: float = 0.0, seed_share: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, tolerance: float = 1e-6, threshold: float = 0.5) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
-    A host is a seed if at least ``seed_share`` of its pages are allowed or
-    blocked by a rule, so a rule for one section doesn't condemn a host.
-    ``threshold`` is in units of the mean rank a host would have if all were
-    equal; 0 blocks any host with more distrust than trust."""
+    A host's seeds are the shares of its pages that a rule allows and blocks.
+    Other pages of a host are blocked if its distrust is more than its trust
+    and at least ``threshold``: that of a host with such a share of blocked
+    pages and no links."""
     host, path = split_url(F.col(url_col))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
@@ -96,18 +105,15 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
 
     named = rows.filter("host <> ''")
     tallies = saved(named.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block")), "hosts")
-    n_hosts = max(1, tallies.count())
 
     def seeds(kind: str) -> DataFrame:
-        of = tallies.filter(F.col(kind) >= seed_share * F.col("pages")).select("host", (F.col(kind) / F.col("pages")).alias("seed"))
-        total = of.agg(F.sum("seed")).first()[0] or 1.0
-        return of.select("host", (F.col("seed") / F.lit(total)).alias("seed"))
+        return tallies.filter(F.col(kind) > 0).select("host", (F.col(kind) / F.col("pages")).alias("seed"))
 
-    trust = spread(edges, seeds("allow"), damping, rounds, tolerance).withColumnRenamed("rank", "trust")
-    distrust = spread(reversed_edges(edges), seeds("block"), damping, rounds, tolerance).withColumnRenamed("rank", "distrust")
+    trust = spread(edges, seeds("allow"), damping, tolerance).withColumnRenamed("rank", "trust")
+    distrust = spread(reversed_edges(edges), seeds("block"), damping, tolerance).withColumnRenamed("rank", "distrust")
     scores = tallies.select("host").join(trust, "host", "left").join(distrust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     scores = saved(scores, "scores")
     out = rows.join(scores, "host", "left")
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * n_hosts >= threshold)
+    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold)
     judged = F.when(F.col("ruled").isNotNull(), F.col("ruled")).when(bad, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", judged.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

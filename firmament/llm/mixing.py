@@ -13,12 +13,13 @@ sample's size is fixed while its members are random.
 
 A random number is the hash of the document id and a seed, so reruns agree.
 The cut of a source is found by histograms of the rank key, refined around the
-target; only the rows of the last narrow bin are ever ordered, so a source
-with a third of all rows is never sorted in one task.
+target; only the rows of the last narrow bin are ever ordered, rows that repeat
+as one with their number, so a source with a third of all rows is never sorted
+in one task.
 
 Defined results: null text has size 0; an empty or null text takes 0 words;
 null sources are one source, ordered last; rows that repeat have equal ranks
-and are told apart arbitrarily, with equal results; empty input gives no rows;
+and as many of them are taken as fit; empty input gives no rows;
 other columns are ignored.
 """
 
@@ -33,6 +34,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096  # of a histogram of rank keys
 NARROW = 20_000  # rows of a source that are ordered exactly
 ROUNDS = 6  # of refinement; after them equal keys remain at most
+PARTS = 256  # of a group of equal rows, to count them off
 
 
 def ranked_sources(sizes: DataFrame, weights: list[float]) -> DataFrame:
@@ -66,27 +68,53 @@ def targets(sizes: DataFrame, weights: list[float], share: float, cap: float) ->
 
 
 def _cuts(rows: DataFrame, rest: DataFrame) -> DataFrame:
-    """(source, low, high, before): the bin [low, high) of rank keys in which
-    a source's words reach ``rest``, and the words below it."""
+    """(source, low, high, before): the least and greatest rank key of the bin
+    in which a source's words reach ``rest``, and the words below it; keys of 2
+    if they don't reach it."""
     now = rest.select("source", "rest", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit(0).cast("bigint").alias("before"))
     for _ in range(ROUNDS):
         now = saved(now, "cuts")
         same = rows["source"].eqNullSafe(now["source"])
-        inside = rows.join(now, same).filter((F.col("key") >= F.col("low")) & (F.col("key") < F.col("high")))
-        step = (F.col("high") - F.col("low")) / BINS
-        inside = inside.select(now["source"], "rest", "low", "high", "before", F.floor((F.col("key") - F.col("low")) / step).alias("bin"), "size")
-        bins = inside.groupBy("source", "rest", "low", "high", "before", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        inside = rows.join(now, same).filter(F.col("key").between(F.col("low"), F.col("high")))
+        place = F.when(F.col("high") > F.col("low"), F.least(F.lit(BINS - 1), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * BINS))).otherwise(0)
+        inside = inside.select(now["source"], "rest", "before", place.alias("bin"), "key", "size")
+        bins = inside.groupBy("source", "rest", "before", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
         bins = bins.withColumn("start", F.col("before") + upto - F.col("words")).withColumn("end", F.col("before") + upto)
         hit = bins.filter((F.col("start") <= F.col("rest")) & (F.col("end") > F.col("rest")))
-        hit = saved(hit.select("source", "rest", (F.col("low") + F.col("bin") * step).alias("low"), F.least("high", F.col("low") + (F.col("bin") + 1) * step).alias("high"), F.col("start").alias("before"), "n"), "hits")
-        missed = now.join(hit, now["source"].eqNullSafe(hit["source"]), "left_anti").withColumn("low", F.col("high"))
+        hit = saved(hit.select("source", "rest", "low", "high", F.col("start").alias("before"), "n"), "hits")
+        missed = now.join(hit, now["source"].eqNullSafe(hit["source"]), "left_anti").withColumns({"low": F.lit(2.0), "high": F.lit(2.0)})
         now = hit.drop("n").unionByName(missed)
-        if not hit.filter(F.col("n") > NARROW).limit(1).count():
+        if not hit.filter((F.col("n") > NARROW) & (F.col("high") > F.col("low"))).limit(1).count():
             break
     return saved(now, "cuts")
 
 
+def numbered(narrow: DataFrame) -> DataFrame:
+    """The rows of the last bins with ``extra``: 1 for those up to the target.
+
+    Rows that repeat are one group, of which some number is taken; a group is
+    cut in parts to count that number off, so none is ordered in one task."""
+    same = [F.col("source").eqNullSafe(F.col("_g")), F.col("key") == F.col("_k"), F.col("doc_id").eqNullSafe(F.col("_d")), F.col("size") == F.col("_s")]
+    narrow = saved(narrow.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))), "narrow")
+    names = [F.col("source").alias("_g"), F.col("key").alias("_k"), F.col("doc_id").alias("_d"), F.col("size").alias("_s")]
+    groups = narrow.groupBy(*names, "before", "rest").agg(F.count("*").alias("n"))
+    upto = F.sum(F.col("n") * F.col("_s")).over(Window.partitionBy("_g").orderBy("_k", "_d", "_s").rowsBetween(Window.unboundedPreceding, -1))
+    left = F.col("rest") - F.col("before") - F.coalesce(upto, F.lit(0))
+    nearest = F.when(F.col("_s") > 0, F.floor(left / F.col("_s") + 0.5)).when(left >= 0, F.col("n")).otherwise(0)
+    groups = saved(groups.withColumn("take", F.least("n", F.greatest(F.lit(0), nearest))).select("_g", "_k", "_d", "_s", "n", "take"), "groups")
+    rows = narrow.join(groups, same[0] & same[1] & same[2] & same[3]).drop("_g", "_k", "_d", "_s")
+
+    some = saved(rows.filter((F.col("take") > 0) & (F.col("take") < F.col("n"))), "partly-taken")  # one group a source at most
+    counts = some.groupBy(F.col("source").alias("_g"), F.col("part").alias("_p")).agg(F.count("*").alias("in_part"))
+    counts = counts.select("_g", "_p", F.coalesce(F.sum("in_part").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    own = F.row_number().over(Window.partitionBy("source", "part").orderBy("u"))
+    some = some.withColumn("own", own).join(counts, F.col("source").eqNullSafe(F.col("_g")) & (F.col("part") == F.col("_p"))).drop("_g", "_p")
+    some = some.withColumn("extra", (F.col("earlier") + F.col("own") <= F.col("take")).cast("int")).drop("own", "earlier")
+    clear = rows.filter((F.col("take") == 0) | (F.col("take") == F.col("n"))).withColumn("extra", (F.col("take") == F.col("n")).cast("int"))
+    return clear.unionByName(some).drop("n", "take", "part")
+
+
 def mix(docs: DataFrame, weights: list[float] | tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", merit_col: str | None = None, seed: int = 42) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target (its
     source's), expected (copies), copies, taken (words, repeats counted)."""
@@ -113,11 +141,8 @@ def mix(docs: DataFrame, weights: list[float] | tuple[float, ...] = (3, 1, 2), s
     ranked = rows.filter(F.col("key").isNotNull()).select("source", "key", "size")
     cuts = _cuts(ranked, certain).withColumnRenamed("source", "g")
     rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("g"))).drop("g")
-    narrow = rows.filter((F.col("key") >= F.col("low")) & (F.col("key") < F.col("high")))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    nearest = F.col("before") + F.coalesce(upto, F.lit(0)) + F.col("size") / 2 <= F.col("rest")
-    narrow = narrow.withColumn("extra", nearest.cast("int"))
-    others = rows.filter(F.col("key").isNull() | (F.col("key") < F.col("low")) | (F.col("key") >= F.col("high")))
+    narrow = numbered(rows.filter(F.col("key").between(F.col("low"), F.col("high"))))
+    others = rows.filter(F.col("key").isNull() | (F.col("key") < F.col("low")) | (F.col("key") > F.col("high")))
     others = others.withColumn("extra", (F.col("key").isNotNull() & (F.col("key") < F.col("low"))).cast("int"))
     out = others.unionByName(narrow).withColumn("copies", (F.col("whole") + F.col("extra")).cast("bigint"))
     return out.select("doc_id", "source", "size", "source_size", "target", "expected", "copies", (F.col("size") * F.col("copies")).alias("taken"))

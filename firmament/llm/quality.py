@@ -23,10 +23,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmament.llm.store import id_bucket
+from firmament.llm.store import id_bucket, saved
 
 WINDOW = 600  # bytes of a passage at most
 AT_ONCE = 4096  # passages encoded at a time
@@ -167,9 +167,11 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 600, per_bag: int = 256) -> Model:
-    """A model from at most about ``per_label`` documents of each label, chosen
-    by the hash of their id, and at most ``per_bag`` passages of each; their
-    features are what the driver gets."""
+    """A model from at most ``per_label`` documents of each label, and at most
+    ``per_bag`` passages of each; their features are what the driver gets.
+
+    Labelled ids are drawn by their hash; of the texts that have one of them
+    (copies count once) the ``per_label`` first by hash are taken."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     known = known.agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -179,7 +181,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y, n in counts.items():
         share = F.when(F.col("y") == y, F.lit(per_label / n)).otherwise(share)
     picked = known.filter(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000)) < share * 1_000_000)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # 2 * per_label rows
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # 2 * per_label ids
+    texts = texts.groupBy("y", F.xxhash64(F.lit(7), "id", "text").alias("drawn")).agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    texts = saved(texts, "sample")
+    # two steps, so that an id with very many rows is never ranked in one task
+    for by in (["y", F.pmod("drawn", F.lit(256))], ["y"]):
+        texts = texts.withColumn("first", F.row_number().over(Window.partitionBy(*by).orderBy("drawn"))).filter(F.col("first") <= per_label).drop("first")
 
     def of(text):
         x = bag(text, per_bag)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from firmament.llm import decontaminate, hnsw, html_text, langid, linkgraph, mixing, phrases, pii, quality, secret_scan, simhash, token_files, whitening
 from firmament.llm.store import ship, table_path
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # of the secret scan's dictionary
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")  # of the secret scan's dictionary
 
 TOKENIZER = "word_bpe_49k.json"  # of the token files
 

@@ -23,7 +23,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-import os
 import re
 from pathlib import Path
 
@@ -92,9 +91,10 @@ NEAR = _neighbours()
 
 def dictionary(vocabulary: str | None = None, max_words: int = 50_000) -> dict[str, int]:
     """Word to rank: the frequent passwords, then a vocabulary file's words of
-    three letters or more by rank (``tiktoken`` format; none: the passwords only)."""
+    three letters or more by rank (``tiktoken`` format; None: the passwords only).
+    A file that is named must be there: costs depend on it."""
     words = list(COMMON)
-    if vocabulary and os.path.exists(vocabulary):
+    if vocabulary is not None:
         for line in Path(vocabulary).read_bytes().splitlines():
             word = base64.b64decode(line.split()[0]).decode("utf-8", "replace").strip().lower()
             if len(word) >= 3 and word.isalpha():
@@ -190,12 +190,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def guess_spans(text: str, words: dict[str, int], min_log10: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Values in credential contexts that are hard to guess and lie outside ``taken``."""
+def guess_spans(text: str, words: dict[str, int], min_log10: float, taken: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int, str]], float | None]:
+    """Values in credential contexts that are hard to guess and lie outside
+    ``taken``; and the greatest cost of all such values, ``taken`` or not (None:
+    there is none of ``MIN_CHARS`` characters)."""
     if not QUICK.search(text):
-        return []
+        return [], None
     found = {m.span(1) for p in (CONTEXT, ADDRESS) for m in p.finditer(text)}
-    out, last = [], 0
+    out, last, most = [], 0, None
     blocked, at, reach = sorted(taken), 0, 0  # ``reach``: the furthest end of those that start before this value's
     for start, end in sorted(found):
         value = text[start:end].rstrip(".!?:=&")
@@ -204,19 +206,27 @@ def guess_spans(text: str, words: dict[str, int], min_log10: float, taken: list[
             reach = max(reach, blocked[at][1])
             at += 1
         clash = reach > start or (at < len(blocked) and blocked[at][0] < end)
-        if len(value) < MIN_CHARS or start < last or "://" in value or clash:
+        if len(value) < MIN_CHARS or "://" in value:
             continue
-        if guess_cost(value, words)[0] >= min_log10:
+        cost = guess_cost(value, words)[0]
+        most = cost if most is None else max(most, cost)
+        if cost >= min_log10 and start >= last and not clash:
             out.append((start, end, "guess"))
             last = end
-    return out
+    return out, most
 
 
-def scan(text: str | None, words: dict[str, int], min_log10: float = MIN_LOG10) -> list[tuple[int, int, str]]:
-    """All spans of a text by start, then kind as listed in KINDS."""
+def priced(text: str | None, words: dict[str, int], min_log10: float = MIN_LOG10) -> tuple[list[tuple[int, int, str]], float | None]:
+    """All spans of a text by start, then kind as listed in KINDS; and the
+    greatest guess cost of its credential values."""
     text = text or ""
     spans = base_spans(text)
-    return sorted(spans + guess_spans(text, words, min_log10, spans), key=lambda s: (s[0], KINDS.index(s[2])))
+    guesses, most = guess_spans(text, words, min_log10, spans)
+    return sorted(spans + guesses, key=lambda s: (s[0], KINDS.index(s[2]))), most
+
+
+def scan(text: str | None, words: dict[str, int], min_log10: float = MIN_LOG10) -> list[tuple[int, int, str]]:
+    return priced(text, words, min_log10)[0]
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -237,17 +247,18 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 def find_secrets(docs: DataFrame, words: dict[str, int], id_col: str = "doc_id", text_col: str = "text", min_log10: float = MIN_LOG10) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_guess,
-    base_sha256 and spans (kind:start:end, code points, end exclusive)."""
+    base_sha256, spans (kind:start:end, code points, end exclusive) and
+    max_guess_log10 (of all credential values, those in base spans too)."""
     shared = docs.sparkSession.sparkContext.broadcast(words)  # max_words entries
 
     def of(text):
-        spans = scan(text, shared.value, min_log10)
+        spans, most = priced(text, shared.value, min_log10)
         base = joined([s for s in spans if s[2] != "guess"])
         n = [sum(s[2] == k for s in spans) for k in KINDS]
-        return (*n, hashlib.sha256(base.encode()).hexdigest(), joined(spans))
+        return (*n, hashlib.sha256(base.encode()).hexdigest(), joined(spans), most)
 
     fields = ", ".join(f"n_{k} bigint" for k in KINDS)
-    found = F.udf(of, f"struct<{fields}, base_sha256 string, spans string>".replace(" bigint", ":bigint").replace(" string", ":string"))
+    found = F.udf(of, f"struct<{fields}, base_sha256 string, spans string, max_guess_log10 double>".replace(" bigint", ":bigint").replace(" string", ":string").replace(" double", ":double"))
     return docs.select(F.col(id_col).alias("doc_id"), found(F.col(text_col)).alias("found")).select("doc_id", "found.*")
 
 

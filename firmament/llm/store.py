@@ -75,13 +75,16 @@ def id_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` (already saved) marked for broadcast if it has at most ``max_rows`` rows.
+def small(df: DataFrame, max_rows: int, texts: tuple[str, ...] = (), max_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` (already saved) marked for broadcast if it has at most ``max_rows``
+    rows and ``max_bytes`` bytes in its columns ``texts`` of open length.
 
-    The count reads Parquet footers only.  Beyond the bound the mark is left
-    out, and the join shuffles both sides.
+    Without such columns the count reads Parquet footers only.  Beyond a bound
+    the mark is left out, and the join shuffles both sides.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    size = sum((F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in texts), F.lit(0))
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first() if texts else (df.count(), 0)
+    return F.broadcast(df) if n <= max_rows and held <= max_bytes else df
 
 
 _SHIPPED: set[str] = set()
