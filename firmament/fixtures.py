@@ -125,6 +125,29 @@ SELECT event_id AS run_id, user_id, ts AS launched_timestamp,
 FROM events
 """
 
+# A search request per supplier: text, radius, filters, sort, direction and
+# paging in all mixtures.
+REQUEST = """
+SELECT s.s_suppkey AS request_id,
+       CASE WHEN s.s_suppkey % 5 IN (0, 1) THEN p.p_name WHEN s.s_suppkey % 5 = 2 THEN n.n_name END AS q,
+       CASE WHEN s.s_suppkey % 5 IN (1, 3) THEN CAST(46.5 + (s.s_nationkey - 12) * 0.4 AS DOUBLE) END AS lat,
+       CASE WHEN s.s_suppkey % 5 IN (1, 3) THEN CAST(3.0 + (s.s_suppkey % 7 - 3) * 0.5 AS DOUBLE) END AS lng,
+       CASE WHEN s.s_suppkey % 5 IN (1, 3) THEN CAST(40000 * (1 + s.s_suppkey % 6) AS DOUBLE) END AS radius,
+       CASE WHEN s.s_suppkey % 3 = 0 THEN 'F' WHEN s.s_suppkey % 13 = 0 THEN 'C' END AS etat_administratif,
+       CASE WHEN s.s_suppkey % 4 = 0 THEN '1-URGENT' END AS code_postal,
+       CASE WHEN s.s_suppkey % 10 = 4 THEN s.s_suppkey * 3 END AS unit_id,
+       CASE WHEN s.s_suppkey % 6 = 1 THEN CAST(s.s_nationkey AS STRING) END AS code_commune,
+       CASE WHEN s.s_suppkey % 7 = 0 THEN 'MACHINERY' END AS activite_principale,
+       CASE WHEN s.s_suppkey % 8 = 3 THEN false WHEN s.s_suppkey % 8 = 6 THEN true END AS etablissement_siege,
+       CASE WHEN s.s_suppkey % 6 = 0 THEN 'date_creation' WHEN s.s_suppkey % 6 = 1 THEN 'date_debut'
+            WHEN s.s_suppkey % 6 = 2 AND s.s_suppkey % 5 IN (1, 3) THEN 'distance'
+            WHEN s.s_suppkey % 6 = 3 AND s.s_suppkey % 5 IN (0, 1, 2) THEN 'relevance' END AS sort,
+       CASE WHEN s.s_suppkey % 4 = 1 THEN 'asc' WHEN s.s_suppkey % 4 = 2 THEN 'desc' END AS direction,
+       CASE WHEN s.s_suppkey % 3 = 1 THEN 5 + s.s_suppkey % 20 WHEN s.s_suppkey % 9 = 2 THEN 1000 END AS "limit",
+       CASE WHEN s.s_suppkey % 7 = 2 THEN 3 WHEN s.s_suppkey % 7 = 5 THEN 12 END AS "offset"
+FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey LEFT JOIN part p ON p.p_partkey = s.s_suppkey
+"""
+
 VIEWS_SPARK = {
     "legal_unit": LEGAL_UNIT,
     "establishment": ESTABLISHMENT_SPARK,
@@ -134,9 +157,10 @@ VIEWS_SPARK = {
     "delta": DELTA,
     "period": PERIOD,
     "runs": RUNS,
+    "request": REQUEST.replace('"', "`"),
 }
 
-VIEWS_DUCKDB = dict(VIEWS_SPARK, establishment=ESTABLISHMENT, geo_point=GEO_POINT_DUCKDB)
+VIEWS_DUCKDB = dict(VIEWS_SPARK, establishment=ESTABLISHMENT, geo_point=GEO_POINT_DUCKDB, request=REQUEST)
 
 
 def with_views(sql: str) -> str:

@@ -2,9 +2,10 @@
 
 One request is a :class:`SearchParams`; the result is a DataFrame of at most
 ``limit`` rows with a ``total`` column (the number of matches, independent of
-the page).  The page is a single ``TakeOrderedAndProject`` with offset; the
-total is a scalar subquery (partial counts per task), never a window over one
-partition.
+the page).  Through an index, page and total come from one evaluation of the
+matches (:func:`page_and_total`).  Otherwise the page is a single
+``TakeOrderedAndProject`` with offset and the total a scalar subquery (partial
+counts per task).
 
 Deviations from the reference, on purpose (each has a test):
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmament.functions import geo
@@ -31,6 +32,7 @@ MAX_LIMIT = 100
 MAX_OFFSET = 10_000
 STATUS_VALUES = ("A", "F", "C")
 SCORE_TIE_DIGITS = 9
+PAGE_PARTS = 32  # in which the matches of one request are ordered and counted
 
 ESTABLISHMENT_FILTERS = (
     "etat_administratif",
@@ -232,12 +234,29 @@ def total(matched: DataFrame) -> Column:
     return matched.agg(F.count(F.lit(1)).alias("total")).scalar()
 
 
+def page_and_total(matched: DataFrame, r: Resolved, key: str, columns: list[str]) -> DataFrame:
+    """The page of ``columns`` and ``total`` from one evaluation of the matches:
+    each part is ordered and counted, and keeps offset + limit rows; the parts'
+    heads are merged with their counts."""
+    order = sort_columns(r, key)
+    sorted_by = [c for c in ("date_creation", "date_debut") if c == r.sort and c not in columns]
+    rows = matched.select(*columns, *sorted_by).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PAGE_PARTS)))
+    own = Window.partitionBy("_part")
+    placed = rows.withColumns({"_place": F.row_number().over(own.orderBy(*order)), "_n": F.count(F.lit(1)).over(own)})
+    heads = placed.filter(F.col("_place") <= r.offset + r.limit)
+    # PAGE_PARTS heads at most, of a page's depth each
+    heads = heads.withColumn("total", F.sum(F.when(F.col("_place") == 1, F.col("_n"))).over(Window.partitionBy()))
+    return heads.orderBy(*order).offset(r.offset).limit(r.limit).select(*columns, "total")
+
+
 def search(df: DataFrame, params: SearchParams, entity: Entity = ESTABLISHMENT, index=None) -> DataFrame:
     """One page of results plus ``total``; see the module docstring."""
     r = validate(params, entity)
     m = matches(df, params, entity, r, index)
     columns = [c for c in entity.columns if c in df.columns]
     extra = ["meter_distance"] if entity.has_geo else []
+    if index is not None and r.has_q:
+        return page_and_total(m, r, entity.key, [*columns, *extra, "score"])
     page = m.orderBy(*sort_columns(r, entity.key)).offset(r.offset).limit(r.limit)
     return page.select(*columns, *extra, "score", total(m).alias("total"))
 

@@ -206,3 +206,40 @@ def search_sql(p, entity, src: str | None = None) -> str:
         f"WITH m AS ({m}) SELECT {out} FROM m ORDER BY {order} {r.direction.upper()} NULLS LAST, {key} "
         f"LIMIT {r.limit} OFFSET {r.offset}"
     )
+
+
+def search_requests_sql() -> str:
+    """Oracle twin of :func:`firmament.operators.batch.search_requests` over the
+    fixture requests: every request against every row."""
+    from firmament.operators import search as S
+
+    null_tolerant = " AND ".join(f"(r.{f} IS NULL OR r.{f} = e.{f})" for f in S.ESTABLISHMENT_FILTERS)
+    grams = " UNION ALL ".join(
+        f"SELECT k, {i} AS field, substring(s{i}, r.i, n.n) AS gram FROM t, (VALUES (4), (5)) n(n), LATERAL generate_series(1, length(s{i}) - n.n + 1) r(i)"
+        for i in range(2)
+    )
+    lengths = " UNION ALL ".join(f"SELECT k, {i} AS field, {_dl(f's{i}')} AS dl FROM t" for i in range(2))
+    near = vincenty_rel("SELECT * FROM m", "lng", "lat", "r_lng", "r_lat", "d")
+    return f"""WITH req AS (SELECT *, coalesce(sort, CASE WHEN q IS NOT NULL THEN 'relevance' ELSE 'date_creation' END) AS by_,
+      coalesce(direction, CASE WHEN sort = 'distance' THEN 'asc' ELSE 'desc' END) AS dir_,
+      least({S.MAX_LIMIT}, greatest(1, coalesce("limit", {S.DEFAULT_LIMIT}))) AS lim_, least({S.MAX_OFFSET}, greatest(0, coalesce("offset", 0))) AS off_
+      FROM request WHERE etat_administratif IS NULL OR etat_administratif IN ('A', 'F', 'C')),
+    e AS ({est_cte()}),
+    t AS (SELECT siret AS k, lower(coalesce(search_denomination, '')) AS s0, lower(coalesce(libelle_commune, '')) AS s1 FROM e),
+    qg AS (SELECT DISTINCT q, substring(lower(q), r.i, n.n) AS gram FROM (SELECT DISTINCT q FROM req WHERE q IS NOT NULL) x, (VALUES (4), (5)) n(n),
+           LATERAL generate_series(1, length(q) - n.n + 1) r(i)),
+    p AS (SELECT field, gram, k, CAST(count(*) AS DOUBLE) AS tf FROM ({grams}) g WHERE gram IN (SELECT gram FROM qg) GROUP BY field, gram, k),
+    dfx AS (SELECT field, gram, CAST(count(*) AS DOUBLE) AS df FROM p GROUP BY field, gram),
+    dl AS ({lengths}),
+    fs AS (SELECT field, CAST(count(*) AS DOUBLE) AS n, CAST(sum(dl) AS DOUBLE) AS sum_dl FROM dl GROUP BY field),
+    sc AS (SELECT qg.q, p.k, sum(ln(1 + (fs.n - dfx.df + 0.5) / (dfx.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * dl.dl / (fs.sum_dl / fs.n)))) AS score
+           FROM qg JOIN p ON p.gram = qg.gram JOIN dfx ON dfx.field = p.field AND dfx.gram = p.gram
+           JOIN fs ON fs.field = p.field JOIN dl ON dl.k = p.k AND dl.field = p.field GROUP BY qg.q, p.k),
+    m AS (SELECT r.request_id, r.by_, r.dir_, r.lim_, r.off_, r.radius AS r_radius, r.lng AS r_lng, r.lat AS r_lat, e.siret, e.date_creation, e.date_debut, e.lng, e.lat, sc.score
+          FROM req r JOIN e ON {null_tolerant} LEFT JOIN sc ON sc.q = r.q AND sc.k = e.siret WHERE r.q IS NULL OR sc.score IS NOT NULL),
+    f AS (SELECT *, CASE WHEN r_radius IS NOT NULL THEN d END AS meter_distance FROM ({near}) x WHERE r_radius IS NULL OR d <= r_radius),
+    v AS (SELECT *, CASE by_ WHEN 'date_creation' THEN CAST(date_creation - DATE '1970-01-01' AS DOUBLE) WHEN 'date_debut' THEN CAST(date_debut - DATE '1970-01-01' AS DOUBLE)
+                         WHEN 'distance' THEN meter_distance ELSE round(score, 9) END AS val FROM f),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN dir_ = 'desc' THEN -val ELSE val END ASC NULLS LAST, siret) AS rank,
+                  count(*) OVER (PARTITION BY request_id) AS total FROM v)
+    SELECT request_id, rank, siret, round(score, 6) AS score, round(meter_distance, 3) AS meter_distance, total FROM rk WHERE rank > off_ AND rank <= off_ + lim_"""

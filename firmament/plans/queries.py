@@ -1053,6 +1053,17 @@ def search_combined_index(spark, sf_dir):
     return _round_search(page, S.ESTABLISHMENT)
 
 
+@register("search_batch_full", O.search_requests_sql())
+def search_batch_full(spark, sf_dir):
+    """W-2, T-5, T-6: a table of requests with text, radius, filters, four
+    sorts and their own paging, through the index and the cells."""
+    from firmament.operators import batch as BT
+
+    requests = fixtures.table(spark, sf_dir, "request")
+    pages = BT.search_requests(requests, T.establishments(spark, sf_dir), _establishment_index(spark, sf_dir))
+    return pages.select("request_id", "rank", "siret", F.round("score", 6).alias("score"), F.round("meter_distance", 3).alias("meter_distance"), "total")
+
+
 _PRECOND_LEDGER_SQL = f"""SELECT group_type,
       CASE group_type WHEN 'etablissements' THEN high_water_mark WHEN 'liens_succession' THEN high_water_mark END
         AS staging_imported_timestamp,
