@@ -113,30 +113,6 @@ def _length_sql(n: str) -> str:
     return f"(greatest(length({n}) - 3, 0) + greatest(length({n}) - 4, 0))"
 
 
-def _length_of(t: Column) -> Column:
-    """Gram count of an already-normalized value (closed form)."""
-    n = F.length(t)
-    return F.greatest(n - F.lit(3), F.lit(0)) + F.greatest(n - F.lit(4), F.lit(0))
-
-
-def _count_in(t: Column, gram: str) -> Column:
-    """Overlapping occurrences of ``gram`` in an already-normalized value."""
-    return F.when(t.contains(F.lit(gram)), F.regexp_count(t, F.lit(gram_pattern(gram)))).otherwise(F.lit(0))
-
-
-def text_match(df: DataFrame, fields: list[str], q: str | None) -> DataFrame:
-    """Rows where any query gram occurs in any field (no scoring)."""
-    grams = query_grams(q)
-    if not grams:
-        return df.filter(F.lit(False))
-    pred = None
-    for f in fields:
-        for g in grams:
-            c = normalized(f).contains(F.lit(g))
-            pred = c if pred is None else (pred | c)
-    return df.filter(pred)
-
-
 @dataclass
 class Postings:
     """Inverted index: postings, per-gram document frequency, field stats."""
@@ -201,6 +177,14 @@ def read_postings(spark: SparkSession, path: str) -> Postings:
     return Postings(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "grams", "fields")))
 
 
+def _changed(before: DataFrame, after: DataFrame, key: str, fields: list[str], path: str) -> DataFrame:
+    """(key, _old, _new) of the keys whose text changed, kept at ``path``."""
+    old = before.select(F.col(key).alias("key"), F.struct(*fields).alias("_old"))
+    new = after.select(F.col(key).alias("key"), F.struct(*fields).alias("_new"))
+    old.join(new, "key", "full").filter(~F.col("_old").eqNullSafe(F.col("_new"))).write.parquet(f"{path}/changed")
+    return before.sparkSession.read.parquet(f"{path}/changed")
+
+
 def refresh_postings(p: Postings, before: DataFrame, after: DataFrame, key: str, fields: list[str], path: str,
                      long_text: bool = False) -> Postings:
     """The index after some rows changed, written at ``path`` (a fresh folder).
@@ -211,10 +195,7 @@ def refresh_postings(p: Postings, before: DataFrame, after: DataFrame, key: str,
     stored ones plus or minus theirs.
     """
     spark = p.postings.sparkSession
-    old = before.select(F.col(key).alias("key"), F.struct(*fields).alias("_old"))
-    new = after.select(F.col(key).alias("key"), F.struct(*fields).alias("_new"))
-    old.join(new, "key", "full").filter(~F.col("_old").eqNullSafe(F.col("_new"))).write.parquet(f"{path}/changed")
-    changed = spark.read.parquet(f"{path}/changed")
+    changed = _changed(before, after, key, fields, path)
     gone = build_postings(changed.filter("_old IS NOT NULL").select("key", "_old.*"), "key", fields, long_text)
     come = build_postings(changed.filter("_new IS NOT NULL").select("key", "_new.*"), "key", fields, long_text)
 
@@ -228,6 +209,70 @@ def refresh_postings(p: Postings, before: DataFrame, after: DataFrame, key: str,
     return write_postings(Postings(kept.unionByName(come.postings), grams, stats), path, grams=grams)
 
 
+def write_segment(before: DataFrame, after: DataFrame, key: str, fields: list[str], path: str, long_text: bool = False) -> None:
+    """A delta of an index at ``path`` (a fresh folder): the keys whose text
+    changed, their new postings, and what they add to and take from the counts.
+
+    ``before`` and ``after`` are as for :func:`refresh_postings`; what is written
+    is in proportion to them, whatever the index holds."""
+    spark, changed = before.sparkSession, _changed(before, after, key, fields, path)
+    gone = build_postings(changed.filter("_old IS NOT NULL").select("key", "_old.*"), "key", fields, long_text)
+    come = build_postings(changed.filter("_new IS NOT NULL").select("key", "_new.*"), "key", fields, long_text)
+    come.postings.sortWithinPartitions("field", "gram", "key").write.parquet(f"{path}/postings")
+    come = Postings(spark.read.parquet(f"{path}/postings"), come.grams, come.fields)
+    grams = come.postings.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("df"))
+
+    def difference(minus: DataFrame, plus: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+        less = minus.select(*by, *[(-F.col(c)).alias(c) for c in sums])
+        return plus.unionByName(less).groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+
+    difference(gone.grams, grams, ["field", "gram"], ["df"]).filter("df <> 0").write.parquet(f"{path}/grams")
+    difference(gone.fields, come.fields, ["field"], ["n", "sum_dl"]).write.parquet(f"{path}/fields")
+
+
+def read_segments(spark: SparkSession, base: str, segments: list[str]) -> Postings:
+    """The index of a base folder and its segments, oldest first: postings of
+    keys that a later segment changed are left out, counts are sums."""
+    if not segments:
+        return read_postings(spark, base)
+    paths = [base, *segments]
+
+    def table(name: str) -> list[DataFrame]:
+        return [spark.read.parquet(f"{p}/{name}") for p in paths]
+
+    keys = [spark.read.parquet(f"{p}/changed").select("key") for p in segments]
+    postings = None
+    for i, part in enumerate(table("postings")):
+        later = keys[i:]
+        if later:
+            gone = later[0]
+            for k in later[1:]:
+                gone = gone.unionByName(k)
+            part = part.join(gone.distinct(), "key", "left_anti")
+        part = part.select("field", "gram", "key", "tf", "dl")
+        postings = part if postings is None else postings.unionByName(part)
+
+    def summed(name: str, by: list[str], sums: list[str]) -> DataFrame:
+        first, *rest = table(name)
+        for x in rest:
+            first = first.unionByName(x)
+        return first.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+
+    return Postings(postings, summed("grams", ["field", "gram"], ["df"]).filter("df > 0"), summed("fields", ["field"], ["n", "sum_dl"]))
+
+
+def worth_compacting(spark: SparkSession, base: str, segments: list[str], share: float = 0.2) -> bool:
+    """Whether segments hold more than ``share`` of the base's postings (row counts of footers)."""
+    rows = [spark.read.parquet(f"{p}/postings").count() for p in (base, *segments)]
+    return sum(rows[1:]) > share * rows[0]
+
+
+def compact(spark: SparkSession, base: str, segments: list[str], path: str) -> Postings:
+    """Base and segments as one new base at ``path``."""
+    p = read_segments(spark, base, segments)
+    return write_postings(p, path, grams=p.grams)
+
+
 def request_grams(requests: DataFrame, id_col: str = "query_id", q_col: str = "q") -> DataFrame:
     """Distinct grams of each request string."""
     return requests.select(

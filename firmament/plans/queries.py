@@ -602,6 +602,31 @@ def search_batch(spark, sf_dir):
     return top.join(totals, "query_id").select("query_id", "key", "rank", F.round("score", 6).alias("score"), "total")
 
 
+SEARCH_BATCH_SQL = ORACLE["search_batch"]
+
+
+@register("search_topk_pruned")
+def search_topk_pruned(spark, sf_dir):
+    """T-3, T-5: the pages of ``search_batch``, joining only key blocks that
+    can still reach a request's best."""
+    from firmament.operators import topk as TK
+    from firmament.session import scratch_path
+
+    fixtures.register(spark, sf_dir)
+    requests = (
+        spark.table("part").select(F.explode(F.split("p_name", " ")).alias("q")).distinct()
+        .withColumn("query_id", F.col("q"))
+    )
+    k = (spark.sparkContext.applicationId, sf_dir, "blocked")
+    if k not in _INDEXES:
+        _INDEXES[k] = TK.write_blocked(_short_text_index(spark, sf_dir), scratch_path(spark, "short-text-blocks"))
+    top = TK.top_k(_INDEXES[k], requests, BATCH_K)
+    return top.select("query_id", "key", "rank", F.round("score", 6).alias("score"), "total")
+
+
+ORACLE["search_topk_pruned"] = SEARCH_BATCH_SQL
+
+
 # ---------------------------------------------------------------- geometry (P-6, X-2..X-7, F-4, J-5, J-6)
 @register("lambert_to_wgs84", f"SELECT vec_id, round(lng, 6) AS lng, round(lat, 6) AS lat FROM ({O.geo_pos_cte()}) p")
 def lambert_to_wgs84(spark, sf_dir):
@@ -1022,6 +1047,23 @@ def stream_upsert(spark, sf_dir):
                        files_per_batch=2)
 
 
+@register("upsert_bucketed", _upsert_sql(UNIT_BASE_SQL, UNIT_BASE_COLS, "unit_id", UNIT_SET, (), "SELECT * FROM delta"))
+def upsert_bucketed(spark, sf_dir):
+    """M-1, ST-1: the unit table in buckets of its key; only buckets that hold
+    keys of the delta are read and written."""
+    from firmament.plans import buckets as BU
+    from firmament.session import scratch_path
+
+    fixtures.register(spark, sf_dir)
+    base = T.units(spark, sf_dir).select(*UNIT_COLS).withColumn(
+        "activite_principale_naf25", F.col("activite_principale")
+    ).withColumn("date_dernier_traitement", F.lit(None).cast("timestamp_ntz"))
+    root = scratch_path(spark, "unit-buckets")
+    BU.create(base, root, "unit_id", buckets=16)
+    BU.upsert(spark.table("delta"), root, UNIT_SET, ["date_dernier_traitement", "page", "pos"])
+    return BU.read(spark, root)
+
+
 @register("search_response_json")
 def search_response_json(spark, sf_dir):
     """M-9: the flagship page rendered as API JSON (NULLs kept, score and
@@ -1155,12 +1197,12 @@ def _typed_select(exprs: dict, schema, table: str) -> str:
 _VERSIONS: dict[tuple[str, str, str], SB.Version] = {}
 
 
-def _version(spark, sf_dir, entity: S.Entity, day: bool) -> SB.Version:
+def _version(spark, sf_dir, entity: S.Entity, day: bool, segmented: bool = False) -> SB.Version:
     """The CSV snapshot loaded as a searchable version; with ``day``, the
     version after the day's delta.  Written once per session."""
     from firmament.session import scratch_path
 
-    name = ("establishment" if entity.has_geo else "unit") + ("-day" if day else "-loaded")
+    name = ("establishment" if entity.has_geo else "unit") + ("-day" if day else "-loaded") + ("-segmented" if segmented else "")
     k = (spark.sparkContext.applicationId, sf_dir, name)
     if k not in _VERSIONS:
         path = scratch_path(spark, name)
@@ -1168,7 +1210,7 @@ def _version(spark, sf_dir, entity: S.Entity, day: bool) -> SB.Version:
             fixtures.register(spark, sf_dir)
             exprs, schema = (_EST_DAY_EXPR, SC.ESTABLISHMENT_SCHEMA) if entity.has_geo else (_UNIT_DAY_EXPR, SC.UNIT_SCHEMA)
             delta = spark.sql(_day_sql(exprs, schema, _typed_select))
-            _VERSIONS[k] = SB.apply(_version(spark, sf_dir, entity, False), delta, _DAY_ORDER, path)
+            _VERSIONS[k] = SB.apply(_version(spark, sf_dir, entity, False), delta, _DAY_ORDER, path, segmented=segmented)
         else:
             _VERSIONS[k] = SB.load((_est_csv if entity.has_geo else _unit_csv)(spark, sf_dir), entity, path)
     return _VERSIONS[k]
@@ -1197,6 +1239,16 @@ _version_query("upsert_then_search", P(q="marteau widget", lat=46.5, lng=3.5, ra
 _version_query("upsert_then_search_unit", P(q="atelier annexe", limit=100), S.UNIT, True, _UNIT_AFTER_SQL)
 
 
+@register("segments_then_search")
+def segments_then_search(spark, sf_dir):
+    """T-4: as ``upsert_then_search``, the delta's index entries in a segment."""
+    params = P(q="marteau widget", lat=46.5, lng=3.5, radius=120_000.0, limit=100)
+    return _round_search(SB.search(_version(spark, sf_dir, S.ESTABLISHMENT, True, segmented=True), params), S.ESTABLISHMENT)
+
+
+ORACLE["segments_then_search"] = ORACLE["upsert_then_search"]
+
+
 def _sync(spark, sf_dir, dataset: str, landing: str, base: DataFrame) -> DataFrame:
     """Feed pages streamed into a table that starts with ``base``."""
     from firmament.session import scratch_path
@@ -1242,3 +1294,67 @@ def stream_links(spark, sf_dir):
     fixtures.register(spark, sf_dir)
     base = spark.sql(_LINK_ROWS_SQL).filter(F.col("siret_etablissement_successeur").cast("bigint") % 3 != 0)
     return _sync(spark, sf_dir, "liens_succession", LD.link_pages(spark, sf_dir), base)
+
+
+# ---------------------------------------------------------------- publish in one flow, schema migrations (M-5, M-7, I-6, I-7, I-18)
+from firmament import migrations as MG  # noqa: E402
+from firmament.plans import registry as RG  # noqa: E402
+
+_FLOW = {"unites_legales": ("legal_unit", "unit_id"), "etablissements": ("establishment", "siret"), "liens_succession": ("succession", "successeur")}
+
+
+@register(
+    "publish_flow",
+    """WITH n AS (SELECT 'unites_legales' AS dataset, count(*) AS n FROM legal_unit UNION ALL SELECT 'etablissements', count(*) FROM establishment
+                  UNION ALL SELECT 'liens_succession', count(*) FROM succession),
+    h AS (SELECT count(*) AS half FROM legal_unit WHERE unit_id % 2 = 0)
+    SELECT 1 AS step, dataset, 'empty production' AS verdict, true AS published, CAST(0 AS BIGINT) AS production_count, n AS staging_count FROM n
+    UNION ALL SELECT 2, dataset, CASE WHEN dataset = 'unites_legales' THEN 'already imported' ELSE 'nothing to swap' END, false, NULL, NULL FROM n
+    UNION ALL SELECT 3, dataset, CASE WHEN dataset = 'unites_legales' THEN 'too few rows' ELSE 'nothing to swap' END, false,
+                     CASE WHEN dataset = 'unites_legales' THEN n END, CASE WHEN dataset = 'unites_legales' THEN half END FROM n, h
+    UNION ALL SELECT 4, dataset, CASE WHEN dataset = 'unites_legales' THEN 'forced' ELSE 'nothing to swap' END, dataset = 'unites_legales',
+                     CASE WHEN dataset = 'unites_legales' THEN n END, CASE WHEN dataset = 'unites_legales' THEN half END FROM n, h""",
+)
+def publish_flow(spark, sf_dir):
+    """M-5, M-7: three datasets staged and published together; then units of
+    the same date, half of the units, and the same forced."""
+    from firmament.session import scratch_path
+
+    root, day = scratch_path(spark, "registry"), dt.datetime(2024, 1, 1)
+    keys = {name: key for name, (_, key) in _FLOW.items()}
+    for name, (view, key) in _FLOW.items():
+        RG.stage(fixtures.table(spark, sf_dir, view), root, name, key, day)
+    units = fixtures.table(spark, sf_dir, "legal_unit")
+    steps = [RG.publish(spark, root, keys)]
+    RG.stage(units, root, "unites_legales", "unit_id", day)
+    steps.append(RG.publish(spark, root, keys))
+    RG.stage(units.filter("unit_id % 2 = 0"), root, "unites_legales", "unit_id", day + dt.timedelta(days=1))
+    steps += [RG.publish(spark, root, keys), RG.publish(spark, root, keys, force=True)]
+    rows = [(i, v.dataset, v.verdict, v.published, v.production_count, v.staging_count) for i, step in enumerate(steps, 1) for v in step]
+    return spark.createDataFrame(rows, "step int, dataset string, verdict string, published boolean, production_count bigint, staging_count bigint")
+
+
+# Units as an older version stored them, and what has changed since.
+_UNIT_MIGRATIONS = [
+    MG.Rename("nom", "denomination"),
+    MG.Retype("date_creation", "date", "to_date(date_creation, 'dd/MM/yyyy')"),
+    MG.Add("nom_complet", "string", "concat_ws(' ', denomination, denomination_usuelle_1)"),
+    MG.Drop("obsolete"),
+    MG.Order(["unit_id", "etat_administratif", "date_creation", "denomination", "denomination_usuelle_1", "nom_complet"]),
+]
+
+
+@register(
+    "migrate_schema",
+    """SELECT unit_id, etat_administratif, date_creation, denomination, denomination_usuelle_1,
+              concat_ws(' ', denomination, denomination_usuelle_1) AS nom_complet FROM legal_unit""",
+)
+def migrate_schema(spark, sf_dir):
+    """I-18: a table in the layout of an older version, read in today's."""
+    from firmament.session import scratch_path
+
+    old = fixtures.table(spark, sf_dir, "legal_unit").selectExpr(
+        "denomination AS nom", "unit_id", "date_format(date_creation, 'dd/MM/yyyy') AS date_creation", "'x' AS obsolete", "denomination_usuelle_1", "etat_administratif")
+    path = scratch_path(spark, "old-units")
+    MG.write(old, path, version=0)
+    return MG.read(spark, path, _UNIT_MIGRATIONS)
