@@ -79,10 +79,11 @@ def _scored(x: Blocked, asked: DataFrame, blocks: DataFrame, k1: float, b: float
     return hits.groupBy("query_id", "key").agg(F.sum(F.col("idf") * _share(k1, b)).alias("score"))
 
 
-def reaching(x: Blocked, asked: DataFrame, k: int, seeds: int = 2, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, block): the blocks that can hold one of the ``k`` best."""
+def reaching(x: Blocked, asked: DataFrame, k: int, seeds: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, block): the blocks that can hold one of the ``k`` best.
+    ``seeds`` blocks are scored first, ``k`` unless said otherwise."""
     bound = asked.join(x.bounds, ["field", "gram"]).groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
-    first = top_k_per_group(bound, ["query_id"], [F.desc("bound"), F.asc("block")], seeds, salt_col="block").select("query_id", "block")
+    first = top_k_per_group(bound, ["query_id"], [F.desc("bound"), F.asc("block")], seeds or max(2, k), salt_col="block").select("query_id", "block")
     best = top_k_per_group(_scored(x, asked, first, k1, b), ["query_id"], [F.desc("score"), F.asc("key")], k)
     least = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(0.0)).alias("least"))
     return bound.join(least, "query_id").filter(F.col("bound") >= F.col("least") - F.lit(SLACK)).select("query_id", "block")
