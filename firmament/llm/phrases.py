@@ -7,22 +7,27 @@ phrases are counted within pieces, overlaps included.
 1. Tasks turn their texts into shards: word ids of one language, pieces parted
    by 0, with the shard's own dictionary and word counts.  Word counts are
    summed; words under ``min_count`` can be in no frequent phrase.
-2. In every shard, an FM-index over its frequent words (runs of them; all else
-   is a break) gives the counts of word pairs, which are summed.
-3. Breaks are set at infrequent pairs too, and a bidirectional FM-index of what
-   is left enumerates its phrases up to ``depth`` words: each interval is
-   extended to the left by every word before it, the interval in the index of
-   the reversed text along with it.  A phrase comes with its count and with
-   the one word before or after it, if that is always the same.
-4. Counts are summed across shards.  A phrase always preceded (or followed) by
-   one word in all shards is as frequent as the longer phrase with that word,
-   and dropped.  What remains is scored at its weakest cut.
-
-The breaks lose nothing: a phrase is at most as frequent as its words and
-pairs.  A shard has ``shard_words`` words and at most one piece more.  What
-tasks hand over are counts per shard, so no word or text is hot.  Frequent
-words and pairs go to the shards by broadcast up to ``BROADCAST_ROWS`` rows and
-``BROADCAST_BYTES`` bytes, beyond by a join and a shuffle of shards.
+2. For 2, 3, ... ``depth`` words: in every shard, a bidirectional FM-index of
+   the stretches that can still hold frequent phrases enumerates its phrases
+   of that many words: each interval is extended to the left by every word
+   before it, the interval in the index of the reversed text along with it.  A
+   phrase comes with its count and with the one word before or after it, if
+   that is always the same (pairs, the most, at first with the count alone and
+   both words in one number; with the rest along with the phrases of three
+   words, when the frequent ones are known).  Counts are summed across shards.
+3. Stretches are runs of places where a frequent phrase one word shorter
+   begins; the rest is a break.
+4. A phrase always preceded (or followed) by one word in all shards is as
+   frequent as the longer phrase with that word, and dropped.  What remains is
+   scored at its weakest cut.
+
+The breaks lose nothing: a phrase is at most as frequent as its parts.  They
+keep what is handed over small: a word more is counted only where all but it
+is known to be frequent.  A shard has ``shard_words`` words and at most one
+piece more.  What tasks hand over are counts per shard, so no word or text is
+hot.  Frequent words and phrases go to the shards by broadcast up to
+``BROADCAST_ROWS`` rows in all and ``BROADCAST_BYTES`` bytes of words, beyond
+by a join and a shuffle of shards.
 
 Scores are exact: products are DECIMAL(38), enough for counts up to 10^12.
 
@@ -34,20 +39,23 @@ empty table or none frequent gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmament.llm.store import saved, small
 from firmament.operators.util import top_k_per_group
 
 PIECE = 1 << 20  # bytes of a text that are split into words at once
-BROADCAST_ROWS = 1_000_000  # of two or three numbers: 24 MB
+PAIR = 1 << 31  # word ids are below
+BATCH = 1 << 16  # rows handed to the JVM at once
+BROADCAST_ROWS = 1_000_000  # of at most ``depth`` numbers: 40 MB
 BROADCAST_BYTES = 32 << 20  # of the words among them
 ENDS = b".,;:!?\n\x0b\x0c\r"
 CLEAN = bytes.maketrans(ENDS + b"\t", b"\n" * len(ENDS) + b" ")
@@ -183,25 +191,27 @@ def extended(index: Index, n_symbols: int, lo: np.ndarray, hi: np.ndarray) -> tu
 def pairs(text: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """Neighbours (rows of two symbols) and their counts."""
     index = Index(text, n_symbols, 1)
-    lo, hi = index.first[1:n_symbols], index.first[2:]
-    owner, symbol, count, _ = extended(index, n_symbols, lo, hi)
+    owner, symbol, count, _ = extended(index, n_symbols, index.first[1:n_symbols], index.first[2:])
     return np.stack([symbol, owner + 1], 1), count
 
 
-def enumerate_phrases(text: np.ndarray, n_symbols: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def enumerate_phrases(text: np.ndarray, n_symbols: int, depth: int, first: int = 2, last: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(phrases, counts, only symbol before, only symbol after) for the phrases
-    of 2, 3, ... ``depth`` symbols between breaks."""
-    forward, backward = Index(text, n_symbols, depth), Index(text[::-1].copy(), n_symbols, depth)
+    of 2, 3, ... ``depth`` symbols between breaks, or of ``first`` to ``last``; the
+    symbols before and after are told for phrases under ``depth`` symbols."""
+    forward, backward = Index(text, n_symbols, last or depth), Index(text[::-1].copy(), n_symbols, last or depth)
     grams = np.arange(1, n_symbols)[:, None]
     lo, hi = forward.first[1:n_symbols], forward.first[2:]
     rlo = backward.first[1:n_symbols]
-    for length in range(2, depth + 1):
+    for length in range(2, (last or depth) + 1):
         owner, symbol, count, smaller = extended(forward, n_symbols, lo, hi)
         if not len(owner):
             return
         grams = np.hstack([symbol[:, None], grams[owner]])
         lo, rlo = forward.before(symbol, lo[owner]), rlo[owner] + smaller
         hi = lo + count
+        if length < first:
+            continue
         if length < depth:
             yield grams, count, forward.only(lo, hi), backward.only(rlo, rlo + count)
         else:
@@ -209,74 +219,82 @@ def enumerate_phrases(text: np.ndarray, n_symbols: int, depth: int) -> Iterator[
             yield grams, count, none, none
 
 
-def with_breaks(ids: np.ndarray, live: np.ndarray, good: np.ndarray | None = None) -> np.ndarray:
+def stretches(text: np.ndarray, begins: np.ndarray, m: int, least: int) -> np.ndarray:
+    """The runs of places where phrases of ``m`` words begin (``begins``), with
+    all words of those, if that are ``least`` or more; parted by single breaks.
+    A phrase of more words has all its places in one run, so it is in one
+    stretch only, though stretches share up to ``m`` - 1 words."""
+    first = np.flatnonzero(begins & ~np.append(False, begins[:-1]))
+    words = np.flatnonzero(begins & ~np.append(begins[1:], False)) + m - first
+    first, words = first[words >= least], words[words >= least]
+    size = words + 1
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    place = np.repeat(first, size) + at
+    out = np.where(at < np.repeat(words, size), text[np.minimum(place, len(text) - 1)], 0) if len(size) else at
+    return np.append(0, out)
+
+
+def with_breaks(ids: np.ndarray, live: np.ndarray) -> np.ndarray:
     """Symbols (``live``: of each local id; 0 none) in runs of two and more,
-    parted by single breaks, also between neighbours not among ``good`` (sorted
-    keys symbol * len(live) + symbol)."""
+    parted by single breaks."""
     text = live[ids]
-    if good is not None and len(text):
-        two = text[:-1] * len(live) + text[1:]
-        bad = (text[:-1] > 0) & (text[1:] > 0)
-        if len(good):
-            bad &= good[np.minimum(np.searchsorted(good, two), len(good) - 1)] != two
-        text = np.insert(text, np.flatnonzero(bad) + 1, 0)
-    text = np.concatenate([[0], text, [0]])
-    lone = (text > 0) & (np.append(0, text[:-1]) == 0) & (np.append(text[1:], 0) == 0)
-    text = text[~lone]
-    return text[(text > 0) | (np.append(1, text[:-1]) > 0)]
-
-
-def symbols(ids: bytes, local: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Local ids, the symbol of each local id (0: not frequent), and the global
-    id of each symbol.  ``local``, ``number``: the shard's frequent words."""
-    ids = np.frombuffer(ids, "<i4")
+    return stretches(text, text > 0, 1, 2)
+
+
+def numbered(x: np.ndarray, n_symbols: int, keys: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """Along the last axis, the number (from 1; 0: none) of the frequent phrase
+    that begins at each place, and their count + 1.  ``keys``, for 2, 3, ...
+    words: sorted numbers of the first and the last but one word less."""
+    for key in keys:
+        first, last = x[..., :-1], x[..., 1:]
+        both = first * n_symbols + last
+        at = np.searchsorted(key, both)
+        here = (np.append(key, -1)[at] == both) & (first > 0) & (last > 0)
+        x, n_symbols = np.where(here, at + 1, 0), len(key) + 1
+    return x, n_symbols
+
+
+def gram_rows(ids: bytes, local: np.ndarray, number: np.ndarray, good: list[np.ndarray], depth: int) -> dict[str, np.ndarray]:
+    """A shard's phrases of m words whose parts are frequent: its words
+    ``local`` (global ids ``number``), and ``good``, phrases of 2 to m - 1 words
+    (a row of global ids each; the shard's or more).
+
+    Pairs: both words in ``pair``, and n.  Longer ones: w1, w2, ... (global
+    ids), n, left, right (not at ``depth`` words); with three words come the
+    pairs themselves (w3 is 0)."""
+    ids, m = np.frombuffer(ids, "<i4"), len(good) + 2
     live = np.zeros(max(int(ids.max(initial=0)), int(local.max(initial=0))) + 1, np.int64)
     live[local] = np.arange(1, len(local) + 1)
-    return ids, live, np.append(0, number)
-
-
-def pair_rows(ids: bytes, local: np.ndarray, number: np.ndarray) -> dict[str, np.ndarray]:
-    """a, b, n of a shard's neighbours, in global ids."""
-    ids, live, number = symbols(ids, local, number)
+    number, size = np.append(0, number), len(local) + 1
     text = with_breaks(ids, live)
-    if len(text) < 3:
-        return {c: np.zeros(0, np.int64) for c in ("a", "b", "n")}
-    grams, n = pairs(text, len(number))
-    return {"a": number[grams[:, 0]], "b": number[grams[:, 1]], "n": n}
-
-
-def phrase_rows(ids: bytes, local: np.ndarray, number: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> dict[str, np.ndarray]:
-    """w1, w2, ... (global ids, 0 beyond the phrase), n, left, right of a
-    shard's phrases over the frequent pairs a, b (the shard's or more)."""
-    ids, live, number = symbols(ids, local, number)
-    order = np.argsort(number)
-    a, b = _both(number, order, a, b)
-    text = with_breaks(ids, live, np.sort(a * len(live) + b))
-    out = [np.zeros((0, depth + 3), np.int64)]
-    for grams, n, left, right in enumerate_phrases(text, len(number), depth) if len(text) > 2 else ():
-        rows = np.zeros((len(n), depth + 3), np.int64)
+    if not good:
+        grams, n = pairs(text, size) if len(text) > 2 else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        return {"pair": number[grams[:, 0]] * PAIR + number[grams[:, 1]], "n": n}
+    order, keys = np.argsort(number), []
+    for grams in good:
+        at = order[np.minimum(np.searchsorted(number, grams, sorter=order), len(order) - 1)]
+        x, n = numbered(at[(number[at] == grams).all(1)], size, keys)
+        keys.append(np.sort(x[:, 0] * n + x[:, 1]))
+    begins = np.append(numbered(text, size, keys)[0] > 0, np.zeros(m - 2, bool)) if len(text) > m else np.zeros(len(text), bool)
+    text = stretches(text, begins, m - 1, 2 if m == 3 else m)
+    found = [np.zeros((0, m + 3), np.int64)]
+    for grams, n, left, right in enumerate_phrases(text, size, depth, first=2 if m == 3 else m, last=m) if len(text) > 2 else ():
+        rows = np.zeros((len(n), m + 3), np.int64)
         rows[:, : grams.shape[1]] = number[grams]
-        rows[:, depth], rows[:, depth + 1], rows[:, depth + 2] = n, number[left], number[right]
-        out.append(rows)
-    return dict(zip([*(f"w{i}" for i in range(1, depth + 1)), "n", "left", "right"], np.vstack(out).T))
-
-
-def _both(number: np.ndarray, order: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the pairs whose words the shard both has."""
-    at = [order[np.minimum(np.searchsorted(number, x, sorter=order), len(order) - 1)] for x in (a, b)]
-    here = (number[at[0]] == a) & (number[at[1]] == b)
-    return at[0][here], at[1][here]
+        rows[:, m], rows[:, m + 1], rows[:, m + 2] = n, number[left], number[right]
+        found.append(rows)
+    return dict(zip([*(f"w{i}" for i in range(1, m + 1)), "n", "left", "right"], np.vstack(found).T))
 
 
-# ---------------------------------------------------------------- shards and frequent words, paired up
+# ---------------------------------------------------------------- shards and what is frequent, paired up
 
 
-def known_to_tasks(df: DataFrame, lang: str | None) -> dict | None:
-    """A table of words (lang, word, word_id) or of pairs (a, b) for broadcast,
-    if it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes."""
-    text = F.sum(F.octet_length(lang)) if lang else F.lit(0)
-    n, size = df.agg(F.count("*"), F.coalesce(text, F.lit(0))).first()
-    return {c: x.combine_chunks() for c, x in zip(df.columns, df.toArrow().columns)} if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else None
+def known_to_tasks(df: DataFrame, max_rows: int, text: str | None = None) -> dict | None:
+    """A table of words (lang, word, word_id) or of phrases for broadcast, if it
+    has at most ``max_rows`` rows and ``BROADCAST_BYTES`` bytes of ``text``."""
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)
+    n, size = df.agg(F.count("*"), size).first()
+    return {c: x.combine_chunks() for c, x in zip(df.columns, df.toArrow().columns)} if n <= max_rows and size <= BROADCAST_BYTES else None
 
 
 def own_words(words: dict, lang: str, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -287,33 +305,39 @@ def own_words(words: dict, lang: str, dictionary: pa.Array) -> tuple[np.ndarray,
     return np.flatnonzero(found) + 1, words["word_id"].filter(mine).to_numpy()[at.drop_null().to_numpy()]
 
 
-def _batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], names=list(rows))
-
-
-def from_broadcast(shards: DataFrame, words, work, schema: str) -> DataFrame:
-    """``work(ids, local, number)`` of every shard; ``words``: a broadcast table."""
+def from_broadcast(shards: DataFrame, words, good: list, depth: int, schema: str) -> DataFrame:
+    """``gram_rows`` of every shard; ``words`` and ``good``: broadcast tables."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = [np.stack([c.to_numpy() for c in g.value.values()], 1) for g in good]
         for batch in batches:
             for i in range(len(batch)):
                 lang, ids = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                yield _batch(work(ids, *own_words(words.value, lang, batch.column(1)[i].values)))
+                rows = gram_rows(ids, *own_words(words.value, lang, batch.column(1)[i].values), grams, depth)
+                whole = pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], names=list(rows))
+                yield from (whole.slice(at, BATCH) for at in range(0, len(whole), BATCH))
 
     return shards.select("lang", "words", "ids").mapInArrow(each, schema)
 
 
-def from_join(shards: DataFrame, rows: DataFrame, work, schema: str) -> DataFrame:
-    """The same with each shard's rows (shard, local, word_id, b) sent to it:
-    words (b is 0) and pairs of words (local is 0)."""
+def from_join(shards: DataFrame, live: DataFrame, good: list[DataFrame], depth: int, schema: str) -> DataFrame:
+    """The same with each shard's rows sent to it: words (shard, local, w1) and,
+    with local 0, those frequent phrases that have all their words there."""
+    rows, m = live, len(good) + 2
+    for grams in good:
+        here = live.join(grams, "w1").select("shard", F.lit(0).cast("bigint").alias("local"), *grams.columns)
+        for c in grams.columns[1:]:
+            here = here.join(live.select("shard", F.col("w1").alias(c)), ["shard", c], "left_semi")
+        rows = rows.unionByName(here, allowMissingColumns=True)
 
     def each(shard: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(shard):
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}).astype("int64")
-        word = own[own["b"] == 0]
-        two = own[own["b"] > 0]
-        args = (two["word_id"].to_numpy(np.int64), two["b"].to_numpy(np.int64)) if "w1" in schema else ()
-        return pd.DataFrame(work(shard["ids"].iat[0], word["local"].to_numpy(np.int64), word["word_id"].to_numpy(np.int64), *args))
+        word, grams = own[own["local"] > 0], own[own["local"] == 0]
+        grams = grams[[f"w{i}" for i in range(1, m)]].fillna(0).to_numpy(np.int64)
+        size = (grams > 0).sum(1)
+        parts = [grams[size == k, :k] for k in range(2, m)]
+        return pd.DataFrame(gram_rows(shard["ids"].iat[0], word["local"].to_numpy(np.int64), word["w1"].to_numpy(np.int64), parts, depth))
 
     return shards.select("shard", "ids").groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(each, schema)
 
@@ -321,6 +345,18 @@ def from_join(shards: DataFrame, rows: DataFrame, work, schema: str) -> DataFram
 # ---------------------------------------------------------------- phrases
 
 
+def with_ids(words: DataFrame) -> DataFrame:
+    """``words`` with ``word_id``, from 1 without gaps: a place in its task's rows
+    and the number of rows of the tasks before (one row a task is added up)."""
+    placed = saved(words.withColumn("at", F.monotonically_increasing_id()), "placed")
+    task, place = F.shiftright("at", 33).alias("task"), F.col("at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = placed.groupBy(task).agg(F.count("*").alias("n"))
+    tasks = tasks.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = placed.withColumn("task", task).join(F.broadcast(tasks), "task").withColumn("word_id", F.col("start") + place + 1)
+    return numbered.withColumn("word_id", F.when(F.col("word_id") < PAIR, F.col("word_id")).otherwise(F.raise_error(F.lit("too many frequent words")).cast("bigint"))).drop("task", "at", "start")
+
+
 def frequent(docs: DataFrame, depth: int, min_count: int, lang_col: str, text_col: str, shard_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (word_id, lang, word, f), phrases (gram: word ids, f, held: whether
     a longer phrase up to ``depth`` is as frequent) and totals (lang, n)."""
@@ -328,43 +364,42 @@ def frequent(docs: DataFrame, depth: int, min_count: int, lang_col: str, text_co
     totals = saved(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     counted = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     words = counted.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-    words = saved(words.withColumn("word_id", F.monotonically_increasing_id() + 1), "words")
+    words = saved(with_ids(words), "words")
 
     sent = docs.sparkSession.sparkContext.broadcast
-    names = [f"w{i}" for i in range(1, depth + 1)]
-    schema = ", ".join(f"{c} bigint" for c in [*names, "n", "left", "right"])
-
-    def live() -> DataFrame:
-        own = shards.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(words.drop("f"), ["lang", "word"])
-        return saved(own.select("shard", (F.col("at") + 1).alias("local"), "word_id", F.lit(0).cast("bigint").alias("b")), "live")
-
-    all_words = known_to_tasks(words.select("lang", "word", "word_id"), "word")
-    if all_words:
-        all_words = sent(all_words)
-        seen = from_broadcast(shards, all_words, pair_rows, "a bigint, b bigint, n bigint")
-    else:
-        seen = from_join(shards, live(), pair_rows, "a bigint, b bigint, n bigint")
-    good = saved(seen.groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count).select("a", "b"), "good-pairs")
-
-    all_pairs = known_to_tasks(good, None) if all_words else None
-    if all_pairs:
-        all_pairs = sent(all_pairs)
-
-        def work(ids, local, number):
-            return phrase_rows(ids, local, number, all_pairs.value["a"].to_numpy(), all_pairs.value["b"].to_numpy(), depth)
-
-        found = from_broadcast(shards, all_words, work, schema)
-    else:
-        mine = live()
-        here = mine.select("shard", "word_id")
-        two = here.join(good, F.col("word_id") == F.col("a")).select("shard", F.lit(0).alias("local"), F.col("a").alias("word_id"), "b")
-        two = two.join(here.select(F.col("shard").alias("s"), F.col("word_id").alias("other")), (F.col("shard") == F.col("s")) & (F.col("b") == F.col("other")), "left_semi")
-        found = from_join(shards, mine.unionByName(two), lambda ids, local, number, a, b: phrase_rows(ids, local, number, a, b, depth), schema)
-
-    one_word = [((F.min(side) == F.max(side)) & (F.min(side) > 0)).alias(side) for side in ("left", "right")]
-    found = found.groupBy(*names).agg(F.sum("n").alias("f"), *one_word).filter(F.col("f") >= min_count)
-    gram = F.filter(F.array(*names), lambda w: w > 0)
-    return words, saved(found.select(gram.alias("gram"), "f", (F.col("left") | F.col("right")).alias("held")), "grams"), totals
+    known, room = known_to_tasks(words.select("lang", "word", "word_id"), BROADCAST_ROWS, "word"), BROADCAST_ROWS
+    known = sent(known) if known else None
+    live, good, sent_good, grams = None, [], [], []
+    for m in range(2, depth + 1):
+        names = [f"w{i}" for i in range(1, m + 1)]
+        key, sides = (["pair"], []) if m == 2 else (names, ["left", "right"])
+        schema = ", ".join(f"{c} bigint" for c in [*key, "n", *sides])
+        if known:
+            found = from_broadcast(shards, known, sent_good, depth, schema)
+        else:
+            if live is None:
+                own = shards.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(words.drop("f"), ["lang", "word"])
+                live = saved(own.select("shard", (F.col("at") + 1).cast("bigint").alias("local"), F.col("word_id").alias("w1")), "live")
+            found = from_join(shards, live, good, depth, schema)
+        one_word = [((F.min(side) == F.max(side)) & (F.min(side) > 0)).alias(side) for side in sides]
+        found = found.groupBy(*key).agg(F.sum("n").alias("f"), *one_word).filter(F.col("f") >= min_count)
+        if m == 2:
+            found = found.select(F.shiftright("pair", 31).alias("w1"), F.col("pair").bitwiseAND(PAIR - 1).alias("w2"), "f")
+        found = saved(found, f"grams-{m}")
+        if m > 2:
+            grams.append(found.select(F.filter(F.array(*names), lambda w: w > 0).alias("gram"), "f", (F.col("left") | F.col("right")).alias("held")))
+            found = found.filter(F.col(names[-1]) > 0)
+        elif depth == 2:
+            grams.append(found.select(F.array(*names).alias("gram"), "f", F.lit(False).alias("held")))
+        good.append(found.select(*names))
+        if known and m < depth:
+            table = known_to_tasks(good[-1], room)
+            known = known if table else None
+            if table:
+                sent_good.append(sent(table))
+                room -= len(table["w1"])
+    none = words.select(F.array("word_id").alias("gram"), "f", F.lit(False).alias("held")).limit(0)
+    return words, reduce(DataFrame.unionByName, grams, none), totals
 
 
 def exact(c: Column) -> Column:
