@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firmament.functions.geo import cell, lambert93_to_wgs84
 from firmament.functions.text import search_text
@@ -33,6 +34,34 @@ def establishment_columns() -> dict[str, Column]:
     }
 
 
+DIGEST = "row_digest"  # generated column of tables that rows are appended to
+
+
+def row_digest(schema: T.StructType) -> Column:
+    """128-bit digest of a row of ``schema`` (all columns but a stored digest).
+
+    Equal rows have equal digests, NULLs equal to each other; each value's text
+    comes with its length, so no two rows share a text.  Timestamps count in
+    microseconds: the session's time zone plays no part.  Flat columns only.
+    """
+    parts = []
+    for f in schema.fields:
+        if f.name == DIGEST:
+            continue
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            raise ValueError(f"column {f.name} is nested; a digest takes flat columns")
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.TimestampType):
+            c = F.unix_micros(c)
+        elif isinstance(f.dataType, T.BinaryType):
+            c = F.hex(c)
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0)  # -0.0 and 0.0 are equal
+        text = c.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.md5(F.concat(*parts).cast("binary"))
+
+
 def derive(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with the generated columns, computed anew if it has them."""
     for name, value in columns.items():

@@ -18,8 +18,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from firmament.operators.derive import derive
+from firmament.operators.derive import DIGEST, derive, row_digest
 
 
 def latest_per_key(delta: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
@@ -102,20 +103,35 @@ def upsert(
     return Upsert(result, counts)
 
 
-def new_rows(base: DataFrame, delta: DataFrame) -> DataFrame:
-    """Distinct delta rows that ``base`` does not hold (NULL-safe compare of
-    all columns).  The stored table streams past the (small) delta, so it is
-    never shuffled to find them."""
-    d = delta.select(*base.columns).distinct()
-    db = d.select(*[F.col(c).alias(f"_d_{c}") for c in base.columns])
-    cond = None
-    for c in base.columns:
-        e = F.col(c).eqNullSafe(F.col(f"_d_{c}"))
-        cond = e if cond is None else cond & e
-    return d.subtract(base.join(db, cond, "left_semi").distinct())
-
+def new_rows(base: DataFrame, delta: DataFrame, ts_col: str | None = None) -> DataFrame:
+    """Distinct delta rows that ``base`` does not hold (NULLs equal).
 
-def append(base: DataFrame, delta: DataFrame, dedupe: bool = False) -> DataFrame:
+    Stored copies are found by the row digest: from the stored column
+    ``row_digest``, if ``base`` has it, so that the scan reads that column alone
+    (and ``ts_col``), else computed.  With ``ts_col``, stored rows older than
+    the delta's oldest aren't met: no copy is among them.  The stored table
+    streams past the (small) delta and is never shuffled.
+    """
+    plain = T.StructType([f for f in base.schema.fields if f.name != DIGEST])
+    digest = row_digest(plain)
+    d = delta.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in plain.fields]).distinct()
+    stored = base
+    if ts_col:
+        oldest = d.agg(F.min(ts_col)).scalar()
+        stored = base.filter(F.col(ts_col).isNull() | (F.col(ts_col) >= oldest))
+    d = d.withColumn(DIGEST, digest)
+    have = stored.select(F.col(DIGEST) if DIGEST in base.columns else digest.alias(DIGEST))
+    held = have.join(d.select(DIGEST), DIGEST, "left_semi").distinct()
+    return d.join(held, DIGEST, "left_anti").select(*base.columns)
+
+
+def append(base: DataFrame, delta: DataFrame, dedupe: bool = False, ts_col: str | None = None) -> DataFrame:
     """Plain insert.  Boundary rows of an inclusive range re-sync duplicate;
-    with ``dedupe`` only :func:`new_rows` are added."""
-    return base.unionByName(new_rows(base, delta) if dedupe else delta)
+    with ``dedupe`` only :func:`new_rows` are added.  A stored ``row_digest`` is
+    made for the rows added."""
+    if dedupe:
+        return base.unionByName(new_rows(base, delta, ts_col))
+    if DIGEST in base.columns:
+        plain = delta.select(*[c for c in base.columns if c != DIGEST])
+        delta = plain.withColumn(DIGEST, row_digest(plain.schema))
+    return base.unionByName(delta)

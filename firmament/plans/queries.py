@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmament import fixtures
+from firmament.operators import derive as DV
 from firmament.operators import search as S
 from firmament.plans import oracle_sql as O
 from firmament.plans import tables as T
@@ -334,6 +335,25 @@ register(
 )(lambda spark, sf_dir: M.append(T.succession(spark, sf_dir), _delta_links(spark, sf_dir), dedupe=True))
 
 
+# rows stored already, rows never seen, and each of both twice
+_MIXED_LINKS_SQL = f"""SELECT * FROM ({_DELTA_LINKS_SQL}) UNION ALL SELECT * REPLACE (NOT transfert_siege AS transfert_siege) FROM ({_DELTA_LINKS_SQL})"""
+
+
+@register(
+    "append_succession_digest",
+    f"""SELECT * FROM succession UNION ALL
+    (SELECT DISTINCT * FROM ({_MIXED_LINKS_SQL} UNION ALL {_MIXED_LINKS_SQL}) x EXCEPT SELECT * FROM succession)""",
+)
+def append_succession_digest(spark, sf_dir):
+    """M-4 on a table that stores its rows' digests."""
+    links = T.succession(spark, sf_dir)
+    base = T.stored(spark, sf_dir, "succession-digest",
+                    lambda: links.withColumn(DV.DIGEST, DV.row_digest(links.schema)))
+    delta = _delta_links(spark, sf_dir)
+    mixed = delta.unionByName(delta.withColumn("transfert_siege", ~F.col("transfert_siege")))
+    return M.append(base, mixed.unionByName(mixed), dedupe=True, ts_col="date_dernier_traitement").drop(DV.DIGEST)
+
+
 # ---------------------------------------------------------------- publish, counts (M-5..M-7, A-1, A-2)
 @register(
     "count_production",

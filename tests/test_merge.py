@@ -1,5 +1,9 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
+from firmament.operators import derive as DV
 from firmament.operators import merge as M
 
 T = dt.datetime
@@ -61,6 +65,28 @@ def test_append_and_dedupe(spark):
         [(1, "a"), (2, None), (3, "c")], key=str)
 
 
+def test_append_by_stored_digest(spark, tmp_path):
+    schema = "p string, s string, d timestamp_ntz, n double"
+    rows = [("1:a", None, T(2024, 1, 1), 0.0), ("1", ":a", None, None), (None, "x", T(2024, 2, 1), 1.5), ("ab", "c", T(2024, 2, 1), 2.0)]
+    plain = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "links")
+    plain.withColumn(DV.DIGEST, DV.row_digest(plain.schema)).write.parquet(path)
+    base = spark.read.parquet(path)
+    fresh = [("a", "bc", T(2024, 2, 1), 2.0), ("x", None, T(2024, 2, 1), 1.5), ("1:a", None, None, 0.0)]
+    delta = spark.createDataFrame([*rows[1:], ("1:a", None, T(2024, 1, 1), -0.0), *fresh, *fresh], schema)
+    for ts in (None, "d"):
+        out = M.append(base, delta, dedupe=True, ts_col=ts)
+        assert sorted(map(str, out.drop(DV.DIGEST).collect())) == sorted(map(str, spark.createDataFrame(rows + fresh, schema).collect()))
+        assert M.new_rows(out, delta, ts).count() == 0  # applied again: nothing is new
+        assert out.filter(F.col(DV.DIGEST).isNull()).count() == 0
+    assert M.append(base, delta).count() == len(rows) + delta.count()
+    assert M.new_rows(base, delta.limit(0), "d").count() == 0 and M.new_rows(base.limit(0), delta, "d").count() == 7
+    plan = M.new_rows(base, delta)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<row_digest:string>" in plan
+    with pytest.raises(ValueError, match="nested"):
+        DV.row_digest(spark.createDataFrame([([1],)], "a array<int>").schema)
+
+
 def test_guarded_upsert_counts_what_it_replaces(spark):
     base = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, "c", None)], "k int, v string, ts int")
     delta = spark.createDataFrame([(1, "old", 4), (2, "none", None), (3, "new", 1), (4, "in", None)], "k int, v string, ts int")
