@@ -82,7 +82,8 @@ def lookup_units_nested(keys: DataFrame, units: DataFrame, establishments: DataF
     A unit's list is split into ``parts`` parts of about ``chunk`` rows
     (``part`` is the row's, by key hash; both are on every row), so no single
     row or task has to hold the list of a giant unit.  Parts of one unit
-    together hold all its establishments.
+    together hold all its establishments; each of 0 to ``parts`` - 1 has a row,
+    with an empty list if the hash gives it none.
     """
     found = lookup_units(keys, units, establishments, unit_key, key)
     est = establishments.join(found.select(unit_key, "nombre_etablissements"), unit_key, "inner")
@@ -95,7 +96,10 @@ def lookup_units_nested(keys: DataFrame, units: DataFrame, establishments: DataF
     )
     hq = head_office(establishments.join(found.select(unit_key), unit_key, "left_semi"), unit_key, key)
     hq = hq.select(unit_key, F.struct(*[c for c in hq.columns if c != unit_key]).alias("etablissement_siege"))
-    return found.join(hq, unit_key, "inner").join(lists, unit_key, "left")
+    found = found.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    out = found.join(hq, unit_key, "inner").join(lists, [unit_key, "part"], "left")
+    listed = F.coalesce("etablissements", F.array().cast(lists.schema["etablissements"].dataType))
+    return out.select(*[c for c in out.columns if c not in ("part", "etablissements")], "part", listed.alias("etablissements"))
 
 
 def succession(keys: DataFrame, links: DataFrame, key: str = "siret", pred: str = "predecesseur",

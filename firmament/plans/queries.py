@@ -192,6 +192,21 @@ def unit_lookup_nested(spark, sf_dir):
     return LK.lookup_units_nested(units.select("unit_id"), units, est)
 
 
+@register(
+    "unit_lookup_nested_rows",
+    f"""WITH hq AS ({HQ_SQL}), n AS (SELECT unit_id, count(*) AS nombre_etablissements FROM establishment GROUP BY unit_id)
+    SELECT e.unit_id, hq.etablissement_siege_siret, n.nombre_etablissements, e.siret, e.date_creation, e.code_postal
+    FROM establishment e JOIN legal_unit u ON u.unit_id = e.unit_id JOIN hq ON hq.unit_id = e.unit_id
+    JOIN n ON n.unit_id = e.unit_id""",
+)
+def unit_lookup_nested_rows(spark, sf_dir):
+    """M-9, J-2: the nested answers taken apart again."""
+    nested = unit_lookup_nested(spark, sf_dir)
+    rows = nested.select("unit_id", F.col("etablissement_siege.siret").alias("etablissement_siege_siret"),
+                         "nombre_etablissements", F.explode("etablissements").alias("e"))
+    return rows.select("unit_id", "etablissement_siege_siret", "nombre_etablissements", "e.siret", "e.date_creation", "e.code_postal")
+
+
 @register("head_office", f"SELECT unit_id, etablissement_siege_siret AS siret FROM ({HQ_SQL}) h")
 def head_office(spark, sf_dir):
     return LK.head_office(T.establishments(spark, sf_dir)).select("unit_id", "siret")

@@ -28,6 +28,15 @@ def test_lookups_inner_and_not_found(spark):
     assert nested[1].etablissement_siege.siret == 11
 
 
+def test_every_nested_part_has_a_row(spark):
+    est = spark.range(40).selectExpr("id AS siret", "1L AS unit_id", "id = 0 AS etablissement_siege")
+    units = spark.createDataFrame([(1, "u1")], "unit_id long, name string")
+    rows = LK.lookup_units_nested(units.select("unit_id"), units, est, chunk=1).collect()
+    assert sorted(r.part for r in rows) == list(range(40)) and {r.parts for r in rows} == {40}
+    assert any(r.etablissements == [] for r in rows)  # hashes leave some part empty
+    assert sorted(e.siret for r in rows for e in r.etablissements) == list(range(40))
+
+
 def test_succession_self_link_and_plan(spark):
     links = spark.createDataFrame([(1, 2), (2, 2), (1, 2), (3, 4)], "predecesseur long, successeur long")
     keys = spark.createDataFrame([(2,), (5,)], "siret long")
