@@ -2,8 +2,10 @@
 
 * Lambert-93 (EPSG:2154) to WGS84 longitude/latitude, inverse projection on
   GRS80 with a fixed number of latitude iterations.
-* Geodesic distance on the WGS84 ellipsoid (Vincenty inverse, fixed
-  iterations), the metric a spheroidal ``ST_Distance`` uses.
+* Geodesic distance on the WGS84 ellipsoid, the metric a spheroidal
+  ``ST_Distance`` uses: Vincenty's inverse with a fixed number of steps, and a
+  bracketed search for the azimuth of those pairs (far apart, up to antipodes)
+  whose steps have not settled by then.
 * Bounding box and grid cells used to prune before the exact distance.
 
 Intermediates are bound to lambda variables (``let``) and the iterations run
@@ -34,6 +36,8 @@ WGS84_A = 6378137.0
 WGS84_F = 1 / 298.257223563
 WGS84_B = WGS84_A * (1 - WGS84_F)
 VINCENTY_ITERATIONS = 4
+SETTLED = 1e-10  # radians of longitude (0.6 mm) that the last step may still move
+AZIMUTH_HALVINGS = 50  # of 180 degrees
 
 METRES_PER_DEG_LAT = 110574.0
 METRES_PER_DEG_LNG = 111320.0
@@ -92,8 +96,77 @@ def lambert93_to_wgs84(x: str | Column, y: str | Column) -> Column:
     )
 
 
+def _arc_length(ca: Column, cm: Column, ss: Column, cs: Column, sg: Column) -> Column:
+    """Metres of a geodesic from its squared cosine at the equator, the cosine
+    of twice its middle, and the sine, cosine and size of its arc."""
+    u2 = ca * F.lit((WGS84_A * WGS84_A - WGS84_B * WGS84_B) / (WGS84_B * WGS84_B))
+    big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
+    big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
+    last = big_b / 6 * cm * (-3 + 4 * ss * ss) * (-3 + 4 * cm * cm)
+    dsig = big_b * ss * (cm + big_b / 4 * (cs * (-1 + 2 * cm * cm) - last))
+    return F.lit(WGS84_B) * big_a * (sg - dsig)
+
+
+def geodesic_by_azimuth(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
+    """Ellipsoidal distance in metres for any pair, antipodes included.
+
+    The pair is mirrored so that the first point is the one farther from the
+    equator and lies south.  The longitude that a geodesic has covered when it
+    arrives, northbound, at the second latitude then grows with its azimuth at
+    the first point, so halving the azimuths finds the one that ends there.
+    """
+    f = WGS84_F
+
+    def place(p: Column) -> Column:
+        first_farther = F.abs(p["lat1"]) >= F.abs(p["lat2"])
+        far, near = F.when(first_farther, p["lat1"]).otherwise(p["lat2"]), F.when(first_farther, p["lat2"]).otherwise(p["lat1"])
+        south, north = F.radians(-F.abs(far)), F.radians(F.when(far > 0, -near).otherwise(near))
+        reduced = {k: F.atan((1 - f) * F.tan(v)) for k, v in (("u1", south), ("u2", north))}
+        apart = F.abs(F.pmod(p["lng2"] - p["lng1"] + 180, F.lit(360.0)) - 180)
+        return let({**reduced, "L": F.radians(apart)}, sides)
+
+    def sides(p: Column) -> Column:
+        # just south of the equator, where a start on it has no side
+        return let({"s1": F.least(F.sin(p["u1"]), F.lit(-1e-200)), "c1": F.cos(p["u1"]), "s2": F.sin(p["u2"]), "L": p["L"]}, search)
+
+    def arrival(s: Column, azimuth: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of the arc with this azimuth: longitude ``lam`` and the parts of its length."""
+
+        def toward(p: Column) -> Column:
+            x2 = F.sqrt(F.greatest(p["x1"] * p["x1"] + (s["s1"] - s["s2"]) * (s["s1"] + s["s2"]), F.lit(0.0)))
+            return let({"x1": p["x1"], "sa": p["sa"], "x2": x2}, angles)
+
+        def angles(p: Column) -> Column:
+            spherical = F.atan2(p["sa"] * s["s2"], p["x2"]) - F.atan2(p["sa"] * s["s1"], p["x1"])
+            return let({"g1": F.atan2(s["s1"], p["x1"]), "g2": F.atan2(s["s2"], p["x2"]), "om": spherical, "sa": p["sa"], "ca": 1 - p["sa"] * p["sa"]}, arc)
+
+        def arc(p: Column) -> Column:
+            sg = p["g2"] - p["g1"]
+            c = F.lit(f / 16) * p["ca"] * (4 + f * (4 - 3 * p["ca"]))
+            return let({"om": p["om"], "sa": p["sa"], "ca": p["ca"], "c": c, "sg": sg, "ss": F.sin(sg), "cs": F.cos(sg), "cm": F.cos(p["g1"] + p["g2"])}, ended)
+
+        def ended(p: Column) -> Column:
+            more = p["sg"] + p["c"] * p["ss"] * (p["cm"] + p["c"] * p["cs"] * (-1 + 2 * p["cm"] * p["cm"]))
+            lam = p["om"] - (1 - p["c"]) * f * p["sa"] * more
+            return let({"lam": lam, **{k: p[k] for k in ("ca", "cm", "ss", "cs", "sg")}}, use)
+
+        return let({"x1": F.cos(azimuth) * s["c1"], "sa": F.sin(azimuth) * s["c1"]}, toward)
+
+    def search(s: Column) -> Column:
+        def halve(acc: Column, _i: Column) -> Column:
+            middle = (acc["low"] + acc["high"]) / 2
+            short = arrival(s, middle, lambda a: (a["lam"] < s["L"]).cast("double")) > 0
+            return F.struct(F.when(short, middle).otherwise(acc["low"]).alias("low"), F.when(short, acc["high"]).otherwise(middle).alias("high"))
+
+        all_ = F.struct(F.lit(0.0).alias("low"), F.lit(math.pi).alias("high"))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(AZIMUTH_HALVINGS)), all_, halve, lambda acc: (acc["low"] + acc["high"]) / 2)
+        return arrival(s, found, lambda a: _arc_length(a["ca"], a["cm"], a["ss"], a["cs"], a["sg"]))
+
+    return let({"lng1": lng1, "lat1": lat1, "lng2": lng2, "lat2": lat2}, place)
+
+
 def geodesic_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
-    """Ellipsoidal distance in metres (Vincenty inverse, fixed iterations).
+    """Ellipsoidal distance in metres.
 
     Identical points give 0.  NULL in, NULL out.
     """
@@ -112,6 +185,7 @@ def geodesic_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column
                         )
                         return F.struct(
                             lam.alias("lam"),
+                            t["was"].alias("was"),
                             g["ss"].alias("ss"),
                             g["cs"].alias("cs"),
                             g["sg"].alias("sg"),
@@ -143,10 +217,11 @@ def geodesic_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column
                 cs = s["su1"] * s["su2"] + s["cu1"] * s["cu2"] * t["cl"]
                 return let({"ss": ss, "cs": cs, "sg": F.atan2(ss, cs)}, with_sigma)
 
-            return let({"sl": F.sin(acc["lam"]), "cl": F.cos(acc["lam"])}, with_trig)
+            return let({"sl": F.sin(acc["lam"]), "cl": F.cos(acc["lam"]), "was": acc["lam"]}, with_trig)
 
         init = F.struct(
             s["L"].alias("lam"),
+            s["L"].alias("was"),
             F.lit(0.0).alias("ss"),
             F.lit(0.0).alias("cs"),
             F.lit(0.0).alias("sg"),
@@ -155,20 +230,8 @@ def geodesic_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column
         )
 
         def finish(r: Column) -> Column:
-            u2 = r["ca"] * F.lit((a * a - b * b) / (b * b))
-            big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-            big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-            cm = r["cm"]
-            dsig = big_b * r["ss"] * (
-                cm
-                + big_b
-                / 4
-                * (
-                    r["cs"] * (-1 + 2 * cm * cm)
-                    - big_b / 6 * cm * (-3 + 4 * r["ss"] * r["ss"]) * (-3 + 4 * cm * cm)
-                )
-            )
-            return F.lit(b) * big_a * (r["sg"] - dsig)
+            length = _arc_length(r["ca"], r["cm"], r["ss"], r["cs"], r["sg"])
+            return F.struct(length.alias("metres"), (F.abs(r["lam"] - r["was"]) > SETTLED).alias("open"))
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(VINCENTY_ITERATIONS)), init, step, finish)
 
@@ -193,8 +256,10 @@ def geodesic_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column
             },
             reduced,
         )
+        far = geodesic_by_azimuth(p["lng1"], p["lat1"], p["lng2"], p["lat2"])
+        settled = F.transform(F.array(body), lambda r: F.when(r["open"], far).otherwise(r["metres"]))[0]
         missing = p["lng1"].isNull() | p["lat1"].isNull() | p["lng2"].isNull() | p["lat2"].isNull()
-        return F.when(missing, F.lit(None).cast("double")).otherwise(body)
+        return F.when(missing, F.lit(None).cast("double")).otherwise(settled)
 
     # Inputs are bound once so that a large input expression is not repeated.
     return let({"lng1": lng1, "lat1": lat1, "lng2": lng2, "lat2": lat2}, start)
@@ -257,8 +322,9 @@ def with_geodesic(df, lng1: Column, lat1: Column, lng2: Column, lat2: Column, ou
     functions, as in :func:`geodesic_m`, are evaluated interpreted; a long
     chain of tiny projections fuses into one method too large to JIT).
     The result passes a one-element ``explode`` so that a later filter on it
-    is not pushed back into the chain.  Steps are SQL text: one JVM call per
-    projection instead of one per operator.
+    is not pushed back into the chain; after it, pairs whose steps have not
+    settled take :func:`geodesic_by_azimuth` (interpreted, those rows alone).
+    Steps are SQL text: one JVM call per projection instead of one per operator.
     """
     f, a, b = repr(WGS84_F), WGS84_A, repr(WGS84_B)
     keep = list(df.columns)
@@ -303,5 +369,9 @@ def with_geodesic(df, lng1: Column, lat1: Column, lng2: Column, lat2: Column, ou
             f"(-3 + 4 * {z}ss * {z}ss) * (-3 + 4 * {z}cm * {z}cm)))")
     dist = (f"CASE WHEN {p}lng1 IS NULL OR {p}lat1 IS NULL OR {p}lng2 IS NULL OR {p}lat2 IS NULL THEN CAST(NULL AS DOUBLE) "
             f"ELSE {b} * {big_a} * ({z}sg - ({dsig})) END AS {p}dist")
-    df = df.select(*[F.col(x) for x in keep], F.expr(dist))
-    return df.select(*[x for x in keep if x != out], F.explode(F.array(F.col(p + "dist"))).alias(out))
+    ends, rest = [f"{p}{x}" for x in ("lng1", "lat1", "lng2", "lat2")], [x for x in keep if x != out]
+    moved = f"abs({lam} - {p}{VINCENTY_ITERATIONS - 1}_lam) > {SETTLED!r} AS {p}open"
+    df = df.select(*[F.col(x) for x in rest], *ends, F.expr(moved), F.expr(dist))
+    df = df.select(*rest, *ends, p + "open", F.explode(F.array(F.col(p + "dist"))).alias(p + "near"))
+    far = geodesic_by_azimuth(*[F.col(x) for x in ends])
+    return df.select(*rest, F.when(F.col(p + "open"), far).otherwise(F.col(p + "near")).alias(out))

@@ -45,8 +45,8 @@ def lambert_rel(src: str, x: str = "x", y: str = "y") -> str:
     return _chain(src, steps)
 
 
-def vincenty_rel(src: str, lng1: str, lat1: str, lng2: str, lat2: str, out: str = "dist") -> str:
-    """Adds ``out`` (metres) to a relation, same fixed iterations as the engine."""
+def vincenty_rel(src: str, lng1: str, lat1: str, lng2: str, lat2: str, out: str = "dist", n: int = G.VINCENTY_ITERATIONS) -> str:
+    """Adds ``out`` (metres) to a relation by ``n`` steps, the engine's number unless told."""
     f, a, b = G.WGS84_F, G.WGS84_A, G.WGS84_B
     steps = [
         f"radians({lng2} - {lng1}) AS _vl",
@@ -55,7 +55,7 @@ def vincenty_rel(src: str, lng1: str, lat1: str, lng2: str, lat2: str, out: str
         "sin(_u1) AS _su1", "cos(_u1) AS _cu1", "sin(_u2) AS _su2", "cos(_u2) AS _cu2",
         "_vl AS _lam0",
     ]
-    for k in range(1, G.VINCENTY_ITERATIONS + 1):
+    for k in range(1, n + 1):
         steps += [
             f"sin(_lam{k - 1}) AS _sl{k}",
             f"cos(_lam{k - 1}) AS _cl{k}",
@@ -68,7 +68,6 @@ def vincenty_rel(src: str, lng1: str, lat1: str, lng2: str, lat2: str, out: str
             f"{f / 16!r} * _ca{k} * (4 + {f!r} * (4 - 3 * _ca{k})) AS _kc{k}",
             f"_vl + (1 - _kc{k}) * {f!r} * _sa{k} * (_sg{k} + _kc{k} * _ss{k} * (_cm{k} + _kc{k} * _cs{k} * (-1 + 2 * _cm{k} * _cm{k}))) AS _lam{k}",
         ]
-    n = G.VINCENTY_ITERATIONS
     steps += [
         f"_ca{n} * {(a * a - b * b) / (b * b)!r} AS _usq",
         "1 + _usq / 16384 * (4096 + _usq * (-768 + _usq * (320 - 175 * _usq))) AS _ba",

@@ -681,6 +681,20 @@ def geodesic_distance(spark, sf_dir):
     return p.select("vec_id", F.round(d, 3).alias("meter_distance"))
 
 
+FAR_LNG, FAR_LAT, FAR_STEPS = -170.0, -40.0, 20  # some degrees from the points' antipodes: 20 steps settle, 4 don't
+
+
+@register(
+    "geodesic_far",
+    f"SELECT vec_id, round(d, 2) AS meter_distance FROM ({O.vincenty_rel(O.geo_pos_cte(), 'lng', 'lat', repr(FAR_LNG), repr(FAR_LAT), 'd', FAR_STEPS)}) x",
+)
+def geodesic_far(spark, sf_dir):
+    """X-6: distances to the other side of the Earth, where the azimuth is searched."""
+    p = T.geo_points(spark, sf_dir)
+    d = G.with_geodesic(p, p.position["x"], p.position["y"], F.lit(FAR_LNG), F.lit(FAR_LAT), "d")
+    return d.select("vec_id", F.round("d", 2).alias("meter_distance"))
+
+
 @register(
     "radius_search",
     f"""SELECT siret, round(meter_distance, 3) AS meter_distance

@@ -135,3 +135,43 @@ def test_radius_join_of_mixed_radii(spark):
     d = df.crossJoin(q).withColumn("d", geo.geodesic_m(F.col("position.x"), F.col("position.y"), F.col("lng"), F.col("lat")))
     assert got == sorted((r.point_id, r.siret) for r in d.filter("d <= radius").collect())
     assert max(r["count"] for r in GJ.covering_cells(q).groupBy("point_id").count().collect()) <= 64
+
+
+# Published distances on WGS84 (lng, lat, lng, lat, metres): Karney's example, the test
+# sets of his library, a quarter meridian four times over.
+FAR = [
+    (0.0, -30.0, 179.8, 29.9, 19989832.827610),
+    (0.0, 0.0, 179.5, 0.5, 19936288.579),
+    (0.0, 88.202499451857, 179.981022032992859592, -88.202499451857, 20003898.214),
+    (0.0, 89.333123580033, 179.99295812360148422, -89.333123580032997687, 20003926.881),
+    (0.0, 56.320923501171, 179.664747671772880215, -56.320923501171, 19993558.287),
+    (0.0, 52.784459512564, 179.634407464943777557, -52.784459512563990912, 19991596.095),
+    (0.0, 48.522876735459, 179.599720456223079643, -48.52287673545898293, 19989144.774),
+    (0.0, 0.0, 180.0, 0.0, 20003931.4586),
+    (12.0, 90.0, -50.0, -90.0, 20003931.4586),
+]
+
+
+def test_antipodes_in_both_forms(spark):
+    """Published values to the millimetre, whichever way the pair is turned."""
+    turned = [(c, d, a, b, m) for a, b, c, d, m in FAR] + [(-a, -b, -c, -d, m) for a, b, c, d, m in FAR] + FAR
+    df = spark.createDataFrame(turned, "a double, b double, c double, d double, m double")
+    ends = [F.col(c) for c in "abcd"]
+    for r in geo.with_geodesic(df.withColumn("column_form", geo.geodesic_m(*ends)), *ends, "joined_form").collect():
+        assert r.column_form == pytest.approx(r.m, abs=1e-3) and r.joined_form == pytest.approx(r.m, abs=1e-3), r
+
+
+def test_far_pairs_against_many_steps(spark):
+    """Every distance up to a degree from the antipode, and the azimuth search on pairs the steps settle."""
+    import random
+
+    rnd = random.Random(5)
+    pairs = [(rnd.uniform(-180, 180), math.degrees(math.asin(rnd.uniform(-1, 1))), rnd.uniform(-180, 180), math.degrees(math.asin(rnd.uniform(-1, 1)))) for _ in range(300)]
+    pairs += [(3.0, 46.5, -177.0 + x, -46.5 + y) for x, y in ((2.0, 1.0), (-1.5, 1.5), (5.0, 0.0), (0.0, 2.0))]
+    df = spark.createDataFrame(pairs, "a double, b double, c double, d double")
+    ends = [F.col(c) for c in "abcd"]
+    rows = df.select("*", geo.geodesic_m(*ends).alias("m"), geo.geodesic_by_azimuth(*ends).alias("searched")).collect()
+    for r in rows:
+        apart = (r.c - r.a + 180) % 360 - 180
+        exact = vincenty(0.0, r.b, apart, r.d, it=400)
+        assert r.m == pytest.approx(exact, abs=1e-3) and r.searched == pytest.approx(exact, abs=1e-3), r
