@@ -4,8 +4,8 @@
   GRS80 with a fixed number of latitude iterations.
 * Geodesic distance on the WGS84 ellipsoid, the metric a spheroidal
   ``ST_Distance`` uses: Vincenty's inverse with a fixed number of steps, and a
-  bracketed search for the azimuth of those pairs (far apart, up to antipodes)
-  whose steps have not settled by then.
+  bracketed search for the azimuth of pairs so far apart (up to antipodes)
+  that these steps do not settle.
 * Bounding box and grid cells used to prune before the exact distance.
 
 Intermediates are bound to lambda variables (``let``) and the iterations run
@@ -36,7 +36,7 @@ WGS84_A = 6378137.0
 WGS84_F = 1 / 298.257223563
 WGS84_B = WGS84_A * (1 - WGS84_F)
 VINCENTY_ITERATIONS = 4
-SETTLED = 1e-10  # radians of longitude (0.6 mm) that the last step may still move
+SETTLED_M = 5_000_000.0  # metres up to which these steps are right to 0.8 mm
 AZIMUTH_HALVINGS = 50  # of 180 degrees
 
 METRES_PER_DEG_LAT = 110574.0
@@ -185,7 +185,6 @@ def geodesic_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column
                         )
                         return F.struct(
                             lam.alias("lam"),
-                            t["was"].alias("was"),
                             g["ss"].alias("ss"),
                             g["cs"].alias("cs"),
                             g["sg"].alias("sg"),
@@ -217,11 +216,10 @@ def geodesic_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column
                 cs = s["su1"] * s["su2"] + s["cu1"] * s["cu2"] * t["cl"]
                 return let({"ss": ss, "cs": cs, "sg": F.atan2(ss, cs)}, with_sigma)
 
-            return let({"sl": F.sin(acc["lam"]), "cl": F.cos(acc["lam"]), "was": acc["lam"]}, with_trig)
+            return let({"sl": F.sin(acc["lam"]), "cl": F.cos(acc["lam"])}, with_trig)
 
         init = F.struct(
             s["L"].alias("lam"),
-            s["L"].alias("was"),
             F.lit(0.0).alias("ss"),
             F.lit(0.0).alias("cs"),
             F.lit(0.0).alias("sg"),
@@ -230,8 +228,7 @@ def geodesic_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column
         )
 
         def finish(r: Column) -> Column:
-            length = _arc_length(r["ca"], r["cm"], r["ss"], r["cs"], r["sg"])
-            return F.struct(length.alias("metres"), (F.abs(r["lam"] - r["was"]) > SETTLED).alias("open"))
+            return _arc_length(r["ca"], r["cm"], r["ss"], r["cs"], r["sg"])
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(VINCENTY_ITERATIONS)), init, step, finish)
 
@@ -257,7 +254,7 @@ def geodesic_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column
             reduced,
         )
         far = geodesic_by_azimuth(p["lng1"], p["lat1"], p["lng2"], p["lat2"])
-        settled = F.transform(F.array(body), lambda r: F.when(r["open"], far).otherwise(r["metres"]))[0]
+        settled = F.transform(F.array(body), lambda m: F.when(m > SETTLED_M, far).otherwise(m))[0]
         missing = p["lng1"].isNull() | p["lat1"].isNull() | p["lng2"].isNull() | p["lat2"].isNull()
         return F.when(missing, F.lit(None).cast("double")).otherwise(settled)
 
@@ -322,8 +319,8 @@ def with_geodesic(df, lng1: Column, lat1: Column, lng2: Column, lat2: Column, ou
     functions, as in :func:`geodesic_m`, are evaluated interpreted; a long
     chain of tiny projections fuses into one method too large to JIT).
     The result passes a one-element ``explode`` so that a later filter on it
-    is not pushed back into the chain; after it, pairs whose steps have not
-    settled take :func:`geodesic_by_azimuth` (interpreted, those rows alone).
+    is not pushed back into the chain; after it, pairs beyond ``SETTLED_M``
+    take :func:`geodesic_by_azimuth` (interpreted, those rows alone).
     Steps are SQL text: one JVM call per projection instead of one per operator.
     """
     f, a, b = repr(WGS84_F), WGS84_A, repr(WGS84_B)
@@ -370,8 +367,7 @@ def with_geodesic(df, lng1: Column, lat1: Column, lng2: Column, lat2: Column, ou
     dist = (f"CASE WHEN {p}lng1 IS NULL OR {p}lat1 IS NULL OR {p}lng2 IS NULL OR {p}lat2 IS NULL THEN CAST(NULL AS DOUBLE) "
             f"ELSE {b} * {big_a} * ({z}sg - ({dsig})) END AS {p}dist")
     ends, rest = [f"{p}{x}" for x in ("lng1", "lat1", "lng2", "lat2")], [x for x in keep if x != out]
-    moved = f"abs({lam} - {p}{VINCENTY_ITERATIONS - 1}_lam) > {SETTLED!r} AS {p}open"
-    df = df.select(*[F.col(x) for x in rest], *ends, F.expr(moved), F.expr(dist))
-    df = df.select(*rest, *ends, p + "open", F.explode(F.array(F.col(p + "dist"))).alias(p + "near"))
+    df = df.select(*[F.col(x) for x in rest], *ends, F.expr(dist))
+    df = df.select(*rest, *ends, F.explode(F.array(F.col(p + "dist"))).alias(p + "near"))
     far = geodesic_by_azimuth(*[F.col(x) for x in ends])
-    return df.select(*rest, F.when(F.col(p + "open"), far).otherwise(F.col(p + "near")).alias(out))
+    return df.select(*rest, F.when(F.col(p + "near") > SETTLED_M, far).otherwise(F.col(p + "near")).alias(out))
