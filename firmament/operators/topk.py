@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from firmament.operators.bm25 import B, K1, Postings, request_grams
+from firmament.operators.bm25 import B, K1, Postings, range_parts, request_grams
 from firmament.operators.search import SCORE_TIE_DIGITS
 from firmament.operators.util import top_k_per_group
 
@@ -50,12 +50,13 @@ def write_blocked(p: Postings, path: str, blocks: int | None = None, k1: float =
     spark = p.postings.sparkSession
     if blocks is None:
         blocks = max(1, (p.fields.agg(F.max("n")).first()[0] or 0) // KEYS_PER_BLOCK)  # a row per field
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = range_parts(p)
     out = p.postings.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     out = out.repartitionByRange(parts, "field", "gram", "block", "key").sortWithinPartitions("field", "gram", "block")
     out.write.parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
-    bounds = stored.join(F.broadcast(p.fields), "field").groupBy("field", "gram", "block").agg(F.max(_share(k1, b)).alias("most"))
+    shares = stored.join(F.broadcast(p.fields), "field").repartition(parts, "field", "gram", "block")
+    bounds = shares.groupBy("field", "gram", "block").agg(F.max(_share(k1, b)).alias("most"))
     bounds.write.parquet(f"{path}/bounds")
     p.grams.write.parquet(f"{path}/grams")
     p.fields.write.parquet(f"{path}/fields")
