@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 UNIT_ID_LENGTH = 9
 SIRET_LENGTH = 14
 NESTED_CHUNK = 1000
+ROWS_PER_TASK = 100_000
 
 
 def head_office(establishments: DataFrame, unit_key: str = "unit_id", key: str = "siret",
@@ -74,6 +75,12 @@ def unit_establishments(keys: DataFrame, units: DataFrame, establishments: DataF
     return establishments.join(found, unit_key, "inner")
 
 
+def list_tasks(establishments: DataFrame) -> int:
+    """Partitions in which lists are made, so that a task's rows don't grow with the table."""
+    fixed = int(establishments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(fixed, -(-establishments.count() // ROWS_PER_TASK))
+
+
 def lookup_units_nested(keys: DataFrame, units: DataFrame, establishments: DataFrame, unit_key: str = "unit_id",
                         key: str = "siret", chunk: int = NESTED_CHUNK) -> DataFrame:
     """Nested answer: unit columns, ``etablissement_siege`` struct and the
@@ -90,6 +97,7 @@ def lookup_units_nested(keys: DataFrame, units: DataFrame, establishments: DataF
     parts = F.greatest(F.lit(1), F.ceil(F.col("nombre_etablissements") / F.lit(chunk)))
     found = found.withColumn("parts", parts)
     est = est.withColumn("part", F.pmod(F.xxhash64(F.col(key)), parts))
+    est = est.repartition(list_tasks(establishments), unit_key, "part")
     cols = [c for c in establishments.columns if c != unit_key]
     lists = est.groupBy(unit_key, "part").agg(
         F.sort_array(F.collect_list(F.struct(*cols))).alias("etablissements")
