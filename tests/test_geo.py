@@ -137,6 +137,31 @@ def test_radius_join_of_mixed_radii(spark):
     assert max(r["count"] for r in GJ.covering_cells(q).groupBy("point_id").count().collect()) <= 64
 
 
+def test_radius_join_deals_dense_cells_out_in_blocks(spark, monkeypatch):
+    """A crowded cell's pairs go to many tasks; ids repeat or are null on both sides."""
+    monkeypatch.setattr(GJ, "BLOCK", 10)
+    monkeypatch.setattr(GJ, "TASK_PAIRS", 500)
+    rows = [(i % 90 if i % 7 else None, (3.0 + (i % 60) * 0.002, 46.5 + (i % 45) * 0.002)) for i in range(300)] + [(None, None), (5, None)]
+    df = spark.createDataFrame(rows, "siret long, position struct<x:double,y:double>")
+    df = df.withColumn("cell_y", geo.cell(F.col("position.y"))).withColumn("cell_x", geo.cell(F.col("position.x")))
+    asked = [(i % 20 if i % 3 else None, 3.0 + (i % 8) * 0.01, 46.5, 4_000.0) for i in range(50)] + [(7, 3.0, 46.5, 4_000.0)] * 2
+    q = spark.createDataFrame(asked, "point_id int, lng double, lat double, radius double").coalesce(1)
+    out = GJ.radius_join(q, df)
+    got = sorted(((r.point_id, r.siret, r.position) for r in out.collect()), key=str)
+    expect = [(pid, siret, place) for pid, lng, lat, rad in asked for siret, place in rows if place and vincenty(*place, lng, lat) <= rad]
+    assert got == sorted(expect, key=str) and len(got) > 500
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+
+
+def test_near_distances_skip_the_explode(spark):
+    """A row is handed through the generator's array only for the azimuth search."""
+    df = spark.createDataFrame([(3.0, 46.5, 3.1, 46.6), (3.0, 46.5, -177.0, -46.0), (None, 1.0, 2.0, 3.0)], "a double, b double, c double, d double")
+    out = geo.with_geodesic(df, *[F.col(c) for c in "abcd"], "m")
+    near, far, missing = [r.m for r in out.orderBy(F.col("m").asc_nulls_last()).collect()]
+    assert near == pytest.approx(vincenty(3.0, 46.5, 3.1, 46.6), abs=1e-6) and far > geo.SETTLED_M and missing is None
+    assert "Generate explode(CASE WHEN" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 # Published distances on WGS84 (lng, lat, lng, lat, metres): Karney's example, the test
 # sets of his library, a quarter meridian four times over.
 FAR = [
