@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 from firmament.llm import phrases, queries, token_files, whitening
 
 SF = "/root/testdata/sf0.001"
+phrases_saved = phrases.saved
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id bigint, text string, lang string"
@@ -161,6 +162,23 @@ def test_phrases_match_brute_force(spark, monkeypatch, depth, least, shard, rows
     assert sorted(tuple(r) for r in got.select("lang", "phrase", "a", "l", "r", "n", "score").collect()) == slow_phrases(rows, depth, least)
 
 
+def test_shards_are_read_one_by_one(spark, monkeypatch):
+    """A task never holds more than one shard, and the session keeps its settings."""
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(30)), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    shards = phrases.saved(phrases.make_shards(docs, "lang", "text", 100), "shards").coalesce(1)
+    assert shards.count() > 5
+    held = shards.select("shard").mapInArrow(lambda batches: (b.set_column(0, "n", phrases.pa.array([len(b)] * len(b))) for b in batches), "n bigint")
+    with phrases.settings(spark, phrases.ONE_ROW):
+        assert {r.n for r in held.collect()} == {1}
+    seen = []
+    monkeypatch.setattr(phrases, "saved", lambda df, name: seen.append((name, [spark.conf.get(c) for c in phrases.ONE_ROW])) or phrases_saved(df, name))
+    before = [spark.conf.get(c) for c in phrases.ONE_ROW]
+    assert phrases.phrases(docs, min_count=3, shard_words=100).count()
+    assert all(conf == ["1", "1"] for name, conf in seen if name.startswith("grams-")) and len(seen) == 7
+    assert [spark.conf.get(c) for c in phrases.ONE_ROW] == before
+
+
 def test_phrase_ranks_and_empty_tables(spark):
     docs = spark.createDataFrame([(i, "b c. a b. d", "en") for i in range(4)], DOCS)
     best = [(r["rank"], r["phrase"], r["score"]) for r in phrases.top_phrases(docs, keep=1, min_count=2).collect()]
