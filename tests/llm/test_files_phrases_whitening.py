@@ -175,7 +175,7 @@ def test_shards_are_read_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(phrases, "saved", lambda df, name, **o: seen.append((name, [spark.conf.get(c) for c in phrases.ONE_ROW])) or phrases_saved(df, name, **o))
     before = [spark.conf.get(c) for c in phrases.ONE_ROW]
     assert phrases.phrases(docs, min_count=3, shard_words=100).count()
-    assert all(conf == ["1", "1"] for name, conf in seen if name.startswith("grams-")) and len(seen) == 7
+    assert all(conf == ["1", "1"] for name, conf in seen if name.startswith("grams-")) and len(seen) == 8
     assert [spark.conf.get(c) for c in phrases.ONE_ROW] == before
 
 
