@@ -219,6 +219,56 @@ def test_index_counts_every_phrase():
             assert [(one(around[tuple(g)][0]), one(around[tuple(g)][1])) for g in grams.tolist()] == list(zip(left.tolist(), right.tolist()))
 
 
+@pytest.mark.parametrize("letters", [3, 8, 300])
+def test_longest_phrases_are_one_row_a_place(letters):
+    """What a shard hands over follows the places of its text, not how many
+    phrases are frequent; a repeated text is handed over once."""
+    rng = np.random.default_rng(letters)
+    text = np.append(rng.integers(1, letters + 1, 500), 0)
+    words = np.arange(1, letters + 1)
+    for copies in (1, 6):
+        ids = np.tile(text, copies).astype("<i4").tobytes()
+        got = phrases.longest_blocks(ids, words, rng.permutation(words) + 70, 5, [])
+        assert sum(got["n"]) <= 499  # all but the first word of a text end one
+        *longest, after, n = phrases.unpack(got["block"][0], 7, got["n"][0])
+        assert n.sum() == 499 * copies and all((x == 0).sum() < 4 for x in longest)
+
+
+@pytest.mark.parametrize("size,rows_sent", [(1, 10**6), (2, 10**6), (7, 0), (50, 10**6)])
+def test_phrases_that_go_on_in_the_next_range(spark, monkeypatch, size, rows_sent):
+    """Ranges of a few rows: most phrases lie in several, some in whole ranges."""
+    monkeypatch.setattr(phrases, "BROADCAST_ROWS", rows_sent)
+    monkeypatch.setattr(phrases, "RANGE_ROWS", size)
+    rng = random.Random(size)
+    rows = [(" ".join(rng.choice(["a", "b", "a b c", "d."]) for _ in range(rng.randrange(12))), "en") for _ in range(40)] + [("a b a b a", None)] * 5
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], DOCS).repartition(2)
+    got = phrases.phrases(docs, min_count=4, shard_words=20)
+    assert sorted(tuple(r) for r in got.select("lang", "phrase", "a", "l", "r", "n", "score").collect()) == slow_phrases(rows, 5, 4)
+
+
+def test_ranges_add_up_to_the_whole():
+    """Counts and neighbours of a range, and of its parts, against plain ones."""
+    rng = np.random.default_rng(4)
+    ends = [tuple(rng.integers(1, 3, rng.integers(2, 6))) for _ in range(300)]
+    rows = sorted(tuple(e[::-1]) + (0,) * (5 - len(e)) + (int(rng.integers(0, 3)),) for e in ends)
+    table = np.array(rows)
+    words, after = list(table[:, :5].T), table[:, 5]
+    n = np.ones(len(rows), np.int64)
+    want = {m: Counter(r[:m][::-1] for r in rows if r[m - 1]) for m in range(2, 6)}
+    for parts in (1, 3, 40):
+        got = Counter()
+        for at in np.array_split(np.arange(len(rows)), parts):
+            for m, found in enumerate(phrases.counted([x[at] for x in words], after[at], n[at], 1), 2):
+                for row in found.tolist():
+                    got[tuple(row[:m])] += row[5]
+        assert got == sum(want.values(), Counter())
+    for m, found in enumerate(phrases.counted(words, after, n, 6), 2):
+        for *gram, count, left, right in found.tolist():
+            mine = [r for r in rows if r[:m] == tuple(gram[:m][::-1])]
+            one = lambda s: next(iter(s)) if len(s) == 1 else 0
+            assert count == len(mine) and (m == 5 or (left, right) == (one({r[m] for r in mine}), one({r[5] for r in mine})))
+
+
 def test_scores_pass_64_bits(spark):
     a, n, l, r = 10**11, 10**14, 10**12, 10**12 - 1
     row = spark.createDataFrame([(a, n, l, r)], "a bigint, n bigint, l bigint, r bigint")
