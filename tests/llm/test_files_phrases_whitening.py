@@ -60,6 +60,26 @@ def test_token_ids_do_not_depend_on_stretches():
     assert encoded(texts[:300], BYTE_BPE) == library_ids(texts[:300], BYTE_BPE, ())
 
 
+def test_words_are_encoded_once_whatever_signs_follow(monkeypatch, tmp_dir):
+    rng = random.Random(6)
+    words = ["Haus", "haus", "ÉTÉ", "été", "ŒUVRE", "æon", "ß", "e\u0301t", "l'eau", "it's", "a1", "1", "İx", "<|endoftext|>", "endoftext", "x"]
+    signs = ["", ".", ",", "!?", "###", ".###", "***&", "'", "'s", ".'s", "'re,", "_", "|", "<|", "…", "\u0301", "-x", "€"]
+    texts = [" ".join(rng.choice(words) + rng.choice(signs) for _ in range(30)) for _ in range(300)] + ["... ### |", ""]
+    assert encoded(texts) == library_ids(texts, end=())
+    for name, change in {"nfd": ('"NFC"', '"NFD"'), "cased": ('"Lowercase"', '"NFC"')}.items():
+        path = f"{tmp_dir}/{name}.json"
+        with open(WORD_BPE, encoding="utf8") as old, open(path, "w", encoding="utf8") as new:
+            new.write(old.read().replace(*change))
+        assert encoded(texts, path) == library_ids(texts, path, ())
+
+    of, sent = token_files.Encoder(WORD_BPE), []
+    library = of._of
+    monkeypatch.setattr(of, "_of", lambda texts: sent.extend(" ".join(texts).split()) or library(texts))
+    for text in ["Haus haus, HAUS! haus.### Haus", "haus! Haus, haus### haus"]:
+        assert [x.tolist() for x in of.encoded([text])] == library_ids([text], end=())
+    assert sorted(sent) == ["!", "###", ",", ".###", "haus"]
+
+
 @pytest.mark.parametrize("piece", [1, 7, 100])
 def test_pieces_of_a_long_text(monkeypatch, piece):
     monkeypatch.setattr(token_files, "PIECE", piece)
