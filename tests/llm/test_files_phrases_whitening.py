@@ -4,6 +4,7 @@ plain eigensolver; selective reads; nulls, repeats, long texts, empty tables."""
 import glob
 import random
 import re
+import tracemalloc
 import uuid
 import zlib
 from collections import Counter
@@ -80,6 +81,33 @@ def test_words_are_encoded_once_whatever_signs_follow(monkeypatch, tmp_dir):
     assert sorted(sent) == ["!", "###", ",", ".###", "haus"]
 
 
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "AT_ONCE", 1)
+    monkeypatch.setattr(token_files, "REMEMBERED", 40)
+    letters = "abcdefghijklmnopqrst"
+    texts = [" ".join(["the", "The,", "it's", *(a + b + sign for b in letters[:10] for sign in (".", "!"))]) for a in letters] + ["", " ".join(a + b for a in letters for b in letters), "the"]
+    of, sent, most = token_files.Encoder(WORD_BPE), [], 0
+    library = of._of
+    monkeypatch.setattr(of, "_of", lambda texts: sent.extend(" ".join(texts).split()) or library(texts))
+    for text, ids in zip(texts, library_ids(texts, end=())):
+        assert [x.tolist() for x in of.encoded([text])] == [ids]
+        most = max(most, len(of.known))
+    assert sent[: sent.index("ta")].count("the") == 1  # words that were just used stay
+    assert 30 < most <= 40
+
+
+def test_ids_of_many_short_words_are_put_in_place_in_part():
+    text, of = "a b c d " * (1 << 18), token_files.Encoder(WORD_BPE)
+    tracemalloc.start()
+    try:
+        sizes = [len(ids) for ids in of.encoded(text for _ in range(4))]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sizes == [1 << 20] * 4
+    assert most < 120 << 20  # numpy's arrays and Python's objects; 2 MB a text
+
+
 @pytest.mark.parametrize("piece", [1, 7, 100])
 def test_pieces_of_a_long_text(monkeypatch, piece):
     monkeypatch.setattr(token_files, "PIECE", piece)
