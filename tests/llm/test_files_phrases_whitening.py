@@ -174,6 +174,20 @@ def test_token_files_edges(spark, tmp_dir):
     assert token_files.of_range(spark, f"{path}-none", 0, 9).collect() == []
 
 
+def test_checksums_take_a_list_in_short_rows(spark, tmp_dir):
+    lengths = [0, 1, 255, 256, 257, 0, 512, 513, 5000, 0]
+    docs = spark.createDataFrame([(None if i == 1 else i, "a b c d " * (n // 4) + " a" * (n % 4), "en") for i, n in enumerate(lengths)], DOCS).coalesce(1)
+    for end, more in ((None, []), (2, [2])):
+        path = f"{tmp_dir}/short-{uuid.uuid4().hex}"
+        token_files.write(docs, path, WORD_BPE, end_id=end, files=1)
+        kept = {r["doc_id"]: r for r in token_files.tokens(spark, path).collect()}
+        rows = token_files.checksums(token_files.tokens(spark, path))
+        assert "slice(ids#" in plan(rows) and f", {token_files.SENT})" in plan(rows)  # no whole list in a batch
+        got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows.collect()}
+        assert got == {k: (r["start"], len(r["ids"]), zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for k, r in kept.items()}
+        assert [got[None if i == 1 else i][1] for i in range(len(lengths))] == [n + len(more) for n in lengths]
+
+
 # ------------------------------------------------------------------ phrases
 
 
