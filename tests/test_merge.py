@@ -93,3 +93,26 @@ def test_guarded_upsert_counts_what_it_replaces(spark):
     up = M.upsert(base, delta, "k", ["v", "ts"], ["ts"], guard_ts="ts")
     assert sorted((r.k, r.v) for r in up.result.collect()) == [(1, "a"), (2, "b"), (3, "new"), (4, "in")]
     assert up.counts.first().asDict() == {"inserted": 1, "updated": 1}
+
+
+def test_a_large_delta_is_merged_without_a_broadcast(spark, monkeypatch):
+    """The same rows and counts as a small delta's, from joins that hold no side's keys on the driver."""
+    base, delta = frames(spark)
+    base = base.unionByName(base.limit(1).withColumns({"k": F.lit(None).cast("long"), "v": F.lit("stored")}))
+    new = [(None, "null key", T(2024, 1, 8), 1, 1), (7, "undated", None, 1, 1), (8, None, T(2024, 1, 8), 1, 1)]
+    delta = delta.unionByName(spark.createDataFrame(new, delta.schema))
+    generated = {"g": F.concat(F.lit("of "), F.coalesce("v", F.lit("-")))}
+    base = base.withColumn("g", F.lit("as stored"))
+    for options in ({}, {"guard_ts": "ts"}, {"null_cols": ("keep",)}):
+        args = ("k", ["v", "ts"], ["ts", "page", "pos"])
+        small = M.upsert(base, delta, *args, generated=generated, rows=9, **options)
+        with monkeypatch.context() as m:
+            m.setattr(M, "BROADCAST_ROWS", 8)
+            large = M.upsert(base, delta, *args, generated=generated, rows=9, **options)
+        assert large.result.schema.names == small.result.schema.names
+        order = lambda df: sorted(map(str, df.collect()))
+        assert order(large.result) == order(small.result)
+        assert large.counts.first().asDict() == small.counts.first().asDict()
+        for df in (large.result, large.counts):
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" in small.result._jdf.queryExecution().executedPlan().toString()
