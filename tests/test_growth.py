@@ -1,6 +1,9 @@
 """What a plan or a task holds doesn't grow with requests, texts or rows."""
 
+import glob
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from firmament.functions import geo
 from firmament.operators import batch as BT
@@ -12,6 +15,7 @@ from firmament.operators import topk as TK
 from firmament.operators.merge import Upsert
 from firmament.plans import queries as Q
 from firmament.plans import tables as T
+from firmament.sources import snapshot as SN
 from firmament.streaming import sync as SY
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +103,30 @@ def test_a_streamed_batch_is_stored_before_it_is_merged(spark, tmp_dir):
     assert files and all("/delta-" in f for f in files)
     assert sorted(r.k for r in SY.read_table(spark, tmp_dir).collect()) == [1, 2]
     assert [(r.rows, r.inserted) for r in SY.progress(spark, tmp_dir).collect()] == [(1, 1)]
+
+
+def test_an_index_is_refreshed_without_dealing_it_out_again(spark, tmp_dir, monkeypatch):
+    before = spark.createDataFrame([(i, "red widget") for i in range(30)], "k long, t string")
+    after = spark.createDataFrame([(i, "old gear") for i in range(3)], "k long, t string")
+    index = BM.write_postings(BM.build_postings(before, "k", ["t"]), f"{tmp_dir}/base")
+    BM.write_segment(before.filter("k < 3"), after, "k", ["t"], f"{tmp_dir}/segment")
+
+    def dealt_out(*_):
+        raise AssertionError("all postings are shuffled")
+
+    monkeypatch.setattr(type(before), "repartitionByRange", dealt_out)
+    refreshed = BM.refresh_postings(index, before.filter("k < 3"), after, "k", ["t"], f"{tmp_dir}/refreshed")
+    compacted = BM.compact(spark, f"{tmp_dir}/base", [f"{tmp_dir}/segment"], f"{tmp_dir}/compacted")
+    want = {(r.gram, r.key, r.tf) for r in BM.build_postings(before.filter("k > 2").union(after), "k", ["t"]).postings.collect()}
+    for got in (refreshed, compacted):
+        assert {(r.gram, r.key, r.tf) for r in got.postings.collect()} == want
+        assert {r.gram: r.df for r in got.grams.collect()} == {g: sum(x[0] == g for x in want) for g, _, _ in want}
+
+
+def test_snapshots_are_written_packed(spark, tmp_dir):
+    schema = T_.StructType().add("k", "int").add("t", "string")
+    rows = [(1, 'say "x"'), (2, ""), (3, None)]
+    SN.write_snapshot(spark.createDataFrame(rows, schema), f"{tmp_dir}/csv", schema)
+    files = glob.glob(f"{tmp_dir}/csv/part-*")
+    assert files and all(f.endswith(".gz") for f in files)
+    assert sorted(map(tuple, SN.load_snapshot(spark, f"{tmp_dir}/csv", schema).collect())) == rows
