@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from firmament.plans import landing as LD
 from firmament.sources import feed as FD
 
 
@@ -79,3 +80,11 @@ def test_reconcile_takes_a_repeated_total_once(spark, tmp_dir):
     pages = pages_of(spark, tmp_dir, [{"header": {"total": 2}, FD.UNIT_ARRAY: [rec]}, {"header": {"total": 2}, FD.UNIT_ARRAY: [rec]}])
     r = FD.reconcile(FD.headers(pages), FD.records(pages, FD.UNIT_ARRAY)).first()
     assert (r.announced, r.landed, r.complete) == (2, 2, True)
+
+
+def test_landed_pages_are_packed(spark, tmp_dir):
+    build = lambda: spark.createDataFrame([('{"header": {"curseur": "0"}}',)], "value string")
+    path = LD._text_dir(spark, tmp_dir, "packed-pages", build)
+    files = [f for f in spark.read.text(path).inputFiles() if "/part-" in f]
+    assert files and all(f.endswith(".gz") for f in files)
+    assert [r.curseur for r in FD.headers(FD.read_pages(spark, path)).collect()] == ["0"]

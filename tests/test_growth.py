@@ -124,8 +124,8 @@ def test_an_index_is_refreshed_without_dealing_it_out_again(spark, tmp_dir, monk
 
 
 def test_snapshots_are_written_packed(spark, tmp_dir):
-    schema = T_.StructType().add("k", "int").add("t", "string")
-    rows = [(1, 'say "x"'), (2, ""), (3, None)]
+    schema = T_.StructType().add("k", "integer").add("t", "string")
+    rows = [(1, "say \"x\""), (2, ""), (3, None)]
     SN.write_snapshot(spark.createDataFrame(rows, schema), f"{tmp_dir}/csv", schema)
     files = glob.glob(f"{tmp_dir}/csv/part-*")
     assert files and all(f.endswith(".gz") for f in files)
