@@ -12,6 +12,7 @@ from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -401,3 +402,28 @@ def test_exact_deviations_beyond_doubles():
     centre = whitening.Centre(3, (10**17 + 1, 5))
     x = np.array([[10**16 + 7, 2]])
     assert centre.apart(x).tolist() == [[3 * (10**16 + 7) - 10**17 - 1, 1]]
+
+
+def test_phrases_of_a_shard_are_held_once_however_many_ranges():
+    rng = np.random.default_rng(3)
+    ids, words = rng.integers(0, 900, 40_000).astype("<i4").tobytes(), np.arange(1, 900)
+    bounds = [(i << 31, 0, 0) for i in range(2, 900)]
+    tracemalloc.start()
+    try:
+        got = phrases.longest_blocks(ids, words, words, 5, bounds)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(got["part"]) > 800 and sum(got["n"]) > 30_000
+    assert most < 40e6  # each range had held a column of the whole shard
+    whole = phrases.longest_blocks(ids, words, words, 5, [])
+    parts = [phrases.unpack(b, 7, n) for b, n in zip(got["block"], got["n"])]
+    columns = [*np.concatenate(parts, axis=1)], [*phrases.unpack(whole["block"][0], 7, whole["n"][0])]
+    assert len({tuple(np.stack(c)[:, np.lexsort(c)].ravel().tolist()) for c in columns}) == 1
+
+
+def test_a_shards_words_are_found_of_its_language():
+    words = {"lang": pa.array(["de", "en", "en", "fr"]), "word": pa.array(["a", "b", "a", "c"]), "word_id": pa.array([1, 2, 3, 4])}
+    local, number = phrases.own_words(words, "en", pa.array(["x", "a", "c", "b"]))
+    assert dict(zip(local.tolist(), number.tolist())) == {2: 3, 4: 2}
+    assert not len(phrases.own_words(words, "es", pa.array(["a"]))[0])
