@@ -3,7 +3,8 @@
 1. Valid vectors are scaled to unit length in double precision; equal ones are
    one class with a count, so copies are neither indexed nor compared again.
 2. Classes are dealt over shards by hash.  Every shard is one hierarchical
-   small-world graph, built by one task; ``shard_rows`` bounds its size.
+   small-world graph, built by one task; ``shard_rows`` and ``SHARD_BYTES`` of
+   vectors bound its size.
 3. Classes are queries in blocks, every block against every shard.  A task
    audits its beam on a sample of its queries against brute force and doubles
    it until recall reaches ``recall``; a query whose beam is full of links is
@@ -40,6 +41,8 @@ BEAM_QUERY = 48
 AUDIT = 100  # queries of a block that are checked by brute force
 AT_ONCE = 256  # queries that walk a graph together
 EXPAND = 4  # nodes a query opens in one step
+SHARD_BYTES = 32 << 20  # of a shard's vectors, in double precision
+COSINES = 1 << 20  # made at once by brute force
 
 
 def unit(vector: list[float] | None) -> bytes | None:
@@ -196,11 +199,21 @@ def _join(graph: Graph, new: np.ndarray, level: int) -> None:
     links[row[nodes]] = spread_out(vectors, np.take_along_axis(joint, order, 1), np.take_along_axis(sims_j, order, 1), most)
 
 
+def linked(queries: np.ndarray, exact: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) of all links by brute force, ``COSINES`` pairs at a time."""
+    step = max(1, COSINES // max(1, len(queries)))
+    for i in range(0, len(exact), step):
+        q, node = np.nonzero(queries @ exact[i : i + step].T >= cosine)
+        yield q, node + i
+
+
 def search_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, cosine: float, recall: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, node) index arrays of all links found, a piece at a time."""
     n, low = len(exact), cosine - 1e-5  # single precision leads, double precision decides
     sample = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
-    truth = queries[sample] @ exact.T >= cosine
+    truth = np.zeros((len(sample), n), bool)
+    for q, node in linked(queries[sample], exact, cosine):
+        truth[q, node] = True
     beam = BEAM_QUERY
     while 4 * beam < n:
         ids, sims = graph.search(queries[sample].astype(np.float32), beam)
@@ -215,16 +228,15 @@ def search_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, cosine: f
         for i in range(0, len(todo), AT_ONCE):
             at = todo[i : i + AT_ONCE]
             if 4 * beam >= n:
-                q, node = np.nonzero(queries[at] @ exact.T >= cosine)
-            else:
-                ids, sims = graph.search(queries[at].astype(np.float32), beam)
-                full = (sims[:, -1] >= low) & (ids[:, -1] >= 0)
-                rest.append(at[full])
-                q, k = np.nonzero((sims >= low) & (ids >= 0) & ~full[:, None])
-                node = ids[q, k]
-                right = np.einsum("kd,kd->k", queries[at][q], exact[node]) >= cosine
-                q, node = q[right], node[right]
-            yield at[q], node
+                yield from ((at[q], node) for q, node in linked(queries[at], exact, cosine))
+                continue
+            ids, sims = graph.search(queries[at].astype(np.float32), beam)
+            full = (sims[:, -1] >= low) & (ids[:, -1] >= 0)
+            rest.append(at[full])
+            q, k = np.nonzero((sims >= low) & (ids >= 0) & ~full[:, None])
+            node = ids[q, k]
+            right = np.einsum("kd,kd->k", queries[at][q], exact[node]) >= cosine
+            yield at[q[right]], node[right]
         todo = np.concatenate(rest) if rest else todo[:0]
         beam *= 4
 
@@ -233,24 +245,28 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """One row per vector: vec_id, n_links, component_id, kept.
 
     There are ``shards`` graphs, more when one would pass ``shard_rows``
-    classes, and per shard ``blocks`` blocks of queries or as many as keep a
-    block under ``shard_rows``."""
+    classes or ``SHARD_BYTES``, and per shard ``blocks`` blocks of queries or as
+    many as keep a block under both."""
     units = F.udf(unit, "binary")(F.col(vector_col))
     rows = saved(rows.select(F.col(id_col).cast("bigint").alias("vec_id"), units.alias("unit")).withColumn("key", F.md5("unit")), "units")
     classes = rows.filter("unit is not null").groupBy("key").agg(F.count("*").alias("n"), F.first("unit").alias("unit"), F.min("vec_id").alias("first"))
     classes = saved(classes.select(F.xxhash64("key").alias("cid"), "key", "n", "unit", "first"), "classes")
-    n = classes.count()
-    shards, blocks = max(shards, math.ceil(n / shard_rows)), max(blocks, math.ceil(n / shard_rows))
+    n, size = classes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("unit").cast("bigint")), F.lit(0))).first()
+    least = max(math.ceil(n / shard_rows), math.ceil(size / SHARD_BYTES))
+    shards, blocks = max(shards, least), max(blocks, least)
     dims = F.octet_length("unit")
 
     def make(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cid")
         exact = np.stack([np.frombuffer(u) for u in part["unit"]])
-        kept = (build(exact), exact, part["cid"].to_numpy(np.int64), part["n"].to_numpy(np.int64))
+        graph = build(exact)
+        graph.vectors = None  # made again from ``exact``
+        graph.levels = [(row.astype(np.int32), links.astype(np.int32)) for row, links in graph.levels]
+        kept = (graph, exact, part["cid"].to_numpy(np.int64), part["n"].to_numpy(np.int64))
         return pd.DataFrame({"shard": [part["shard"].iat[0]], "dims": [part["dims"].iat[0]], "graph": [pickle.dumps(kept, 5)]})
 
     dealt = classes.select("cid", "n", "unit", dims.alias("dims"), F.pmod(F.col("cid"), F.lit(shards)).cast("int").alias("shard"))
-    graphs = saved(dealt.groupBy("dims", "shard").applyInPandas(make, "shard int, dims int, graph binary"), "graphs")
+    graphs = saved(dealt.groupBy("dims", "shard").applyInPandas(make, "shard int, dims int, graph binary"), "graphs", maxRecordsPerFile="1")
     places = graphs.select("shard", "dims", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     queries = classes.select("cid", "unit", dims.alias("dims"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -259,6 +275,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if not len(block) or not len(place):
             return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
         graph, exact, cids, sizes = pickle.loads(place["graph"].iat[0])
+        graph.vectors = exact.astype(np.float32)
         own = block["cid"].to_numpy(np.int64)
         asked = np.stack([np.frombuffer(u) for u in block["unit"]])
         nodes, at = np.unique(np.concatenate([own, cids]), return_inverse=True)

@@ -515,6 +515,26 @@ def test_embeddings_match_brute_force(spark):
     assert hnsw.near_duplicates(vecs.limit(0)).count() == 0
 
 
+def test_shards_of_embeddings_are_bounded_by_bytes(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(120, 6))
+    x = np.vstack([x, x[:40] * 1.5, x[:40] + 0.01])
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    tables = {}
+
+    def kept(df, name, **options):
+        tables[name] = saved(df, name, **options)
+        return tables[name]
+
+    monkeypatch.setattr(hnsw, "saved", kept)
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(hnsw, "COSINES", 50)
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(vecs, shards=1, blocks=1).collect()}
+    n_bytes = tables["classes"].selectExpr("sum(octet_length(unit))").first()[0]
+    assert tables["graphs"].count() >= 0.7 * n_bytes / 1000 > 4
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert got == dict(enumerate(((u @ u.T >= 0.95).sum(1) - 1).tolist()))
+
+
 def test_graph_recall():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 12)).astype(np.float32)
